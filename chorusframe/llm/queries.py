@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, substrings
+from . import embedding_dedup, minhash, mixing, nearest, packing, substrings, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": mixing.op1,
+        "op2_warc_revisits": warc.op2,
         "op4_minhash_near_dedup": minhash.op4,
+        "op6_url_filter": url_filter.op6,
+        "op7_nearest_neighbours": nearest.op7,
+        "op8_mixture_packing": packing.op8,
+        "op9_embedding_dedup": embedding_dedup.op9,
         "op10_substring_dedup": substrings.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": warc.OP2_SQL, "op7_nearest_neighbours": nearest.OP7_SQL}
