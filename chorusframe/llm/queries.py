@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash, mixing, nearest, packing, substrings, url_filter, warc
+from . import embedding_dedup, minhash, mixing, nearest, packing, pii, quality, substrings, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": mixing.op1,
         "op2_warc_revisits": warc.op2,
+        "op3_pii": pii.op3,
         "op4_minhash_near_dedup": minhash.op4,
+        "op5_quality": quality.op5,
         "op6_url_filter": url_filter.op6,
         "op7_nearest_neighbours": nearest.op7,
         "op8_mixture_packing": packing.op8,
