@@ -8,11 +8,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chorusframe.llm import minhash, mixing, packing, pii, quality
 from chorusframe.llm.common import shared_dir
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of changed texts; null texts keep what they had."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -22,12 +28,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    return _measured(pii.redact(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mixing.mix(docs)
-    return mix.repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_shard", "_order")
+    return _measured(mix.repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_shard", "_order"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
