@@ -156,12 +156,10 @@ def near_duplicates(
     narrow = signed.select("key", "doc_id", "n_shingles")
 
     classes = tmp.write(signed.where("n_shingles > 0").groupBy("key").agg(F.first("u").alias("u"), F.first("v").alias("v")))
-    # A class can share a table only if it shares a half-key of both collections.
+    # A table can be shared only where both of its half-keys are: only those are paired up.
     u = _shared(classes.select("key", F.posexplode("u").alias("i", "u")), "i", "u")
     v = _shared(classes.select("key", F.posexplode("v").alias("j", "v")), "j", "v")
-    likely = u.select("key").distinct().join(v.select("key").distinct(), "key")
-    tabled = classes.join(likely, "key").select("key", F.posexplode("u").alias("i", "u"), "v")
-    tabled = tabled.select("key", "i", "u", F.posexplode("v").alias("j", "v")).select("key", F.xxhash64("i", "j", "u", "v").alias("bucket"))
+    tabled = tmp.write(u.join(v, "key").select("key", F.xxhash64("i", "j", "u", "v").alias("bucket")))
     tabled = tmp.write(_shared(tabled, "bucket"))
 
     # Families: classes that buckets connect.  Small ones share a bin; large ones are cut into blocks.
