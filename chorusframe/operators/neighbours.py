@@ -17,8 +17,9 @@ RADIUS_S, MIN_NEIGHBOURS, BLOCK = 30.0, 2, 1024
 
 def count_neighbours(radius_s: float = RADIUS_S) -> Callable[[DataFrame], DataFrame]:
     """Others of the same recording and species within ``radius_s`` on either side, both ends included."""
-    w = Window.partitionBy(*KEYS).orderBy("start_s").rangeBetween(-radius_s, radius_s)
-    return lambda det: det.withColumn("n_neighbours", F.count("*").over(w) - 1)
+    r = f"CAST({radius_s} AS DOUBLE)"
+    n = F.expr(f"count(1) OVER (PARTITION BY {', '.join(KEYS)} ORDER BY start_s RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) - 1")
+    return lambda det: det.withColumn("n_neighbours", n)
 
 
 def flag_isolated(radius_s: float = RADIUS_S, at_least: int = MIN_NEIGHBOURS) -> Callable[[DataFrame], DataFrame]:

@@ -220,8 +220,8 @@ def best_balanced(df: DataFrame, score: str, positive: Column) -> DataFrame:
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("cut")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("cut"))  # one row a distinct value
     out = per.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
-    whole = per.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    out = out.crossJoin(whole).withColumn("balanced", (F.try_divide("tp", "P") + 1 - F.try_divide("fp", "Q")) / 2)
+    whole = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    out = out.crossJoin(whole).withColumn("balanced", (F.try_divide("tp", "all_p") + 1 - F.try_divide("fp", "all_q")) / 2)
     return out.agg(F.max(F.struct("balanced", (-F.col("cut")).alias("c"))).alias("b")).select((-F.col("b.c")).alias("cut"), F.col("b.balanced").alias("balanced_accuracy"))
 
 

@@ -85,8 +85,8 @@ def pulse_segments(frames: DataFrame, frame_s: float, share: float = 0.05, min_s
 
 def bout_windows(pulses: DataFrame, size_s: float, before_s: float, at_least: int) -> DataFrame:
     """Windows that begin ``before_s`` ahead of a pulse and hold the starts of ``at_least`` pulses."""
-    w = Window.partitionBy("recording").orderBy("start_s").rangeBetween(0, size_s - before_s)
-    n = pulses.withColumn("pulses", F.count("*").over(w))
+    upto = F.expr(f"count(1) OVER (PARTITION BY recording ORDER BY start_s RANGE BETWEEN CURRENT ROW AND CAST({size_s - before_s} AS DOUBLE) FOLLOWING)")
+    n = pulses.withColumn("pulses", upto)
     return n.where(F.col("pulses") >= at_least).select("recording", F.greatest(F.lit(0.0), F.col("start_s") - before_s).alias("start_s"), "pulses").withColumn("end_s", F.col("start_s") + size_s)
 
 
