@@ -166,3 +166,15 @@ def compare_arms(a: DataFrame, b: DataFrame, key: str, metrics: tuple[str, ...])
 def coordinate_stations(recordings: DataFrame) -> DataFrame:
     """Each coordinate text with all stations that recorded it."""
     return recordings.where("coords IS NOT NULL").groupBy("coords").agg(F.array_sort(F.collect_set("station")).alias("stations"))
+
+
+def verified_rows(manifest: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("path", "aug")) -> DataFrame:
+    """Index rows that rendered (``ok``) and are verified in the manifest and in the index."""
+    known = manifest.where(F.coalesce("verified", F.lit(False))).select(*keys)
+    return index.where(F.coalesce("ok", F.lit(False)) & F.coalesce("verified", F.lit(False))).join(known, list(keys), "left_semi")
+
+
+def detection_hours(manifest: DataFrame, review: DataFrame) -> DataFrame:
+    """Each clip's hour of day by its file name, from the review table; null where nobody reviewed it."""
+    hours = review.groupBy("file").agg(F.min(F.hour("detected_at")).alias("hour"))
+    return manifest.withColumn("file", F.regexp_extract("path", r"([^/]*)$", 1)).join(hours, "file", "left").drop("file")
