@@ -1,11 +1,10 @@
 """Mixture-controlled packing: every window takes its target share of tokens from each source's queue.
 
 This is deficit round-robin with one token as the unit.  In each window a source's counter grows by its share
-of the window; the source gives as many whole tokens as that allows and the rest of the counter, its deficit
-(below one token), goes on to the next window.  As the counters of a run of windows over the same sources have
-a closed form, any window's quotas follow from its index: tasks need no common state, deficits cross windows
-and partitions, and no window is filled twice.  When a source runs out, a new phase shares its part among the
-others in proportion.
+of the window; the source gives as many whole tokens as that allows and the rest of the counter, its deficit,
+goes on to the next window.  Counters follow from due times (see Schedule), so any window's quotas follow from its
+index: tasks need no common state, deficits cross windows and partitions, and no window is filled twice.  When a
+source runs out, its part goes to the others in proportion.
 
 Each document is tokenised once.  Its place in its source's queue is a sum over earlier tasks plus the tokens
 before it in its own task; only those sums (a row for each task and source) are shuffled.
@@ -16,6 +15,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -89,67 +89,100 @@ def _tokens(it: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.Re
 
 
 class Schedule:
-    """How many tokens of each source precede any place of the packed stream."""
+    """Which tokens of which source make up each sequence.
+
+    Token k of a source of weight w falls due at (2k + 1) / 2w, the middle of its k-th share of the total; tokens are
+    served by due time, then source number.  So a source's deficit (its share of what was served less what it gave) stays
+    around a token, and its share passes on to the others when it runs out.  Sources of weight 0 come last.
+    """
 
     def __init__(self, sizes: Sequence[int], weights: Sequence[int], length: int = LENGTH):
-        self.sizes, self.total, self.length = list(sizes), sum(sizes), length
-        self.phases: list[tuple[int, list[int], list[int] | None]] = []  # start; tokens given before by sources up to j; weights up to j
-        given, at = [0] * len(sizes), 0
-        while at < self.total:
-            left = [n - g for n, g in zip(sizes, given, strict=True)]
-            live = [w if n > 0 else 0 for w, n in zip(weights, left, strict=True)]
-            whole = sum(live)
-            if whole and all(n * whole == w * sum(left) for n, w in zip(left, live, strict=True)):
-                span = sum(left)  # all run out together
-            else:
-                span = min(((n - 1) * whole // w for n, w in zip(left, live, strict=True) if w), default=0)
-            if span <= 0:  # at most a token or so of the live sources is left, or only sources of weight 0
-                small = [n if w else 0 for n, w in zip(left, live, strict=True)]
-                take = small if sum(small) else left
-                self.phases.append((at, self._running(given), None))
-                self.rest = getattr(self, "rest", {}) | {len(self.phases) - 1: self._running(take)}
-                given, at = [g + x for g, x in zip(given, take, strict=True)], at + sum(take)
-                continue
-            cum = self._running(live)
-            self.phases.append((at, self._running(given), cum))
-            upto = [span * c // whole for c in cum]
-            given = [g + b - a for g, a, b in zip(given, [0, *upto], upto, strict=False)]
-            at += span
-        self.starts = [p[0] for p in self.phases]
+        self.sizes, self.weights, self.length, self.total = list(sizes), list(weights), length, sum(sizes)
+        self.paid = [j for j, (n, w) in enumerate(zip(sizes, weights, strict=True)) if n and w]
+        self.free = [j for j, (n, w) in enumerate(zip(sizes, weights, strict=True)) if n and not w]
         full, rest = divmod(self.total, length)
         self.full, self.tail = full, [full * length]
         for bit in reversed(range(rest.bit_length())):  # the rest fills sequences whose lengths are powers of two
             if rest >> bit & 1:
                 self.tail.append(self.tail[-1] + (1 << bit))
         self.windows = full + len(self.tail) - 1
-
-    @staticmethod
-    def _running(x: Sequence[int]) -> list[int]:
-        return np.cumsum(np.array(x, dtype=object)).tolist() if len(x) else []
+        # Where sources run out: tokens served by then, and the size and weight of those that have.
+        self.ends: list[int] = []
+        self.gone: list[tuple[int, int]] = [(0, 0)]
+        whole, n, w = sum(weights[j] for j in self.paid), 0, 0
+        for j in sorted(self.paid, key=lambda j: Fraction(sizes[j], weights[j])):
+            n, w = n + sizes[j], w + weights[j]
+            self.ends.append(n + sizes[j] * (whole - w) // weights[j])
+            self.gone.append((n, w))
+        self.whole = whole
+        self.edges: dict[int, list[int]] = {}
 
     def edge(self, window: int) -> int:
         return window * self.length if window <= self.full else self.tail[window - self.full]
 
-    def upto(self, j: int, at: int) -> int:
-        """Tokens of sources 0..j among the first ``at`` of the packed stream."""
-        if j < 0:
-            return 0
-        k = bisect.bisect_right(self.starts, at) - 1
-        start, given, cum = self.phases[k]
-        if cum is None:
-            return given[j] + min(at - start, self.rest[k][j])
-        return given[j] + (at - start) * cum[j] // cum[-1]
+    def _later(self, i: int, a: int, j: int, b: int) -> bool:
+        """Whether token a of source i is served after token b of source j."""
+        x, y = (2 * a + 1) * self.weights[j], (2 * b + 1) * self.weights[i]
+        return x > y or x == y and i > j
+
+    def given(self, at: int) -> list[int]:
+        """How many tokens each source has given when ``at`` are served."""
+        out = [0] * len(self.sizes)
+        left = at
+        for j in self.paid:
+            left -= self.sizes[j]
+        if left >= 0:  # all that have weight are done
+            for j in self.paid:
+                out[j] = self.sizes[j]
+            for j in self.free:
+                out[j] = min(left, self.sizes[j])
+                left -= out[j]
+            return out
+        n, w = self.gone[bisect.bisect_right(self.ends, at)]
+        live = max(self.whole - w, 1)
+        for j in self.paid:
+            out[j] = min(self.sizes[j], (2 * (at - n) * self.weights[j] + live) // (2 * live))
+        more = at - sum(out)
+        while True:  # a few steps from the estimate to the exact set
+            first = last = -1
+            for j in self.paid:
+                if out[j] < self.sizes[j] and (first < 0 or self._later(first, out[first], j, out[j])):
+                    first = j
+                if out[j] and (last < 0 or self._later(j, out[j] - 1, last, out[last] - 1)):
+                    last = j
+            if more > 0:
+                out[first] += 1
+                more -= 1
+            elif more < 0:
+                out[last] -= 1
+                more += 1
+            elif first >= 0 and last >= 0 and self._later(last, out[last] - 1, first, out[first]):
+                out[first] += 1
+                out[last] -= 1
+            else:
+                return out
+
+    def served(self, window: int) -> list[int]:
+        """given() at a window's beginning; neighbouring windows ask for the same edges again and again."""
+        if window not in self.edges:
+            if len(self.edges) > 1 << 14:
+                self.edges.clear()
+            self.edges[window] = self.given(self.edge(window))
+        return self.edges[window]
 
     def find(self, j: int, place: int) -> int:
-        """The window that has token ``place`` of source j's queue."""
-        lo, hi = 0, self.windows - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.upto(j, self.edge(mid + 1)) - self.upto(j - 1, self.edge(mid + 1)) > place:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """The window that token ``place`` of source j is in, from the number of tokens served before it."""
+        before = place
+        if self.weights[j]:
+            for i in self.paid:
+                if i != j:
+                    x, y = (2 * place + 1) * self.weights[i] - self.weights[j], 2 * self.weights[j]
+                    before += min(self.sizes[i], max(0, x // y + 1 if i < j else -(-x // y)))
+        else:
+            before += sum(self.sizes[i] for i in self.paid) + sum(self.sizes[i] for i in self.free if i < j)
+        if before < self.tail[0]:
+            return before // self.length
+        return self.full + bisect.bisect_right(self.tail, before) - 1
 
 
 def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Schedule, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -157,9 +190,8 @@ def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Sched
     here: dict[int, tuple[int, int, int, int, int]] = {}  # source -> window, its first and end place in the queue, offsets
 
     def window(j: int, w: int) -> tuple[int, int, int, int]:
-        a, b = plan.edge(w), plan.edge(w + 1)
-        below_a, below_b = plan.upto(j - 1, a), plan.upto(j - 1, b)
-        return w, plan.upto(j, a) - below_a, plan.upto(j, b) - below_b, below_b - below_a
+        a, b = plan.served(w), plan.served(w + 1)
+        return w, a[j], b[j], sum(b[:j]) - sum(a[:j])
 
     for batch in it:
         rows, out = batch.to_pydict(), {k: [] for k in ("doc", "start", "length", "crc", "n", "seq", "offset", "ids")}

@@ -162,13 +162,25 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.where("doc_id > 9999")).count() == 0
 
 
-def test_schedule_keeps_proportions_and_deficits():
-    plan = packing.Schedule([6000, 3000, 900, 0], [3, 2, 1, 5], 64)
-    served = [[plan.upto(j, plan.edge(w)) - plan.upto(j - 1, plan.edge(w)) for j in range(4)] for w in range(plan.windows + 1)]
-    assert served[-1] == [6000, 3000, 900, 0]
+@pytest.mark.parametrize(("sizes", "weights"), [([6000, 3000, 900, 70], [3, 2, 1, 0]), ([5, 0, 1000, 3, 7], [5, 4, 1000, 3, 7]), ([1, 1, 1], [1, 1, 1]), ([3000, 2, 40, 9], [1, 1000, 1, 1])])
+def test_schedule_serves_by_due_time(sizes, weights):
+    plan = packing.Schedule(sizes, weights, 64)
+    due = sorted(((2 * k + 1) / (2 * w) if w else float("inf"), j, k) for j, (n, w) in enumerate(zip(sizes, weights, strict=True)) for k in range(n))
+    count = [0] * len(sizes)
+    want = [list(count)]
+    for _, j, _ in due:
+        count[j] += 1
+        want.append(list(count))
+    assert [plan.served(w) for w in range(plan.windows + 1)] == [want[plan.edge(w)] for w in range(plan.windows + 1)]
+    ends = [plan.edge(w + 1) for w in range(plan.windows)]
+    for at, (_, j, k) in enumerate(due):
+        assert plan.find(j, k) == next(w for w, e in enumerate(ends) if at < e)
+
+
+def test_schedule_keeps_proportions():
+    plan = packing.Schedule([6000, 3000, 900, 70], [3, 2, 1, 0], 64)
     for w in range(1, 60):  # while all three have tokens
-        assert all(abs(served[w][j] - 64 * w * x / 6) < 1 for j, x in enumerate((3, 2, 1)))
-    assert all(b >= a for x, y in zip(served, served[1:], strict=False) for a, b in zip(x, y, strict=True))
+        assert all(abs(plan.served(w)[j] - 64 * w * x / 6) <= 0.5 + 3 * x / 12 for j, x in enumerate((3, 2, 1)))
 
 
 def test_archives_round_trip(spark, tmp_path):
