@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.OP2_SQL, "op7_nearest_neighbours": nearest.OP7_SQL}
+    return {
+        "op2_warc_revisits": warc.OP2_SQL,
+        "op4_minhash_near_dedup": minhash.OP4_SQL,
+        "op7_nearest_neighbours": nearest.OP7_SQL,
+        "op9_embedding_dedup": embedding_dedup.OP9_SQL,
+        "op10_substring_dedup": substrings.OP10_SQL,
+    }
