@@ -17,16 +17,41 @@ CLEANUP_CSV = (
     "knn_dist double, mahalanobis_d2 double, flag_mahal boolean, tag_top string, tag_score double, flag_tag boolean, n_neighbours int, flag_isolated boolean, "
     "station_regime string, flag_invading_cluster boolean, n_flags int, flag_reason string"
 )
+REVIEW_CSV = "indir string, infile string, manualid string"
 GENERATED = r"(summary|cleanup_vs_review|report)[^/]*\.csv$"
 
 
+def _plain(name: str) -> str:
+    return name.strip().strip('"').replace("*", "").replace(" ", "").lower()
+
+
+def read_layouts(spark: SparkSession, paths: Sequence[str], glob: str, schema: str, skip: str = "") -> DataFrame:
+    """CSV files whose headers vary in order, case and optional columns: the columns of ``schema`` by name, null where a file lacks
+    one, and ``_path``.  Files are grouped by their header line and each layout is read at once; only header lines reach the driver.
+    """
+    want = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(list(paths))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    if skip:
+        lines = lines.where(~F.lower("path").rlike(skip))
+    heads = lines.groupBy("path").agg(F.first("value").alias("head"))
+    out = None
+    for row in heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect():  # a row a header layout
+        names = [_plain(c) for c in row["head"].lstrip("\ufeff").split(",")]
+        at = {n: i for i, n in enumerate(names)}
+        csv = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).option("header", True).csv(row["paths"])
+        cols = [(F.col(f"c{at[_plain(n)]}") if _plain(n) in at else F.lit(None)).cast(t).alias(n) for n, t in want]
+        df = csv.select(*cols, F.col("_metadata.file_path").alias("_path"))
+        out = df if out is None else out.unionByName(df)
+    return out if out is not None else spark.createDataFrame([], f"{schema}, _path string")
+
+
 def read_detections(spark: SparkSession, root: str, suffix: str = "_detections.csv") -> DataFrame:
     """Every ``*_detections.csv`` under ``root``: station is the first folder below it, recording the file's name.
 
     ``det_id`` is a hash of the row's keys, so it does not depend on the order of files.
     """
-    csv = spark.read.schema(DETECTION_CSV).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-    rows = csv.csv(root).select("*", F.col("_metadata.file_path").alias("_path"))
+    rows = read_layouts(spark, [root], f"*{suffix}", DETECTION_CSV)
     inside = F.regexp_replace("_path", rf"^.*?\Q{root.rstrip('/').removeprefix('file://')}\E/", "")
     rows = rows.withColumn("station", F.when(F.contains(inside, F.lit("/")), F.split(inside, "/")[0]).otherwise("")).withColumn("recording", F.regexp_replace(parse.base_name(F.col("_path")), rf"\Q{suffix}\E$", ""))
     rows = rows.withColumnRenamed("start_time", "start_s").withColumnRenamed("end_time", "end_s").drop("_path")
@@ -48,25 +73,12 @@ def unparsed(det: DataFrame) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, paths: str | Sequence[str], blank_is_confirmed: bool = True) -> DataFrame:
-    """Review CSVs as strings, whatever the case, spaces and asterisks of their headers; generated summaries are skipped.
-
-    Files are grouped by their header line and each layout is read at once.
-    """
-    listed = [paths] if isinstance(paths, str) else list(paths)
-    heads = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(listed).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    heads = heads.where((F.col("at") == 0) & ~F.lower("path").rlike(GENERATED)).groupBy("path").agg(F.first("value").alias("head"))
-    layouts = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()  # a row a header layout
-    out = []
-    for row in layouts:
-        names = [c.strip().strip('"') for c in row["head"].lstrip("﻿").split(",")]
-        plain = {n.replace("*", "").replace(" ", "").lower(): i for i, n in enumerate(names)}
-        if missing := {"indir", "infile", "manualid"} - set(plain):
-            raise ValueError(f"{row['paths'][0]} lacks the columns {', '.join(sorted(missing))}")
-        df = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).option("header", True).csv(row["paths"])
-        out.append(df.select(F.col(f"c{plain['indir']}").alias("indir"), F.col(f"c{plain['infile']}").alias("file"), F.col(f"c{plain['manualid']}").alias("manual_id")))
-    if not out:
-        raise ValueError("no review files found")
-    return review_rows(reduce(DataFrame.unionByName, out), blank_is_confirmed)
+    """Review CSVs as strings, whatever the case, spaces and asterisks of their headers; generated summaries are skipped."""
+    raw = read_layouts(spark, [paths] if isinstance(paths, str) else paths, "*.csv", REVIEW_CSV, GENERATED)
+    bad = raw.groupBy("_path").agg(*(F.count(c).alias(c) for c in ("indir", "infile"))).where("indir = 0 OR infile = 0").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['_path']} lacks folder or file names")
+    return review_rows(raw.withColumnRenamed("infile", "file").withColumnRenamed("manualid", "manual_id"), blank_is_confirmed)
 
 
 def review_rows(raw: DataFrame, blank_is_confirmed: bool = True) -> DataFrame:
@@ -81,7 +93,7 @@ def review_rows(raw: DataFrame, blank_is_confirmed: bool = True) -> DataFrame:
 
 def read_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     """The clean and suspicious tables of a cleanup run in one, tagged."""
-    one = lambda name: spark.read.schema(CLEANUP_CSV).option("header", True).option("enforceSchema", False).csv(f"{folder}/{name}_detections.csv").withColumn("cleanup", F.lit(name))
+    one = lambda name: read_layouts(spark, [folder], f"{name}_detections.csv", CLEANUP_CSV).drop("_path").withColumn("cleanup", F.lit(name))
     both = one("clean").unionByName(one("suspicious"), allowMissingColumns=True)
     return both.withColumn("recording", parse.recording_stem(F.col("source_file"))).withColumnRenamed("start_time", "start_s").drop("source_file")
 
