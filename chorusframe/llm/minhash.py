@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, mix, parts, runs_of, text_key, word_hashes
+from .common import Scratch, byte_column, in_slices, mix, parts, runs_of, text_key, word_hashes
 from .components import components
 
 ROWS, TABLES = 3, 12
@@ -53,7 +53,7 @@ def half_keys(s: np.ndarray, seeds: np.ndarray, tables: int) -> np.ndarray:
 
 def _signed(seq: Iterator[pa.RecordBatch], k: int, rows: int, tables: int) -> Iterator[pa.RecordBatch]:
     seeds = np.random.default_rng(20).integers(0, 2**63, 2 * tables * rows, dtype=np.uint64)
-    for batch in seq:
+    for batch in in_slices(seq):
         n, u, v = [], [], []
         for text in byte_column(batch.column(0)):
             s = shingles(text, k)
@@ -182,8 +182,8 @@ def near_duplicates(
     meet = seen.join(other, "bucket").where("block < other").select("block", "other").distinct()
     own = placed.select("block", F.col("block").alias("other")).distinct()
     pairs = tmp.write(own.union(meet))
-    texts = base.select("key", "text").join(placed, "key")
-    texts = tmp.write(texts.groupBy("key", "family", "block").agg(F.first("text").alias("text")))
+    # Copies are combined before the shuffle, which is the same whatever the size of ``placed``.
+    texts = tmp.write(base.groupBy("key").agg(F.first("text").alias("text")).join(placed, "key"))
     one = pairs.join(texts, "block").select("block", "other", F.lit(0).alias("side"), "family", "key", "text")
     two = pairs.where("block <> other").join(texts.withColumnRenamed("block", "other"), "other")
     two = two.select("block", "other", F.lit(1).alias("side"), "family", "key", "text")
