@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: One word: a run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +89,14 @@ def runs_of(h: np.ndarray, w: int, base: int) -> np.ndarray:
     return mix(out)
 
 
+def in_slices(batches, size: int = SLICE_BYTES):
+    """Arrow batches cut so that a slice has about ``size`` bytes, or one row: what a task makes of a slice stays small beside long texts."""
+    for batch in batches:
+        rows = max(1, int(size * batch.num_rows / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_column(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null becomes the empty text."""
     import pyarrow as pa

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_slices
 
 LENGTH, END = 2048, 1
 #: Sources the driver may hold (a row each); more is an error.
@@ -74,7 +74,7 @@ def _tokens(it: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.Re
     from pyspark import TaskContext
 
     task, t, used = TaskContext.get().partitionId(), tokenizer(path), {}
-    for batch in it:
+    for batch in in_slices(it):
         before, n, ids = [], [], []
         for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), strict=True):
             own = np.array([*t.encode(text or ""), end], np.uint16)
@@ -193,7 +193,7 @@ def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Sched
         a, b = plan.served(w), plan.served(w + 1)
         return w, a[j], b[j], sum(b[:j]) - sum(a[:j])
 
-    for batch in it:
+    for batch in in_slices(it, 1 << 20):
         rows, out = batch.to_pydict(), {k: [] for k in ("doc", "start", "length", "crc", "n", "seq", "offset", "ids")}
         for i, (source, place, n) in enumerate(zip(rows["source"], rows["place"], rows["n"], strict=True)):
             j, data = index[source], np.frombuffer(rows["ids"][i], "<u2").astype("<u4").tobytes()

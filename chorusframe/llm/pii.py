@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS, SHAPES = 5, 16
@@ -206,7 +206,7 @@ def fit(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
 
 def _spanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("pattern", pa.int32())]))
-    for batch in it:
+    for batch in in_slices(it):
         base, more = [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
@@ -267,7 +267,7 @@ def redact(docs: DataFrame, at_least: float = ACCEPT, text_col: str = "text") ->
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = masker(good)
-        for batch in it:
+        for batch in in_slices(it):
             text = pa.array([None if t is None else mask(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

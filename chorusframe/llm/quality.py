@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column
+from .common import Scratch, byte_column, in_slices
 
 POOLED, DIAGONAL, RIDGE = 0.1, 0.05, 1e-3
 FEATURES = (
@@ -100,7 +100,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_slices(it):
             x = [statistics(t) for t in byte_column(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -161,7 +161,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col:
     place = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_slices(it):
             x = np.array([statistics(t) for t in byte_column(batch.column(place))], float).reshape(-1, len(FEATURES))
             s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield batch.filter(pa.array(s >= at_least))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, runs_of, text_key, word_hashes
+from .common import Scratch, byte_column, in_slices, runs_of, text_key, word_hashes
 
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Bytes of text in a partition p and its share of an exchange group r.
@@ -37,7 +37,7 @@ def _combined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text of a task once, and how often it came again."""
     seen: dict[bytes, list[int]] = {}
     names = ["p", "key", "text", "n"]
-    for batch in it:
+    for batch in in_slices(it):
         keys, ps = batch.column("key").to_pylist(), batch.column("p").to_pylist()
         fresh = []
         for i, k in enumerate(keys):
