@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_column, in_slices
 
-POOLED, DIAGONAL, RIDGE = 0.1, 0.05, 1e-3
+POOLED, DIAGONAL, RIDGE = 0.5, 0.05, 1e-2
 FEATURES = (
     "log_words", "log_word_length", "letters", "upper", "digits", "symbols", "stops", "distinct", "commonest", "repeated_lines",
     "log_line_length", "symbol_ends", "short_words", "capital_words", "entropy", "repeated_pairs",
