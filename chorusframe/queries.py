@@ -369,9 +369,9 @@ def a12_cleanup_summary(res):
     return metrics.summarize_cleanup(res)
 
 
-@query(f"SELECT r.recording, d.species, count(d.det_id) AS detections, {m('avg(confidence)', 'mean_confidence')}, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM (SELECT DISTINCT recording FROM recs) r LEFT JOIN (SELECT * FROM det WHERE det_id % 2 = 0) d USING (recording) GROUP BY 1, 2", det=DET, recs=RECS)
+@query(f"SELECT r.recording, d.species, count(d.det_id) AS detections, {m('avg(confidence)', 'mean_confidence')}, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM (SELECT DISTINCT recording FROM recs) r LEFT JOIN (SELECT * FROM det WHERE verdict = 'call') d USING (recording) GROUP BY 1, 2", det=DET, recs=RECS)
 def a18_detection_summary(det, recs):
-    return metrics.detection_summary(recs, det.where("det_id % 2 = 0")).withColumn("mean_confidence", micro("mean_confidence"))
+    return metrics.detection_summary(recs, det.where("verdict = 'call'")).withColumn("mean_confidence", micro("mean_confidence"))
 
 
 @query(f"SELECT species, count(*) AS n, {m('avg(confidence)', 'mean')}, {m('median(confidence)', 'median')}, {m('stddev_samp(confidence)', 'std')}, max(confidence) - min(confidence) AS range FROM det GROUP BY species", det=DET)
@@ -508,24 +508,24 @@ def j1_match_review(det, det2):
 
 
 @query(
-    "WITH b AS (SELECT d.det_id, abs(d.start_s - r.start_s) AS gap_s, r.start_s AS near_start_s, r.verdict FROM det2 d JOIN det r ON r.recording = d.recording AND abs(d.start_s - r.start_s) <= 3 AND r.det_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY d.det_id ORDER BY gap_s, near_start_s, r.verdict) = 1) SELECT d.det_id, b.gap_s, b.near_start_s, b.verdict FROM det2 d LEFT JOIN b USING (det_id)",
+    "WITH b AS (SELECT d.det_id, abs(d.start_s - r.start_s) AS gap_s, r.start_s AS near_start_s, r.verdict FROM det2 d JOIN det r ON r.recording = d.recording AND abs(d.start_s - r.start_s) <= 3 QUALIFY row_number() OVER (PARTITION BY d.det_id ORDER BY gap_s, near_start_s, r.verdict) = 1) SELECT d.det_id, b.gap_s, b.near_start_s, b.verdict FROM det2 d LEFT JOIN b USING (det_id)",
     det=DET, det2=DET2,
 )
 def j3_match_nearest(det, det2):
-    return matching.match_nearest(det2, det.where("det_id % 4 = 0")).select("det_id", "gap_s", "near_start_s", "verdict")
+    return matching.match_nearest(det2, det).select("det_id", "gap_s", "near_start_s", "verdict")
 
 
 @query(
-    """WITH r AS (SELECT * FROM det WHERE det_id % 4 = 0), b AS (SELECT d.det_id, r.recording, r.start_s FROM det2 d LEFT JOIN r ON r.recording = d.recording AND abs(d.start_s - r.start_s) <= 3 QUALIFY row_number() OVER (PARTITION BY d.det_id ORDER BY abs(d.start_s - r.start_s), r.start_s) = 1), k AS (SELECT DISTINCT recording, start_s FROM b WHERE start_s IS NOT NULL), x AS (SELECT r.verdict, k.start_s IS NOT NULL AS hit FROM r LEFT JOIN k USING (recording, start_s))
+    """WITH r AS (SELECT * FROM det), b AS (SELECT d.det_id, r.recording, r.start_s FROM det2 d LEFT JOIN r ON r.recording = d.recording AND abs(d.start_s - r.start_s) <= 3 QUALIFY row_number() OVER (PARTITION BY d.det_id ORDER BY abs(d.start_s - r.start_s), r.start_s) = 1), k AS (SELECT DISTINCT recording, start_s FROM b WHERE start_s IS NOT NULL), x AS (SELECT r.verdict, k.start_s IS NOT NULL AS hit FROM r LEFT JOIN k USING (recording, start_s))
 SELECT count(*) FILTER (hit AND verdict = 'call') AS calls_kept, count(*) FILTER (hit AND verdict <> 'call') AS fps_kept, count(*) FILTER (NOT hit AND verdict = 'call') AS calls_lost, count(*) FILTER (NOT hit AND verdict <> 'call') AS fps_lost, (SELECT count(*) FROM b WHERE start_s IS NULL) AS new_ground FROM x""",
     det=DET, det2=DET2,
 )
 def j3_detection_changes(det, det2):
-    return matching.detection_changes(det2, det.where("det_id % 4 = 0"))
+    return matching.detection_changes(det2, det)
 
 
 def _calls(det: DataFrame) -> DataFrame:
-    return det.where("det_id % 10 = 0").withColumn("call_id", F.col("det_id")).withColumn("end_s", F.when(F.col("det_id") % 20 == 0, F.col("end_s")))
+    return det.where("verdict = 'call'").withColumn("call_id", F.col("det_id")).withColumn("end_s", F.when(F.col("det_id") % 2 == 0, F.col("end_s")))
 
 
 WILSON = "(({k} / {n} + 3.8416 / (2 * {n})) / (1 + 3.8416 / {n}))", "(1.96 * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + 3.8416 / (4 * {n} * {n})) / (1 + 3.8416 / {n}))"
@@ -534,7 +534,7 @@ _C, _H = (w.format(k=_K, n=_N) for w in WILSON)
 
 
 @query(
-    f"""WITH c AS (SELECT det_id, station, recording, species, start_s, start_s + 2 AS end_s FROM det WHERE det_id % 10 = 0), h AS (SELECT DISTINCT c.det_id FROM c JOIN det2 w ON w.recording = c.recording AND w.species = c.species AND least(c.end_s, w.end_s) - greatest(c.start_s, w.start_s) >= 0.5), x AS (SELECT c.station, h.det_id IS NOT NULL AS hit FROM c LEFT JOIN h USING (det_id))
+    f"""WITH c AS (SELECT det_id, station, recording, species, start_s, start_s + 2 AS end_s FROM det WHERE verdict = 'call'), h AS (SELECT DISTINCT c.det_id FROM c JOIN det2 w ON w.recording = c.recording AND w.species = c.species AND least(c.end_s, w.end_s) - greatest(c.start_s, w.start_s) >= 0.5), x AS (SELECT c.station, h.det_id IS NOT NULL AS hit FROM c LEFT JOIN h USING (det_id))
 SELECT coalesce(station, 'ALL') AS station, {_N} AS calls, {_K} AS detected, {_K} / {_N} AS recall, {m(f'greatest(0, {_C} - {_H})', 'low')}, {m(f'least(1, {_C} + {_H})', 'high')} FROM x GROUP BY ROLLUP (station)""",
     det=DET, det2=DET2,
 )
@@ -542,28 +542,28 @@ def j4_m3_recall(det, det2):
     return matching.recall(_calls(det), det2).withColumns({c: micro(c) for c in ("low", "high")})
 
 
-@query("SELECT det_id FROM det c WHERE det_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM det2 w WHERE w.recording = c.recording AND least(c.end_s, w.end_s) - greatest(c.start_s, w.start_s) > 0)", det=DET, det2=DET2)
+@query("SELECT det_id FROM det c WHERE verdict <> 'call' AND NOT EXISTS (SELECT 1 FROM det2 w WHERE w.verdict = 'call' AND w.recording = c.recording AND least(c.end_s, w.end_s) - greatest(c.start_s, w.start_s) > 0)", det=DET, det2=DET2)
 def j5_no_overlap(det, det2):
-    return matching.overlapping(det.where("det_id % 10 = 0").withColumn("call_id", F.col("det_id")), det2, 0.0, ("recording",), strict=True, anti=True).select("det_id")
+    return matching.overlapping(det.where("verdict <> 'call'").withColumn("call_id", F.col("det_id")), det2.where("verdict = 'call'"), 0.0, ("recording",), strict=True, anti=True).select("det_id")
 
 
-@query("SELECT det_id FROM det d WHERE det_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM det2 j WHERE j.recording = d.recording AND abs(j.start_s - d.start_s) < 4)", det=DET, det2=DET2)
+@query("SELECT det_id FROM det d WHERE NOT EXISTS (SELECT 1 FROM det2 j WHERE j.verdict = 'call' AND j.recording = d.recording AND abs(j.start_s - d.start_s) < 4)", det=DET, det2=DET2)
 def j6_guard_distance(det, det2):
-    return matching.away_from(det.where("det_id % 10 = 0").withColumn("draw_id", F.col("det_id")), det2).select("det_id")
+    return matching.away_from(det.withColumn("draw_id", F.col("det_id")), det2.where("verdict = 'call'")).select("det_id")
 
 
 @query(
     """WITH r AS (SELECT recording, CAST(round_even(start_s, 0) AS BIGINT) AS sec, CASE WHEN count(DISTINCT verdict) = 1 THEN min(verdict) END AS v FROM det2 GROUP BY 1, 2)
-SELECT det_id, CASE WHEN r.v = 'call' THEN species WHEN r.v = 'false_positive' THEN 'Background' ELSE 'auto' END AS label, r.v IS NOT NULL AS verified FROM det d LEFT JOIN r ON r.recording = d.recording AND r.sec = CAST(round_even(d.start_s, 0) AS BIGINT) WHERE det_id % 2 = 0""",
+SELECT det_id, CASE WHEN r.v = 'call' THEN species WHEN r.v = 'false_positive' THEN 'Background' ELSE 'auto' END AS label, r.v IS NOT NULL AS verified FROM det d LEFT JOIN r ON r.recording = d.recording AND r.sec = CAST(round_even(d.start_s, 0) AS BIGINT)""",
     det=DET, det2=DET2,
 )
 def j7_apply_review(det, det2):
-    return matching.apply_review(det.where("det_id % 2 = 0").drop("verdict").withColumn("label", F.lit("auto")), det2).select("det_id", "label", "verified")
+    return matching.apply_review(det.drop("verdict").withColumn("label", F.lit("auto")), det2).select("det_id", "label", "verified")
 
 
-@query("SELECT det_id FROM det d WHERE det_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM det2 r WHERE r.recording = d.recording AND round_even(r.start_s, 0) = round_even(d.start_s, 0))", det=DET, det2=DET2)
+@query("SELECT det_id FROM det d WHERE NOT EXISTS (SELECT 1 FROM det2 r WHERE r.recording = d.recording AND round_even(r.start_s, 0) = round_even(d.start_s, 0))", det=DET, det2=DET2)
 def j8_unreviewed(det, det2):
-    return matching.unreviewed(det.where("det_id % 2 = 0"), det2).select("det_id")
+    return matching.unreviewed(det, det2).select("det_id")
 
 
 @query(det=DET)
@@ -602,9 +602,9 @@ def j18_compare_arms(det, det2):
     return matching.compare_arms(p(det), p(det2), "station", ("p",)).withColumns({c: micro(c) for c in ("p_a", "p_b", "p_delta")})
 
 
-@query("SELECT recording FROM det WHERE det_id % 2 = 0 INTERSECT SELECT recording FROM det WHERE det_id % 97 = 1", det=DET)
+@query("SELECT recording FROM det WHERE verdict = 'call' INTERSECT SELECT recording FROM det WHERE verdict <> 'call'", det=DET)
 def j19_u6_shared_groups(det):
-    return matching.shared_groups(det.where("det_id % 2 = 0"), det.where("det_id % 97 = 1"), "recording")
+    return matching.shared_groups(det.where("verdict = 'call'"), det.where("verdict <> 'call'"), "recording")
 
 
 @query("SELECT *, 'left' AS side FROM (SELECT recording, species FROM det EXCEPT ALL SELECT recording, species FROM det2) UNION ALL SELECT *, 'right' FROM (SELECT recording, species FROM det2 EXCEPT ALL SELECT recording, species FROM det)", det=DET, det2=DET2)
@@ -931,7 +931,7 @@ def l22_slot_width_sweep(det, places):
 
 @query(sig=SIG)
 def l23_probe_loso(sig):
-    rows = sig.where("station IN ('ST00', 'ST01', 'ST02') AND mahalanobis_d2 IS NOT NULL").withColumn("positive", F.col("verdict") == "call")
+    rows = sig.where("mahalanobis_d2 IS NOT NULL").withColumn("positive", F.col("verdict") == "call")
     return search.probe_loso(rows, ["confidence", "mahalanobis_d2"])
 
 

@@ -100,24 +100,24 @@ def s13_listening_sheet(r):
     return sampling.listening_sheet(r.select(F.concat_ws("/", "indir", "file").alias("path")))
 
 
-@query("SELECT path, extract(hour FROM h) AS hour FROM man LEFT JOIN (SELECT CAST(det_id AS VARCHAR) AS id, detected_at AS h FROM det WHERE det_id < 500) d ON concat(d.id, '.wav') = regexp_extract(path, '([^/]*)$', 1)", man=MAN, det=DET)
+@query("SELECT path, extract(hour FROM h) AS hour FROM man LEFT JOIN (SELECT CAST(det_id AS VARCHAR) AS id, detected_at AS h FROM det) d ON concat(d.id, '.wav') = regexp_extract(path, '([^/]*)$', 1)", man=MAN, det=DET)
 def j9_detection_hours(man, det):
-    return matching.detection_hours(man, det.where("det_id < 500").withColumn("file", F.concat(F.col("det_id").cast("string"), F.lit(".wav")))).select("path", F.col("hour").cast("bigint").alias("hour"))
+    return matching.detection_hours(man, det.withColumn("file", F.concat(F.col("det_id").cast("string"), F.lit(".wav")))).select("path", F.col("hour").cast("bigint").alias("hour"))
 
 
 def _clips(man: DataFrame) -> DataFrame:
-    return man.where("doc_id % 3 <> 0").select("path", "station")
+    return man.select("path", "station")
 
 
-@query("SELECT path, man.station AS station, CASE WHEN verdict = 'call' THEN 'target' ELSE 'Background' END AS label FROM man JOIN det ON det_id = doc_id WHERE doc_id % 3 <> 0", man=MAN, det=DET)
+@query("SELECT path, man.station AS station, CASE WHEN verdict = 'call' THEN 'target' ELSE 'Background' END AS label FROM man JOIN det ON det_id = doc_id ", man=MAN, det=DET)
 def j10_reviewed_clips(man, det):
     review = det.withColumn("file", F.concat(F.col("det_id").cast("string"), F.lit(".wav")))
     return manifest.reviewed_clips(review, _clips(man), "target").select("path", "station", "label")
 
 
-@query("SELECT path FROM man WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0", man=MAN)
+@query("SELECT path FROM man WHERE NOT coalesce(verified, false)", man=MAN)
 def j11_s15_resume(man):
-    return sinks.resume(_clips(man), man.where("doc_id % 5 = 0"), ["path"]).select("path")
+    return sinks.resume(_clips(man), man.where("verified"), ["path"]).select("path")
 
 
 @query("SELECT path FROM man WHERE verified AND doc_id % 4 <> 0", man=MAN)
@@ -129,13 +129,14 @@ def f19_verified_rows(man):
 @query(vec=VEC_SPARK)
 def j13_nearest_reference(vec):
     rows = vec.select("vec_id", "label", *(F.get("v", F.lit(i)).alias(f"f{i}") for i in range(3)))
-    near = neighbours.nearest_reference(rows.drop("label"), rows.where("vec_id < 20").drop("vec_id"), ("f0", "f1", "f2"), "label", "vec_id")
+    curated = ranking.keep_first(rows, ["label"], [F.col("vec_id")])  # one example of each label
+    near = neighbours.nearest_reference(rows.drop("label"), curated.select("label", "f0", "f1", "f2"), ("f0", "f1", "f2"), "label", "vec_id")
     return near.select("vec_id", "label", "n", micro("nearest").alias("nearest"), micro("median").alias("median"))
 
 
 _Z = "sqrt(" + " + ".join(f"pow((a.v[{i}] - avg{i}) / sd{i} - (b.v[{i}] - avg{i}) / sd{i}, 2)" for i in (1, 2, 3)) + ")"
 SQL["j13_nearest_reference"] = (
-    f"WITH vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT {', '.join(f'avg(v[{i}]) AS avg{i}, stddev_pop(v[{i}]) AS sd{i}' for i in (1, 2, 3))} FROM vec WHERE vec_id < 20), d AS (SELECT a.vec_id, b.label, {_Z} AS d FROM vec a, vec b, s WHERE b.vec_id < 20) SELECT vec_id, label, count(*) AS n, {m('min(d)', 'nearest')}, {m('median(d)', 'median')} FROM d GROUP BY 1, 2"
+    f"WITH vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ref AS (SELECT * FROM vec QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1), s AS (SELECT {', '.join(f'avg(v[{i}]) AS avg{i}, stddev_pop(v[{i}]) AS sd{i}' for i in (1, 2, 3))} FROM ref), d AS (SELECT a.vec_id, b.label, {_Z} AS d FROM vec a, ref b, s) SELECT vec_id, label, count(*) AS n, {m('min(d)', 'nearest')}, {m('median(d)', 'median')} FROM d GROUP BY 1, 2"
 )
 
 
@@ -159,9 +160,9 @@ def r2_annotation_template(recs):
 
 @query(man=MAN, det=DET2)
 def x7_build_manifest(man, det):
-    parts = man.where("doc_id % 2 = 0").select("path", "label", "station", "source", F.coalesce("verified", F.lit(False)).alias("verified"), F.col("label").alias("species"), F.lit("r").alias("recording"), F.col("doc_id").cast("double").alias("start_s"), "content_hash")
-    more = man.where("doc_id % 3 = 0").select("path", "label", "station", F.lit("dump").alias("source"), F.lit(False).alias("verified"), F.col("label").alias("species"), F.lit("r").alias("recording"), F.col("doc_id").cast("double").alias("start_s"), "content_hash")
-    review = det.select(F.lit("r").alias("recording"), F.col("det_id").cast("double").alias("start_s"), "verdict").where("start_s < 300")
+    parts = man.select("path", "label", "station", "source", F.coalesce("verified", F.lit(False)).alias("verified"), F.col("label").alias("species"), F.lit("r").alias("recording"), F.col("doc_id").cast("double").alias("start_s"), "content_hash")
+    more = man.select("path", "label", "station", F.lit("dump").alias("source"), F.lit(False).alias("verified"), F.col("label").alias("species"), F.lit("r").alias("recording"), F.col("doc_id").cast("double").alias("start_s"), "content_hash")
+    review = det.select(F.lit("r").alias("recording"), F.col("det_id").cast("double").alias("start_s"), "verdict")
     return manifest.build_manifest([parts, more], review, man.select("path", "target_score"), 300, machine=["dump"]).groupBy("label").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"))
 
 
@@ -190,8 +191,7 @@ def x9_evaluate_cleanup(sig):
 
 @query(sig=SIG)
 def l18_holdout_selection(sig):
-    few = sig.where("station IN ('ST00', 'ST01', 'ST02', 'ST03')")
-    chosen = search.holdout_selection(few, {"confidence": True}, {"n_neighbours": True, "mahalanobis_d2": False}, 1)
+    chosen = search.holdout_selection(sig, {"confidence": True}, {"n_neighbours": True, "mahalanobis_d2": False}, 1)
     return sig.sparkSession.createDataFrame([(k, ",".join(v)) for k, v in chosen.items()], "fold string, chosen string")
 
 
