@@ -152,7 +152,10 @@ def q4_check_lock(man):
     return quality.check_lock(man.repartition(3), locks, "man").select("name", "ok")
 
 
-@query("SELECT station, CAST(count(DISTINCT recording) * 0 + 5 AS BIGINT) AS windows FROM recs GROUP BY station", recs=RECS)
+@query(
+    "WITH l AS (SELECT station, CAST(sum(floor(duration_s / 60)) AS BIGINT) AS n FROM recs WHERE duration_s >= 60 GROUP BY station), q AS (SELECT *, row_number() OVER (ORDER BY station) AS i, count(*) OVER () AS k FROM l) SELECT station, least(n, CAST(floor(80 / k) AS BIGINT) + CASE WHEN i <= 80 % k THEN 1 ELSE 0 END) AS windows FROM q",
+    recs=RECS,
+)
 def r2_annotation_template(recs):
     plan = sampling.plan_segments(recs, 80, 60.0)
     return sampling.annotation_template(plan).groupBy("station").agg(F.count("*").alias("windows"))
