@@ -11,6 +11,7 @@ blocks, so no task gets all of one; equal vectors are one row with a count.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import Scratch
 from .components import components
 from .rotation_codes import encode, estimates, matrix, packed, rotation, unit, valid
 
-BLOCK, MISS, FILTER_BITS = 1024, 1e-5, 256
+BLOCK, MISS, FILTER_BITS, TASK_ROWS = 1024, 1e-5, 256, 8192
 
 
 def table_shape(n: int, threshold: float) -> tuple[int, int]:
@@ -39,15 +40,31 @@ def sign_bits(m: np.ndarray, bits: int, seed: int) -> np.ndarray:
     return np.concatenate([(o @ rotation(dim, seed + 1 + r).T) > 0 for r in range(ceil(bits / dim))], axis=1)[:, :bits]
 
 
-def block_pairs(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Each row once for every pair of blocks of its group that it takes part in: adds ``x <= y`` (block numbers) and ``side``.
+def block_pairs(rows: DataFrame, group: str, block: int, tmp: Scratch) -> DataFrame:
+    """Each row once for every pair of blocks of its group that it takes part in: adds ``x <= y`` (block numbers), ``side`` and ``task``.
 
-    A group of up to ``block`` rows is one block, met with itself.
+    A group of up to ``block`` rows is one block, met with itself; many such groups share a task of about
+    TASK_ROWS rows, and each block pair of a larger group has a task of its own.
     """
-    size = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    out = rows.join(size.where("_n > 1"), group).withColumn("_k", F.ceil(F.col("_n") / block))
+    size = tmp.write(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"))  # a table of its own, so that a join with a hot group can be split
+    small = size.agg(F.sum(F.when(F.col("_n") <= block, F.col("_n")))).first()[0] or 0
+    out = rows.join(size, group).withColumn("_k", F.ceil(F.col("_n") / block))
     out = out.withColumn("_i", F.pmod(F.xxhash64("key"), F.col("_k"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-    return out.select(*rows.columns, F.least("_i", "_j").alias("x"), F.greatest("_i", "_j").alias("y"), (F.col("_i") > F.col("_j")).cast("int").alias("side"))
+    x, y = F.least("_i", "_j"), F.greatest("_i", "_j")
+    shared = F.pmod(F.xxhash64(group), F.lit(ceil(small / TASK_ROWS) + 1))
+    task = F.when(F.col("_k") == 1, F.xxhash64(F.lit("small"), shared)).otherwise(F.xxhash64(group, x, y))
+    return out.select(*rows.columns, x.alias("x"), y.alias("y"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), task.alias("task"))
+
+
+def _meetings(t: pa.Table, group: str) -> Iterator[pa.Table]:
+    """The block pairs of a task, one by one."""
+    t = t.sort_by([(group, "ascending"), ("x", "ascending"), ("y", "ascending")])
+    names, x, y = t[group].to_pylist(), t["x"].to_pylist(), t["y"].to_pylist()
+    at = 0
+    for i in range(1, len(names) + 1):
+        if i == len(names) or (names[i], x[i], y[i]) != (names[at], x[at], y[at]):
+            yield t.slice(at, i - at)
+            at = i
 
 
 def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -72,44 +89,48 @@ _EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _nominated(t: pa.Table, most: int) -> pa.Table:
-    """Within a bucket's block pair: a forest of the pairs whose filter bits differ in at most ``most`` places."""
-    keys, side = t["key"].to_pylist(), t["side"].to_numpy()
-    code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(keys), -1)
-    pm = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
-    x, y = t["x"][0].as_py(), t["y"][0].as_py()
-    differ = (pm.shape[1] - pm @ pm.T) / 2
-    close = np.triu(differ <= most, 1) & ((side[:, None] != side[None, :]) if x != y else True)
-    pairs = [(keys[a], keys[b]) for a, b in _forest(np.argwhere(close), len(keys))]
-    return pa.table([[p[0] for p in pairs], [p[1] for p in pairs]], schema=_EDGE)
+    """Within each bucket's block pair: a forest of the pairs whose filter bits differ in at most ``most`` places."""
+    a, b = [], []
+    for part in _meetings(t, "bucket"):
+        keys, side = part["key"].to_pylist(), part["side"].to_numpy()
+        code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(keys), -1)
+        pm = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
+        differ = (pm.shape[1] - pm @ pm.T) / 2
+        close = np.triu(differ <= most, 1)
+        if part["x"][0].as_py() != part["y"][0].as_py():
+            close &= side[:, None] != side[None, :]
+        for i, j in _forest(np.argwhere(close), len(keys)) if close.any() else ():
+            a.append(keys[i])
+            b.append(keys[j])
+    return pa.table([a, b], schema=_EDGE)
 
 
 def _linked(t: pa.Table, threshold: float, seed: int) -> pa.Table:
-    """Within a family's block pair: each class's links (counting members) and a forest of them, both as rows."""
-    keys, side, weight, dim = t["key"].to_pylist(), t["side"].to_numpy(), t["n"].to_numpy(), t["dim"][0].as_py()
-    m = matrix(t["vec"], dim)
-    bits, factor = encode(m, seed)
-    est, bound = estimates(bits, factor, m, seed)
-    apart = est + bound[None, :] < threshold
-    maybe = np.triu(~(apart & apart.T), 1)
-    if t["x"][0].as_py() != t["y"][0].as_py():
-        maybe &= side[:, None] != side[None, :]
-    a, b = np.nonzero(maybe)
-    norm = np.sqrt((m * m).sum(axis=1))
-    cos = np.empty(len(a))
-    for at in range(0, len(a), 65536):
-        i, j = a[at : at + 65536], b[at : at + 65536]
-        cos[at : at + 65536] = (m[i] * m[j]).sum(axis=1) / (norm[i] * norm[j])
-    a, b = a[cos >= threshold], b[cos >= threshold]
-    links = np.bincount(a, weight[b], len(keys)) + np.bincount(b, weight[a], len(keys))
-    forest = _forest(np.stack([a, b], axis=1), len(keys))
-    some = np.flatnonzero(links)
-    return pa.table(
-        {
-            "key": pa.array([keys[i] for i in some] + [keys[i] for i, _ in forest], pa.binary()),
-            "other": pa.array([None] * len(some) + [keys[j] for _, j in forest], pa.binary()),
-            "links": pa.array([int(links[i]) for i in some] + [0] * len(forest), pa.int64()),
-        }
-    )
+    """Within each family's block pair: each class's links (counting members) and a forest of them, both as rows."""
+    key, other, count = [], [], []
+    for part in _meetings(t, "family"):
+        keys, side, weight, dim = part["key"].to_pylist(), part["side"].to_numpy(), part["n"].to_numpy(), part["dim"][0].as_py()
+        m = matrix(part["vec"], dim)
+        bits, factor = encode(m, seed)
+        est, bound = estimates(bits, factor, m, seed)
+        apart = est + bound[None, :] < threshold
+        maybe = np.triu(~(apart & apart.T), 1)
+        if part["x"][0].as_py() != part["y"][0].as_py():
+            maybe &= side[:, None] != side[None, :]
+        a, b = np.nonzero(maybe)
+        norm = np.sqrt((m * m).sum(axis=1))
+        cos = np.empty(len(a))
+        for at in range(0, len(a), 65536):
+            i, j = a[at : at + 65536], b[at : at + 65536]
+            cos[at : at + 65536] = (m[i] * m[j]).sum(axis=1) / (norm[i] * norm[j])
+        a, b = a[cos >= threshold], b[cos >= threshold]
+        links = np.bincount(a, weight[b], len(keys)) + np.bincount(b, weight[a], len(keys))
+        forest = _forest(np.stack([a, b], axis=1), len(keys))
+        some = np.flatnonzero(links)
+        key += [keys[i] for i in some] + [keys[i] for i, _ in forest]
+        other += [None] * len(some) + [keys[j] for _, j in forest]
+        count += [int(links[i]) for i in some] + [0] * len(forest)
+    return pa.table({"key": pa.array(key, pa.binary()), "other": pa.array(other, pa.binary()), "links": pa.array(count, pa.int64())})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -149,15 +170,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 5,
 
     hashed = classes.select("key", "dim", "vec").mapInArrow(tabled, "key binary, code binary, bucket array<bigint>")
     hashed = tmp.write(hashed.select("key", "code", F.explode("bucket").alias("bucket")))
-    nominated = block_pairs(hashed, "bucket", BLOCK).groupBy("bucket", "x", "y").applyInArrow(lambda t: _nominated(t, most), "a binary, b binary")
+    nominated = block_pairs(hashed, "bucket", BLOCK, tmp).groupBy("task").applyInArrow(lambda t: _nominated(t, most), "a binary, b binary")
     family = components(spark, nominated, tmp)
     members = family.join(classes, family["node"] == classes["key"]).select(F.col("root").alias("family"), "key", "dim", "vec", "n")
-    met = block_pairs(tmp.write(members), "family", BLOCK).groupBy("family", "x", "y")
+    met = block_pairs(tmp.write(members), "family", BLOCK, tmp).groupBy("task")
     met = tmp.write(met.applyInArrow(lambda t: _linked(t, threshold, seed), "key binary, other binary, links bigint"))
     links = met.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     found = components(spark, met.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), tmp)
     whole = classes.select("key", "n", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = tmp.write(whole)
+    least = tmp.write(whole.groupBy("root").agg(F.min("least").alias("component_id")))
     answer = whole.join(least, "root").join(links, "key", "left").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = rows.select("vec_id", "key").join(answer, "key").select("vec_id", "n_links", "component_id")
     alone = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("_v")).where(~valid(F.col("_v")))
