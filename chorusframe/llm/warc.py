@@ -72,7 +72,7 @@ def write_warc(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
 
 
 _NAME = re.compile(rb"^([A-Za-z-]+): ?(.*?)\r?$", re.M)
-_DIGITS = re.compile(rb"\d+")
+_DIGITS = re.compile(rb"-?\d+")
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
