@@ -165,7 +165,7 @@ def near_duplicates(
     # Families: classes that buckets connect.  Small ones share a bin; large ones are cut into blocks.
     first = tabled.groupBy("bucket").agg(F.min("key").alias("a"))
     family = components(spark, tabled.join(first, "bucket").select("a", F.col("key").alias("b")), tmp)
-    size = family.groupBy("root").agg(F.count("*").alias("n"))
+    size = tmp.write(family.groupBy("root").agg(F.count("*").alias("n")))  # a table of its own, so that a join with a hot root can be split
     bins = F.lit(max(parts(spark), 8) * 4)
     placed = family.join(size, "root").select(
         F.col("node").alias("key"),
@@ -192,8 +192,9 @@ def near_duplicates(
 
     linked = narrow.groupBy("key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
     linked = linked.withColumn("root", F.coalesce("root", "key"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = linked.join(least, "root").select("key", "component_id")
+    linked = tmp.write(linked)
+    least = tmp.write(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    answer = tmp.write(linked.join(least, "root").select("key", "component_id"))
     empty = F.col("n_shingles") == 0
     out = narrow.join(answer, "key").select(
         "doc_id",
