@@ -196,14 +196,28 @@ def gate_effect(det: DataFrame, lo: float, hi: float) -> DataFrame:
     return det.groupBy("station").agg(before.alias("before"), *outcome(gone))
 
 
-def neighbour_loso(det: DataFrame, min_recall: float = 0.9, most: int = 40) -> DataFrame:
-    """Each fold's least number of neighbours, the lowest of best precision on the other stations with enough recall; a pooled and a macro row."""
-    h = histogram(det.withColumn("_n", F.least(F.col("n_neighbours"), F.lit(most))), "_n")
-    cuts = det.sparkSession.createDataFrame([(float(c),) for c in range(most + 1)], "cut double")
-    t = tally(_folds(h).join(F.broadcast(cuts)), F.coalesce(F.col("value") < F.col("cut"), F.lit(True)), ["fold", "own", "cut"])
-    own = t.where("own").join(_choose(t.where("NOT own"), min_recall, "cut"), ["fold", "cut"])
-    pooled = _with_pooled(own, "cut")
-    macro = own.agg(F.avg("precision").alias("precision")).select(F.lit("MACRO").alias("fold"), "precision")
+def neighbour_loso(det: DataFrame, min_recall: float = 0.9) -> DataFrame:
+    """Each fold's least number of neighbours, the lowest of best precision on the other stations with enough recall; a pooled and a macro row.
+
+    Outcomes change only just above an observed number, so those cuts and 0 stand for every whole number up to the maximum.
+    """
+    h = histogram(det, "n_neighbours").where("station IS NOT NULL")
+    at = F.coalesce("value", F.lit(-2.0)).alias("at")  # rows without a number go at every cut; cut 0 comes from -1
+    per = h.select("station", at, "calls", "fps")
+    none = det.sparkSession.createDataFrame([(-1.0, 0, 0)], "at double, calls bigint, fps bigint")
+    every = per.groupBy("at").agg(F.sum("calls").alias("calls"), F.sum("fps").alias("fps")).unionByName(none)
+    folds = h.select(F.col("station").alias("fold")).distinct()
+    own = per.select(F.col("station").alias("fold"), "at", F.col("calls").alias("_c"), F.col("fps").alias("_f"))
+    train = every.crossJoin(F.broadcast(folds)).join(own, ["fold", "at"], "left")  # a row a station
+    train = train.select("fold", "at", *((F.col(c) - F.coalesce(o, F.lit(0))).alias(c) for c, o in (("calls", "_c"), ("fps", "_f"))))
+    whole = Window.partitionBy("fold")
+    upto = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = train.select("fold", (F.col("at") + 1).alias("cut"), F.sum("calls").over(upto).alias("calls_lost"), F.sum("calls").over(whole).alias("_calls"), (F.sum(F.col("calls") + F.col("fps")).over(whole) - F.sum(F.col("calls") + F.col("fps")).over(upto)).alias("left"))
+    t = t.where("cut >= 0").withColumn("calls_kept", F.col("_calls") - F.col("calls_lost")).withColumn("precision", F.try_divide("calls_kept", "left"))
+    test = h.withColumnRenamed("station", "fold").join(_choose(t, min_recall, "cut"), "fold")
+    test = tally(test, F.coalesce(F.col("value") < F.col("cut"), F.lit(True)), ["fold", "cut"])
+    pooled = _with_pooled(test, "cut")
+    macro = test.agg(F.avg("precision").alias("precision")).select(F.lit("MACRO").alias("fold"), "precision")
     return pooled.unionByName(macro, allowMissingColumns=True)
 
 

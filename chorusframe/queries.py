@@ -865,7 +865,7 @@ def l10_time_gate_grid(det):
 
 @query(sig=SIG)
 def l11_neighbour_loso(sig):
-    return search.neighbour_loso(sig, most=10).withColumn("precision", micro("precision"))
+    return search.neighbour_loso(sig).withColumn("precision", micro("precision"))
 
 
 SQL["l11_neighbour_loso"] = (

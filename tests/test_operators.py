@@ -219,3 +219,23 @@ def test_names_keep_coordinates(spark):
     groups = ["x__pulse07.wav", "x__chunk0126.wav", "x__bout04_3p.wav", "0.554_2_x_807.0s_810.0s.wav", "x__t003.0s.wav", "x__01540s__conf0.980.wav", "x.wav"]
     got = spark.createDataFrame([(g,) for g in groups], "p string").select(parse.source_group(F.col("p")).alias("g")).distinct().collect()
     assert [r["g"] for r in got] == ["x"]
+
+
+def test_neighbour_cuts_have_no_cap(spark):
+    rng = np.random.default_rng(5)
+    n = rng.choice([0, 3, 60, 90, 200], 300) + rng.integers(0, 2, 300)
+    call = (n >= 90) | (rng.random(300) < 0.1)
+    station = [f"s{i % 3}" for i in range(300)]
+    rows = [(station[i], int(n[i]), "call" if call[i] else "false_positive") for i in range(300)] + [("s0", None, "call")]
+    got = search.neighbour_loso(spark.createDataFrame(rows, "station string, n_neighbours bigint, verdict string"), 0.6).collect()
+    for fold in ("s0", "s1", "s2"):
+        train = [r for r in rows if r[0] != fold]
+        calls = sum(r[2] == "call" for r in train)
+        best = (-1.0, 0)
+        for cut in range(max(r[1] or 0 for r in train) + 1):
+            left = [r[2] == "call" for r in train if r[1] is not None and r[1] >= cut]
+            if sum(left) >= 0.6 * calls and sum(left) / len(left) > best[0]:
+                best = (sum(left) / len(left), cut)
+        own = [r[2] == "call" for r in rows if r[0] == fold and r[1] is not None and r[1] >= best[1]]
+        row = next(r for r in got if r["fold"] == fold)
+        assert (row["cut"], row["calls_kept"], row["left"]) == (best[1], sum(own), len(own)) and best[1] > 40
