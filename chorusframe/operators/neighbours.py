@@ -7,12 +7,13 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS
 
 RADIUS_S, MIN_NEIGHBOURS, BLOCK = 30.0, 2, 1024
+CELLS = 1 << 21  # distances that are worked on at once
 
 
 def count_neighbours(radius_s: float = RADIUS_S) -> Callable[[DataFrame], DataFrame]:
@@ -61,21 +62,62 @@ def knn_distance(df: DataFrame, k: int = 5, group: tuple[str, ...] = ("station",
     return df.join(kth, id_col, "left")
 
 
-def nearest_reference(targets: DataFrame, reference: DataFrame, features: tuple[str, ...], label: str, id_col: str) -> DataFrame:
+def _to_label(t: pa.Table) -> pa.Table:
+    """In a block pair of one label: each target's least distance, the count, and all distances (the middle ones where no other block has any)."""
+    side = t["_side"].to_numpy()
+    ids = t["_id"].filter(pa.array(side == 0)).combine_chunks()
+    m = t["_z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(side), -1)
+    left, right = m[side == 0], m[side == 1]
+    n, right = len(right), right[~np.isnan(right).any(1)]  # a null feature leaves no distance, but the row counts
+    alone = t["_k"][0].as_py() == 1
+    near: list[float | None] = []
+    kept: list[np.ndarray] = []
+    step = max(1, CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        scale = (some**2).sum(1)[:, None] + (right**2).sum(1)[None, :]
+        d = scale - 2 * some @ right.T
+        i, j = np.nonzero(d < 1e-6 * scale)  # too close for that formula
+        for k in range(0, len(i), BLOCK):
+            d[i[k : k + BLOCK], j[k : k + BLOCK]] = ((some[i[k : k + BLOCK]] - right[j[k : k + BLOCK]]) ** 2).sum(1)
+        d = np.sqrt(d)
+        d.sort(axis=1)
+        for row in d:
+            known = len(row) and not np.isnan(row[0])
+            near.append(row[0] if known else None)
+            kept.append((row[[(len(row) - 1) // 2, len(row) // 2]] if alone else row) if known else row[:0])
+    label = pa.array([t["_l"][0].as_py()] * len(ids), t.schema.field("_l").type)
+    return pa.table({"_id": ids, "_l": label, "_near": pa.array(near, pa.float64()), "_n": pa.array([n] * len(ids), pa.int64()), "_d": pa.array(kept, pa.list_(pa.float64()))})
+
+
+def nearest_reference(targets: DataFrame, reference: DataFrame, features: tuple[str, ...], label: str, id_col: str, block: int = BLOCK, reference_block: int = 8 * BLOCK) -> DataFrame:
     """For each target and label: smallest and median distance and count, features z-scored by the reference.
 
-    ``reference`` is a curated set that is compared with every target.
+    Targets meet each label's reference in pairs of blocks. Two middle distances a target leave a label of one block; of
+    larger labels all distances do, 8 bytes a pair, because the median is exact. All columns of ``reference`` deal its
+    rows to blocks, so copies are best told apart by an id.
     """
-    stats = reference.agg(*(f(F.col(c)).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    stats = reference.agg(*(f(F.col(c)).alias(f"m_{c}" if f is F.avg else f"s_{c}") for c in features for f in (F.avg, F.stddev_pop)))
+    blocks = targets.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("_m"))
 
-    def scaled(df: DataFrame, *keep: str) -> DataFrame:
+    def scaled(df: DataFrame, *keep: Column) -> DataFrame:
         z = F.array(*((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0) for c in features))
-        return df.crossJoin(F.broadcast(stats)).select(*keep, z.alias("_z"))  # stats is one row
-
-    a, b = scaled(targets, id_col), scaled(reference, label).withColumnRenamed("_z", "_r")
-    gap = F.sqrt(F.aggregate(F.zip_with("_z", "_r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    out = a.join(b).withColumn("_d", gap).groupBy(id_col, label)
-    return out.agg(F.min("_d").alias("nearest"), F.median("_d").alias("median"), F.count("*").alias("n"))
+        return df.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(blocks)).select(*keep, "_m", z.alias("_z"))  # one row each
+
+    id_type, label_type = dict(targets.dtypes)[id_col], dict(reference.dtypes)[label]
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    a = scaled(targets, F.col(id_col).alias("_id"))
+    b = scaled(reference, F.col(label).alias("_l"), F.xxhash64(*reference.columns).alias("_h"))
+    size = reference.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count("*") / reference_block).alias("_k"))
+    one = a.crossJoin(F.broadcast(size)).withColumn("_i", F.pmod(F.xxhash64("_id"), "_m")).withColumn("_j", upto(F.col("_k")))  # a row a label
+    two = b.join(F.broadcast(size), F.col("_l").eqNullSafe(F.col("_label"))).withColumn("_j", F.pmod("_h", "_k")).withColumn("_i", upto(F.col("_m")))
+    one = one.select(F.col("_label").alias("_l"), "_k", "_i", "_j", F.lit(0).alias("_side"), "_id", "_z")
+    two = two.select("_l", "_k", "_i", "_j", F.lit(1).alias("_side"), F.lit(None).cast(id_type).alias("_id"), "_z")
+    found = one.unionByName(two).groupBy("_l", "_i", "_j").applyInArrow(_to_label, f"_id {id_type}, _l {label_type}, _near double, _n bigint, _d array<double>")
+    out = found.groupBy(F.col("_id").alias(id_col), F.col("_l").alias(label)).agg(F.min("_near").alias("nearest"), F.array_sort(F.flatten(F.collect_list("_d"))).alias("_d"), F.sum("_n").alias("n"))
+    at = lambda i: F.get("_d", F.floor(i).cast("int"))
+    median = (at((F.size("_d") - 1) / 2) + at(F.size("_d") / 2)) / 2
+    return out.select(id_col, label, "nearest", median.alias("median"), "n")
 
 
 def blocks_of(n: int, block: int = BLOCK) -> int:

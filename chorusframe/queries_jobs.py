@@ -140,6 +140,21 @@ SQL["j13_nearest_reference"] = (
 )
 
 
+@query(vec=VEC_SPARK)
+def j13_nearest_reference_all(vec):
+    """Every component, and every labelled vector as reference."""
+    names = tuple(f"f{i}" for i in range(64))
+    rows = vec.select("vec_id", "label", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(names)))
+    near = neighbours.nearest_reference(rows.drop("label"), rows.where("label IS NOT NULL"), names, "label", "vec_id")
+    return near.select("vec_id", "label", "n", micro("nearest").alias("nearest"), micro("median").alias("median"))
+
+
+_ALL = range(1, 65)
+SQL["j13_nearest_reference_all"] = (
+    f"WITH vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT {', '.join(f'avg(v[{i}]) AS avg{i}, stddev_pop(v[{i}]) AS sd{i}' for i in _ALL)} FROM vec WHERE label IS NOT NULL), z AS (SELECT vec_id, label, [{', '.join(f'(v[{i}] - avg{i}) / CASE WHEN sd{i} > 0 THEN sd{i} ELSE 1 END' for i in _ALL)}] AS z FROM vec, s), d AS (SELECT a.vec_id, b.label, list_distance(a.z, b.z) AS d FROM z a, z b WHERE b.label IS NOT NULL) SELECT vec_id, label, count(*) AS n, {m('min(d)', 'nearest')}, {m('median(d)', 'median')} FROM d GROUP BY 1, 2"
+)
+
+
 @query(f"WITH t AS (SELECT *, time_bucket(INTERVAL 15 MINUTES, detected_at, TIMESTAMP '1970-01-01') AS slot FROM det), u AS (SELECT DISTINCT slot, species, station, lat, lon FROM t JOIN places USING (station)), p AS (SELECT a.slot, a.species, max({KM}) AS km FROM u a JOIN u b ON a.slot = b.slot AND a.species = b.species AND a.station < b.station GROUP BY 1, 2) SELECT species, count(*) AS slots, {m('max(km)', 'widest')} FROM p GROUP BY species", det=DET, places=PLACES)
 def j14_station_pairs(det, places):
     e = slots.slot_extents(det, places, 15).where("stations > 1")

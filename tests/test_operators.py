@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chorusframe import queries, queries_jobs  # noqa: F401
 from chorusframe.functions import parse
 from chorusframe.operators import gates, matching, metrics, neighbours, quality, ranking, regime, sampling, search, vectors, windows
 from chorusframe.schema import normalise_detections
@@ -239,3 +240,25 @@ def test_neighbour_cuts_have_no_cap(spark):
         own = [r[2] == "call" for r in rows if r[0] == fold and r[1] is not None and r[1] >= best[1]]
         row = next(r for r in got if r["fold"] == fold)
         assert (row["cut"], row["calls_kept"], row["left"]) == (best[1], sum(own), len(own)) and best[1] > 40
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_nearest_reference_in_blocks_is_exact(spark, block):
+    rng = np.random.default_rng(6)
+    x, r = rng.standard_normal((20, 4)), rng.standard_normal((50, 4))
+    label = ["b" if i < 9 else "c" if i < 10 else "a" for i in range(50)]
+    cols = "f0 double, f1 double, f2 double, f3 double"
+    targets = spark.createDataFrame([(i, *x[i].tolist()) for i in range(20)], f"id bigint, {cols}")
+    reference = spark.createDataFrame([(label[i], i, *r[i].tolist()) for i in range(50)], f"label string, ref bigint, {cols}")
+    df = neighbours.nearest_reference(targets, reference, ("f0", "f1", "f2", "f3"), "label", "id", block, block)
+    d = np.linalg.norm(((x[:, None] - r[None]) / r.std(0)), axis=2)
+    of = {k: [i for i in range(50) if label[i] == k] for k in "abc"}
+    want = [(i, k, len(at), d[i, at].min(), np.median(d[i, at])) for i in range(20) for k, at in of.items()]
+    got = df.orderBy("id", "label").select("id", "label", "n", "nearest", "median").collect()
+    assert [tuple(g[:3]) for g in got] == [w[:3] for w in want]
+    assert [g[3:] for g in got] == [pytest.approx(w[3:]) for w in want]
+
+
+def test_every_labelled_vector_is_a_reference(spark):
+    rows = queries.queries()["j13_nearest_reference_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["n"] for r in rows) == 500 * 500 and any(r["nearest"] != r["median"] for r in rows)
