@@ -1,10 +1,11 @@
-"""Mixture-controlled packing: every window takes its target share of tokens from each source's queue.
+"""Mixture-controlled packing: deficit round-robin over the sources' token queues fills every window.
 
-This is deficit round-robin with one token as the unit.  In each window a source's counter grows by its share
-of the window; the source gives as many whole tokens as that allows and the rest of the counter, its deficit,
-goes on to the next window.  Counters follow from due times (see Schedule), so any window's quotas follow from its
-index: tasks need no common state, deficits cross windows and partitions, and no window is filled twice.  When a
-source runs out, its part goes to the others in proportion.
+In each round a source's counter grows by its quantum, its weight's share of a window's tokens.  In turn, every
+source gives the whole tokens of its counter and carries the fraction, its deficit, to the next round; a source that
+has run out is passed over.  Windows are cut from this stream of turns every ``length`` tokens: where a round's whole
+tokens leave a window short, the next round goes on filling it, and a turn that a window's end cuts goes on in the next
+window.  Counters after any round have a closed form, so a window's quotas follow from its number (see Schedule): tasks
+need no common state, deficits cross windows and partitions, and no window is filled twice.
 
 Each document is tokenised once.  Its place in its source's queue is a sum over earlier tasks plus the tokens
 before it in its own task; only those sums (a row for each task and source) are shuffled.
@@ -13,9 +14,9 @@ before it in its own task; only those sums (a row for each task and source) are
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator, Sequence
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,14 @@ class ByteTokenizer:
     """Ids of a byte-level BPE file of the ``tokenizers`` library, as its ``encode(text, add_special_tokens=False)`` gives them.
 
     Ordinary text goes through ``tiktoken`` with the file's own vocabulary as ranks, which gives the same ids
-    several times faster; texts with a special token's string go through ``tokenizers``.
+    several times faster.  Text with a special token's string, or with a run of white space so long that
+    ``tiktoken`` would run out of stack, goes through ``tokenizers``.  Long texts are encoded in parts of about
+    PART characters, cut before a space between two letters: no token crosses such a place.
     """
 
+    PART, RUN = 1 << 18, 100_000
+    _CUT, _RUN = re.compile(r"[A-Za-z](?= [A-Za-z])"), re.compile(r"(?<!\s)\s{100000}")
+
     def __init__(self, path: str):
         import json
 
@@ -53,11 +59,26 @@ class ByteTokenizer:
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items()}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.most = max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])])
+
+    def parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.PART:
+            cut = self._CUT.search(text, at + self.PART)
+            if cut is None:
+                break
+            yield text[at : cut.end()]
+            at = cut.end()
+        yield text[at:]
 
     def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        out: list[int] = []
+        for part in self.parts(text):
+            if any(s in part for s in self.special) or len(part) >= self.RUN and self._RUN.search(part):
+                out += self.slow.encode(part, add_special_tokens=False).ids
+            else:
+                out += self.fast.encode_ordinary(part)
+        return out
 
 
 def tokenizer(path: str) -> ByteTokenizer:
@@ -70,18 +91,19 @@ def tokenizer(path: str) -> ByteTokenizer:
 
 
 def _tokens(it: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    """``doc_id, source, text`` -> ``doc_id, source, task, before, n, ids``; ids are little-endian uint16."""
+    """``doc_id, source, text`` -> ``doc_id, source, task, before, n, ids``; ids are little-endian, two bytes each where every id fits, else four."""
     from pyspark import TaskContext
 
     task, t, used = TaskContext.get().partitionId(), tokenizer(path), {}
+    width = "<u2" if max(t.most, end) < 1 << 16 else "<u4"
     for batch in in_slices(it):
         before, n, ids = [], [], []
-        for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), strict=True):
-            own = np.array([*t.encode(text or ""), end], np.uint16)
+        for text, source in zip(batch.column("text"), batch.column("source").to_pylist(), strict=True):
+            own = np.array([*t.encode(text.as_py() or ""), end], width)
             before.append(used.get(source, 0))
             used[source] = before[-1] + len(own)
             n.append(len(own))
-            ids.append(own.astype("<u2").tobytes())
+            ids.append(own.tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("source"), pa.array([task] * len(n), pa.int64()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
             names=["doc_id", "source", "task", "before", "n", "ids"],
@@ -89,97 +111,76 @@ def _tokens(it: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.Re
 
 
 class Schedule:
-    """Which tokens of which source make up each sequence.
+    """Which tokens of which source make up each sequence: deficit round-robin, each token a packet.
 
-    Token k of a source of weight w falls due at (2k + 1) / 2w, the middle of its k-th share of the total; tokens are
-    served by due time, then source number.  So a source's deficit (its share of what was served less what it gave) stays
-    around a token, and its share passes on to the others when it runs out.  Sources of weight 0 come last.
+    Counters are kept in units of 1 / UNIT token.  After r rounds source j has given min(size, r * quantum // UNIT)
+    tokens; r * quantum % UNIT units are its deficit.  Sources of weight 0 come after all others, one by one.
     """
 
+    UNIT, BITS = 1 << 20, 20
+
     def __init__(self, sizes: Sequence[int], weights: Sequence[int], length: int = LENGTH):
-        self.sizes, self.weights, self.length, self.total = list(sizes), list(weights), length, sum(sizes)
-        self.paid = [j for j, (n, w) in enumerate(zip(sizes, weights, strict=True)) if n and w]
-        self.free = [j for j, (n, w) in enumerate(zip(sizes, weights, strict=True)) if n and not w]
+        self.sizes, self.length, self.total = np.array(sizes, np.int64), length, sum(sizes)
+        paid = [n > 0 and w > 0 for n, w in zip(sizes, weights, strict=True)]
+        whole = sum(w for w, p in zip(weights, paid, strict=True) if p)
+        self.quantum = np.array([max(1, int(length * self.UNIT * w // whole)) if p else 0 for w, p in zip(weights, paid, strict=True)], np.int64)
+        # The round in which each source gives its last token.
+        last = [-(-int(n) * self.UNIT // int(q)) if q else 0 for n, q in zip(sizes, self.quantum, strict=True)]
+        if max(last, default=0) >= 1 << 62 or length > 1 << 22:
+            raise ValueError("a source's weight is too small for its size, or the windows are too long")
+        self.last, self.rounds = np.array(last, np.int64), max(last, default=0)
+        self.paid_total = int(self.sizes[self.quantum > 0].sum())
         full, rest = divmod(self.total, length)
         self.full, self.tail = full, [full * length]
         for bit in reversed(range(rest.bit_length())):  # the rest fills sequences whose lengths are powers of two
             if rest >> bit & 1:
                 self.tail.append(self.tail[-1] + (1 << bit))
         self.windows = full + len(self.tail) - 1
-        # Where sources run out: tokens served by then, and the size and weight of those that have.
-        self.ends: list[int] = []
-        self.gone: list[tuple[int, int]] = [(0, 0)]
-        whole, n, w = sum(weights[j] for j in self.paid), 0, 0
-        for j in sorted(self.paid, key=lambda j: Fraction(sizes[j], weights[j])):
-            n, w = n + sizes[j], w + weights[j]
-            self.ends.append(n + sizes[j] * (whole - w) // weights[j])
-            self.gone.append((n, w))
-        self.whole = whole
-        self.edges: dict[int, list[int]] = {}
+        self.edges: dict[int, np.ndarray] = {}
 
     def edge(self, window: int) -> int:
         return window * self.length if window <= self.full else self.tail[window - self.full]
 
-    def _later(self, i: int, a: int, j: int, b: int) -> bool:
-        """Whether token a of source i is served after token b of source j."""
-        x, y = (2 * a + 1) * self.weights[j], (2 * b + 1) * self.weights[i]
-        return x > y or x == y and i > j
+    def after(self, rounds: int) -> np.ndarray:
+        """How many tokens each source with a weight has given after so many rounds."""
+        r = np.minimum(rounds, self.last)
+        return np.minimum(self.sizes, (r >> self.BITS) * self.quantum + ((r & self.UNIT - 1) * self.quantum >> self.BITS))
 
-    def given(self, at: int) -> list[int]:
+    def given(self, at: int) -> np.ndarray:
         """How many tokens each source has given when ``at`` are served."""
-        out = [0] * len(self.sizes)
-        left = at
-        for j in self.paid:
-            left -= self.sizes[j]
-        if left >= 0:  # all that have weight are done
-            for j in self.paid:
-                out[j] = self.sizes[j]
-            for j in self.free:
-                out[j] = min(left, self.sizes[j])
-                left -= out[j]
-            return out
-        n, w = self.gone[bisect.bisect_right(self.ends, at)]
-        live = max(self.whole - w, 1)
-        for j in self.paid:
-            out[j] = min(self.sizes[j], (2 * (at - n) * self.weights[j] + live) // (2 * live))
-        more = at - sum(out)
-        while True:  # a few steps from the estimate to the exact set
-            first = last = -1
-            for j in self.paid:
-                if out[j] < self.sizes[j] and (first < 0 or self._later(first, out[first], j, out[j])):
-                    first = j
-                if out[j] and (last < 0 or self._later(j, out[j] - 1, last, out[last] - 1)):
-                    last = j
-            if more > 0:
-                out[first] += 1
-                more -= 1
-            elif more < 0:
-                out[last] -= 1
-                more += 1
-            elif first >= 0 and last >= 0 and self._later(last, out[last] - 1, first, out[first]):
-                out[first] += 1
-                out[last] -= 1
+        if at >= self.paid_total:
+            out, free = self.after(self.rounds), np.where(self.quantum == 0, self.sizes, 0)
+            return out + np.clip(at - self.paid_total - (np.cumsum(free) - free), 0, free)
+        low, step = at // self.length, 1  # a round gives at most a window's tokens
+        while int(self.after(low + step).sum()) <= at:
+            low, step = low + step, 2 * step
+        high = low + step
+        while high - low > 1:
+            mid = (low + high) // 2
+            if int(self.after(mid).sum()) <= at:
+                low = mid
             else:
-                return out
+                high = mid
+        done = self.after(low)
+        turn = self.after(low + 1) - done
+        return done + np.clip(at - int(done.sum()) - (np.cumsum(turn) - turn), 0, turn)
 
-    def served(self, window: int) -> list[int]:
+    def served(self, window: int) -> np.ndarray:
         """given() at a window's beginning; neighbouring windows ask for the same edges again and again."""
         if window not in self.edges:
-            if len(self.edges) > 1 << 14:
+            if len(self.edges) * len(self.sizes) > 1 << 18:
                 self.edges.clear()
             self.edges[window] = self.given(self.edge(window))
         return self.edges[window]
 
     def find(self, j: int, place: int) -> int:
         """The window that token ``place`` of source j is in, from the number of tokens served before it."""
-        before = place
-        if self.weights[j]:
-            for i in self.paid:
-                if i != j:
-                    x, y = (2 * place + 1) * self.weights[i] - self.weights[j], 2 * self.weights[j]
-                    before += min(self.sizes[i], max(0, x // y + 1 if i < j else -(-x // y)))
+        if self.quantum[j]:
+            turn = -(-(place + 1) * self.UNIT // int(self.quantum[j]))
+            done, then = self.after(turn - 1), self.after(turn)
+            before = int(done.sum()) + int((then - done)[:j].sum()) + place - int(done[j])
         else:
-            before += sum(self.sizes[i] for i in self.paid) + sum(self.sizes[i] for i in self.free if i < j)
+            before = self.paid_total + int(self.sizes[:j][self.quantum[:j] == 0].sum()) + place
         if before < self.tail[0]:
             return before // self.length
         return self.full + bisect.bisect_right(self.tail, before) - 1
@@ -191,12 +192,12 @@ def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Sched
 
     def window(j: int, w: int) -> tuple[int, int, int, int]:
         a, b = plan.served(w), plan.served(w + 1)
-        return w, a[j], b[j], sum(b[:j]) - sum(a[:j])
+        return w, int(a[j]), int(b[j]), int(b[:j].sum() - a[:j].sum())
 
     for batch in in_slices(it, 1 << 20):
         rows, out = batch.to_pydict(), {k: [] for k in ("doc", "start", "length", "crc", "n", "seq", "offset", "ids")}
         for i, (source, place, n) in enumerate(zip(rows["source"], rows["place"], rows["n"], strict=True)):
-            j, data = index[source], np.frombuffer(rows["ids"][i], "<u2").astype("<u4").tobytes()
+            j, data = index[source], np.frombuffer(rows["ids"][i], f"<u{len(rows['ids'][i]) // n}").astype("<u4").tobytes()
             w = here.get(j)
             if w is None or not w[1] <= place < w[2]:
                 w = window(j, w[0] + 1) if w is not None and w[2] == place else None
@@ -204,8 +205,10 @@ def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Sched
                     w = window(j, plan.find(j, place))
             done = 0
             while done < n:
-                while w[2] <= place + done:
+                if w[2] <= place + done:
                     w = window(j, w[0] + 1)
+                if w[2] <= place + done:
+                    w = window(j, plan.find(j, place + done))
                 take = min(n - done, w[2] - place - done)
                 piece = data[4 * done : 4 * (done + take)]
                 out["doc"].append(i)
@@ -240,14 +243,16 @@ def running_before(df: DataFrame, key: str, order: str, value: str, chunk: int =
 
 
 def pack(
-    docs: DataFrame, weights: dict[str | None, int] | None = None, path: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = END, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: dict[str | None, int] | tuple[int, ...] | None = None, path: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = END, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, ``with_ids``, ``ids``
     (little-endian uint32).
 
     Sequences hold ``length`` tokens without gaps; the last ``total % length`` tokens fill shorter ones whose
-    lengths are powers of two, so nothing is padded.  ``weights`` are whole numbers by source (a source not
-    named weighs 0 and comes after the others); by default each source weighs its tokens.  A null text is
+    lengths are powers of two, so nothing is padded.  ``weights`` are the target proportions: whole numbers by
+    source (a source not named weighs 0 and comes after the others), or numbers that sources by code point, null
+    last, take in turn.  By default each source weighs its tokens, which keeps the proportions of a table that
+    has its mix already.  A null text is
     empty and gives the end id alone; null is a source of its own; rows that repeat a doc_id are packed each;
     an empty table gives no rows; further columns are ignored.
     """
@@ -262,7 +267,13 @@ def pack(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     names, sizes = [r.source for r in totals], [r.n for r in totals]
-    plan = Schedule(sizes, sizes if weights is None else [weights.get(s, 0) for s in names], length)
+    if weights is None:
+        shares = sizes
+    elif isinstance(weights, dict):
+        shares = [weights.get(s, 0) for s in names]
+    else:
+        shares = [weights[i % len(weights)] for i in range(len(names))]
+    plan = Schedule(sizes, shares, length)
     offsets = tmp.write(running_before(sums, "source", "task", "n").select(F.col("source").alias("_source"), F.col("task").alias("_task"), F.col("before").alias("_base")), keep=True)
     placed = tokens.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("task") == F.col("_task")))
     placed = placed.select("doc_id", "source", (F.col("before") + F.col("_base")).alias("place"), "n", "ids")
@@ -274,4 +285,4 @@ def pack(
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=(5, 2, 1), with_ids=False)
