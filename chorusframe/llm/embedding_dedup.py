@@ -1,18 +1,18 @@
 """Near-duplicate embeddings through binary codes of random rotations.
 
-Several independent rotations give each distinct vector a string of sign bits.  Slices of it key hash tables;
-in a bucket, pairs whose bits differ no more than the bits of a linked pair can (six standard deviations) are
-nominated, and leave the bucket as a spanning forest.  Nominated pairs connect vectors into families, which
-meet in blocks: there, unbiased estimates from one rotation's bits and stored factors, with their confidence
-bounds, decide which pairs need the exact cosine.  Buckets and families beyond a block are cut into pairs of
-blocks, so no task gets all of one; equal vectors are one row with a count.
+Each distinct vector is stored with one code: its sign bits under several independent rotations, and two correction
+factors.  Slices of the bits key hash tables.  Codes and factors alone meet in the buckets: unbiased estimates
+with confidence bounds clear most pairs, and the rows of the pairs that stay undecided fetch their vectors for exact
+cosines.  A pair that shares several buckets counts in the first of its tables only.  Buckets beyond a block are cut into
+pairs of blocks, so no task gets all of one; links leave a block as counts and a spanning forest; equal vectors
+are one row with a count.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
-from .rotation_codes import encode, estimates, matrix, packed, rotation, unit, valid
+from .rotation_codes import Codes, encode, matrix, packed, valid
 
-BLOCK, MISS, FILTER_BITS, TASK_ROWS = 1024, 1e-5, 256, 8192
+BLOCK, MISS, BOUND, TASK_ROWS = 1024, 1e-5, 5.0, 8192
 
 
 def table_shape(n: int, threshold: float) -> tuple[int, int]:
@@ -34,10 +34,11 @@ def table_shape(n: int, threshold: float) -> tuple[int, int]:
     return bits, ceil(log(MISS) / log(1 - same))
 
 
-def sign_bits(m: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    """At least ``bits`` sign bits of each row, from as many independent rotations as that takes."""
-    o, dim = unit(m), m.shape[1]
-    return np.concatenate([(o @ rotation(dim, seed + 1 + r).T) > 0 for r in range(ceil(bits / dim))], axis=1)[:, :bits]
+def code_of(m: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``bits`` sign bits of each row, from an even number of rotations, and a factor for each half of these."""
+    h = ceil(bits / m.shape[1] / 2)
+    one, two = encode(m, range(h), seed), encode(m, range(h, 2 * h), seed)
+    return np.concatenate([one[0], two[0]], axis=1), np.stack([one[1], two[1]], axis=1)
 
 
 def block_pairs(rows: DataFrame, group: str, block: int, tmp: Scratch) -> DataFrame:
@@ -56,15 +57,12 @@ def block_pairs(rows: DataFrame, group: str, block: int, tmp: Scratch) -> DataFr
     return out.select(*rows.columns, x.alias("x"), y.alias("y"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), task.alias("task"))
 
 
-def _meetings(t: pa.Table, group: str) -> Iterator[pa.Table]:
-    """The block pairs of a task, one by one."""
-    t = t.sort_by([(group, "ascending"), ("x", "ascending"), ("y", "ascending")])
-    names, x, y = t[group].to_pylist(), t["x"].to_pylist(), t["y"].to_pylist()
-    at = 0
-    for i in range(1, len(names) + 1):
-        if i == len(names) or (names[i], x[i], y[i]) != (names[at], x[at], y[at]):
-            yield t.slice(at, i - at)
-            at = i
+def _meetings(t: pa.Table, group: str) -> Iterator[slice]:
+    """The block pairs of a task, one by one, as places in the sorted table."""
+    names, x, y = t[group].to_numpy(), t["x"].to_numpy(), t["y"].to_numpy()
+    cuts = np.flatnonzero((np.diff(names) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
+        yield slice(lo, hi)
 
 
 def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -85,39 +83,62 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-_EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-
-def _nominated(t: pa.Table, most: int) -> pa.Table:
-    """Within each bucket's block pair: a forest of the pairs whose filter bits differ in at most ``most`` places."""
-    a, b = [], []
-    for part in _meetings(t, "bucket"):
-        keys, side = part["key"].to_pylist(), part["side"].to_numpy()
-        code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(keys), -1)
-        pm = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
-        differ = (pm.shape[1] - pm @ pm.T) / 2
-        close = np.triu(differ <= most, 1)
-        if part["x"][0].as_py() != part["y"][0].as_py():
-            close &= side[:, None] != side[None, :]
-        for i, j in _forest(np.argwhere(close), len(keys)) if close.any() else ():
-            a.append(keys[i])
-            b.append(keys[j])
-    return pa.table([a, b], schema=_EDGE)
-
-
-def _linked(t: pa.Table, threshold: float, seed: int) -> pa.Table:
-    """Within each family's block pair: each class's links (counting members) and a forest of them, both as rows."""
+_UNDECIDED = "task bigint, meeting int, pos int, key binary, partners binary"
+
+
+def _note(out: dict[str, list], task: int, meeting: int, maybe: np.ndarray, codes: np.ndarray, table: int, keys: pa.ChunkedArray) -> None:
+    """Add the rows of the pairs ``maybe`` that no earlier table has."""
+    a, b = np.nonzero(maybe)
+    first = np.ones(len(a), bool)
+    for at in range(0, len(a), 8192):
+        i, j = a[at : at + 8192], b[at : at + 8192]
+        first[at : at + 8192] = (codes[i] == codes[j]).all(axis=2).argmax(axis=1) == table
+    a, b = a[first], b[first]
+    some = np.unique(np.concatenate([a, b]))
+    place = np.searchsorted(some, b).astype("<u4")
+    lo, hi = np.searchsorted(a, some), np.searchsorted(a, some, "right")
+    out["task"] += [task] * len(some)
+    out["meeting"] += [meeting] * len(some)
+    out["pos"] += range(len(some))
+    out["key"] += keys.take(pa.array(some, pa.int64())).to_pylist()
+    out["partners"] += [place[i:j].tobytes() for i, j in zip(lo, hi, strict=True)]
+
+
+def _undecided(t: pa.Table, bits: int, tables: int, threshold: float, seed: int) -> pa.Table:
+    """Within each bucket's block pair: the rows of the pairs that codes do not clear, each with its later partners' positions."""
+    out: dict[str, list] = {x.split()[0]: [] for x in _UNDECIDED.split(", ")}
+    t = t.sort_by([("dim", "ascending"), ("bucket", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    dims = t["dim"].to_numpy()
+    cuts = (np.flatnonzero(np.diff(dims)) + 1).tolist()
+    number = 0
+    for start, end in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
+        same_dim, dim = t.slice(start, end - start), int(dims[start])
+        h = ceil(bits * tables / dim / 2)
+        all_codes = np.unpackbits(np.frombuffer(b"".join(same_dim["code"].to_pylist()), np.uint8).reshape(end - start, -1), axis=1, count=2 * h * dim)
+        known = Codes(all_codes, np.stack([same_dim["f1"].to_numpy(), same_dim["f2"].to_numpy()], axis=1), dim, seed)
+        all_keys, sides, x, y, bucket = same_dim["key"], same_dim["side"].to_numpy(), same_dim["x"].to_numpy(), same_dim["y"].to_numpy(), same_dim["bucket"].to_numpy()
+        for at in _meetings(same_dim, "bucket"):
+            est, bound = known.estimates(at, BOUND)
+            maybe = np.triu(est + bound >= threshold, 1)
+            if x[at.start] != y[at.start]:
+                maybe &= sides[at, None] != sides[None, at]
+            if maybe.any():
+                number += 1
+                _note(out, int(t["task"][0].as_py()), number, maybe, all_codes[at, : bits * tables].reshape(-1, tables, bits), int(bucket[at.start]) >> 51, all_keys.slice(at.start, at.stop - at.start))
+    return pa.table([pa.array(out["task"], pa.int64()), pa.array(out["meeting"], pa.int32()), pa.array(out["pos"], pa.int32()), pa.array(out["key"], pa.binary()), pa.array(out["partners"], pa.binary())], names=list(out))
+
+
+def _linked(t: pa.Table, threshold: float) -> pa.Table:
+    """Within each meeting: the exact cosines of the undecided pairs; each class's links (counting members) and a forest of them, both as rows."""
     key, other, count = [], [], []
-    for part in _meetings(t, "family"):
-        keys, side, weight, dim = part["key"].to_pylist(), part["side"].to_numpy(), part["n"].to_numpy(), part["dim"][0].as_py()
-        m = matrix(part["vec"], dim)
-        bits, factor = encode(m, seed)
-        est, bound = estimates(bits, factor, m, seed)
-        apart = est + bound[None, :] < threshold
-        maybe = np.triu(~(apart & apart.T), 1)
-        if part["x"][0].as_py() != part["y"][0].as_py():
-            maybe &= side[:, None] != side[None, :]
-        a, b = np.nonzero(maybe)
+    t = t.sort_by([("meeting", "ascending"), ("pos", "ascending")])
+    edges = np.flatnonzero(np.diff(t["meeting"].to_numpy())) + 1
+    for lo, hi in zip([0, *edges], [*edges, t.num_rows], strict=True):
+        part = t.slice(lo, hi - lo)
+        keys, weight = part["key"].to_pylist(), part["n"].to_numpy()
+        m = matrix(part["vec"], part["dim"][0].as_py())
+        later = [np.frombuffer(x, "<u4") for x in part["partners"].to_pylist()]
+        a, b = np.repeat(np.arange(len(keys)), [len(x) for x in later]), np.concatenate(later).astype(np.int64)
         norm = np.sqrt((m * m).sum(axis=1))
         cos = np.empty(len(a))
         for at in range(0, len(a), 65536):
@@ -133,6 +154,25 @@ def _linked(t: pa.Table, threshold: float, seed: int) -> pa.Table:
     return pa.table({"key": pa.array(key, pa.binary()), "other": pa.array(other, pa.binary()), "links": pa.array(count, pa.int64())})
 
 
+def undecided_pairs(coded: DataFrame, bits: int, tables: int, threshold: float, seed: int, tmp: Scratch) -> DataFrame:
+    """``task, meeting, pos, key, partners``: what exact cosines have to decide, from ``key, dim, code, f1, f2``."""
+
+    def buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = (1 << np.arange(bits)).astype(np.int64)
+        for b in it:
+            out = []
+            for code, dim in zip(b.column("code").to_pylist(), b.column("dim").to_pylist(), strict=True):
+                s = np.unpackbits(np.frombuffer(code, np.uint8), count=bits * tables).reshape(tables, bits).astype(np.int64)
+                out.append((s @ weight + (((np.arange(tables) << 20) + dim % (1 << 20)) << 31)).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int64()))], names=[*b.schema.names, "bucket"])
+
+    kind = "key binary, dim int, code binary, f1 double, f2 double"
+    hashed = coded.select("key", "dim", "code", "f1", "f2").mapInArrow(buckets, f"{kind}, bucket array<bigint>")
+    hashed = tmp.write(hashed.select("key", "dim", "code", "f1", "f2", F.explode("bucket").alias("bucket")))
+    met = block_pairs(hashed, "bucket", BLOCK, tmp)
+    return met.groupBy("task").applyInArrow(lambda t: _undecided(t, bits, tables, threshold, seed), _UNDECIDED)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -155,26 +195,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 5,
     rows = tmp.write(rows.mapInArrow(keyed, f"vec_id {kind}, dim int, vec binary, key binary"))
     classes = tmp.write(rows.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("least")))
     bits, tables = table_shape(classes.count(), threshold)
-    spread = acos(threshold) / pi
-    most = int(FILTER_BITS * spread + 6 * sqrt(FILTER_BITS * spread * (1 - spread)))
 
-    def tabled(it):
+    def coded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for dim in set(b.column("dim").to_pylist()):
+            for dim in sorted(set(b.column("dim").to_pylist())):
                 part = pa.table(b).filter(pc.equal(b.column("dim"), dim))
-                s = sign_bits(matrix(part["vec"], dim), max(bits * tables, FILTER_BITS), seed)
-                code = [x.tobytes() for x in np.packbits(s[:, :FILTER_BITS], axis=1)]
-                weight = (1 << np.arange(bits)).astype(np.int64)
-                buckets = [s[:, t * bits : (t + 1) * bits].astype(np.int64) @ weight + (((t << 20) + dim % (1 << 20)) << 31) for t in range(tables)]
-                yield from pa.table({"key": part["key"], "code": pa.array(code, pa.binary()), "bucket": pa.array(np.stack(buckets, axis=1).tolist(), pa.list_(pa.int64()))}).combine_chunks().to_batches()
-
-    hashed = classes.select("key", "dim", "vec").mapInArrow(tabled, "key binary, code binary, bucket array<bigint>")
-    hashed = tmp.write(hashed.select("key", "code", F.explode("bucket").alias("bucket")))
-    nominated = block_pairs(hashed, "bucket", BLOCK, tmp).groupBy("task").applyInArrow(lambda t: _nominated(t, most), "a binary, b binary")
-    family = components(spark, nominated, tmp)
-    members = family.join(classes, family["node"] == classes["key"]).select(F.col("root").alias("family"), "key", "dim", "vec", "n")
-    met = block_pairs(tmp.write(members), "family", BLOCK, tmp).groupBy("task")
-    met = tmp.write(met.applyInArrow(lambda t: _linked(t, threshold, seed), "key binary, other binary, links bigint"))
+                code, factor = code_of(matrix(part["vec"], dim), bits * tables, seed)
+                packed_code = pa.array([x.tobytes() for x in np.packbits(code, axis=1)], pa.binary())
+                yield from pa.table({"key": part["key"], "dim": part["dim"], "code": packed_code, "f1": factor[:, 0], "f2": factor[:, 1]}).combine_chunks().to_batches()
+
+    codes = tmp.write(classes.select("key", "dim", "vec").mapInArrow(coded, "key binary, dim int, code binary, f1 double, f2 double"))
+    undecided = tmp.write(undecided_pairs(codes, bits, tables, threshold, seed, tmp))
+    met = undecided.join(classes.select("key", "dim", "vec", "n"), "key").groupBy("task")
+    met = tmp.write(met.applyInArrow(lambda t: _linked(t, threshold), "key binary, other binary, links bigint"))
     links = met.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     found = components(spark, met.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), tmp)
     whole = classes.select("key", "n", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -1,8 +1,11 @@
 """One-bit codes of randomly rotated vectors, with the scalars that make inner-product estimates unbiased.
 
-A unit vector o is rotated by a random orthogonal matrix and kept as its signs x (over sqrt(D)) and the factor
-f = <x, o>.  For a unit query q, rotated alike, <x, q> / f estimates <o, q> without bias, and the error is at most
-eps * sqrt((1 - f^2) / f^2 / (D - 1)) with a probability that grows fast with eps.
+A unit vector o is rotated by h random orthogonal matrices, stacked over sqrt(h) as E(o); its code is the signs x of
+E(o) over sqrt(hD), and its factor f = <x, E(o)>.  For a unit query q, <x, E(q)> / f estimates <o, q> without bias, and
+the error is at most eps * sqrt((1 - f^2) / f^2 / h / (D - 1)) with a probability that grows fast with eps.
+
+Two codes are enough where neither vector is at hand: with other rotations E' for the second, its own code gives
+y = E'^T x' / f', an unbiased stand-in for the vector, which then serves as the query of the first code.
 """
 
 from __future__ import annotations
@@ -52,23 +55,49 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def encode(m: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed bits and factors of the rows of ``m``."""
-    o = unit(m) @ rotation(m.shape[1], seed).T
-    return np.packbits(o > 0, axis=1), np.abs(o).sum(axis=1) / np.sqrt(m.shape[1])
+def stacked(m: np.ndarray, turns: range, seed: int) -> np.ndarray:
+    """E(m), a row each, without the factor 1 / sqrt(h)."""
+    return np.concatenate([m @ rotation(m.shape[1], seed + t).T for t in turns], axis=1)
+
+
+def encode(m: np.ndarray, turns: range, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sign bits (one byte each) and factors of the rows of ``m``."""
+    o = stacked(unit(m), turns, seed)
+    return o > 0, np.abs(o).sum(axis=1) / (len(turns) * np.sqrt(m.shape[1]))
+
+
+def deviation(factor: np.ndarray, turns: int, dim: int) -> np.ndarray:
+    return np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / turns / max(dim - 1, 1))
+
+
+def signs(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(bits.shape[1]))
+
+
+def estimates(bits: np.ndarray, factor: np.ndarray, queries: np.ndarray, turns: range, seed: int, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
+    """For each query vector and code: the estimated cosine, and for each code the bound of its error."""
+    q = stacked(unit(queries), turns, seed).astype(np.float32) / np.float32(np.sqrt(len(turns)))
+    est = (q @ signs(bits).T) / factor[None, :].astype(np.float32)
+    return est, eps * deviation(factor, len(turns), queries.shape[1]) + 1e-5
 
 
-def signs(bits: np.ndarray, dim: int) -> np.ndarray:
-    return (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+class Codes:
+    """Codes of an even number of rotations with a factor for each half of them: estimated cosines of any two, and their bounds."""
 
+    def __init__(self, bits: np.ndarray, factors: np.ndarray, dim: int, seed: int):
+        h = bits.shape[1] // dim // 2
+        self.one, two = signs(bits[:, : h * dim]), signs(bits[:, h * dim :])
+        y = sum(two[:, t * dim : (t + 1) * dim] @ rotation(dim, seed + h + t).astype(np.float32) for t in range(h)) / np.sqrt(h)
+        y = (y / factors[:, 1:]).astype(np.float32)
+        self.one /= factors[:, :1].astype(np.float32)
+        self.seen = stacked(y, range(h), seed).astype(np.float32) / np.float32(np.sqrt(h))
+        self.first, self.second = deviation(factors[:, 0], h, dim), deviation(factors[:, 1], h, dim)
+        self.norm = np.sqrt((y * y).sum(axis=1))
 
-def estimates(bits: np.ndarray, factor: np.ndarray, queries: np.ndarray, seed: int, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
-    """For each query row and code: the estimated cosine, and for each code the bound of its error."""
-    dim = queries.shape[1]
-    q = (unit(queries) @ rotation(dim, seed).T).astype(np.float32)
-    est = (q @ signs(bits, dim).T) / factor[None, :].astype(np.float32)
-    bound = eps * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1)) + 1e-5
-    return est, bound
+    def estimates(self, rows: slice, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
+        est = self.one[rows] @ self.seen[rows].T
+        far = np.outer(self.first[rows], self.norm[rows]) ** 2 + self.second[rows][None, :] ** 2
+        return (est + est.T) / 2, eps * np.sqrt(np.maximum(far, far.T)) + 1e-4
 
 
 def cosines(m: np.ndarray, q: np.ndarray) -> np.ndarray:
