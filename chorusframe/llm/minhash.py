@@ -5,27 +5,32 @@ every pair (one half-key of each collection) keys a table: tables**2 tables from
 values.  A pair of similarity s is missed with probability below 2 * (1 - s**rows)**tables; the defaults
 give 2e-5 at s = 0.85 and 3e-4 at 0.8.
 
-Tables only nominate: documents that share a key are brought together in blocks, and a link is made only
-where the full shingle sets reach the threshold.  Pairs are compared inside a block with matrix products and
-leave it as a spanning forest, so neither buckets nor families are ever expanded into rows of pairs.
-Documents with the same text are one class from the start.
+Tables only nominate: a link is made where the full shingle sets reach the threshold, and components are closed over
+such links alone.  First every document is compared with the smallest of its buckets' leaders, which joins most
+copies at once.  Then only pairs of different components that share a bucket are left: the members of both
+that nominate each other meet in blocks.  Pairs are compared inside a block with matrix products and leave it as a
+spanning forest, so neither buckets nor components are ever expanded into rows of pairs.  Documents with the same
+text are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, in_slices, mix, parts, runs_of, text_key, word_hashes
+from .common import Scratch, byte_column, in_slices, mix, runs_of, text_key, word_hashes
 from .components import components
 
 ROWS, TABLES = 3, 12
-#: Documents in a block of a large family, and families packed into one task's bin.
-BLOCK, BIN = 512, 2048
+#: Documents in a block; shingles that a task gets; components of a bucket that are paired up one by one (more meet as blocks of the bucket).
+BLOCK, TASK_SHINGLES, PAIRED = 512, 1_000_000, 16
+#: Keys of nominated texts that are broadcast to pick the texts (16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -69,61 +74,58 @@ def _signed(seq: Iterator[pa.RecordBatch], k: int, rows: int, tables: int) -> It
         )
 
 
-def _links(sets: list[np.ndarray], pct: int, left: int | None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= pct * union; with ``left``, of those
-    between the first ``left`` sets and the others."""
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
+def _links(left: list[np.ndarray], right: list[np.ndarray], pct: int) -> np.ndarray:
+    """Which pairs of a left and a right set have 100 * intersection >= pct * union."""
+    flat = np.concatenate([*left, *right])
+    sizes = np.array([len(s) for s in left + right])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1  # a shingle of one set alone adds to no intersection
     column = np.cumsum(shared) - 1
     keep = shared[code]
-    inter = np.zeros((len(sets), len(sets)), np.float32)
-    width = int(shared.sum())
     cols, who = column[code[keep]], owner[keep]
+    order = np.argsort(cols, kind="stable")
+    cols, who = cols[order], who[order]
+    width, n = int(shared.sum()), len(left)
+    inter = np.zeros((n, len(right)), np.float32)
     for at in range(0, width, 8192):
-        here = (cols >= at) & (cols < at + 8192)
-        m = np.zeros((len(sets), min(8192, width - at)), np.float32)
+        here = slice(*np.searchsorted(cols, [at, at + 8192]))
+        m = np.zeros((len(sizes), min(8192, width - at)), np.float32)
         m[who[here], cols[here] - at] = 1
-        inter += m @ m.T
-    union = size[:, None] + size[None, :] - inter
-    good = np.triu(100 * inter.astype(np.float64) >= pct * union, 1)
-    if left is not None:
-        good[:left, :left] = False
-        good[left:, left:] = False
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in np.argwhere(good):
-        ra, rb = find(int(a)), find(int(b))
-        if ra != rb:
-            parent[rb] = ra
-            out.append((int(a), int(b)))
-    return out
+        inter += m[:n] @ m[n:].T
+    inter = inter.astype(np.float64)
+    return 100 * inter >= pct * (sizes[:n, None] + sizes[None, n:] - inter)
+
 
+def _verify(t: pa.Table, k: int, pct: int) -> pa.Table:
+    """The meetings of a task, one by one: linked roots ``a, b`` as a forest of each.
 
-def _verify(table: pa.Table, k: int, pct: int) -> pa.Table:
-    """One block pair: rows ``side, family, key, text`` -> linked keys."""
-    key, side = table["key"].to_pylist(), np.array(table["side"].to_pylist())
-    sets = [shingles(t, k) for t in byte_column(table["text"].combine_chunks())]
-    family = table["family"].to_pylist()
+    A meeting compares its side 0 with its side 1 or, where it has one side only, that side with itself; rows of the
+    same root are linked already.
+    """
+    t = t.sort_by([("meeting", "ascending"), ("side", "ascending")])
+    cuts = (np.flatnonzero(np.diff(t["meeting"].to_numpy())) + 1).tolist()
     a, b = [], []
-    groups: dict[bytes, list[int]] = {}
-    for i, f in enumerate(family):
-        groups.setdefault(f, []).append(i)
-    for rows in groups.values():
-        rows.sort(key=lambda i: side[i])
-        left = None if side[rows[0]] == side[rows[-1]] else int((side[rows] == side[rows[0]]).sum())
-        for x, y in _links([sets[i] for i in rows], pct, left):
-            a.append(key[rows[x]])
-            b.append(key[rows[y]])
+    for lo, hi in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
+        part = t.slice(lo, hi - lo)
+        sets = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())]
+        root, n = part["root"].to_pylist(), int((part["side"].to_numpy() == 0).sum())
+        own = n in (0, len(sets))
+        good = _links(sets, sets, pct) if own else _links(sets[:n], sets[n:], pct)
+        parent: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        for i, j in np.argwhere(good):
+            x, y = find(root[i]), find(root[j if own else n + j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(x)
+                b.append(y)
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -162,33 +164,53 @@ def near_duplicates(
     tabled = tmp.write(u.join(v, "key").select("key", F.xxhash64("i", "j", "u", "v").alias("bucket")))
     tabled = tmp.write(_shared(tabled, "bucket"))
 
-    # Families: classes that buckets connect.  Small ones share a bin; large ones are cut into blocks.
-    first = tabled.groupBy("bucket").agg(F.min("key").alias("a"))
-    family = components(spark, tabled.join(first, "bucket").select("a", F.col("key").alias("b")), tmp)
-    size = tmp.write(family.groupBy("root").agg(F.count("*").alias("n")))  # a table of its own, so that a join with a hot root can be split
-    bins = F.lit(max(parts(spark), 8) * 4)
-    placed = family.join(size, "root").select(
-        F.col("node").alias("key"),
-        F.col("root").alias("family"),
-        F.when(F.col("n") <= BLOCK, F.xxhash64(F.pmod(F.xxhash64("root"), bins))).otherwise(
-            F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        ).alias("block"),
-        (F.col("n") > BLOCK).alias("large"),
-    )
-    placed = tmp.write(placed)
-    # Two blocks of a family meet where some bucket has classes of both.
-    seen = tabled.join(placed.where("large"), "key").select("bucket", "block").distinct()
-    other = seen.withColumnRenamed("block", "other")
-    meet = seen.join(other, "bucket").where("block < other").select("block", "other").distinct()
-    own = placed.select("block", F.col("block").alias("other")).distinct()
-    pairs = tmp.write(own.union(meet))
-    # Copies are combined before the shuffle, which is the same whatever the size of ``placed``.
-    texts = tmp.write(base.groupBy("key").agg(F.first("text").alias("text")).join(placed, "key"))
-    one = pairs.join(texts, "block").select("block", "other", F.lit(0).alias("side"), "family", "key", "text")
-    two = pairs.where("block <> other").join(texts.withColumnRenamed("block", "other"), "other")
-    two = two.select("block", "other", F.lit(1).alias("side"), "family", "key", "text")
-    edges = one.union(two).groupBy("block", "other").applyInArrow(lambda t: _verify(t, shingle, percent), "a binary, b binary")
-    found = components(spark, edges, tmp)
+    sizes = tmp.write(tabled.select("key").distinct().join(narrow.groupBy("key").agg(F.first("n_shingles").alias("size")), "key"))
+    wanted, few = sizes.select("key"), sizes.count() <= BROADCAST_KEYS
+    # Copies are combined before the shuffle.
+    texts = base.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = tmp.write(texts)
+
+    def verified(meetings: DataFrame) -> DataFrame:
+        """``a, b`` of ``group, side, root, key``: groups are cut into blocks, and the small ones share tasks by their size."""
+        rows = meetings.join(sizes, "key")
+        count = rows.groupBy("group").agg(*(F.count_if(F.col("side") == x).alias(f"n{x}") for x in (0, 1)), F.sum("size").alias("all"))
+        count = tmp.write(count)
+        tasks = ceil((count.agg(F.sum("all")).first()[0] or 0) / TASK_SHINGLES) + 1
+        one = F.col("n1") == 0  # one side, met with itself: its blocks in pairs
+        k0, k1 = F.ceil(F.col("n0") / BLOCK), F.ceil(F.when(one, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
+        rows = rows.join(count, "group").withColumn("i", F.pmod(F.xxhash64("key"), F.when(F.col("side") == 0, k0).otherwise(k1)))
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, k1).otherwise(k0) - 1))
+        rows = rows.withColumn("j", other)
+        x = F.when(one, F.least("i", "j")).when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))
+        y = F.when(one, F.greatest("i", "j")).when(F.col("side") == 0, F.col("j")).otherwise(F.col("i"))
+        rows = rows.withColumn("meeting", F.xxhash64("group", x, y)).withColumn("side", F.when(one, (F.col("i") > F.col("j")).cast("int")).otherwise(F.col("side")))
+        small = F.greatest(k0, k1) == 1
+        rows = rows.withColumn("task", F.when(small, F.pmod(F.col("meeting"), F.lit(tasks))).otherwise(F.col("meeting")))
+        full = tmp.write(rows.select("task", "meeting", "side", "root", "key")).join(texts, "key")
+        return tmp.write(full.groupBy("task").applyInArrow(lambda t: _verify(t, shingle, percent), "a binary, b binary"))
+
+    # Each class with the smallest leader (least key) of its buckets.
+    leader = tabled.groupBy("bucket").agg(F.min("key").alias("leader"))
+    stars = tmp.write(tabled.join(leader, "bucket").groupBy("key").agg(F.min("leader").alias("leader")).where("leader < key"))
+    arms = stars.select(F.col("leader").alias("group"), F.lit(1).alias("side"), F.col("key").alias("root"), "key")
+    hubs = stars.select(F.col("leader").alias("group")).distinct().select("group", F.lit(0).alias("side"), F.col("group").alias("root"), F.col("group").alias("key"))
+    first = components(spark, verified(hubs.union(arms)), tmp)
+    # Components that still share a bucket; a pair of single classes that were just compared is done.
+    rest = tabled.join(first.select(F.col("node").alias("key"), "root"), "key", "left")
+    rest = tmp.write(rest.select("bucket", "key", F.coalesce("root", "key").alias("root"), F.col("root").isNull().alias("alone")))
+    met = rest.groupBy("bucket", "root", "alone").agg(F.lit(1)).groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1")
+    rest = tmp.write(rest.join(met, "bucket"))
+    lists = rest.where(F.col("roots") <= PAIRED).groupBy("bucket").agg(F.collect_set(F.struct("root", "alone")).alias("all"))
+    pairs = rest.join(lists, "bucket").select("key", "root", "alone", F.explode("all").alias("o")).where("root <> o.root")
+    pairs = pairs.select(F.least("root", "o.root").alias("r0"), F.greatest("root", "o.root").alias("r1"), (F.col("alone") & F.col("o.alone")).alias("both"), (F.col("root") > F.col("o.root")).cast("int").alias("side"), "root", "key").distinct()
+    done = stars.select(F.col("leader").alias("r0"), F.col("key").alias("r1"), F.lit(True).alias("both"))
+    pairs = pairs.join(done, ["r0", "r1", "both"], "left_anti").select(F.concat("r0", "r1").alias("group"), "side", "root", "key")
+    wide = rest.where(F.col("roots") > PAIRED).select(F.col("bucket").cast("string").cast("binary").alias("group"), F.lit(0).alias("side"), "root", "key")
+    second = components(spark, verified(tmp.write(pairs.union(wide))), tmp)
+    second = second.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    found = first.join(second, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    single = second.join(first, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    found = tmp.write(found.union(single))
 
     linked = narrow.groupBy("key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
     linked = linked.withColumn("root", F.coalesce("root", "key"))
@@ -212,12 +234,11 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat the kept doc_id with the same text, one stays.  Documents without words stay.
     """
-    text = options.get("text_col", "text")
-    key = options.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), "_key", (F.col("n_shingles") > 0).alias("_words")).distinct()
-    mine = docs.withColumn("_key", text_key(F.col(text)))
-    out = mine.join(kept, (mine["_key"] == kept["_key"]) & mine[key].eqNullSafe(kept["_id"])).select(mine["*"], "_words")
-    return out.where("_words").dropDuplicates([key, "_key"]).unionByName(out.where("NOT _words")).drop("_key", "_words")
+    text, key = options.get("text_col", "text"), options.get("id_col", "doc_id")
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("_key").alias("kept_key"), (F.col("n_shingles") > 0).alias("words")).distinct()
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col(text)).alias("key"), F.col(key).alias("id"))
+    out = mine.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))).select("row", "key", "id", "words")
+    return out.where("words").dropDuplicates(["id", "key"]).union(out.where("NOT words")).select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
