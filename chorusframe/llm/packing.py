@@ -136,42 +136,46 @@ class Schedule:
             if rest >> bit & 1:
                 self.tail.append(self.tail[-1] + (1 << bit))
         self.windows = full + len(self.tail) - 1
-        self.edges: dict[int, np.ndarray] = {}
+        self.block, self.blocks = max(1, min(256, (1 << 16) // max(len(sizes), 1))), {}
 
     def edge(self, window: int) -> int:
         return window * self.length if window <= self.full else self.tail[window - self.full]
 
-    def after(self, rounds: int) -> np.ndarray:
-        """How many tokens each source with a weight has given after so many rounds."""
-        r = np.minimum(rounds, self.last)
+    def after(self, rounds: np.ndarray) -> np.ndarray:
+        """How many tokens each source with a weight (last axis) has given after so many rounds."""
+        r = np.minimum(np.asarray(rounds, np.int64)[..., None], self.last)
         return np.minimum(self.sizes, (r >> self.BITS) * self.quantum + ((r & self.UNIT - 1) * self.quantum >> self.BITS))
 
-    def given(self, at: int) -> np.ndarray:
-        """How many tokens each source has given when ``at`` are served."""
-        if at >= self.paid_total:
-            out, free = self.after(self.rounds), np.where(self.quantum == 0, self.sizes, 0)
-            return out + np.clip(at - self.paid_total - (np.cumsum(free) - free), 0, free)
-        low, step = at // self.length, 1  # a round gives at most a window's tokens
-        while int(self.after(low + step).sum()) <= at:
-            low, step = low + step, 2 * step
-        high = low + step
-        while high - low > 1:
-            mid = (low + high) // 2
-            if int(self.after(mid).sum()) <= at:
-                low = mid
-            else:
-                high = mid
-        done = self.after(low)
-        turn = self.after(low + 1) - done
-        return done + np.clip(at - int(done.sum()) - (np.cumsum(turn) - turn), 0, turn)
-
-    def served(self, window: int) -> np.ndarray:
-        """given() at a window's beginning; neighbouring windows ask for the same edges again and again."""
-        if window not in self.edges:
-            if len(self.edges) * len(self.sizes) > 1 << 18:
-                self.edges.clear()
-            self.edges[window] = self.given(self.edge(window))
-        return self.edges[window]
+    def given(self, at: np.ndarray) -> np.ndarray:
+        """How many tokens each source (second axis) has given when ``at`` (first axis) are served."""
+        at = np.asarray(at, np.int64)
+        free = np.where(self.quantum == 0, self.sizes, 0)
+        out = self.after(np.full(len(at), self.rounds)) + np.clip((at - self.paid_total)[:, None] - (np.cumsum(free) - free), 0, free)
+        some = np.flatnonzero(at < self.paid_total)
+        if len(some):
+            at = at[some]
+            low, high = at // self.length, np.full(len(at), self.rounds)  # a round gives at most a window's tokens
+            while (high - low > 1).any():
+                mid = (low + high) // 2
+                less = self.after(mid).sum(axis=1) <= at
+                low, high = np.where(less, mid, low), np.where(less, high, mid)
+            done = self.after(low)
+            turn = self.after(low + 1) - done
+            out[some] = done + np.clip((at - done.sum(axis=1))[:, None] - (np.cumsum(turn, axis=1) - turn), 0, turn)
+        return out
+
+    def window(self, w: int, j: int) -> tuple[int, int, int]:
+        """Window w's first and end place in the queue of source j, and its offset.  Many windows are worked out at once: others will be asked for."""
+        block, i = divmod(w, self.block)
+        if block not in self.blocks:
+            if len(self.blocks) * self.block * len(self.sizes) > 1 << 22:  # every source may be at a window of its own
+                self.blocks.clear()
+            edges = [self.edge(x) for x in range(block * self.block, min((block + 1) * self.block, self.windows) + 1)]
+            g = self.given(edges)
+            part = g[1:] - g[:-1]
+            self.blocks[block] = g, np.cumsum(part, axis=1) - part
+        g, offset = self.blocks[block]
+        return int(g[i, j]), int(g[i + 1, j]), int(offset[i, j])
 
     def find(self, j: int, place: int) -> int:
         """The window that token ``place`` of source j is in, from the number of tokens served before it."""
@@ -191,8 +195,7 @@ def _pieces(it: Iterator[pa.RecordBatch], sources: list[str | None], plan: Sched
     here: dict[int, tuple[int, int, int, int, int]] = {}  # source -> window, its first and end place in the queue, offsets
 
     def window(j: int, w: int) -> tuple[int, int, int, int]:
-        a, b = plan.served(w), plan.served(w + 1)
-        return w, int(a[j]), int(b[j]), int(b[:j].sum() - a[:j].sum())
+        return w, *plan.window(w, j)
 
     for batch in in_slices(it, 1 << 20):
         rows, out = batch.to_pydict(), {k: [] for k in ("doc", "start", "length", "crc", "n", "seq", "offset", "ids")}
