@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,16 +17,47 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none (tests)."""
+    """The folder that driver and executors share.  Where the session names none, a local session (tests) gets one of its own and a cluster's is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_kept: dict[str, list[str]] = {}
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
+
+
+def note_kept(spark: SparkSession, path: str) -> str:
+    """Note a path that a returned result reads, for release()."""
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables and archives that this session's results read, once these results are no longer needed."""
+    _remove(spark, _kept.get(spark.sparkContext.applicationId, []))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or that with more underscores in front, which none of ``columns`` is called."""
+    while name.lower() in (c.lower() for c in columns):
+        name = "_" + name
+    return name
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those not kept.
+    """Tables written to the shared folder to cut lineage; ``drop`` removes those not kept, ``release`` the others.
 
     A written table outlives the executor that wrote it, and a lost task is rerun from it.
     """
@@ -35,7 +67,9 @@ class Scratch:
 
     def path(self, keep: bool = False) -> str:
         p = f"{self.root}/scratch-{uuid.uuid4().hex}"
-        if not keep:
+        if keep:
+            note_kept(self.spark, p)
+        else:
             self.paths.append(p)
         return p
 
@@ -44,13 +78,9 @@ class Scratch:
         df.write.parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self) -> None:
         """Remove every table written without ``keep`` so far."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
-        self.paths.clear()
+        _remove(self.spark, self.paths)
 
 
 def parts(spark: SparkSession) -> int:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 BLOCK_WORDS, SHARD_BLOCKS = 65_536, 16
+#: Blocks that numpy's draws can hold; blocks grow where a mix would have more.  A document up to this part of its target is taken whole or not at all.
+MOST_BLOCKS, TOLERANCE = 900_000_000, 0.01
 #: Sources the driver may hold (a row each); more is an error.
 MAX_SOURCES = 100_000
 
@@ -86,14 +88,15 @@ def mix_plan(
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``total`` times all words; a target stops
     at ``most`` times its source's words.  ``placements`` has one ``(copy, shard, words)`` for each time that the
-    mix takes the document; ``taken`` is the sum of words.  All copies are whole, except that the document in
-    which a source's target ends gives its first words only, so that taken adds up to the target's whole part.
+    mix takes the document; ``taken`` is the sum of words.  All copies are whole.  The document in which a
+    source's target ends is taken or left, whichever comes nearer to the target, where it holds up to TOLERANCE of it;
+    a larger one gives its first words only (its placement has fewer words than its size).
     A null text has no words and is never taken; rows that repeat a doc_id count each; an empty table gives no
     rows; further columns are ignored.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark)
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))  # rows that share an id are spread by their texts
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_h"), *keep)
     if not keep:
         base = tmp.write(base, keep=True)
@@ -105,6 +108,7 @@ def mix_plan(
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], total * sum(sizes), most)
     passes = [int(t // n) if n else 0 for t, n in zip(aims, sizes, strict=True)]
     rest = [int(t) - p * n for t, p, n in zip(aims, passes, sizes, strict=True)]
+    block_words = max(block_words, ceil((sum(aims) + sum(sizes)) / MOST_BLOCKS))
     blocks = [max(1, ceil(n / block_words)) for n in sizes]
     table = spark.createDataFrame(
         [(r.source, i, n, t, p, x, b, _odd_step(b, seed), (seed * (i + 1)) % b) for i, (r, n, t, p, x, b) in enumerate(zip(rows, sizes, aims, passes, rest, blocks, strict=True))],
@@ -138,7 +142,11 @@ def mix_plan(
     units = tmp.write(units, keep=True)
     tmp.drop()
     in_block = Window.partitionBy("s_no", "block").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(units, ["s_no", "block"], "left").withColumn("_left", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(in_block), F.lit(0)))))
+    out = dealt.join(units, ["s_no", "block"], "left")
+    left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(in_block), F.lit(0))))
+    out = out.withColumn("_part", left)
+    nearest = F.when(F.col("_part") * 2 >= F.col("size"), F.col("size")).otherwise(0)
+    out = out.withColumn("_left", F.when((F.col("_part") < F.col("size")) & (F.col("size") <= TOLERANCE * F.col("target")), nearest).otherwise(F.col("_part")))
     words = lambda u: F.when(u["copy"] < F.col("passes"), F.col("size")).otherwise(F.col("_left"))
     spots = F.transform("units", lambda u: F.struct(u["copy"].alias("copy"), u["shard"].alias("shard"), words(u).cast("bigint").alias("words")))
     out = out.withColumn("placements", F.filter(F.coalesce(spots, F.array()), lambda x: x["words"] > 0))
@@ -146,25 +154,30 @@ def mix_plan(
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "placements", *keep)
 
 
-def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy, with ``_shard`` and ``_order`` in the shard.
+def mix(docs: DataFrame, text_col: str = "text", shard_col: str = "_shard", order_col: str = "_order", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each copy, with its shard and its order in the shard.
 
-    The text of a copy that is cut has its first words joined by one space.
+    The text of a copy that is cut has its first words joined by one space.  ``shard_col`` and ``order_col`` must not be
+    columns of ``docs`` (see common.free_name).
     """
+    if {shard_col, order_col} & set(docs.columns):
+        raise ValueError("shard_col or order_col is a column of the documents")
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    rest = [c for c in docs.columns if c not in (id_col, source_col)]
-    boxed = docs.select(id_col, source_col, F.col(text_col).alias("_text"), F.struct(*rest).alias("_rest"))
-    plan = mix_plan(boxed, text_col="_text", keep=("_rest",), **options).select("doc_id", "source", "size", "_rest", F.explode("placements").alias("_spot"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"_rest.{text_col}"), F.lit(WORD), F.lit(0)), 1, F.col("_spot.words").cast("int")), " ")
-    text = F.when(F.col("_spot.words") < F.col("size"), cut).otherwise(F.col(f"_rest.{text_col}"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, source_col)]
+    boxed = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.struct(*rest).alias("_rest"))
+    plan = mix_plan(boxed, keep=("_rest",), **options | {"id_col": "i", "source_col": "s", "text_col": "t"}).select("doc_id", "source", "size", "_rest", F.explode("placements").alias("_spot"))
+    text = F.col("_rest").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("_spot.words").cast("int")), " ")
+    text = F.when(F.col("_spot.words") < F.col("size"), cut).otherwise(text)
     named = {id_col: F.col("doc_id"), source_col: F.col("source"), text_col: text}
     order = F.xxhash64("_spot.shard", "_spot.copy", F.col("doc_id").cast("string"))
-    return plan.select(*(named.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns), F.col("_spot.shard").alias("_shard"), order.alias("_order"))
+    kept = [named[c] if c in named else F.col("_rest").getField(c) for c in docs.columns]
+    return plan.select(*(x.alias(c) for x, c in zip(kept, docs.columns, strict=True)), F.col("_spot.shard").alias(shard_col), order.alias(order_col))
 
 
-def write_shards(mixed: DataFrame, path: str, shards: int) -> None:
+def write_shards(mixed: DataFrame, path: str, shards: int, shard_col: str = "_shard", order_col: str = "_order") -> None:
     """One folder per shard, its documents shuffled."""
-    mixed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
+    mixed.repartition(shards, shard_col).sortWithinPartitions(shard_col, order_col).drop(order_col).write.partitionBy(shard_col).parquet(path)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

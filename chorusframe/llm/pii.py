@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import Scratch, in_slices
 
@@ -372,7 +373,9 @@ def redact(docs: DataFrame, at_least: float = ACCEPT, text_col: str = "text") ->
             text = pa.array([None if t.as_py() is None else mask(t.as_py()) for t in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow can't take names with dots
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Quality by a regularised quadratic discriminant over transformed document statistics.
 
 Each class has its mean and covariance; a covariance is shrunk towards the pooled one and towards its own
-diagonal.  The score is the logistic of the log-density difference, whose Mahalanobis terms come from
-triangular solves with Cholesky factors that are made once.  The classes are fitted from sums of the
+diagonal.  The score is the logistic of the log-density difference, whose Mahalanobis terms come from the inverses of Cholesky factors, cached with the model.  The classes are fitted from sums of the
 features and of their products over all labelled rows, which Spark adds up; the driver gets one row for each
 class and moment.
 """
@@ -17,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import Scratch, byte_column, in_slices
 
@@ -153,20 +153,20 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with the columns of ``docs``, whose score reaches ``at_least``."""
+    """The documents, with the columns of ``docs``, whose score reaches ``at_least``.  Statistics are computed once, beside the documents."""
     tmp = Scratch(docs.sparkSession)
-    features = tmp.write(featured(docs, id_col, text_col))
-    model = train(features, labels)
-    tmp.drop()
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # mapInArrow can't take names with dots
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(it):
-            x = np.array([statistics(t) for t in byte_column(batch.column(place))], float).reshape(-1, len(FEATURES))
-            s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-            yield batch.filter(pa.array(s >= at_least))
+            x = pa.array([statistics(t) for t in byte_column(batch.column(place))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, "x"])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([*(StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)), StructField("x", ArrayType(DoubleType()))])
+    measured = tmp.write(docs.toDF(*plain).mapInArrow(run, schema), keep=True)
+    score = scorer(train(measured.select(F.col(plain[names.index(id_col)]).alias("doc_id"), "x"), labels))
+    return measured.where(score("x") >= at_least).select(*plain).toDF(*names)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     buckets = max(1, ceil(n_p / 8))
     name = f"passages_{uuid.uuid4().hex}"
     dealt = base.select(F.pmod(F.xxhash64("key"), F.lit(n_p)).alias("p"), "key", "text").mapInArrow(_combined, "p bigint, key binary, text string, n bigint")
-    dealt.repartition(buckets, "p").write.bucketBy(buckets, "p").saveAsTable(name)
+    dealt.repartition(buckets, "p").write.bucketBy(buckets, "p").option("path", tmp.path()).saveAsTable(name)  # in the shared folder, not the warehouse
     table = spark.table(name)
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
