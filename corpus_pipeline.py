@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorusframe.llm import minhash, mixing, packing, pii, quality
-from chorusframe.llm.common import shared_dir
+from chorusframe.llm.common import free_name, note_kept, shared_dir
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mix = mixing.mix(docs)
-    return _measured(mix.repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_shard", "_order"))
+    shard, order = free_name(docs.columns, "_shard"), free_name(docs.columns, "_order")
+    mix = mixing.mix(docs, shard_col=shard, order_col=order)
+    return _measured(mix.repartition(shard).sortWithinPartitions(shard, order).drop(shard, order))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root = note_kept(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{name}")
