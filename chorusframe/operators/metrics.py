@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
 from .sessions import rolled_up
 
 
@@ -233,8 +234,12 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """An order-free digest of a table: rows, and the xor and sum of their hashes, so that repeated rows count."""
-    h = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)))
+    """An order-free digest of a table: rows, and the xor and sum of 60 bits of their MD5, so that repeated rows count.
+
+    Columns go by name; values are told apart from nulls by a mark in front.
+    """
+    cells = (F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(df.columns))
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells).cast("binary")), 1, 15), 16, 10).cast("bigint")
     return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"))
 
 
@@ -248,8 +253,7 @@ def fold_summary(folds: DataFrame, metrics: Sequence[str], weight: str) -> DataF
 def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with ties averaged, from counts by value."""
     per = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_v")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by).orderBy("_v") if by else Window.partitionBy(F.lit(0)).orderBy("_v")
-    below = F.sum("q").over(w) - F.col("q")
-    won = per.withColumn("u", F.col("p") * (below + F.col("q") / 2))
+    per = running(per, by, [F.col("_v").asc()], {"_upto": F.col("q")})
+    won = per.withColumn("u", F.col("p") * (F.col("_upto") - F.col("q") / 2))
     out = won.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("u").alias("_u"))
     return out.withColumn("auc", F.try_divide("_u", F.col("positives") * F.col("negatives"))).drop("_u")

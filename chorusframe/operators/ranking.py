@@ -9,48 +9,58 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..schema import KEYS
+from .prefix import running
 from .sessions import EPISODE_GAP_S, assign_episodes
 
 #: Signals and whether a larger value is more likely genuine.
 SIGNALS = {"confidence": True, "softmax_margin": True, "n_neighbours": True, "mahalanobis_d2": False}
 
 
-def percentile_rank(column: str, group: str = "station", larger_first: bool = False, nulls: str = "top") -> Column:
-    """Rank over the group's size, ties averaged.  Missing values tie at the top, or with ``nulls="bottom"`` at the bottom.
+def _ranks(det: DataFrame, columns: dict[str, bool], group: str, nulls: str) -> DataFrame:
+    """``_k, _g, _v, _pct``: the percentile of each value of each column (by number) in each group, from counts by value."""
+    values = F.array(*(F.struct(F.lit(k).alias("_k"), (-F.col(c) if up else F.col(c)).cast("double").alias("_v")) for k, (c, up) in enumerate(columns.items())))
+    per = det.select(F.col(group).alias("_g"), F.explode(values).alias("x")).groupBy("x._k", "_g", "x._v").agg(F.count("*").alias("_n"))
+    order = F.col("_v").asc_nulls_last() if nulls == "top" else F.col("_v").asc_nulls_first()
+    upto = running(per, ["_k", "_g"], [order], {"_upto": F.col("_n")})
+    size = det.groupBy(F.col(group).alias("_h")).agg(F.count("*").alias("_all"))
+    mean = F.col("_upto") - F.col("_n") + 1 + (F.col("_n") - 1) / 2
+    return upto.join(size, F.col("_g").eqNullSafe(F.col("_h"))).select("_k", "_g", "_v", (mean / F.col("_all")).alias("_pct"))
+
+
+def _with_ranks(det: DataFrame, columns: dict[str, bool], group: str, nulls: str) -> DataFrame:
+    """Adds ``_pct0``, ``_pct1`` and so on."""
+    ranks, out = cut(_ranks(det, columns, group, nulls)), det
+    for k, (c, up) in enumerate(columns.items()):
+        r = ranks.where(F.col("_k") == k).select(F.col("_g").alias(f"_g{k}"), F.col("_v").alias(f"_v{k}"), F.col("_pct").alias(f"_pct{k}"))
+        v = (-F.col(c) if up else F.col(c)).cast("double")
+        out = out.join(r, F.col(group).eqNullSafe(F.col(f"_g{k}")) & v.eqNullSafe(F.col(f"_v{k}"))).drop(f"_g{k}", f"_v{k}")
+    return out
+
+
+def percentile_rank(det: DataFrame, column: str, name: str, group: str = "station", larger_first: bool = False, nulls: str = "top") -> DataFrame:
+    """Adds ``name``: rank over the group's size, ties averaged.  Missing values tie at the top, or with ``nulls="bottom"`` at the bottom.
 
     The default keeps the convention that a missing signal never counts against a detection.
     """
-    v = F.col(column) if not larger_first else -F.col(column)
-    order = v.asc_nulls_last() if nulls == "top" else v.asc_nulls_first()
-    ties = F.count(F.lit(1)).over(Window.partitionBy(group, column))
-    return (F.rank().over(Window.partitionBy(group).orderBy(order)) + (ties - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy(group))
+    return _with_ranks(det, {column: larger_first}, group, nulls).withColumnRenamed("_pct0", name)
 
 
 def rank_score(signals: dict[str, bool] | None = None, group: str = "station", nulls: str = "top") -> Callable[[DataFrame], DataFrame]:
     """Mean within-station percentile of the signals that the table has; null if it has none."""
 
     def run(det: DataFrame) -> DataFrame:
-        use = {c: up for c, up in (signals or SIGNALS).items() if c in det.columns}
-        parts = [percentile_rank(c, group, not up, nulls) for c, up in use.items()]
-        return det.withColumn("rank_score", sum(parts[1:], parts[0]) / len(parts) if parts else F.lit(None).cast("double"))
+        use = {c: not up for c, up in (signals or SIGNALS).items() if c in det.columns}
+        if not use:
+            return det.withColumn("rank_score", F.lit(None).cast("double"))
+        names = [f"_pct{k}" for k in range(len(use))]
+        return _with_ranks(det, use, group, nulls).withColumn("rank_score", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
 
     return run
 
 
 def prefix_count(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Number all rows from 1 in the given order without gathering them in one task.
-
-    Rows are range-partitioned, counted by partition (a row each on the driver side of the join), and numbered
-    locally from their partition's offset.
-    """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # Fixed in the shared folder: both uses below must see the same partitions.
-    spread = cut(spread.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    local = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_o", before).select("_p", "_o")
-    return spread.withColumn("_l", local).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_l") + 1).drop("_p", "_m", "_l", "_o")  # one row a partition
+    """Number all rows from 1 in the given order without gathering them in one task."""
+    return running(df, [], order, {name: F.lit(1).cast("bigint")})
 
 
 def effort_curve(det: DataFrame, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75), score: str = "rank_score", group: str = "station") -> DataFrame:
@@ -73,8 +83,9 @@ def effort_curve(det: DataFrame, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0
 def effort_by_station(det: DataFrame, fraction: float = 0.5, score: str = "rank_score", group: str = "station") -> DataFrame:
     """Each station's calls found in its own best share, recall, ceiling, average precision and that of a random order."""
     rows = det.where("verdict IN ('call', 'false_positive')").withColumn("hit", (F.col("verdict") == "call").cast("int"))
-    w = Window.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), "det_id")
-    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("cum", F.sum("hit").over(w)).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    rows = running(rows.select(group, "det_id", "hit", score), [group], [F.col(score).desc_nulls_last(), F.col("det_id").asc()], {"pos": F.lit(1).cast("bigint"), "cum": F.col("hit")})
+    size = rows.groupBy(F.col(group).alias("_h")).agg(F.count("*").alias("n"))
+    rows = rows.join(size, F.col(group).eqNullSafe(F.col("_h")))
     k = F.bround(F.col("n") * fraction)
     out = rows.groupBy(group).agg(
         F.count("*").alias("n"), F.sum("hit").alias("calls"), F.coalesce(F.sum(F.when(F.col("pos") <= k, F.col("hit"))), F.lit(0)).alias("found"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .prefix import running
+
 MIN_FRACTION, MIN_RATIO, MIN_ROWS = 0.25, 2.0, 10
 INVADED, NORMAL = "invaded", "normal"
 
@@ -16,17 +19,19 @@ def station_regimes(det: DataFrame, tight: str = "knn_dist", distance: str = "ma
     median distance to the training data above that of the rest.
     """
     known = det.where(F.col(tight).isNotNull()).select(group, "det_id", F.col(tight).alias("t"), F.col(distance).alias("d"))
-    w = Window.partitionBy(group).orderBy("t", "det_id")
-    rows = known.withColumn("pos", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy(group)))
-    ratio = F.lead("t").over(w) / F.greatest("t", F.lit(1e-9))
+    rows = cut(running(known, [group], [F.col("t").asc(), F.col("det_id").asc()], {"pos": F.lit(1).cast("bigint")}))
+    size = rows.groupBy(group).agg(F.count("*").alias("m"))
+    after = rows.select(group, (F.col("pos") - 1).alias("pos"), F.col("t").alias("next"))
+    rows = rows.join(after, [group, "pos"], "left").join(size, group)
+    ratio = F.col("next") / F.greatest("t", F.lit(1e-9))
     lowest = F.greatest(F.lit(1), F.floor(F.col("m") * min_fraction))
     rows = rows.withColumn("ratio", F.when(F.col("pos") >= lowest, ratio))
-    cut = rows.groupBy(group).agg(F.max("m").alias("m"), F.max(F.when(F.col("ratio").isNotNull(), F.struct("ratio", (-F.col("pos")).alias("at")))).alias("best"))
-    cut = cut.select(group, "m", F.col("best.ratio").alias("gap_ratio"), (-F.col("best.at")).alias("cluster"))
-    sides = rows.join(cut.select(group, "cluster"), group).groupBy(group).agg(
+    best = rows.groupBy(group).agg(F.max("m").alias("m"), F.max(F.when(F.col("ratio").isNotNull(), F.struct("ratio", (-F.col("pos")).alias("at")))).alias("best"))
+    cluster = best.select(group, "m", F.col("best.ratio").alias("gap_ratio"), (-F.col("best.at")).alias("cluster"))
+    sides = rows.join(cluster.select(group, "cluster"), group).groupBy(group).agg(
         F.median(F.when(F.col("pos") <= F.col("cluster"), F.col("d"))).alias("cluster_distance"), F.median(F.when(F.col("pos") > F.col("cluster"), F.col("d"))).alias("rest_distance")
     )
-    out = det.groupBy(group).agg(F.count("*").alias("n")).join(cut, group, "left").join(sides, group, "left")
+    out = det.groupBy(group).agg(F.count("*").alias("n")).join(cluster, group, "left").join(sides, group, "left")
     verdict = (
         F.when(F.coalesce("m", F.lit(0)) < MIN_ROWS, "too few detections")
         .when(F.col("gap_ratio").isNull() | (F.col("gap_ratio") < min_ratio), "no gap")
@@ -41,7 +46,6 @@ def station_regimes(det: DataFrame, tight: str = "knn_dist", distance: str = "ma
 def flag_invading_cluster(det: DataFrame, tight: str = "knn_dist", group: str = "station", **options) -> DataFrame:
     """Adds ``flag_invading_cluster`` and ``station_regime``."""
     found = station_regimes(det, tight=tight, group=group, **options).where(F.col("verdict") == INVADED).select(group, F.col("cluster").alias("_cluster"))
-    w = Window.partitionBy(group).orderBy(F.col(tight).asc_nulls_last(), "det_id")
-    out = det.withColumn("_pos", F.row_number().over(w)).join(found, group, "left")
+    out = running(det, [group], [F.col(tight).asc_nulls_last(), F.col("det_id").asc()], {"_pos": F.lit(1).cast("bigint")}).join(found, group, "left")
     flag = F.coalesce(F.col("_pos") <= F.col("_cluster"), F.lit(False)) & F.col(tight).isNotNull()
     return out.withColumn("flag_invading_cluster", flag).withColumn("station_regime", F.when(F.col("_cluster").isNotNull(), INVADED).otherwise(NORMAL)).drop("_pos", "_cluster")

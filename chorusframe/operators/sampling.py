@@ -1,4 +1,4 @@
-"""Seeded samples and splits.  Draws are hashes of (seed, key), so they do not depend on partitioning or order."""
+"""Seeded samples and splits.  Draws are MD5 hashes of (seed, keys), so they do not depend on partitioning or order, and any engine can repeat them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def draw(seed: int, *keys: str) -> Column:
-    """A uniform number in (0, 1) for the row's keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    """A uniform number in (0, 1) for the row's keys: 32 bits of the MD5 of seed and keys, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") + 0.5) / float(1 << 32)
 
 
 def plan_segments(recordings: DataFrame, segments: int, segment_s: float = 300.0, seed: int = 0, group: str = "station") -> DataFrame:
@@ -97,10 +98,10 @@ def group_sample(df: DataFrame, group: str, groups: int, seed: int = 0) -> DataF
 
 
 def listening_sheet(clips: DataFrame, seed: int = 0) -> DataFrame:
-    """A shuffled sheet with a running number and a blank verdict."""
+    """A shuffled sheet with species, station (the clip's folder), a running number and a blank verdict."""
     from ..functions import parse
     from .ranking import prefix_count
 
     name = parse.base_name(F.col("path"))
-    rows = clips.select("path", parse.clip_species(name).alias("species"), parse.clip_confidence(name).alias("confidence"), F.lit("").alias("verdict"), draw(seed, "path").alias("_u"))
+    rows = clips.select("path", parse.clip_species(name).alias("species"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("station"), parse.clip_confidence(name).alias("confidence"), F.lit("").alias("verdict"), draw(seed, "path").alias("_u"))
     return prefix_count(rows, [F.col("_u").asc(), F.col("path").asc()], "number").drop("_u")

@@ -6,14 +6,18 @@ fold trains on is the total less its own station.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import hour_fraction
+from ..plans.lineage import cut
 from .metrics import auc, is_call, is_false, outcome
+from .prefix import running, spread_by
 from .ranking import SIGNALS, effort_by_station, rank_score
+from .sampling import draw
 
 
 def histogram(det: DataFrame, column: str, by: Sequence[str] = ("station",)) -> DataFrame:
@@ -232,8 +236,7 @@ def confidence_sweep(det: DataFrame, cuts: Sequence[float] = tuple(x / 20 for x
 def best_balanced(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """The observed value that splits best by balanced accuracy (at or above is positive); the smallest on a tie."""
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("cut")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("cut"))  # one row a distinct value
-    out = per.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
+    out = running(per, [], [F.desc("cut")], {"tp": F.col("p"), "fp": F.col("q")})
     whole = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     out = out.crossJoin(whole).withColumn("balanced", (F.try_divide("tp", "all_p") + 1 - F.try_divide("fp", "all_q")) / 2)
     return out.agg(F.max(F.struct("balanced", (-F.col("cut")).alias("c"))).alias("b")).select((-F.col("b.c")).alias("cut"), F.col("b.balanced").alias("balanced_accuracy"))
@@ -242,11 +245,33 @@ def best_balanced(df: DataFrame, score: str, positive: Column) -> DataFrame:
 def recall_threshold(df: DataFrame, score: str, recall: float, by: Sequence[str] = ()) -> DataFrame:
     """The score that keeps ``recall`` of the calls: the order statistic at floor((1 - recall) * n), from counts by value."""
     per = df.where(is_call() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("v")).agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    out = per.withColumn("upto", F.sum("n").over(group.orderBy("v"))).withColumn("all", F.sum("n").over(group))
+    whole = per.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.sum("n").alias("all"))
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    upto = running(per, by, [F.col("v").asc()], {"upto": F.col("n")})
+    out = upto.join(whole, functools.reduce(lambda a, b: a & b, on)) if by else upto.crossJoin(whole)  # whole is one row
     return out.where(F.col("upto") > F.floor((1 - recall) * F.col("all"))).groupBy(*by).agg(F.min("v").alias("threshold"))
 
 
+def _threshold_elsewhere(scores: DataFrame, recall: float) -> DataFrame:
+    """``station, loso``: recall_threshold() of the calls of all other stations.
+
+    Counts by value lie in range partitions; sums by partition and station show in which partition a station's threshold
+    lies, and only that partition's counts are looked at.
+    """
+    per = spread_by(scores.where(is_call() & F.col("score").isNotNull()).groupBy("station", F.col("score").alias("v")).agg(F.count("*").alias("n")), [F.col("v").asc(), F.col("station").asc()])
+    parts = cut(per.groupBy("_p", "station").agg(F.sum("n").alias("n")))
+    folds = scores.select(F.col("station").alias("fold")).distinct()
+    others = parts.groupBy("_p").agg(F.sum("n").alias("n")).crossJoin(folds)  # a row for each partition and station
+    own = parts.select("_p", F.col("station").alias("fold"), F.col("n").alias("own"))
+    others = others.join(own, ["_p", "fold"], "left").select("_p", "fold", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
+    w = Window.partitionBy("fold").orderBy("_p")
+    at = others.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("fold"))).withColumn("rank", F.floor((1 - recall) * F.col("all")))
+    at = at.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("_p", "fold", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"))
+    near = per.join(at, "_p").where("station <> fold").groupBy("fold", "left", "v").agg(F.sum("n").alias("n"))
+    near = near.withColumn("upto", F.sum("n").over(Window.partitionBy("fold").orderBy("v")))  # within one range partition
+    return near.where(F.col("upto") > F.col("left")).groupBy(F.col("fold").alias("station")).agg(F.min("v").alias("loso"))
+
+
 def fold_masks(manifest: DataFrame, stations: Sequence[str]) -> DataFrame:
     """For each fold and clip: train if it cannot be from the fold's station, evaluate if it can only be, else neither."""
     folds = manifest.sparkSession.createDataFrame([(s,) for s in stations], "fold string")
@@ -258,9 +283,7 @@ def fold_masks(manifest: DataFrame, stations: Sequence[str]) -> DataFrame:
 def score_folds(scores: DataFrame, deployed: float = 0.5, recall: float = 0.95) -> DataFrame:
     """By station: precision and calls kept at the deployed threshold, at the threshold of matched recall on its own calls, and at that of the other stations."""
     own = recall_threshold(scores, "score", recall, ("station",)).withColumnRenamed("threshold", "matched")
-    folds = scores.select(F.col("station").alias("fold")).distinct()
-    rest = recall_threshold(scores.crossJoin(F.broadcast(folds)).where("station <> fold"), "score", recall, ("fold",)).select(F.col("fold").alias("station"), F.col("threshold").alias("loso"))
-    rows = scores.join(own, "station", "left").join(rest, "station", "left")
+    rows = scores.join(own, "station", "left").join(_threshold_elsewhere(scores, recall), "station", "left")
     out = []
     for name, cut in (("deployed", F.lit(deployed)), ("matched", F.col("matched")), ("loso", F.col("loso"))):
         kept, left = F.count_if(is_call() & (F.col("score") >= cut)), F.count_if((is_call() | is_false()) & (F.col("score") >= cut))
@@ -331,7 +354,7 @@ def delta_interval(deltas: DataFrame, rounds: int = 1000, seed: int = 0) -> Data
     w = Window.partitionBy(F.lit(0)).orderBy("station")
     rows = deltas.where("delta IS NOT NULL").withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))  # a row a station
     draws = rows.select("m").distinct().join(deltas.sparkSession.range(rounds).withColumnRenamed("id", "round")).select("round", "m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("k"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "round", "k"), F.col("m")))
+    draws = draws.withColumn("i", F.floor(draw(seed, "round", "k") * F.col("m")))
     means = draws.join(F.broadcast(rows.select("i", "delta")), "i").groupBy("round").agg(F.avg("delta").alias("mean"))
     ci = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     top = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("delta"), "station"))
@@ -367,18 +390,26 @@ def probe_loso(df: DataFrame, features: Sequence[str], positive: str = "positive
 
 
 def confidence_baseline(det: DataFrame, removed: Column) -> DataFrame:
-    """A rule against dropping as many of the least confident rows: the two precisions and the difference."""
+    """A rule against dropping as many of the least confident rows (by det_id where tied): the two precisions and the difference."""
     gone = F.coalesce(removed, F.lit(False))
     rows = det.where(is_call() | is_false())
-    rule = rows.agg(F.count_if(gone).cast("int").alias("removed"), F.try_divide(F.count_if(is_call() & ~gone), F.count_if(~gone)).alias("rule_precision"))
+    rule = rows.agg(F.count_if(gone).alias("removed"), F.try_divide(F.count_if(is_call() & ~gone), F.count_if(~gone)).alias("rule_precision"))
     k = rule.first()["removed"]
-    low = rows.select("det_id", "confidence").orderBy(F.asc_nulls_first("confidence"), "det_id").limit(k).select("det_id")
-    left = rows.join(low, "det_id", "left_anti").agg(F.try_divide(F.count_if(is_call()), F.count("*")).alias("baseline_precision"))
-    return rule.crossJoin(left).withColumn("advantage", F.col("rule_precision") - F.col("baseline_precision"))
+    per = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(is_call()).alias("calls"))
+    upto = cut(running(per, [], [F.asc_nulls_first("confidence")], {"upto": F.col("n")}))
+    left = upto.where(F.col("upto") > k).agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    edge = upto.where((F.col("upto") > k) & (F.col("upto") - F.col("n") < k)).select("confidence", (k - F.col("upto") + F.col("n")).alias("more")).first()  # a value that is dropped in part
+    if edge:
+        tied = rows.where(F.col("confidence").eqNullSafe(F.lit(edge["confidence"]))).select("det_id", is_call().cast("int").alias("hit"))
+        tied = running(tied, [], [F.col("det_id").asc()], {"position": F.lit(1).cast("bigint")}).where(F.col("position") <= edge["more"]).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("h"), F.count("*").alias("m"))
+        left = left.crossJoin(tied).select((F.col("calls") - F.col("h")).alias("calls"), (F.col("n") - F.col("m")).alias("n"))  # one row each
+    baseline = left.select(F.try_divide("calls", "n").alias("baseline_precision"))
+    return rule.withColumn("removed", F.col("removed").cast("int")).crossJoin(baseline).withColumn("advantage", F.col("rule_precision") - F.col("baseline_precision"))
 
 
 def suggest_threshold(det: DataFrame, keep_share: float) -> DataFrame:
     """The confidence that leaves that share of detections."""
-    n = det.where("confidence IS NOT NULL").count()
-    k = max(1, int(n * keep_share))
-    return det.where("confidence IS NOT NULL").select("confidence", "det_id").orderBy(F.desc("confidence"), "det_id").offset(k - 1).limit(1).select(F.lit(k).alias("kept"), F.col("confidence").alias("threshold"))
+    per = det.where("confidence IS NOT NULL").groupBy("confidence").agg(F.count("*").alias("n"))
+    upto = running(per, [], [F.desc("confidence")], {"upto": F.col("n")})
+    k = per.agg(F.greatest(F.lit(1), F.floor(F.sum("n") * F.lit(float(keep_share)))).cast("int").alias("kept"))
+    return upto.crossJoin(k).where(F.col("upto") >= F.col("kept")).groupBy("kept").agg(F.max("confidence").alias("threshold"))  # k is one row

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
+from math import ceil
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-SIZE_S, STRIDE_S = 2.0, 1.0
+from ..plans.lineage import cut
+
+SIZE_S, STRIDE_S, TASK_ROWS = 2.0, 1.0, 50_000
 
 
 def sliding_windows(recordings: DataFrame, size_s: float = SIZE_S, stride_s: float = STRIDE_S) -> DataFrame:
@@ -24,35 +30,53 @@ def sliding_windows(recordings: DataFrame, size_s: float = SIZE_S, stride_s: flo
     return recordings.select("recording", F.posexplode(starts).alias("win_no", "start_s")).withColumn("end_s", F.col("start_s") + size_s)
 
 
-def _suppress(pdf: pd.DataFrame, iou: float) -> pd.DataFrame:
-    kept: list[tuple[float, float]] = []
-    rows = []
-    for i, r in pdf.sort_values(["confidence", "det_id"], ascending=[False, True]).iterrows():
-        if all(_iou(r.start_s, r.end_s, a, b) < iou for a, b in kept):
-            kept.append((r.start_s, r.end_s))
-            rows.append(i)
-    return pdf.loc[rows]
-
-
-def _iou(a: float, b: float, c: float, d: float) -> float:
-    shared = max(0.0, min(b, d) - max(a, c))
-    whole = (b - a) + (d - c) - shared
-    return shared / whole if whole > 0 else 0.0
+def _suppress(t: pa.Table, iou: float) -> pa.Table:
+    """The rows that stay of many chains.  Those kept so far are held in order of their starts, so that a row meets only those near it."""
+    start, end = t["start_s"].to_numpy(), t["end_s"].to_numpy()
+    score = t["confidence"].to_pandas().to_numpy(float)
+    order = np.lexsort((t["det_id"].to_pandas().to_numpy(), np.where(np.isnan(score), np.inf, -score)))
+    kept: dict[int, tuple[list[float], list[float]]] = {}
+    longest: dict[int, float] = {}
+    out = []
+    for i, c, a, b in zip(order.tolist(), t["_chain"].to_numpy()[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+        starts, ends = kept.setdefault(c, ([], []))
+        k = bisect.bisect_left(starts, b) - 1
+        far = a - longest.get(c, 0.0)
+        while k >= 0 and starts[k] > far:
+            shared = min(b, ends[k]) - max(a, starts[k])
+            if shared > 0 and shared / (b - a + ends[k] - starts[k] - shared) >= iou:
+                break
+            k -= 1
+        else:
+            at = bisect.bisect_right(starts, a)
+            starts.insert(at, a)
+            ends.insert(at, b)
+            longest[c] = max(longest.get(c, 0.0), b - a)
+            out.append(i)
+    return t.take(pa.array(sorted(out), pa.int64()))
 
 
 def suppress_overlaps(det: DataFrame, iou: float = 0.5, keys: Sequence[str] = ("recording", "species")) -> DataFrame:
     """Greedy non-maximum suppression in each recording and species: the most confident window stays, those that overlap it by ``iou`` go.
 
-    Rows are first cut into chains of windows that touch, which no suppression crosses; a chain of one stays as it is.
+    Of equal windows only the best can stay, so each is one row before anything is ordered: what a task holds of a recording
+    is bounded by its distinct windows.  Rows are cut into chains of windows that touch, which no suppression
+    crosses; a chain of one stays as it is, and tasks take about TASK_ROWS rows of whole chains.  Windows without length
+    overlap nothing.  Rows without confidence come last.  ``iou`` lies above 0 and up to 1.
     """
-    w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "det_id")
+    if not 0 < iou <= 1:
+        raise ValueError("iou must lie above 0 and up to 1")
+    row = F.struct(*(F.col(f"`{c}`") for c in det.columns)).alias("row")
+    best = F.min(F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), F.col("det_id"), row)).alias("b")
+    long = det.where("end_s > start_s").groupBy(*keys, "start_s", "end_s").agg(best).select("b.row.*")
+    w = Window.partitionBy(*keys).orderBy("start_s", "end_s")
     reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    chained = det.withColumn("_new", F.when(reach.isNull() | (F.col("start_s") >= reach), 1).otherwise(0)).withColumn("_chain", F.sum("_new").over(w)).drop("_new")
-    chained = chained.withColumn("_len", F.count("*").over(Window.partitionBy(*keys, "_chain")))
-    alone = chained.where("_len = 1")
-    many = chained.where("_len > 1")
-    many = many.groupBy(*keys, "_chain").applyInPandas(lambda pdf: _suppress(pdf, iou), many.schema)
-    return alone.unionByName(many).drop("_chain", "_len")
+    chained = long.withColumn("_new", F.when(reach.isNull() | (F.col("start_s") >= reach), 1).otherwise(0)).withColumn("_no", F.sum("_new").over(w)).drop("_new")
+    chained = cut(chained.withColumn("_chain", F.xxhash64(*keys, "_no")).withColumn("_len", F.count("*").over(Window.partitionBy(*keys, "_no"))).drop("_no"))
+    many = chained.where("_len > 1").drop("_len")
+    tasks = ceil(many.count() / TASK_ROWS) + 1
+    many = many.withColumn("_task", F.pmod("_chain", F.lit(tasks))).groupBy("_task").applyInArrow(lambda t: _suppress(t, iou), StructType([*many.schema.fields, StructField("_task", LongType())]))
+    return chained.where("_len = 1").select(*det.columns).unionByName(many.select(*det.columns)).unionByName(det.where("NOT coalesce(end_s > start_s, false)"))
 
 
 def threshold_counts(det: DataFrame, thresholds: Sequence[float], iou: float = 0.5) -> DataFrame:

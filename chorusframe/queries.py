@@ -113,7 +113,7 @@ SCORE = f"({RANK.format('confidence', 'ASC')} + {RANK.format('n_neighbours', 'AS
 
 @query(f"SELECT det_id, {m(RANK.format('mahalanobis_d2', 'ASC'), 'pct')} FROM sig", sig=SIG)
 def w7_percentile_rank(sig):
-    return sig.select("det_id", micro(ranking.percentile_rank("mahalanobis_d2")).alias("pct"))
+    return ranking.percentile_rank(sig, "mahalanobis_d2", "pct").select("det_id", micro("pct").alias("pct"))
 
 
 @query(f"SELECT det_id, {m(SCORE, 'rank_score')} FROM sig", sig=SIG)
@@ -165,7 +165,17 @@ def w11_flag_invading(sig):
     return regime.flag_invading_cluster(sig.drop("flag_invading_cluster")).groupBy("station", "station_regime").agg(F.count_if("flag_invading_cluster").alias("flagged"))
 
 
-@query(sig=SIG)
+SQL["w11_flag_invading"] = f"SELECT station, CASE WHEN verdict = 'invaded' THEN 'invaded' ELSE 'normal' END AS station_regime, CASE WHEN verdict = 'invaded' THEN CAST(cluster AS BIGINT) ELSE 0 END AS flagged FROM ({SQL['w11_station_regimes']})"
+
+
+QUEUE = (
+    EPISODE.replace("FROM det)", "FROM sig)")
+    + f""", r AS (SELECT *, {SCORE} AS rank_score FROM episode), x AS (SELECT *, max(rank_score) OVER e AS best, count(*) OVER e AS episode_size, row_number() OVER (PARTITION BY station, recording, species, episode_no ORDER BY rank_score DESC NULLS LAST, start_s, det_id) = 1 AS listen_first
+ FROM r WINDOW e AS (PARTITION BY station, recording, species, episode_no)), queue AS (SELECT *, row_number() OVER (ORDER BY best DESC NULLS LAST, station, recording, species, episode_no, rank_score DESC NULLS LAST, start_s, det_id) AS queue_no FROM x)"""
+)
+
+
+@query(f"{QUEUE} SELECT queue_no, det_id, CAST(episode_no AS BIGINT) AS episode_no, episode_size, listen_first FROM queue", sig=SIG)
 def w13_review_queue(sig):
     return ranking.build_queue(sig).select("queue_no", "det_id", "episode_no", "episode_size", "listen_first")
 
@@ -175,7 +185,11 @@ def w14_priority_dedupe(man):
     return ranking.keep_first(man, ["content_hash"], [F.desc_nulls_last("verified"), F.col("source"), F.col("path")]).select("content_hash", "path")
 
 
-@query(det=DET)
+@query(
+    # Windows are two seconds long and begin at whole seconds, so only equal ones overlap by half; tests compare others with brute force.
+    "SELECT det_id, recording, species, start_s FROM det QUALIFY row_number() OVER (PARTITION BY recording, species, start_s ORDER BY confidence DESC, det_id) = 1",
+    det=DET,
+)
 def w15_suppress_overlaps(det):
     return windows.suppress_overlaps(det).select("det_id", "recording", "species", "start_s")
 
@@ -467,7 +481,10 @@ def a30_confusion_matrix(pred):
     return metrics.confusion_matrix(pred)
 
 
-@query(det=DET)
+@query(
+    "WITH k AS (SELECT species, confidence FROM det QUALIFY row_number() OVER (PARTITION BY recording, species, start_s ORDER BY confidence DESC, det_id) = 1), t AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS threshold) SELECT threshold, species, count(*) AS n FROM k JOIN t ON confidence >= threshold GROUP BY ALL",
+    det=DET,
+)
 def a31_threshold_counts(det):
     return windows.threshold_counts(det, (0.3, 0.5, 0.7))
 
@@ -486,9 +503,15 @@ def a34_class_weights(man):
     return metrics.class_weights(man)
 
 
-@query(man=MAN)
+_CELLS = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat('=', CAST({c} AS VARCHAR)) END" for c in ("content_hash", "doc_id", "label", "path", "source", "station", "verified"))
+
+
+@query(
+    f"WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws(chr(31), {_CELLS})), 1, 15) AS BIGINT) AS h FROM man) SELECT count(*) AS rows, bit_xor(h) AS xor, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total FROM h",
+    man=MAN,
+)
 def a35_fingerprint(man):
-    return metrics.table_fingerprint(man)
+    return metrics.table_fingerprint(man.drop("target_score"))
 
 
 @query(f"WITH f AS (SELECT station, count(*) AS n, count(*) FILTER (verdict = 'call') / count(*) AS p FROM det GROUP BY station) SELECT 'precision' AS metric, {m('sum(p * n) / sum(n)', 'pooled')}, {m('avg(p)', 'macro')}, count(*) AS folds FROM f", det=DET)
@@ -840,17 +863,59 @@ def l6_two_protocol_cv(sig):
     return search.two_protocol_cv(sig).select("fold", *long(*OUT), "cut", "precision")
 
 
-@query(sig=SIG)
+def ap_sql(order: str, name: str, share: float = 0.5) -> str:
+    """``station, name, ap, of_ceiling`` of reviewing each station in an order."""
+    return f"""SELECT station, '{name}' AS name, avg(cum / pos) FILTER (hit = 1) AS ap, CASE WHEN least(sum(hit), round_even(count(*) * {share}, 0)) > 0 THEN coalesce(sum(hit) FILTER (pos <= round_even(n * {share}, 0)), 0) / least(sum(hit), round_even(count(*) * {share}, 0)) END AS of_ceiling
+ FROM (SELECT station, CASE WHEN verdict = 'call' THEN 1 ELSE 0 END AS hit, row_number() OVER w AS pos, sum(CASE WHEN verdict = 'call' THEN 1 ELSE 0 END) OVER w AS cum, count(*) OVER (PARTITION BY station) AS n FROM scored WINDOW w AS (PARTITION BY station ORDER BY {order})) GROUP BY station"""
+
+
+#: Orders in which a missing signal ties at the top, as in the rank score.
+_ORDERS = {"confidence": "confidence DESC NULLS FIRST, det_id", "n_neighbours": "n_neighbours DESC NULLS FIRST, det_id", "mahalanobis_d2": "mahalanobis_d2 ASC NULLS FIRST, det_id"}
+_BOTH = f"({RANK.format('confidence', 'ASC')} + {RANK.format('n_neighbours', 'ASC')}) / 2"
+_CM = f"({RANK.format('confidence', 'ASC')} + {RANK.format('mahalanobis_d2', 'DESC')}) / 2"
+SCORED = f"WITH scored AS (SELECT *, {SCORE} AS score, {_BOTH} AS both, {_CM} AS far FROM sig)"
+
+_FOLD_Q = ", ".join(repr(q) for q in search.quantiles(6))
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT station AS fold FROM sig), q AS (SELECT fold, list_concat([min(knn_dist) - 1], quantile_cont(knn_dist, [{_FOLD_Q}])) AS c, list_concat([NULL], quantile_cont(mahalanobis_d2, [0.5, 0.8])) AS l FROM sig, f WHERE station <> fold GROUP BY fold),
+g AS (SELECT DISTINCT fold, cut, least FROM (SELECT fold, unnest(c) AS cut, l FROM q) t, unnest(t.l) AS u(least)),
+p AS (SELECT fold, station, cut, least, station = fold AS own, count(*) AS n, count(*) FILTER (h) AS hits, count(*) FILTER (verdict = 'call') AS calls, count(*) FILTER (verdict <> 'call') AS fps, count(*) FILTER (h AND verdict = 'call') AS hc, count(*) FILTER (h AND verdict <> 'call') AS hf
+ FROM (SELECT sig.*, g.*, coalesce(knn_dist <= cut AND (least IS NULL OR mahalanobis_d2 >= least), false) AS h FROM sig, g) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN hits >= 0.25 * n THEN hc ELSE 0 END AS calls_lost, CASE WHEN hits >= 0.25 * n THEN hf ELSE 0 END AS fps_removed FROM p), b AS (SELECT *, calls - calls_lost AS calls_kept, calls - calls_lost + fps - fps_removed AS "left" FROM a),
+t AS (SELECT fold, cut, least, sum(calls_kept) AS k, sum(calls_lost) AS x, sum("left") AS z FROM b WHERE NOT own GROUP BY ALL HAVING min(CASE WHEN calls_kept >= 0.9 * calls THEN 1 ELSE 0 END) = 1 AND sum(calls_kept) >= 0.9 * (sum(calls_kept) + sum(calls_lost))),
+pick AS (SELECT fold, cut, least FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN z > 0 THEN k / z ELSE 0 END DESC, cut, least NULLS FIRST) = 1),
+o AS (SELECT b.fold, calls_kept, calls_lost, fps_removed, "left" FROM b JOIN pick ON b.fold = pick.fold AND b.cut = pick.cut AND b.least IS NOT DISTINCT FROM pick.least WHERE own),
+u AS (SELECT * FROM o UNION ALL SELECT 'POOLED', sum(calls_kept), sum(calls_lost), sum(fps_removed), sum("left") FROM o) SELECT fold, CAST(calls_kept AS BIGINT) AS calls_kept, CAST(calls_lost AS BIGINT) AS calls_lost, CAST(fps_removed AS BIGINT) AS fps_removed, CAST("left" AS BIGINT) AS "left", calls_kept / "left" AS precision FROM u""",
+    sig=SIG,
+)
 def l7_gated_recurrence_cv(sig):
     return search.gated_recurrence_cv(sig, steps=6, levels=(None, 0.5, 0.8)).select("fold", *long(*OUT), "precision")
 
 
-@query(sig=SIG)
+_L8 = ", ".join(repr(q) for q in search.quantiles(4))
+
+
+@query(
+    f"""WITH s AS (SELECT signal, up, row_number() OVER (PARTITION BY signal ORDER BY i) AS i, cut FROM (SELECT 'confidence' AS signal, 1 AS up, unnest(quantile_cont(CAST(confidence AS DOUBLE), [{_L8}])) AS cut, unnest([1, 2, 3, 4]) AS i FROM sig
+ UNION ALL SELECT 'n_neighbours', 1, unnest(quantile_cont(CAST(n_neighbours AS DOUBLE), [{_L8}])), unnest([1, 2, 3, 4]) FROM sig UNION ALL SELECT 'mahalanobis_d2', 0, unnest(quantile_cont(CAST(mahalanobis_d2 AS DOUBLE), [{_L8}])), unnest([1, 2, 3, 4]) FROM sig)),
+n AS (SELECT *, concat(signal, CASE WHEN up = 1 THEN ' low ' ELSE ' high ' END, format('{{:.4g}}', cut)) AS name, CASE signal WHEN 'confidence' THEN 1 WHEN 'n_neighbours' THEN 2 ELSE 3 END AS o FROM s),
+v AS (SELECT n.*, sig.det_id, sig.verdict, coalesce(CASE signal WHEN 'confidence' THEN confidence <= cut WHEN 'n_neighbours' THEN n_neighbours <= cut ELSE mahalanobis_d2 >= cut END, false) AS gone FROM sig, n),
+k AS (SELECT name AS configuration, count(*) FILTER (NOT gone AND verdict = 'call') AS calls_kept, count(*) FILTER (NOT gone) AS "left" FROM v GROUP BY o, i, name
+ UNION ALL SELECT concat(a.name, ' OR ', b.name), count(*) FILTER (NOT (a.gone OR b.gone) AND a.verdict = 'call'), count(*) FILTER (NOT (a.gone OR b.gone)) FROM v a JOIN v b ON a.det_id = b.det_id AND a.o < b.o GROUP BY a.o, a.i, a.name, b.o, b.i, b.name),
+f AS (SELECT unnest([0.99, 0.97, 0.95, 0.9, 0.85])::DOUBLE AS keep)
+SELECT keep, configuration, calls_kept, "left", calls_kept / "left" AS precision FROM k, f WHERE "left" > 0 AND calls_kept >= keep * (SELECT count(*) FROM sig WHERE verdict = 'call') QUALIFY row_number() OVER (PARTITION BY keep ORDER BY calls_kept / "left" DESC, configuration) = 1""",
+    sig=SIG,
+)
 def l8_operating_points(sig):
     return search.operating_points(sig, {"confidence": True, "n_neighbours": True, "mahalanobis_d2": False}, steps=4).select("keep", "configuration", *long("calls_kept", "left"), "precision")
 
 
-@query(sig=SIG)
+@query(
+    f"{SCORED}, a AS ({ap_sql('score DESC, det_id', 'combined')} UNION ALL {' UNION ALL '.join(ap_sql(o, n) for n, o in _ORDERS.items())}) SELECT name AS signals, {m('avg(ap)', 'mean_ap')}, {m('avg(of_ceiling)', 'mean_of_ceiling')} FROM a GROUP BY name",
+    sig=SIG,
+)
 def l9_ranking_comparison(sig):
     return ranking.ranking_comparison(sig).withColumns({c: micro(c) for c in ("mean_ap", "mean_of_ceiling")})
 
@@ -869,7 +934,7 @@ def l11_neighbour_loso(sig):
 
 
 SQL["l11_neighbour_loso"] = (
-    f"WITH sig AS ({plain(SIG)}), f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT CAST(unnest(range(0, 11)) AS DOUBLE) AS cut), x AS (SELECT sig.*, fold, cut, station = fold AS own FROM sig, f, c), t AS ({tally_sql('least(n_neighbours, 10) < cut', 'x', 'fold, own, cut')})"
+    f"WITH sig AS ({plain(SIG)}), f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT CAST(unnest(range(0, CAST((SELECT max(n_neighbours) + 2 FROM sig) AS BIGINT))) AS DOUBLE) AS cut), x AS (SELECT sig.*, fold, cut, station = fold AS own FROM sig, f, c), t AS ({tally_sql('n_neighbours < cut', 'x', 'fold, own, cut')})"
     + LOSO.format(0.9, "cut").replace('calls_kept / "left" AS precision', m('calls_kept / "left"', "precision")) + f" UNION ALL SELECT 'MACRO', NULL, NULL, NULL, NULL, NULL, {m('avg(calls_kept / "left")', 'p')} FROM o"
 )
 
@@ -900,20 +965,46 @@ def l15_fold_masks(man):
     return search.fold_masks(_may(man), ["ST00", "ST01", "ST99"]).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
-@query(det=DET)
+_REST = repr(1 - 0.95)
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT station FROM det), o AS (SELECT station, list(confidence ORDER BY confidence) AS v FROM det WHERE verdict = 'call' GROUP BY station), e AS (SELECT s.station, list(confidence ORDER BY confidence) AS v FROM s JOIN det d ON d.station <> s.station WHERE verdict = 'call' GROUP BY s.station),
+t AS (SELECT s.station, o.v[CAST(floor({_REST} * len(o.v)) AS BIGINT) + 1] AS matched, e.v[CAST(floor({_REST} * len(e.v)) AS BIGINT) + 1] AS loso FROM s LEFT JOIN o USING (station) LEFT JOIN e USING (station))
+SELECT station, count(*) AS detections, count(*) FILTER (verdict = 'call') AS calls, {", ".join(f"count(*) FILTER (verdict = 'call' AND confidence >= {c}) AS {n}_calls, CASE WHEN count(*) FILTER (confidence >= {c}) > 0 THEN count(*) FILTER (verdict = 'call' AND confidence >= {c}) / count(*) FILTER (confidence >= {c}) END AS {n}_precision" for n, c in (("deployed", "0.5"), ("matched", "matched"), ("loso", "loso")))}
+FROM det JOIN t USING (station) GROUP BY station""",
+    det=DET,
+)
 def l16_score_folds(det):
     return search.score_folds(det.withColumn("score", F.col("confidence")))
 
 
-@query(sig=SIG)
+_TURNED = {n: o.replace("DESC", "X").replace("ASC", "DESC").replace("X", "ASC") for n, o in _ORDERS.items()}
+_TRIES = [(n, up, (_ORDERS if up == (n != "mahalanobis_d2") else _TURNED)[n]) for n in _ORDERS for up in (True, False)]
+
+
+@query(
+    f"WITH scored AS (SELECT * FROM sig), a AS ({' UNION ALL '.join(ap_sql(o, f'{n}:{up}'.lower()) for n, up, o in _TRIES)}) SELECT split_part(name, ':', 1) AS signal, split_part(name, ':', 2) = 'true' AS larger_is_genuine, {m('avg(ap)', 'mean_ap')} FROM a GROUP BY name",
+    sig=SIG,
+)
 def l17_candidates(sig):
     return search.candidates_alone(sig, ("confidence", "n_neighbours", "mahalanobis_d2")).withColumn("mean_ap", micro("mean_ap"))
 
 
-@query(sig=SIG)
+def draw_sql(seed: int, *keys: str) -> str:
+    """sampling.draw()."""
+    return f"((CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+@query(
+    f"""{SCORED}, a AS ({ap_sql(_ORDERS['confidence'], 'a')}), b AS ({ap_sql('"both" DESC, det_id', 'b')}), d AS (SELECT a.station, b.ap - a.ap AS delta, row_number() OVER (ORDER BY a.station) - 1 AS i, count(*) OVER () AS m, row_number() OVER (ORDER BY b.ap - a.ap DESC, a.station) AS top FROM a JOIN b USING (station) WHERE b.ap - a.ap IS NOT NULL),
+r AS (SELECT round, k, CAST(floor({draw_sql(0, 'round', 'k')} * m) AS BIGINT) AS i FROM (SELECT DISTINCT m FROM d), range(0, 1000) t(round), LATERAL (SELECT unnest(range(1, m + 1)) AS k)), x AS (SELECT round, avg(delta) AS mean FROM r JOIN d USING (i) GROUP BY round), q AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM x)
+SELECT count(*) AS stations, {m('avg(delta)', 'mean')}, {m('any_value(low)', 'low')}, {m('any_value(high)', 'high')}, {m('avg(delta) FILTER (top > 2)', 'mean_without_top2')} FROM d, q""",
+    sig=SIG,
+)
 def l19_delta_interval(sig):
     d = search.added_to_baseline(sig, {"confidence": True}, {"n_neighbours": True})
-    return search.delta_interval(d, 200).select("stations", *(micro(c).alias(c) for c in ("mean", "low", "high", "mean_without_top2")))
+    return search.delta_interval(d).select("stations", *(micro(c).alias(c) for c in ("mean", "low", "high", "mean_without_top2")))
 
 
 @query(f"WITH c AS (SELECT unnest([0.2, 0.4, 0.6])::DOUBLE AS cut) SELECT cut, count(*) FILTER (verdict = 'call' AND confidence >= cut) / count(*) FILTER (verdict = 'call') AS positives_kept, count(*) FILTER (verdict <> 'call' AND confidence >= cut) / count(*) FILTER (verdict <> 'call') AS negatives_kept FROM det, c GROUP BY cut", det=DET)
@@ -978,37 +1069,57 @@ def t3_top_recordings(det):
 
 
 # Sampling.
-@query(recs=RECS)
+@query(
+    f"""WITH l AS (SELECT * FROM recs WHERE duration_s >= 300), q AS (SELECT station, floor(40 / count(*) OVER ()) + CASE WHEN row_number() OVER (ORDER BY station) <= 40 % count(*) OVER () THEN 1 ELSE 0 END AS quota FROM (SELECT DISTINCT station FROM l)),
+g AS (SELECT station, recording, (duration_s - floor(duration_s / 300) * 300) * {draw_sql(0, 'recording')} AS off, unnest(range(0, CAST(floor(duration_s / 300) AS BIGINT))) AS n FROM l), u AS (SELECT *, {draw_sql(1, 'recording', 'n')} AS u FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY u, recording, n) AS r FROM u)
+SELECT r.station, recording, off + n * 300 AS start_s, off + n * 300 + 300 AS end_s, 0 AS seed FROM r JOIN q USING (station) WHERE r <= quota""",
+    recs=RECS,
+)
 def r1_plan_segments(recs):
     return sampling.plan_segments(recs, 40, 300.0)
 
 
-@query(det=DET)
+@query(
+    f"WITH b AS (SELECT det_id, species, CASE WHEN confidence >= 0.6 THEN 2 WHEN confidence >= 0.3 THEN 1 ELSE 0 END AS band, count(*) OVER (PARTITION BY species) AS n FROM det) SELECT det_id, species, band FROM b QUALIFY row_number() OVER (PARTITION BY species, band ORDER BY {draw_sql(0, 'det_id')}, det_id) <= 5 OR n <= 3",
+    det=DET,
+)
 def r3_confidence_bands(det):
     return sampling.by_confidence_band(det, (0.3, 0.6), 5, 3).select("det_id", "species", "band")
 
 
-@query(det=DET)
+@query(
+    f"""WITH s AS (SELECT det_id, confidence, least(99, floor(confidence * 100)) AS slice, {draw_sql(0, 'det_id')} AS u, {draw_sql(1, 'det_id')} AS w FROM det WHERE confidence IS NOT NULL), a AS (SELECT det_id FROM s QUALIFY row_number() OVER (PARTITION BY slice ORDER BY u, det_id) = 1),
+b AS (SELECT det_id FROM s WHERE confidence >= (SELECT quantile_cont(confidence, 0.95) FROM s) ORDER BY w, det_id LIMIT 20) SELECT det_id FROM a UNION SELECT det_id FROM b""",
+    det=DET,
+)
 def r4_reliability(det):
     return sampling.reliability_sample(det).select("det_id")
 
 
-@query(det=DET)
+@query(f"SELECT det_id, species FROM det QUALIFY row_number() OVER (PARTITION BY species ORDER BY {draw_sql(0, 'det_id')}, det_id) <= 20", det=DET)
 def r5_per_group(det):
     return sampling.per_group(det, ["species"], 20, "det_id").select("det_id", "species")
 
 
-@query(recs=RECS)
+@query(
+    f"""WITH s AS (SELECT station, recording, duration_s - 2 AS d, sum(duration_s - 2) OVER (PARTITION BY station ORDER BY recording) AS hi, sum(duration_s - 2) OVER (PARTITION BY station) AS whole FROM recs WHERE duration_s > 2), k AS (SELECT DISTINCT station, whole, unnest(range(1, 11)) AS k FROM s), t AS (SELECT station, k, {draw_sql(0, 'station', 'k')} * whole AS t FROM k)
+SELECT t.station, s.recording, {m('t - (hi - d)', 'start_s')}, concat(t.station, ':', CAST(k AS VARCHAR)) AS draw_id FROM t JOIN s ON t.station = s.station AND t >= hi - d AND t < hi""",
+    recs=RECS,
+)
 def r6_random_windows(recs):
-    return sampling.random_windows(recs, 10)
+    return sampling.random_windows(recs, 10).withColumn("start_s", micro("start_s"))
 
 
-@query(det=DET)
+@query(
+    f"""WITH g AS (SELECT station, recording, count(*) AS n, {draw_sql(0, 'recording')} AS u FROM det GROUP BY station, recording), w AS (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY u, recording) - n AS before, sum(n) OVER (PARTITION BY station) AS whole, count(*) OVER (PARTITION BY station) AS k FROM g),
+p AS (SELECT station, recording, n, CASE WHEN before < 0.2 * whole AND k > 1 AND (before + n < whole OR before = 0) THEN 'validation' ELSE 'train' END AS part FROM w) SELECT station, part, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
+    det=DET,
+)
 def r7_grouped_split(det):
     return sampling.grouped_split(det, "recording", "station").groupBy("station", "part").agg(F.count("*").alias("n"))
 
 
-@query(det=DET)
+@query(f"WITH g AS (SELECT recording FROM (SELECT DISTINCT recording FROM det) ORDER BY {draw_sql(0, 'recording')}, recording LIMIT 10) SELECT det_id, recording FROM det JOIN g USING (recording)", det=DET)
 def r8_group_sample(det):
     return sampling.group_sample(det, "recording", 10).select("det_id", "recording")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import parse
 from .operators import matching, neighbours, quality, ranking, sampling, search, slots, windows
 from .plans import jobs, manifest
-from .queries import DET, DET2, MAN, PLACES, RECS, SIG, SQL, VEC_SPARK, long, m, micro, plain, query
+from .queries import DET, DET2, MAN, PLACES, QUEUE, RECS, SCORED, SIG, SQL, VEC_SPARK, _ORDERS, ap_sql, draw_sql, long, m, micro, plain, query
 from .sources import readers, sinks
 
 COORD = f"SELECT station, lat, lon, concat('S20210224T0', CAST(floor(lat * 10) AS STRING), '0000_+', CAST(CAST(lat AS DECIMAL(6, 2)) AS STRING), '+', CAST(CAST(lon AS DECIMAL(6, 2)) AS STRING), '.wav') AS name FROM ({PLACES}) p"
@@ -90,12 +90,18 @@ def s6_clip_catalog(r):
     return readers.catalog_clips(r.select(F.concat_ws("/", "indir", "file").alias("path"))).select("path", "species", "recording", "start_s", "station")
 
 
-@query(sig=SIG)
+@query(
+    f"""{QUEUE} SELECT concat(species, '/', station) AS "INDIR", concat(recording, '__t', lpad(CAST(CAST(start_s AS INT) AS VARCHAR), 5, '0'), 's__conf', printf('%.2f', confidence), '.wav') AS "IN FILE", '' AS "MANUAL ID", queue_no, CAST(episode_no AS BIGINT) AS episode_no, episode_size, listen_first, {m('rank_score', 'rank_score')} FROM queue""",
+    sig=SIG,
+)
 def s12_review_sheet(sig):
-    return sinks.review_sheet(ranking.build_queue(sig))
+    return sinks.review_sheet(ranking.build_queue(sig)).withColumn("rank_score", micro("rank_score"))
 
 
-@query(r=RAW)
+@query(
+    f"WITH p AS (SELECT concat(indir, '/', file) AS path, species, station, CAST(concat('0.', CAST(det_id % 10 AS VARCHAR)) AS DOUBLE) AS confidence FROM r) SELECT path, species, station, confidence, '' AS verdict, row_number() OVER (ORDER BY {draw_sql(0, 'path')}, path) AS number FROM p",
+    r=RAW,
+)
 def s13_listening_sheet(r):
     return sampling.listening_sheet(r.select(F.concat_ws("/", "indir", "file").alias("path")))
 
@@ -207,7 +213,12 @@ def x9_evaluate_cleanup(sig):
     return reports["evaluation"].select("species", *long("matched", "unmatched", "calls", "fps"))
 
 
-@query(sig=SIG)
+@query(
+    f"""{SCORED}, b AS ({ap_sql(_ORDERS['confidence'], 'base')}), n AS ({ap_sql('"both" DESC, det_id', 'n_neighbours')}), d AS ({ap_sql('far DESC, det_id', 'mahalanobis_d2')}), f AS (SELECT station AS fold FROM b WHERE ap IS NOT NULL),
+x AS (SELECT fold, (SELECT avg(ap) FROM b WHERE station <> fold) AS base, (SELECT avg(ap) FROM n WHERE station <> fold) AS near, (SELECT avg(ap) FROM d WHERE station <> fold) AS far FROM f)
+SELECT fold, CASE WHEN greatest(near, far) <= base THEN '' WHEN near >= far THEN 'n_neighbours' ELSE 'mahalanobis_d2' END AS chosen FROM x""",
+    sig=SIG,
+)
 def l18_holdout_selection(sig):
     chosen = search.holdout_selection(sig, {"confidence": True}, {"n_neighbours": True, "mahalanobis_d2": False}, 1)
     return sig.sparkSession.createDataFrame([(k, ",".join(v)) for k, v in chosen.items()], "fold string, chosen string")

@@ -1,11 +1,14 @@
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chorusframe import queries, queries_jobs  # noqa: F401
 from chorusframe.functions import parse
-from chorusframe.operators import gates, matching, metrics, neighbours, quality, ranking, regime, sampling, search, vectors, windows
+from chorusframe.operators import gates, matching, metrics, neighbours, prefix, quality, ranking, regime, sampling, search, vectors, windows
 from chorusframe.schema import normalise_detections
+from chorusframe.views import DET, view
 
 
 def column(df, name, order="det_id"):
@@ -22,9 +25,9 @@ def test_normalise_renames_and_turns_nan_into_null(spark):
 
 def test_percentile_rank_ties_and_missing(spark):
     df = spark.createDataFrame([(i, "s", v) for i, v in enumerate([1.0, 2.0, 2.0, None, None, 5.0])], "det_id int, station string, v double")
-    got = column(df.withColumn("p", ranking.percentile_rank("v")), "p")
+    got = column(ranking.percentile_rank(df, "v", "p"), "p")
     assert got == pytest.approx([1 / 6, 2.5 / 6, 2.5 / 6, 5.5 / 6, 5.5 / 6, 4 / 6])
-    worst = column(df.withColumn("p", ranking.percentile_rank("v", nulls="bottom")), "p")
+    worst = column(ranking.percentile_rank(df, "v", "p", nulls="bottom"), "p")
     assert worst[3] == pytest.approx(1.5 / 6)
 
 
@@ -113,6 +116,63 @@ def test_suppression_is_greedy(spark):
     assert column(windows.suppress_overlaps(df, 0.5), "det_id") == _greedy(rows, 0.5)
 
 
+@pytest.mark.parametrize(("iou", "task_rows"), [(0.3, 50_000), (0.5, 40), (1.0, 40)])
+def test_suppression_of_the_whole_table_matches_brute_force(spark, monkeypatch, iou, task_rows):
+    monkeypatch.setattr(windows, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(2)
+    det = view(spark, "/root/testdata/sf0.001", DET).select("det_id", "recording", "species", "start_s", "confidence")
+    rows = [(r["recording"], r["species"], r["start_s"] / 8, r["start_s"] / 8 + float(rng.choice([0.0, 1.5, 2.0, 5.0])), r["confidence"] if r["det_id"] % 11 else None, r["det_id"]) for r in det.collect()]
+    df = spark.createDataFrame(rows, "recording string, species string, start_s double, end_s double, confidence double, det_id bigint").repartition(5)
+    groups = collections.defaultdict(list)
+    for rec, species, a, b, c, i in rows:
+        groups[rec, species].append((a, b, -1.0 if c is None else c, i))
+    want = []
+    for g in groups.values():
+        want += [r[3] for r in g if r[0] == r[1]] + _greedy([r for r in g if r[0] < r[1]], iou)
+    got = windows.suppress_overlaps(df, iou)
+    assert got.columns == df.columns and column(got, "det_id") == sorted(want)
+    assert iou == 1 or len(want) < len(rows)
+
+
+def test_running_sums_match_windows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else f"s{i % 3 * (i % 2)}", float(rng.integers(0, 40)), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "station string, v double, det_id bigint").repartition(7)
+    got = {r["det_id"]: (r["pos"], r["cum"]) for r in prefix.running(df, ["station"], [F.col("v").desc(), F.col("det_id").asc()], {"pos": F.lit(1), "cum": F.col("v")}).collect()}
+    for s in {r[0] for r in rows}:
+        cum = 0.0
+        for pos, (_, v, i) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (-r[1], r[2])), 1):
+            cum += v
+            assert got[i] == (pos, cum)
+    assert prefix.running(df.where("det_id < 0"), [], [F.col("v").asc()], {"pos": F.lit(1)}).count() == 0
+
+
+def test_thresholds_elsewhere_and_baselines(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i % 4}", "call" if rng.random() < 0.5 else "false_positive", float(rng.integers(0, 30)) / 30, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "station string, verdict string, score double, det_id bigint").repartition(6)
+    got = {r["station"]: r["loso"] for r in search._threshold_elsewhere(df, 0.9).collect()}
+    for s in ("s0", "s1", "s2", "s3"):
+        v = sorted(r[2] for r in rows if r[0] != s and r[1] == "call")
+        assert got[s] == v[int((1 - 0.9) * len(v))]
+    df = df.withColumnRenamed("score", "confidence")
+    base = search.confidence_baseline(df, F.col("det_id") % 3 == 0).first()
+    left = sorted(rows, key=lambda r: (r[2], r[3]))[100:]
+    assert base["removed"] == 100 and base["baseline_precision"] == pytest.approx(sum(r[1] == "call" for r in left) / len(left))
+    assert search.suggest_threshold(df, 0.25).first()["threshold"] == sorted((r[2] for r in rows), reverse=True)[74]
+
+
+def test_rank_operators_gather_no_station(spark, det):
+    """No window over a whole station or over all values: every window is within a range partition or over sums of partitions."""
+    df = det([(float(i), "call" if i % 3 else "false_positive", f"s{i % 2}", i / 50) for i in range(50)])
+    ranked = ranking.percentile_rank(df, "confidence", "p")
+    for out in (ranked, metrics.auc(df, "confidence", F.col("verdict") == "call"), search.recall_threshold(df, "confidence", 0.9), search.best_balanced(df, "confidence", F.col("verdict") == "call"), ranking.effort_by_station(df, score="confidence")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line:
+                assert "_p#" in line.split("windowspecdefinition(")[1], line
+
+
 def test_windows_are_anchored_at_the_end(spark):
     df = spark.createDataFrame([("a", 4.5), ("b", 2.0), ("c", 0.5)], "recording string, duration_s double")
     got = windows.sliding_windows(df)
