@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
+from .meetings import Undecided, block_pairs, decided, forest, meetings
 from .rotation_codes import Codes, encode, matrix, packed, valid
 
-BLOCK, MISS, BOUND, TASK_ROWS = 1024, 1e-5, 5.0, 8192
+BLOCK, MISS, BOUND = 1024, 1e-5, 5.0
 
 
 def table_shape(n: int, threshold: float) -> tuple[int, int]:
@@ -41,104 +42,38 @@ def code_of(m: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([one[0], two[0]], axis=1), np.stack([one[1], two[1]], axis=1)
 
 
-def block_pairs(rows: DataFrame, group: str, block: int, tmp: Scratch) -> DataFrame:
-    """Each row once for every pair of blocks of its group that it takes part in: adds ``x <= y`` (block numbers), ``side`` and ``task``.
-
-    A group of up to ``block`` rows is one block, met with itself; many such groups share a task of about
-    TASK_ROWS rows, and each block pair of a larger group has a task of its own.
-    """
-    size = tmp.write(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"))  # a table of its own, so that a join with a hot group can be split
-    small = size.agg(F.sum(F.when(F.col("_n") <= block, F.col("_n")))).first()[0] or 0
-    out = rows.join(size, group).withColumn("_k", F.ceil(F.col("_n") / block))
-    out = out.withColumn("_i", F.pmod(F.xxhash64("key"), F.col("_k"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-    x, y = F.least("_i", "_j"), F.greatest("_i", "_j")
-    shared = F.pmod(F.xxhash64(group), F.lit(ceil(small / TASK_ROWS) + 1))
-    task = F.when(F.col("_k") == 1, F.xxhash64(F.lit("small"), shared)).otherwise(F.xxhash64(group, x, y))
-    return out.select(*rows.columns, x.alias("x"), y.alias("y"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), task.alias("task"))
-
-
-def _meetings(t: pa.Table, group: str) -> Iterator[slice]:
-    """The block pairs of a task, one by one, as places in the sorted table."""
-    names, x, y = t[group].to_numpy(), t["x"].to_numpy(), t["y"].to_numpy()
-    cuts = np.flatnonzero((np.diff(names) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
-        yield slice(lo, hi)
-
-
-def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        ra, rb = find(int(a)), find(int(b))
-        if ra != rb:
-            parent[rb] = ra
-            out.append((int(a), int(b)))
-    return out
-
-
-_UNDECIDED = "task bigint, meeting int, pos int, key binary, partners binary"
-
-
-def _note(out: dict[str, list], task: int, meeting: int, maybe: np.ndarray, codes: np.ndarray, table: int, keys: pa.ChunkedArray) -> None:
-    """Add the rows of the pairs ``maybe`` that no earlier table has."""
-    a, b = np.nonzero(maybe)
-    first = np.ones(len(a), bool)
-    for at in range(0, len(a), 8192):
-        i, j = a[at : at + 8192], b[at : at + 8192]
-        first[at : at + 8192] = (codes[i] == codes[j]).all(axis=2).argmax(axis=1) == table
-    a, b = a[first], b[first]
-    some = np.unique(np.concatenate([a, b]))
-    place = np.searchsorted(some, b).astype("<u4")
-    lo, hi = np.searchsorted(a, some), np.searchsorted(a, some, "right")
-    out["task"] += [task] * len(some)
-    out["meeting"] += [meeting] * len(some)
-    out["pos"] += range(len(some))
-    out["key"] += keys.take(pa.array(some, pa.int64())).to_pylist()
-    out["partners"] += [place[i:j].tobytes() for i, j in zip(lo, hi, strict=True)]
-
-
 def _undecided(t: pa.Table, bits: int, tables: int, threshold: float, seed: int) -> pa.Table:
-    """Within each bucket's block pair: the rows of the pairs that codes do not clear, each with its later partners' positions."""
-    out: dict[str, list] = {x.split()[0]: [] for x in _UNDECIDED.split(", ")}
+    """Within each bucket's block pair: the rows of the pairs that codes do not clear and no earlier table has."""
     t = t.sort_by([("dim", "ascending"), ("bucket", "ascending"), ("x", "ascending"), ("y", "ascending")])
-    dims = t["dim"].to_numpy()
+    out, dims = Undecided(t["task"][0].as_py()), t["dim"].to_numpy()
     cuts = (np.flatnonzero(np.diff(dims)) + 1).tolist()
-    number = 0
     for start, end in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
         same_dim, dim = t.slice(start, end - start), int(dims[start])
         h = ceil(bits * tables / dim / 2)
-        all_codes = np.unpackbits(np.frombuffer(b"".join(same_dim["code"].to_pylist()), np.uint8).reshape(end - start, -1), axis=1, count=2 * h * dim)
-        known = Codes(all_codes, np.stack([same_dim["f1"].to_numpy(), same_dim["f2"].to_numpy()], axis=1), dim, seed)
-        all_keys, sides, x, y, bucket = same_dim["key"], same_dim["side"].to_numpy(), same_dim["x"].to_numpy(), same_dim["y"].to_numpy(), same_dim["bucket"].to_numpy()
-        for at in _meetings(same_dim, "bucket"):
+        codes = np.unpackbits(np.frombuffer(b"".join(same_dim["code"].to_pylist()), np.uint8).reshape(end - start, -1), axis=1, count=2 * h * dim)
+        known = Codes(codes, np.stack([same_dim["f1"].to_numpy(), same_dim["f2"].to_numpy()], axis=1), dim, seed)
+        sides, x, y, bucket = (same_dim[c].to_numpy() for c in ("side", "x", "y", "bucket"))
+        for at in meetings(same_dim, "bucket"):
             est, bound = known.estimates(at, BOUND)
             maybe = np.triu(est + bound >= threshold, 1)
             if x[at.start] != y[at.start]:
                 maybe &= sides[at, None] != sides[None, at]
-            if maybe.any():
-                number += 1
-                _note(out, int(t["task"][0].as_py()), number, maybe, all_codes[at, : bits * tables].reshape(-1, tables, bits), int(bucket[at.start]) >> 51, all_keys.slice(at.start, at.stop - at.start))
-    return pa.table([pa.array(out["task"], pa.int64()), pa.array(out["meeting"], pa.int32()), pa.array(out["pos"], pa.int32()), pa.array(out["key"], pa.binary()), pa.array(out["partners"], pa.binary())], names=list(out))
+            a, b = np.nonzero(maybe)
+            slices, table = codes[at, : bits * tables].reshape(-1, tables, bits), int(bucket[at.start]) >> 51
+            first = np.ones(len(a), bool)
+            for k in range(0, len(a), 8192):
+                first[k : k + 8192] = (slices[a[k : k + 8192]] == slices[b[k : k + 8192]]).all(axis=2).argmax(axis=1) == table
+            if first.any():
+                out.add(same_dim["key"].slice(at.start, at.stop - at.start), a[first], b[first])
+    return out.table()
 
 
 def _linked(t: pa.Table, threshold: float) -> pa.Table:
     """Within each meeting: the exact cosines of the undecided pairs; each class's links (counting members) and a forest of them, both as rows."""
     key, other, count = [], [], []
-    t = t.sort_by([("meeting", "ascending"), ("pos", "ascending")])
-    edges = np.flatnonzero(np.diff(t["meeting"].to_numpy())) + 1
-    for lo, hi in zip([0, *edges], [*edges, t.num_rows], strict=True):
-        part = t.slice(lo, hi - lo)
+    for part, a, b in decided(t):
         keys, weight = part["key"].to_pylist(), part["n"].to_numpy()
         m = matrix(part["vec"], part["dim"][0].as_py())
-        later = [np.frombuffer(x, "<u4") for x in part["partners"].to_pylist()]
-        a, b = np.repeat(np.arange(len(keys)), [len(x) for x in later]), np.concatenate(later).astype(np.int64)
         norm = np.sqrt((m * m).sum(axis=1))
         cos = np.empty(len(a))
         for at in range(0, len(a), 65536):
@@ -146,11 +81,11 @@ def _linked(t: pa.Table, threshold: float) -> pa.Table:
             cos[at : at + 65536] = (m[i] * m[j]).sum(axis=1) / (norm[i] * norm[j])
         a, b = a[cos >= threshold], b[cos >= threshold]
         links = np.bincount(a, weight[b], len(keys)) + np.bincount(b, weight[a], len(keys))
-        forest = _forest(np.stack([a, b], axis=1), len(keys))
+        tree = forest(np.stack([a, b], axis=1), len(keys))
         some = np.flatnonzero(links)
-        key += [keys[i] for i in some] + [keys[i] for i, _ in forest]
-        other += [None] * len(some) + [keys[j] for _, j in forest]
-        count += [int(links[i]) for i in some] + [0] * len(forest)
+        key += [keys[i] for i in some] + [keys[i] for i, _ in tree]
+        other += [None] * len(some) + [keys[j] for _, j in tree]
+        count += [int(links[i]) for i in some] + [0] * len(tree)
     return pa.table({"key": pa.array(key, pa.binary()), "other": pa.array(other, pa.binary()), "links": pa.array(count, pa.int64())})
 
 
@@ -170,7 +105,7 @@ def undecided_pairs(coded: DataFrame, bits: int, tables: int, threshold: float,
     hashed = coded.select("key", "dim", "code", "f1", "f2").mapInArrow(buckets, f"{kind}, bucket array<bigint>")
     hashed = tmp.write(hashed.select("key", "dim", "code", "f1", "f2", F.explode("bucket").alias("bucket")))
     met = block_pairs(hashed, "bucket", BLOCK, tmp)
-    return met.groupBy("task").applyInArrow(lambda t: _undecided(t, bits, tables, threshold, seed), _UNDECIDED)
+    return met.groupBy("task").applyInArrow(lambda t: _undecided(t, bits, tables, threshold, seed), Undecided.SCHEMA)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -6,10 +6,12 @@ values.  A pair of similarity s is missed with probability below 2 * (1 - s**row
 give 2e-5 at s = 0.85 and 3e-4 at 0.8.
 
 Tables only nominate: a link is made where the full shingle sets reach the threshold, and components are closed over
-such links alone.  First every document is compared with the smallest of its buckets' leaders, which joins most
-copies at once.  Then only pairs of different components that share a bucket are left: the members of both
-that nominate each other meet in blocks.  Pairs are compared inside a block with matrix products and leave it as a
-spanning forest, so neither buckets nor components are ever expanded into rows of pairs.  Documents with the same
+such links alone.  A few rounds come first in which every document is compared with one other, a leader of one of its
+buckets in another component; each joins most copies that are still apart and costs one comparison a document.  Then
+pairs of different components that share a bucket are left: there, sketches (a byte of each minhash) meet in
+blocks and clear the pairs whose estimated similarity is too far below the threshold, and only the rows of the
+others fetch their texts.  A pair that shares several buckets counts in its first table only, and links leave a block
+as a spanning forest, so neither buckets nor components are ever expanded into rows of pairs.  Documents with the same
 text are one class from the start.
 """
 
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_column, in_slices, mix, runs_of, text_key, word_hashes
 from .components import components
+from .meetings import Undecided, block_pairs, decided, forest, meetings
 
 ROWS, TABLES = 3, 12
-#: Documents in a block; shingles that a task gets; components of a bucket that are paired up one by one (more meet as blocks of the bucket).
-BLOCK, TASK_SHINGLES, PAIRED = 512, 1_000_000, 16
+#: Documents in a block; shingles that a task gets; rounds with leaders, which end when fewer than one comparison in FEW links.
+BLOCK, TASK_SHINGLES, ROUNDS, FEW = 1024, 1_000_000, 6, 20
+#: Standard deviations below the threshold at which a sketch clears a pair.
+SPREAD = 6.0
 #: Keys of nominated texts that are broadcast to pick the texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -43,34 +48,37 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(runs_of(word_hashes(words), min(k, len(words)), _BASE) + np.uint64(min(k, len(words))))
 
 
-def half_keys(s: np.ndarray, seeds: np.ndarray, tables: int) -> np.ndarray:
-    """2 * tables keys, each from its own minhash values of the set ``s``."""
+def half_keys(s: np.ndarray, seeds: np.ndarray, tables: int) -> tuple[np.ndarray, bytes]:
+    """2 * tables keys, each from its own minhash values of the set ``s``, and a byte of each of these values."""
     low = None
     for at in range(0, len(s), 4096):  # bounds the memory that a very long document takes
         m = mix((s[at : at + 4096, None] ^ seeds[None, :]) * np.uint64(0xD6E8FEB86659FD93)).min(axis=0)
         low = m if low is None else np.minimum(low, m)
+    sketch = (low & np.uint64(255)).astype(np.uint8).tobytes()
     low = low.reshape(2 * tables, -1)
     key = np.zeros(len(low), np.uint64)
     for j in range(low.shape[1]):
         key = mix(key * np.uint64(_BASE) + low[:, j])
-    return key
+    return key, sketch
 
 
 def _signed(seq: Iterator[pa.RecordBatch], k: int, rows: int, tables: int) -> Iterator[pa.RecordBatch]:
     seeds = np.random.default_rng(20).integers(0, 2**63, 2 * tables * rows, dtype=np.uint64)
     for batch in in_slices(seq):
-        n, u, v = [], [], []
+        n, sketch, u, v = [], [], [], []
         for text in byte_column(batch.column(0)):
             s = shingles(text, k)
             n.append(len(s))
-            keys = half_keys(s, seeds, tables).view(np.int64) if len(s) else np.empty(0, np.int64)
+            keys, low = half_keys(s, seeds, tables) if len(s) else (np.empty(0, np.uint64), b"")
+            keys = keys.view(np.int64)
+            sketch.append(low)
             u.append(keys[:tables])
             v.append(keys[tables:])
         rest = [batch.column(i) for i in range(1, batch.num_columns)]
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(n, pa.int64()), pa.array(u, kind), pa.array(v, kind)],
-            names=[*batch.schema.names[1:], "n_shingles", "u", "v"],
+            [*rest, pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(u, kind), pa.array(v, kind)],
+            names=[*batch.schema.names[1:], "n_shingles", "sketch", "u", "v"],
         )
 
 
@@ -97,38 +105,86 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], pct: int) -> np.ndar
     return 100 * inter >= pct * (sizes[:n, None] + sizes[None, n:] - inter)
 
 
-def _verify(t: pa.Table, k: int, pct: int) -> pa.Table:
-    """The meetings of a task, one by one: linked roots ``a, b`` as a forest of each.
-
-    A meeting compares its side 0 with its side 1 or, where it has one side only, that side with itself; rows of the
-    same root are linked already.
-    """
+def _starred(t: pa.Table, k: int, pct: int) -> pa.Table:
+    """Of each leader (side 0) and those that meet it (side 1): linked roots ``a, b``."""
     t = t.sort_by([("meeting", "ascending"), ("side", "ascending")])
     cuts = (np.flatnonzero(np.diff(t["meeting"].to_numpy())) + 1).tolist()
     a, b = [], []
     for lo, hi in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
         part = t.slice(lo, hi - lo)
-        sets = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())]
-        root, n = part["root"].to_pylist(), int((part["side"].to_numpy() == 0).sum())
-        own = n in (0, len(sets))
-        good = _links(sets, sets, pct) if own else _links(sets[:n], sets[n:], pct)
-        parent: dict[bytes, bytes] = {}
-
-        def find(x: bytes) -> bytes:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        for i, j in np.argwhere(good):
-            x, y = find(root[i]), find(root[j if own else n + j])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                a.append(x)
-                b.append(y)
+        sets, root = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())], part["root"].to_pylist()
+        for i in np.flatnonzero(_links(sets[:1], sets[1:], pct)[0]):
+            a.append(root[0])
+            b.append(root[i + 1])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def least_matches(rows: int, pct: int) -> int:
+    """Equal sketch bytes of ``rows`` below which a pair is taken to be below the threshold."""
+    s = pct / 100
+    return int(rows * s - SPREAD * (rows * s * (1 - s)) ** 0.5)
+
+
+def _undecided(t: pa.Table, tables: int, least: int) -> pa.Table:
+    """Within each bucket's block pair: the rows of the pairs of different components that sketches do not clear and no earlier table has."""
+    t = t.sort_by([("bucket", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    out = Undecided(t["task"][0].as_py())
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    half = np.frombuffer(b"".join(t["half"].to_pylist()), "<i8").reshape(t.num_rows, 2, tables)
+    _, root = np.unique(np.frombuffer(b"".join(t["root"].to_pylist()), "V16"), return_inverse=True)
+    side, x, y, one, two = (t[c].to_numpy() for c in ("side", "x", "y", "i", "j"))
+    for at in meetings(t, "bucket"):
+        maybe = root[at, None] != root[None, at]
+        if x[at.start] != y[at.start]:
+            maybe &= side[at, None] != side[None, at]
+        a, b = np.nonzero(np.triu(maybe, 1))
+        for k in range(0, len(a), 65536):
+            i, j = a[k : k + 65536] + at.start, b[k : k + 65536] + at.start
+            good = (sketch[i] == sketch[j]).sum(axis=1) >= least
+            same = half[i] == half[j]
+            maybe[i - at.start, j - at.start] = good & (same[:, 0].argmax(axis=1) == one[at.start]) & (same[:, 1].argmax(axis=1) == two[at.start])
+        a, b = np.nonzero(np.triu(maybe, 1))
+        if len(a):
+            out.add(t["key"].slice(at.start, at.stop - at.start), a, b)
+    return out.table()
+
+
+def _verified(t: pa.Table, k: int, pct: int) -> pa.Table:
+    """Of the undecided pairs: linked roots ``a, b`` as a forest of each meeting."""
+    a, b = [], []
+    for part, i, j in decided(t):
+        sets, root = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())], part["root"].to_pylist()
+        good = _links(sets, sets, pct)[i, j]
+        for x, y in forest(np.stack([i[good], j[good]], axis=1), len(sets)):
+            a.append(root[x])
+            b.append(root[y])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def _as_bytes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        half = [np.array(x, "<i8").tobytes() for x in b.column("uv").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("sketch"), pa.array(half, pa.binary())], names=["key", "sketch", "half"])
+
+
+def _closed(spark: SparkSession, found: DataFrame | None, links: DataFrame, tmp: Scratch) -> DataFrame:
+    """``node, root`` after the components ``found`` so far are joined by links between their roots."""
+    more = components(spark, links, tmp)
+    if found is None:
+        return more
+    more = more.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    moved = found.join(more, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    single = more.join(found, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return tmp.write(moved.union(single))
+
+
+def _apart(tabled: DataFrame, found: DataFrame, tmp: Scratch) -> DataFrame:
+    """The rows of buckets that hold more than one component, with their ``root``."""
+    rows = tabled.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return tmp.write(rows.join(mixed, "bucket", "left_semi"))
+
+
 def _shared(df: DataFrame, *key: str) -> DataFrame:
     """The rows of ``df`` whose key is not theirs alone; counts are combined before the shuffle."""
     many = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
@@ -152,16 +208,16 @@ def near_duplicates(
     base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     signed = base.mapInArrow(
-        lambda it: _signed(it, shingle, rows, tables), f"key binary, doc_id {id_type}, n_shingles bigint, u array<bigint>, v array<bigint>"
+        lambda it: _signed(it, shingle, rows, tables), f"key binary, doc_id {id_type}, n_shingles bigint, sketch binary, u array<bigint>, v array<bigint>"
     )
     signed = tmp.write(signed)
     narrow = signed.select("key", "doc_id", "n_shingles")
 
-    classes = tmp.write(signed.where("n_shingles > 0").groupBy("key").agg(F.first("u").alias("u"), F.first("v").alias("v")))
+    classes = tmp.write(signed.where("n_shingles > 0").groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("u").alias("u"), F.first("v").alias("v")))
     # A table can be shared only where both of its half-keys are: only those are paired up.
     u = _shared(classes.select("key", F.posexplode("u").alias("i", "u")), "i", "u")
     v = _shared(classes.select("key", F.posexplode("v").alias("j", "v")), "j", "v")
-    tabled = tmp.write(u.join(v, "key").select("key", F.xxhash64("i", "j", "u", "v").alias("bucket")))
+    tabled = tmp.write(u.join(v, "key").select("key", "i", "j", F.xxhash64("i", "j", "u", "v").alias("bucket")))
     tabled = tmp.write(_shared(tabled, "bucket"))
 
     sizes = tmp.write(tabled.select("key").distinct().join(narrow.groupBy("key").agg(F.first("n_shingles").alias("size")), "key"))
@@ -170,47 +226,39 @@ def near_duplicates(
     texts = base.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = tmp.write(texts)
 
-    def verified(meetings: DataFrame) -> DataFrame:
-        """``a, b`` of ``group, side, root, key``: groups are cut into blocks, and the small ones share tasks by their size."""
-        rows = meetings.join(sizes, "key")
-        count = rows.groupBy("group").agg(*(F.count_if(F.col("side") == x).alias(f"n{x}") for x in (0, 1)), F.sum("size").alias("all"))
-        count = tmp.write(count)
-        tasks = ceil((count.agg(F.sum("all")).first()[0] or 0) / TASK_SHINGLES) + 1
-        one = F.col("n1") == 0  # one side, met with itself: its blocks in pairs
-        k0, k1 = F.ceil(F.col("n0") / BLOCK), F.ceil(F.when(one, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
-        rows = rows.join(count, "group").withColumn("i", F.pmod(F.xxhash64("key"), F.when(F.col("side") == 0, k0).otherwise(k1)))
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, k1).otherwise(k0) - 1))
-        rows = rows.withColumn("j", other)
-        x = F.when(one, F.least("i", "j")).when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))
-        y = F.when(one, F.greatest("i", "j")).when(F.col("side") == 0, F.col("j")).otherwise(F.col("i"))
-        rows = rows.withColumn("meeting", F.xxhash64("group", x, y)).withColumn("side", F.when(one, (F.col("i") > F.col("j")).cast("int")).otherwise(F.col("side")))
-        small = F.greatest(k0, k1) == 1
-        rows = rows.withColumn("task", F.when(small, F.pmod(F.col("meeting"), F.lit(tasks))).otherwise(F.col("meeting")))
-        full = tmp.write(rows.select("task", "meeting", "side", "root", "key")).join(texts, "key")
-        return tmp.write(full.groupBy("task").applyInArrow(lambda t: _verify(t, shingle, percent), "a binary, b binary"))
-
-    # Each class with the smallest leader (least key) of its buckets.
-    leader = tabled.groupBy("bucket").agg(F.min("key").alias("leader"))
-    stars = tmp.write(tabled.join(leader, "bucket").groupBy("key").agg(F.min("leader").alias("leader")).where("leader < key"))
-    arms = stars.select(F.col("leader").alias("group"), F.lit(1).alias("side"), F.col("key").alias("root"), "key")
-    hubs = stars.select(F.col("leader").alias("group")).distinct().select("group", F.lit(0).alias("side"), F.col("group").alias("root"), F.col("group").alias("key"))
-    first = components(spark, verified(hubs.union(arms)), tmp)
-    # Components that still share a bucket; a pair of single classes that were just compared is done.
-    rest = tabled.join(first.select(F.col("node").alias("key"), "root"), "key", "left")
-    rest = tmp.write(rest.select("bucket", "key", F.coalesce("root", "key").alias("root"), F.col("root").isNull().alias("alone")))
-    met = rest.groupBy("bucket", "root", "alone").agg(F.lit(1)).groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1")
-    rest = tmp.write(rest.join(met, "bucket"))
-    lists = rest.where(F.col("roots") <= PAIRED).groupBy("bucket").agg(F.collect_set(F.struct("root", "alone")).alias("all"))
-    pairs = rest.join(lists, "bucket").select("key", "root", "alone", F.explode("all").alias("o")).where("root <> o.root")
-    pairs = pairs.select(F.least("root", "o.root").alias("r0"), F.greatest("root", "o.root").alias("r1"), (F.col("alone") & F.col("o.alone")).alias("both"), (F.col("root") > F.col("o.root")).cast("int").alias("side"), "root", "key").distinct()
-    done = stars.select(F.col("leader").alias("r0"), F.col("key").alias("r1"), F.lit(True).alias("both"))
-    pairs = pairs.join(done, ["r0", "r1", "both"], "left_anti").select(F.concat("r0", "r1").alias("group"), "side", "root", "key")
-    wide = rest.where(F.col("roots") > PAIRED).select(F.col("bucket").cast("string").cast("binary").alias("group"), F.lit(0).alias("side"), "root", "key")
-    second = components(spark, verified(tmp.write(pairs.union(wide))), tmp)
-    second = second.select(F.col("node").alias("was"), F.col("root").alias("now"))
-    found = first.join(second, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
-    single = second.join(first, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
-    found = tmp.write(found.union(single))
+    apart, found = tabled.withColumn("root", F.col("key")), None
+    for turn in range(ROUNDS):
+        # Each class meets, of its buckets' leaders that are of another component, the first in an order that changes by round.
+        leader = apart.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("hub"), F.col("root").alias("base"))).alias("l"))
+        stars = apart.join(leader, "bucket").where("root <> l.base").groupBy("key", "root").agg(F.min("l").alias("l")).select("key", "root", "l.hub", "l.base")
+        stars = tmp.write(stars.join(sizes, "key"))
+        count = tmp.write(stars.groupBy("hub", "base").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))  # a table of its own, so that a join with a hot hub can be split
+        done = stars.agg(F.count("*").alias("n"), F.sum("size").alias("all")).first()
+        if not done["n"]:
+            break
+        tasks = ceil(done["all"] / TASK_SHINGLES) + 1
+        arms = stars.join(count, ["hub", "base"]).select("hub", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), F.lit(1).alias("side"), "root", "key")
+        hubs = count.select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("base").alias("root"), F.col("hub").alias("key"))
+        met = arms.union(hubs).withColumn("meeting", F.xxhash64("hub", "chunk")).withColumn("task", F.pmod("meeting", F.lit(tasks)))
+        met = met.select("task", "meeting", "side", "root", "key").join(texts, "key")
+        links = tmp.write(met.groupBy("task").applyInArrow(lambda t: _starred(t, shingle, percent), "a binary, b binary"))
+        n = links.count()
+        if n:
+            found = _closed(spark, found, links, tmp)
+            apart = _apart(tabled, found, tmp)
+        if n * FEW < done["n"]:
+            break
+
+    # What still shares a bucket and is of different components.
+    least = least_matches(2 * tables * rows, percent)
+    half = classes.select("key", "sketch", F.concat("u", "v").alias("uv"))
+    half = half.mapInArrow(_as_bytes, "key binary, sketch binary, half binary")
+    met = block_pairs(tmp.write(apart.join(half, "key")), "bucket", BLOCK, tmp)
+    undecided = tmp.write(met.groupBy("task").applyInArrow(lambda t: _undecided(t, tables, least), Undecided.SCHEMA))
+    roots = apart.select("key", "root").distinct()
+    met = undecided.join(roots, "key").join(texts, "key").groupBy("task")
+    links = tmp.write(met.applyInArrow(lambda t: _verified(t, shingle, percent), "a binary, b binary"))
+    found = _closed(spark, found, links, tmp)
 
     linked = narrow.groupBy("key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
     linked = linked.withColumn("root", F.coalesce("root", "key"))
