@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .windows import SIZE_S, STRIDE_S
 
-FEATURES = ("rms", "peak", "low_freq_ratio", "band_fraction", "centroid_hz", "flatness", "crest", "env_cv", "onset_rate", "pulse_share", "pulse_hz")
+FEATURES = ("rms", "peak", "low_freq_ratio", "band_fraction", "centroid_hz", "flatness", "crest", "env_cv", "onset_rate", "pulse_share", "pulse_hz", "band_log_ratio", "fm_spread_hz", "low_mod_cv")
 _CATALOG = "path string, recording string, duration_s double, sample_rate int, error string"
 
 
@@ -70,6 +70,8 @@ def window_statistics(x: np.ndarray, rate: int, low_hz: float = 1500.0, band: tu
     beat_hz = np.fft.rfftfreq(len(env), 0.02)
     slow = (beat_hz > 1) & (beat_hz < 20)
     best = int(np.argmax(np.where(slow, beat, -1))) if slow.any() else 0
+    inside = (hz >= band[0]) & (hz <= band[1])
+    spread, varies = _frames(x, rate, band)
     return {
         "rms": rms,
         "peak": peak,
@@ -82,9 +84,31 @@ def window_statistics(x: np.ndarray, rate: int, low_hz: float = 1500.0, band: tu
         "onset_rate": float((np.diff(env) > env.mean() * 0.5).sum() / (len(x) / rate)),
         "pulse_share": float(beat[best] / beat[slow].sum()) if slow.any() and beat[slow].sum() > 0 else 0.0,
         "pulse_hz": float(beat_hz[best]) if slow.any() else 0.0,
+        "band_log_ratio": float(np.log10((power[inside].sum() + 1e-20) / (power[~inside].sum() + 1e-20))),
+        "fm_spread_hz": spread,
+        "low_mod_cv": varies,
     }
 
 
+def _frames(x: np.ndarray, rate: int, band: tuple[float, float], size: int = 256) -> tuple[float, float]:
+    """From a spectrogram of half-overlapping frames: the spread of the band's peak frequency over its louder frames, and how much the
+    band's energy varies (deviation over mean)."""
+    size = min(size, len(x))
+    if size < 8:
+        return 0.0, 0.0
+    step = max(1, size // 2)
+    at = np.arange(0, len(x) - size + 1, step)
+    power = np.abs(np.fft.rfft(x[at[:, None] + np.arange(size)] * np.hanning(size), axis=1)) ** 2
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    inside = (hz >= band[0]) & (hz <= band[1])
+    if not inside.any():
+        return 0.0, 0.0
+    energy = power[:, inside].sum(axis=1)
+    loud = energy >= np.median(energy)
+    peaks = hz[inside][power[:, inside].argmax(axis=1)][loud]
+    return float(peaks.std()), float(energy.std() / energy.mean()) if energy.mean() > 0 else 0.0
+
+
 def window_starts(duration_s: float, size_s: float, stride_s: float) -> list[float]:
     n = max(0, int((duration_s - size_s) // stride_s)) if duration_s > size_s else 0
     starts = [i * stride_s for i in range(n + 1)]

@@ -120,6 +120,11 @@ def build_queue(det: DataFrame, gap_s: float = EPISODE_GAP_S, limit: int | None
     return prefix_count(out, order, "queue_no") if limit is None else out.orderBy(*order).limit(limit)
 
 
+def most_suspect(flagged: DataFrame, n: int, order: Sequence[Column] = ()) -> DataFrame:
+    """The n detections to export for a look: most flags first, then the least confident."""
+    return flagged.where("n_flags > 0").orderBy(*(order or (F.desc("n_flags"), F.asc_nulls_first("confidence"), F.asc("det_id")))).limit(n)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row of each key, the first in the order given (which should end in a unique column)."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

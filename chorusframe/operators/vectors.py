@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,13 @@ def class_cutoffs(df: DataFrame, label: str, distance: str, percentiles: Sequenc
     return df.groupBy(F.col(label).cast("string").alias("species")).agg(F.map_from_arrays(F.array(*(F.lit(p) for p in percentiles)), q).alias("percentile"))
 
 
+def write_statistics(spark: SparkSession, stats: ClassStatistics, fingerprint: str, path: str) -> None:
+    """Append a model's statistics to the store, a row a class, under the fingerprint of the model that made the vectors."""
+    inverse = stats.inverse.ravel().tolist()
+    rows = [(fingerprint, c, m.tolist(), inverse) for c, m in sorted(stats.means.items())]
+    spark.createDataFrame(rows, "fingerprint string, species string, mean array<double>, inverse array<double>").write.mode("append").parquet(path)
+
+
 def lookup_statistics(df: DataFrame, store: DataFrame) -> DataFrame:
     """Join class statistics by (fingerprint, species); statistics of another model never stand in."""
     return df.join(store, ["fingerprint", "species"], "left")

@@ -23,6 +23,13 @@ def reviewed_clips(review: DataFrame, clips: DataFrame, target: str, background:
     return judged.join(named, "file").select("path", label.alias("label"), "station", F.lit("review").alias("source"), F.lit(True).alias("verified"), "recording", "start_s")
 
 
+def missing_reviewed(review: DataFrame, clips: DataFrame) -> DataFrame:
+    """How many judged rows have their clip, how many do not, and the first file that is missing."""
+    named = clips.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file")).distinct().withColumn("here", F.lit(True))
+    judged = review.where("verdict IN ('call', 'false_positive')").join(named, "file", "left")
+    return judged.agg(F.count("here").alias("found"), F.count_if(F.col("here").isNull()).alias("missing"), F.min(F.when(F.col("here").isNull(), F.col("file"))).alias("example"))
+
+
 def best_copies(manifest: DataFrame, content_hash: str = "content_hash") -> DataFrame:
     """One row a path, human-verified first; then one a content that came under several labels, best-attested source first."""
     one = keep_first(manifest, ["path"], [F.desc("verified"), F.col("source"), F.col("label")])

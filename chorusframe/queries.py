@@ -1125,9 +1125,9 @@ def r8_group_sample(det):
 
 
 # Checks.
-@query("SELECT content_hash, count(DISTINCT label) AS labels, count(*) AS n FROM man GROUP BY 1 HAVING count(DISTINCT label) > 1", man=MAN)
+@query("SELECT content_hash, count(DISTINCT source) AS labels, count(*) AS n FROM man GROUP BY 1 HAVING count(DISTINCT source) > 1", man=MAN)
 def q5_cross_label(man):
-    return quality.cross_label_duplicates(man, "content_hash", "label")
+    return quality.cross_label_duplicates(man, "content_hash", "source")
 
 
 @query("SELECT recording, start_s, count(DISTINCT verdict) AS verdicts, count(*) AS n FROM det GROUP BY 1, 2 HAVING count(DISTINCT verdict) > 1", det=DET)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import parse
 from .operators import matching, neighbours, quality, ranking, sampling, search, slots, windows
 from .plans import jobs, manifest
-from .queries import DET, DET2, MAN, PLACES, QUEUE, RECS, SCORED, SIG, SQL, VEC_SPARK, _ORDERS, ap_sql, draw_sql, long, m, micro, plain, query
+from .queries import _pulses as pulses_of
+from .queries import DET, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SCORED, SIG, SQL, VEC_SPARK, _ORDERS, ap_sql, draw_sql, long, m, micro, plain, query
 from .sources import readers, sinks
 
 COORD = f"SELECT station, lat, lon, concat('S20210224T0', CAST(floor(lat * 10) AS STRING), '0000_+', CAST(CAST(lat AS DECIMAL(6, 2)) AS STRING), '+', CAST(CAST(lon AS DECIMAL(6, 2)) AS STRING), '.wav') AS name FROM ({PLACES}) p"
@@ -225,9 +226,11 @@ def l18_holdout_selection(sig):
 
 
 @query(
-    "WITH x AS (SELECT recording, CAST(unnest(range(0, CAST(greatest(0, floor((duration_s - 30) / 15)) AS BIGINT) + 1)) AS DOUBLE) * 15 AS start_s FROM recs) SELECT recording, count(*) AS grid FROM x GROUP BY recording",
-    recs=RECS,
-)
-def w19_chunk_windows(recs):
-    none = recs.select("recording", F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"))
-    return windows.chunk_windows(recs, none, 30.0, 15.0).where("start_s % 15 = 0").groupBy("recording").agg(F.count("*").alias("grid"))
+    PULSE
+    + f""", g AS (SELECT recording, CAST(unnest(range(0, CAST(greatest(0, floor((duration_s - 30) / 15)) AS BIGINT) + 1)) AS DOUBLE) * 15 AS start_s FROM recs UNION ALL SELECT recording, duration_s - 30 FROM recs WHERE duration_s > 30 AND greatest(0, floor((duration_s - 30) / 15)) * 15 + 30 < duration_s),
+v AS (SELECT g.recording, g.start_s, sum(least(g.start_s + 30, p.end_s) - greatest(g.start_s, p.start_s)) / 30 AS share FROM g JOIN pulses p ON g.recording = p.recording AND p.start_s < g.start_s + 30 AND p.end_s > g.start_s GROUP BY ALL)
+SELECT g.recording, g.start_s, g.start_s + 30 AS end_s, {m('coalesce(share, 0)', 'voiced_share')} FROM g LEFT JOIN v USING (recording, start_s)""",
+    recs=RECS, frames=FRAMES.format(DET),
+)
+def w19_chunk_windows(recs, frames):
+    return windows.chunk_windows(recs, pulses_of(frames), 30.0, 15.0).withColumn("voiced_share", micro("voiced_share"))

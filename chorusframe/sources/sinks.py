@@ -2,12 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import clip_name
 
 
+def write_files(rows: DataFrame, root: str, file: str, order: Sequence[str], header: Sequence[str]) -> int:
+    """CSV files of given names below ``root`` (the column ``file``), each with a header line and the columns ``header`` of its rows in order.
+
+    A row whose columns are all null only makes its file.  A file is written by one task under another name and then
+    moved, so a task that is run again leaves the same file.  Gives the number of files.
+    """
+    cells = F.when(F.coalesce(*(F.col(c).cast("string") for c in header)).isNotNull(), F.to_csv(F.struct(*header)))
+    lines = rows.select(F.col(file).alias("file"), cells.alias("line"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    lines = lines.repartition("file").sortWithinPartitions("file", *(f"_{i}" for i in range(len(order)))).select("file", "line")
+    head = ",".join(header)
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(root)
+        name = out = None
+        done = 0
+
+        def close() -> None:
+            out.close()
+            fs.move(f"{base}/{name}.part", f"{base}/{name}")
+
+        for batch in it:
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if file != name:
+                    if out:
+                        close()
+                    name, done = file, done + 1
+                    fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                    out = fs.open_output_stream(f"{base}/{name}.part")
+                    out.write(f"{head}\n".encode())
+                if line is not None:
+                    out.write(f"{line}\n".encode())
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
+
+    return lines.mapInArrow(write, "files bigint").select(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
+DETECTION_HEADER = ("start_time", "end_time", "species", "confidence")
+
+
+def write_detection_files(det: DataFrame, recordings: DataFrame, root: str, suffix: str = "_detections.csv") -> int:
+    """``<station>/<recording>_detections.csv`` for every recording, with a header alone where nothing was detected."""
+    name = F.concat("station", F.lit("/"), "recording", F.lit(suffix)).alias("file")
+    rows = det.select(name, F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"), "species", "confidence")
+    none = recordings.select(name).distinct()
+    return write_files(rows.unionByName(none, allowMissingColumns=True), root, "file", ["start_time", "confidence"], DETECTION_HEADER)
+
+
+def write_cleanup_files(det: DataFrame, root: str) -> int:
+    """``<station>/clean_detections.csv`` and ``suspicious_detections.csv``, the layout that read_cleanup takes."""
+    kind = F.when(F.col("n_flags") == 0, "clean").otherwise("suspicious")
+    rows = det.withColumn("file", F.concat("station", F.lit("/"), kind, F.lit("_detections.csv"))).withColumn("source_file", F.concat("recording", F.lit(".wav"))).withColumn("start_time", F.col("start_s"))
+    header = [c for c in ("station", "det_id", "species", "source_file", "start_time", "confidence", "n_neighbours", "n_flags", "flag_reason", "flag_isolated") if c in rows.columns]
+    return write_files(rows, root, "file", ["start_time", "det_id"], header)
+
+
 def write_detections(det: DataFrame, recordings: DataFrame, path: str) -> None:
     """CSV files by station and recording, and a table of all recordings with their counts, so that empty ones are on record."""
     out = det.select("station", "recording", "start_s", "end_s", "species", "confidence")

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from chorusframe import queries, queries_jobs  # noqa: F401
+from chorusframe import queries, queries_files, queries_jobs  # noqa: F401
 from chorusframe.views import TABLES
 
 SF = "/root/testdata/sf0.001"
