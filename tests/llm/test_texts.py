@@ -207,6 +207,92 @@ def test_quality_held_out_accuracy(spark):
     assert quality.quality(docs.where("doc_id > 9999"), labels).count() == 0
 
 
+def test_registered_scores_match_a_plain_discriminant(spark):
+    """op5 over the whole table against a discriminant that is fitted and evaluated row by row, without cached factors."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] in (0, 1)}
+    x = {i: np.array(quality.statistics(t)) for i, t in docs.items()}
+    learn = {k: np.array([x[i] for i, y in labels.items() if y == k and i in x and zlib.crc32(str(i).encode()) % 3 != 1]) for k in (0, 1)}
+    d, total = len(quality.FEATURES), sum(map(len, learn.values()))
+    pooled = sum(np.cov(m.T, bias=True) * len(m) for m in learn.values()) / total
+    law = {}
+    for k, m in learn.items():
+        lean = quality.POOLED + (1 - quality.POOLED) * d / (d + len(m))
+        cov = (1 - lean) * np.cov(m.T, bias=True) + lean * pooled
+        cov = (1 - quality.DIAGONAL) * cov + quality.DIAGONAL * np.diag(np.diag(cov)) + quality.RIDGE * np.eye(d)
+        law[k] = m.mean(axis=0), cov, np.log(len(m) / total)
+
+    def density(v, k):
+        mean, cov, prior = law[k]
+        return prior - 0.5 * (np.linalg.slogdet(cov)[1] + (v - mean) @ np.linalg.solve(cov, v - mean))
+
+    got = quality.op5(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        z = density(x[r["doc_id"]], 1) - density(x[r["doc_id"]], 0)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -700, 700))), abs=1e-6)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def brute_taken(rows, weights, block_words, seed=7, total=1.5, most=2.0):
+    """``source, size, hash`` of each document -> its taken words: whole passes, then blocks in permuted order until the target."""
+    sizes = collections.Counter()
+    for source, size, _ in rows:
+        sizes[source] += size
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    aim = dict.fromkeys(names, 0.0)
+    left, free = total * sum(sizes.values()), [s for s in names if sizes[s]]
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    while free:
+        share = {s: left * w[s] / sum(w[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        for s in over or free:
+            aim[s] = most * sizes[s] if over else share[s]
+        left -= sum(aim[s] for s in over)
+        free = [s for s in free if s not in over] if over else []
+    out = [0] * len(rows)
+    for k, s in enumerate(names):
+        mine = [i for i, r in enumerate(rows) if r[0] == s]
+        n, blocks = sizes[s], max(1, -(-sizes[s] // block_words))
+        passes = int(aim[s] // n) if n else 0
+        room = int(aim[s]) - passes * n
+        step, shift = mixing._odd_step(blocks, seed), seed * (k + 1) % blocks
+        order = collections.defaultdict(list)
+        for i in mine:
+            order[(rows[i][2][1] % blocks * step + shift) % blocks].append(i)
+        for rank in sorted(order):
+            for i in sorted(order[rank], key=lambda i: (rows[i][2][0], rows[i][2][2])):
+                size = rows[i][1]
+                part = max(0, min(size, room))
+                room -= size
+                if part < size <= mixing.TOLERANCE * aim[s]:
+                    part = size if 2 * part >= size else 0
+                out[i] = passes * size + part
+    return out, aim, sizes
+
+
+def hashed(spark, docs):
+    """``source, size, (hash, block hash, doc_id)`` of each document, sizes counted by Python."""
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(7))
+    found = docs.select("doc_id", "source", "text", h.alias("h"), F.xxhash64(h, F.lit(1)).alias("b")).collect()
+    return [(r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), (r["h"], r["b"], r["doc_id"])) for r in found]
+
+
+@pytest.mark.parametrize("block_words", [mixing.BLOCK_WORDS, 3000])
+def test_registered_mix_matches_brute_force(spark, block_words):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = hashed(spark, docs)
+    taken, aim, sizes = brute_taken(rows, (5, 2, 1), block_words)
+    got = (mixing.op1(spark, "/root/testdata/sf0.001") if block_words == mixing.BLOCK_WORDS else mixing.mix_plan(docs, block_words=block_words)).collect()
+    got = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    for (source, size, (_, _, i)), t in zip(rows, taken, strict=True):
+        r = got[i]
+        assert (r["size"], r["source_size"], r["taken"]) == (size, sizes[source], t)
+        assert r["target"] == pytest.approx(aim[source])
+
+
 def test_targets_are_shared_again():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 450, 2) == [200, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.targets([10, 1000], [5, 2], 1515, 2) == [20, 1495]
@@ -430,7 +516,7 @@ def plain_verdicts(pages, rules, rounds=400):
         base = re.search(r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)""", html or "")
         if base:
             found += [base[1]] * len(re.findall(r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?![a-z][a-z0-9+.-]*:|//|#)[^"'\s>]""", html))
-        found += re.findall(r"[A-Za-z0-9._%+-]{1,64}@([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})", html or "")
+        found += re.findall(r"(?<=[A-Za-z0-9._%+-])@([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})", html or "")
         links.update((host, x.lower()) for x in found if host and x and x.lower() != host)
     mine = {r[0] for r in rows if r[0]}
     kin = set()
