@@ -109,13 +109,13 @@ def period(name: Column) -> Column:
     return F.when(day != "", F.concat(F.substring(day, 1, 4), F.lit("-"), F.substring(day, 5, 2)))
 
 
-def possible_stations(folder: Column, name: Column, by_coord: Column, no_fix: Sequence[str], no_fix_mark: str, no_fix_period: str) -> Column:
-    """Folder evidence, else the stations of the name's coordinates, else those without a receiver, else none."""
-    number = F.regexp_extract(folder, r"(?i)([a-z]+\d+)s?t?_", 1)
+def possible_stations(folder: Column, name: Column, by_coord: Column, no_fix: Sequence[str], no_fix_mark: str, no_fix_period: str, folder_station: str) -> Column:
+    """Folder evidence (the first group of the pattern ``folder_station``), else the stations of the name's coordinates, else those without a receiver, else none."""
+    number = F.regexp_extract(folder, folder_station, 1)
     coords = F.regexp_extract(name, COORDS, 0)
     none = F.array().cast("array<string>")
     return (
-        F.when(number != "", F.array(F.concat(F.upper(number), F.lit("ST"))))
+        F.when(number != "", F.array(F.upper(number)))
         .when(coords != "", F.coalesce(by_coord, none))
         .when((period(name) == no_fix_period) & F.contains(name, F.lit(no_fix_mark)), F.array(*(F.lit(x) for x in no_fix)))
         .otherwise(none)

@@ -735,7 +735,7 @@ def p15_merge_flags(res):
 
 
 # Parsing and scores.
-CLIPS = f"SELECT det_id, concat(species, '__', recording, '__', lpad(CAST(CAST(start_s AS INT) AS STRING), 5, '0'), 's__conf0.', CAST(det_id % 10 AS STRING), '.wav') AS name, concat('/data/IPA', CAST(det_id % 20 AS STRING), 'ST/x/', species, '/', station) AS dir, station, recording, species, start_s FROM ({DET}) d"
+CLIPS = f"SELECT det_id, concat(species, '__', recording, '__', lpad(CAST(CAST(start_s AS INT) AS STRING), 5, '0'), 's__conf0.', CAST(det_id % 10 AS STRING), '.wav') AS name, concat('/data/SITE', CAST(det_id % 20 AS STRING), 'ST/x/', species, '/', station) AS dir, station, recording, species, start_s FROM ({DET}) d"
 
 
 @query("SELECT det_id, species, recording, CAST(start_s AS INT) AS start, CAST(det_id % 10 AS DOUBLE) / 10 AS conf FROM clips", clips=CLIPS)
@@ -744,9 +744,9 @@ def p1_clip_names(clips):
     return clips.select("det_id", parse.clip_species(n).alias("species"), parse.clip_recording(n).alias("recording"), parse.clip_start(n).alias("start"), parse.clip_confidence(n).alias("conf"))
 
 
-@query("SELECT det_id, concat('IPA', CAST(det_id % 20 AS VARCHAR), 'ST') AS station, station AS site, species FROM clips", clips=CLIPS)
+@query("SELECT det_id, concat('SITE', CAST(det_id % 20 AS VARCHAR), 'ST') AS station, station AS site, species FROM clips", clips=CLIPS)
 def p5_p8_paths(clips):
-    return clips.select("det_id", parse.station_from_path(F.col("dir"), "IPA").alias("station"), parse.site_from_indir(F.col("dir")).alias("site"), parse.species_from_indir(F.col("dir"), F.col("name")).alias("species"))
+    return clips.select("det_id", parse.station_from_path(F.col("dir"), "SITE").alias("station"), parse.site_from_indir(F.col("dir")).alias("site"), parse.species_from_indir(F.col("dir"), F.col("name")).alias("species"))
 
 
 @query("SELECT det_id, concat(species, '__', recording) AS grp, regexp_replace(name, '\\.wav$', '') AS stem FROM clips", clips=CLIPS)

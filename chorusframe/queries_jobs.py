@@ -32,13 +32,13 @@ def p14_kilometres(places):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['IPA7ST'] WHEN doc_id % 3 = 1 THEN ['s1', 's2'] ELSE CAST([] AS VARCHAR[]) END AS stations, CASE WHEN doc_id % 3 = 0 THEN 'IPA7ST' ELSE '' END AS station FROM man",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['SITE7'] WHEN doc_id % 3 = 1 THEN ['s1', 's2'] ELSE CAST([] AS VARCHAR[]) END AS stations, CASE WHEN doc_id % 3 = 0 THEN 'SITE7' ELSE '' END AS station FROM man",
     man=MAN,
 )
 def p16_possible_stations(man):
-    folder = F.when(F.col("doc_id") % 3 == 0, "ipa7st_out").otherwise("other")
+    folder = F.when(F.col("doc_id") % 3 == 0, "site7_out").otherwise("other")
     name = F.when(F.col("doc_id") % 3 == 1, "20210224T101010_Marker.wav").otherwise("20220101T101010_Marker.wav")
-    s = parse.possible_stations(folder, name, F.array(F.lit("x")), ("s1", "s2"), "Marker", "2021-02")
+    s = parse.possible_stations(folder, name, F.array(F.lit("x")), ("s1", "s2"), "Marker", "2021-02", r"(?i)^(site\d+)_")
     return man.select("doc_id", s.alias("stations"), parse.only_station(s).alias("station"))
 
 
