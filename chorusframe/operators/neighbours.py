@@ -118,7 +118,3 @@ def nearest_reference(targets: DataFrame, reference: DataFrame, features: tuple[
     at = lambda i: F.get("_d", F.floor(i).cast("int"))
     median = (at((F.size("_d") - 1) / 2) + at(F.size("_d") / 2)) / 2
     return out.select(id_col, label, "nearest", median.alias("median"), "n")
-
-
-def blocks_of(n: int, block: int = BLOCK) -> int:
-    return max(1, ceil(n / block))

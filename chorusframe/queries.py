@@ -209,11 +209,13 @@ FRAMES = "SELECT recording, CAST(start_s AS BIGINT) AS frame, CAST(count(*) * 10
 
 @query(
     """WITH e AS (SELECT recording, frame, sum(energy) OVER w AS e, count(*) OVER w AS n FROM frames WINDOW w AS (PARTITION BY recording ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
-SELECT recording, frame, e AS energy FROM e WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY e DESC, frame) = 1""",
+SELECT recording, 'loudest' AS kind, frame, e AS energy FROM e WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY e DESC, frame) = 1
+UNION ALL SELECT recording, 'quietest', frame, e FROM e WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY e, frame) = 1""",
     frames=FRAMES.format(DET),
 )
 def w17_loudest_window(frames):
-    return windows.loudest(frames, 5)
+    both = [windows.loudest(frames, 5, q).withColumn("kind", F.lit(k)) for k, q in (("loudest", False), ("quietest", True))]
+    return both[0].unionByName(both[1])
 
 
 PULSE = """WITH o AS (SELECT recording, frame, frame - lag(frame) OVER (PARTITION BY recording ORDER BY frame) AS gap FROM (SELECT *, max(energy) OVER (PARTITION BY recording) AS peak FROM frames) WHERE energy > 0.3 * peak),
@@ -847,12 +849,12 @@ u AS (SELECT * FROM o UNION ALL SELECT 'POOLED', sum(calls_kept), sum(calls_lost
 
 
 @query(
-    f"""WITH f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT DISTINCT fold, unnest(list_concat([min(confidence) - 1], quantile_cont(confidence, [{', '.join(repr(q) for q in search.quantiles(10))}]))) AS cut FROM sig, f WHERE station <> fold GROUP BY fold),
+    f"""WITH f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT DISTINCT fold, unnest(list_concat([min(confidence) - 1], quantile_cont(confidence, [{', '.join(repr(q) for q in search.quantiles(25))}]))) AS cut FROM sig, f WHERE station <> fold GROUP BY fold),
 x AS (SELECT sig.*, c.fold, c.cut, station = fold AS own FROM sig, c), t AS ({tally_sql('confidence <= cut', 'x', 'fold, own, cut')})""" + LOSO.format(0.9, m("cut", "cut")),
     sig=SIG,
 )
 def l5_station_cv(sig):
-    return search.station_cv(sig, "confidence", steps=10).select("fold", *long(*OUT), micro("cut").alias("cut"), "precision")
+    return search.station_cv(sig, "confidence").select("fold", *long(*OUT), micro("cut").alias("cut"), "precision")
 
 
 @query(
@@ -875,11 +877,11 @@ _BOTH = f"({RANK.format('confidence', 'ASC')} + {RANK.format('n_neighbours', 'AS
 _CM = f"({RANK.format('confidence', 'ASC')} + {RANK.format('mahalanobis_d2', 'DESC')}) / 2"
 SCORED = f"WITH scored AS (SELECT *, {SCORE} AS score, {_BOTH} AS both, {_CM} AS far FROM sig)"
 
-_FOLD_Q = ", ".join(repr(q) for q in search.quantiles(6))
+_FOLD_Q = ", ".join(repr(q) for q in search.quantiles(25))
 
 
 @query(
-    f"""WITH f AS (SELECT DISTINCT station AS fold FROM sig), q AS (SELECT fold, list_concat([min(knn_dist) - 1], quantile_cont(knn_dist, [{_FOLD_Q}])) AS c, list_concat([NULL], quantile_cont(mahalanobis_d2, [0.5, 0.8])) AS l FROM sig, f WHERE station <> fold GROUP BY fold),
+    f"""WITH f AS (SELECT DISTINCT station AS fold FROM sig), q AS (SELECT fold, list_concat([min(knn_dist) - 1], quantile_cont(knn_dist, [{_FOLD_Q}])) AS c, list_concat([NULL], quantile_cont(mahalanobis_d2, [0.5, 0.7, 0.8, 0.9])) AS l FROM sig, f WHERE station <> fold GROUP BY fold),
 g AS (SELECT DISTINCT fold, cut, least FROM (SELECT fold, unnest(c) AS cut, l FROM q) t, unnest(t.l) AS u(least)),
 p AS (SELECT fold, station, cut, least, station = fold AS own, count(*) AS n, count(*) FILTER (h) AS hits, count(*) FILTER (verdict = 'call') AS calls, count(*) FILTER (verdict <> 'call') AS fps, count(*) FILTER (h AND verdict = 'call') AS hc, count(*) FILTER (h AND verdict <> 'call') AS hf
  FROM (SELECT sig.*, g.*, coalesce(knn_dist <= cut AND (least IS NULL OR mahalanobis_d2 >= least), false) AS h FROM sig, g) GROUP BY ALL),
@@ -891,7 +893,7 @@ u AS (SELECT * FROM o UNION ALL SELECT 'POOLED', sum(calls_kept), sum(calls_lost
     sig=SIG,
 )
 def l7_gated_recurrence_cv(sig):
-    return search.gated_recurrence_cv(sig, steps=6, levels=(None, 0.5, 0.8)).select("fold", *long(*OUT), "precision")
+    return search.gated_recurrence_cv(sig).select("fold", *long(*OUT), "precision")
 
 
 _L8 = ", ".join(repr(q) for q in search.quantiles(4))
@@ -1012,12 +1014,15 @@ def l21_gate_table(det):
     return search.gate_table(det, "confidence", F.col("verdict") == "call", (0.2, 0.4, 0.6))
 
 
+_WIDTHS = (5, 10, 15, 30, 60, 120)
+
+
 @query(
-    f"{EXTENTS} SELECT species, count(*) AS slots, count(*) FILTER (km > 20) AS too_wide, 30 AS minutes, count(*) FILTER (km > 20) / count(*) AS share FROM x JOIN p USING (species, slot) WHERE stations > 1 GROUP BY species",
+    " UNION ALL ".join(f"SELECT species, slots, too_wide, {w} AS minutes, too_wide / slots AS share FROM ({EXTENTS.replace(SLOT, SLOT.replace('30 MINUTES', f'{w} MINUTES'))} SELECT species, count(*) AS slots, count(*) FILTER (km > 20) AS too_wide FROM x JOIN p USING (species, slot) WHERE stations > 1 GROUP BY species)" for w in _WIDTHS),
     det=DET, places=PLACES,
 )
 def l22_slot_width_sweep(det, places):
-    return slots.slot_width_sweep(det, places, 10.0, (30,)).select("species", *long("slots", "too_wide"), "minutes", "share")
+    return slots.slot_width_sweep(det, places, 10.0).select("species", *long("slots", "too_wide"), "minutes", "share")
 
 
 @query(sig=SIG)
@@ -1037,10 +1042,10 @@ def m4_auc(det):
 _WK, _WN = "count(*) FILTER (verdict = 'call')", "count(*)"
 
 
-@query(f"SELECT station, count(*) AS n, {m(f'greatest(0, {WILSON[0].format(k=_WK, n=_WN)} - {WILSON[1].format(k=_WK, n=_WN)})', 'low')} FROM det GROUP BY station", det=DET)
+@query(f"SELECT station, count(*) AS n, {m(f'greatest(0, {WILSON[0].format(k=_WK, n=_WN)} - {WILSON[1].format(k=_WK, n=_WN)})', 'low')}, {m(f'least(1, {WILSON[0].format(k=_WK, n=_WN)} + {WILSON[1].format(k=_WK, n=_WN)})', 'high')} FROM det GROUP BY station", det=DET)
 def m1_wilson(det):
     out = det.groupBy("station").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "call").alias("k"))
-    return out.select("station", "n", micro(intervals.wilson_low(F.col("k"), F.col("n"))).alias("low"))
+    return out.select("station", "n", micro(intervals.wilson_low(F.col("k"), F.col("n"))).alias("low"), micro(intervals.wilson_high(F.col("k"), F.col("n"))).alias("high"))
 
 
 @query("WITH d AS (SELECT station, count(*) FILTER (verdict = 'call') / 50 AS per_hour FROM det GROUP BY station) SELECT station, CAST(ceil(3.8416 * 0.9 * (1 - 0.9) / (0.05 * 0.05)) AS BIGINT) AS calls, CAST(ceil(ceil(3.8416 * 0.9 * (1 - 0.9) / (0.05 * 0.05)) / (per_hour * 300.0 / 3600)) AS BIGINT) AS segments FROM d", det=DET)

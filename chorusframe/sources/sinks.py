@@ -90,11 +90,6 @@ def review_sheet(queue: DataFrame) -> DataFrame:
     )
 
 
-def write_sheet(sheet: DataFrame, path: str, order: str = "queue_no") -> None:
-    """CSV parts in queue order."""
-    sheet.repartitionByRange(order).sortWithinPartitions(order).write.option("header", True).csv(path)
-
-
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """One table a report."""
     for name, df in tables.items():
