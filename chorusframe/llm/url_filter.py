@@ -27,12 +27,12 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, CUT_EVERY, THRESHOLD, EVIDENCE = 0.85, 200, 5, 1.0, 0.75
-#: Rounds end when the scores of a kind move by less than this in one round; edges of a host that share a salt.
+#: Rounds end when the scores of a kind move by less than this in CUT_EVERY rounds; edges of a host that share a salt.
 TOLERANCE, SALT_EDGES = 1e-3, 100_000
 _LINK = r"""(?i)(?:href|src|action|data|cite|srcset)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>\\]+)"""
 _RELATIVE = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?![a-z][a-z0-9+.-]*:|//|#)[^"'\s>]"""
 _BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
-_MAIL = r"[A-Za-z0-9._%+-]{1,64}@([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
+_MAIL = r"(?<=[A-Za-z0-9._%+-])@([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
 
 
 def host_of(url: Column) -> Column:
@@ -62,18 +62,24 @@ def _named(link: Column) -> Column:
     return _lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(link, r"^[^/]*//", ""), r"^.*@", ""), r":[0-9]*$", ""))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, tmp: Scratch) -> DataFrame:
     """``src, dst, share``: edges between different hosts, each source's shares adding up to one."""
+    html, none = F.col("html"), F.array().cast("array<string>")
+    # The patterns run only on pages that hold what they begin with.
     base = _named(F.concat(F.lit("//"), F.regexp_extract("html", _BASE, 1)))
-    found = pages.select(
+    based = F.when(F.regexp_extract("html", _BASE, 1) != "", F.array_repeat(base, F.regexp_count("html", F.lit(_RELATIVE))))
+    absolute = F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), _named)
+    mail = F.transform(F.regexp_extract_all("html", F.lit(_MAIL), F.lit(1)), _lower)
+    found = pages.where("host <> ''").select(
         F.col("host").alias("src"),
         F.concat(
-            F.coalesce(F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), _named), F.array()),
-            F.when(F.regexp_extract("html", _BASE, 1) != "", F.array_repeat(base, F.regexp_count("html", F.lit(_RELATIVE)))).otherwise(F.array()),
-            F.coalesce(F.transform(F.regexp_extract_all("html", F.lit(_MAIL), F.lit(1)), _lower), F.array()),
+            F.coalesce(F.when(F.contains(html, F.lit("//")), absolute), none),
+            F.coalesce(F.when(html.rlike(r"(?i)<base\s"), based), none),
+            F.coalesce(F.when(F.contains(html, F.lit("@")), mail), none),
         ).alias("dst"),
     )
-    links = found.where("src <> ''").select("src", F.explode("dst").alias("dst")).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = found.select("src", F.explode("dst").alias("dst")).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = tmp.write(links)
     every = pages.where("host <> ''").select("host").distinct().union(links.select("dst")).distinct()
     label = F.split("host", r"\.")
     line = F.transform(F.sequence(F.lit(1), F.size(label) - 1), lambda i: F.array_join(F.slice(label, i, F.size(label)), "."))
@@ -101,19 +107,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, tmp: Scratch, rounds: int = RO
     moves = moves.join(salts, ["kind", "at"]).join(ahead, ["kind", "to"], "left").na.fill(1, ["to_salts"])
     moves = tmp.write(moves.select("kind", "at", F.pmod(F.xxhash64("to"), "salts").alias("salt"), "to", "to_salts", "w"))
     start = seeds.select("kind", F.col("host").alias("at"), (F.col("seed") * (1 - damping)).alias("new")).join(salts, ["kind", "at"], "left").na.fill(1, ["salts"])
-    start = tmp.write(start.select("kind", "at", "salts", "new"))
-    score = start.withColumn("old", F.lit(0.0))
+    score = was = start = tmp.write(start.select("kind", "at", "salts", "new"))
     for k in range(rounds):
         now = score.select("kind", "at", F.col("new").alias("score"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-        sent = moves.join(now, ["kind", "at", "salt"]).select("kind", F.col("to").alias("at"), F.col("to_salts").alias("salts"), (F.col("w") * F.col("score") * damping).alias("new"), F.lit(0.0).alias("old"))
-        before = score.select("kind", "at", "salts", F.lit(0.0).alias("new"), F.col("new").alias("old"))
-        both = sent.union(start.withColumn("old", F.lit(0.0))).union(before)
-        score = both.groupBy("kind", "at").agg(F.max("salts").alias("salts"), F.sum("new").alias("new"), F.sum("old").alias("old"))
+        sent = moves.join(now, ["kind", "at", "salt"]).select("kind", F.col("to").alias("at"), F.col("to_salts").alias("salts"), (F.col("w") * F.col("score") * damping).alias("new"))
+        score = sent.union(start).groupBy("kind", "at").agg(F.max("salts").alias("salts"), F.sum("new").alias("new"))
         if (k + 1) % CUT_EVERY == 0:
             score = tmp.write(score)
-            moved = score.groupBy("kind").agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("d"), F.sum("new").alias("n")).collect()
+            step = score.select("kind", "at", "new", F.lit(0.0).alias("old")).union(was.select("kind", "at", F.lit(0.0), "new")).groupBy("kind", "at").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+            moved = step.groupBy("kind").agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("d"), F.sum("new").alias("n")).collect()
             if all(r["d"] <= tolerance * r["n"] for r in moved):
                 break
+            was = score
     whole = score.groupBy("kind").agg(F.sum("new").alias("whole"))
     return score.join(F.broadcast(whole), "kind").select(F.col("at").alias("host"), "kind", (F.col("new") / F.col("whole")).alias("score"))  # two rows
 
@@ -134,7 +139,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, evidence:
     hosts = tmp.write(hosts.select("host", F.when(F.col("bad") > 0, "distrust").when(F.col("bad") < 0, "trust").alias("kind"), F.abs("bad").alias("n")))
     named = hosts.where("kind IS NOT NULL")
     seeds = named.join(F.broadcast(named.groupBy("kind").agg(F.sum("n").alias("all"))), "kind").select("host", "kind", (F.col("n") / F.col("all")).alias("seed"))  # two rows
-    scores = propagate(tmp.write(host_edges(ruled)), seeds, tmp, tolerance=tolerance)
+    scores = propagate(tmp.write(host_edges(ruled, tmp)), seeds, tmp, tolerance=tolerance)
     scores = scores.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     least = evidence / max(hosts.count(), 1)
     scores = tmp.write(scores.join(hosts.select("host"), "host", "left_semi"), keep=True)
