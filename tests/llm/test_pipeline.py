@@ -5,6 +5,7 @@ import random
 import sys
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from chorusframe.llm import minhash, mixing, packing, pii, quality
+from chorusframe.llm import common, minhash, mixing, packing, pii, quality
 from chorusframe.llm import queries as llm
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -134,6 +135,22 @@ def test_stages_of_an_empty_table(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://h:7077", "local-cluster[2,1,512]", "yarn"):
+        spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(spark)
+
+
+def test_release_removes_what_results_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    frame = common.Scratch(spark).write(spark.range(3), keep=True)
+    path = common._kept[spark.sparkContext.applicationId][0]
+    assert frame.count() == 3 and Path(path.removeprefix("file://")).exists()
+    common.release(spark)
+    assert not Path(path.removeprefix("file://")).exists()
+
+
 def test_entry_has_the_eleven_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
