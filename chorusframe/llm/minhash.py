@@ -6,9 +6,9 @@ values.  A pair of similarity s is missed with probability below 2 * (1 - s**row
 give 2e-5 at s = 0.85 and 3e-4 at 0.8.
 
 Tables only nominate: a link is made where the full shingle sets reach the threshold, and components are closed over
-such links alone.  A few rounds come first in which every document is compared with one other, a leader of one of its
-buckets in another component; each joins most copies that are still apart and costs one comparison a document.  Then
-pairs of different components that share a bucket are left: there, sketches (a byte of each minhash) meet in
+such links alone.  Where buckets are larger than a block, a few rounds come first in which each of their documents is
+compared with one other, a leader of one of its buckets in another component; a round joins most copies of a hot group
+at one comparison a document, and the rounds end when few are joined.  Then pairs of different components that share a bucket are left: there, sketches (a byte of each minhash) meet in
 blocks and clear the pairs whose estimated similarity is too far below the threshold, and only the rows of the
 others fetch their texts.  A pair that shares several buckets counts in its first table only, and links leave a block
 as a spanning forest, so neither buckets nor components are ever expanded into rows of pairs.  Documents with the same
@@ -31,7 +31,7 @@ from .meetings import Undecided, block_pairs, decided, forest, meetings
 
 ROWS, TABLES = 3, 12
 #: Documents in a block; shingles that a task gets; rounds with leaders, which end when fewer than one comparison in FEW links.
-BLOCK, TASK_SHINGLES, ROUNDS, FEW = 1024, 1_000_000, 6, 20
+BLOCK, TASK_SHINGLES, ROUNDS, FEW = 1024, 1_000_000, 6, 5
 #: Standard deviations below the threshold at which a sketch clears a pair.
 SPREAD = 6.0
 #: Keys of nominated texts that are broadcast to pick the texts (16 bytes each); more are joined by a shuffle.
@@ -178,9 +178,16 @@ def _closed(spark: SparkSession, found: DataFrame | None, links: DataFrame, tmp:
     return tmp.write(moved.union(single))
 
 
-def _apart(tabled: DataFrame, found: DataFrame, tmp: Scratch) -> DataFrame:
+def _roots(keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``key, root`` of every nominated class."""
+    if found is None:
+        return keys.withColumn("root", F.col("key"))
+    return keys.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _apart(tabled: DataFrame, roots: DataFrame, tmp: Scratch) -> DataFrame:
     """The rows of buckets that hold more than one component, with their ``root``."""
-    rows = tabled.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = tabled.join(roots, "key")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     return tmp.write(rows.join(mixed, "bucket", "left_semi"))
 
@@ -226,11 +233,14 @@ def near_duplicates(
     texts = base.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = tmp.write(texts)
 
-    apart, found = tabled.withColumn("root", F.col("key")), None
+    keys, found = sizes.select("key"), None
+    hot = tmp.write(tabled.join(tabled.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket"), "bucket", "left_semi").withColumn("root", F.col("key")))
     for turn in range(ROUNDS):
+        if hot.isEmpty():
+            break
         # Each class meets, of its buckets' leaders that are of another component, the first in an order that changes by round.
-        leader = apart.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("hub"), F.col("root").alias("base"))).alias("l"))
-        stars = apart.join(leader, "bucket").where("root <> l.base").groupBy("key", "root").agg(F.min("l").alias("l")).select("key", "root", "l.hub", "l.base")
+        leader = hot.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("hub"), F.col("root").alias("base"))).alias("l"))
+        stars = hot.join(leader, "bucket").where("root <> l.base").groupBy("key", "root").agg(F.min("l").alias("l")).select("key", "root", "l.hub", "l.base")
         stars = tmp.write(stars.join(sizes, "key"))
         count = tmp.write(stars.groupBy("hub", "base").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))  # a table of its own, so that a join with a hot hub can be split
         done = stars.agg(F.count("*").alias("n"), F.sum("size").alias("all")).first()
@@ -245,11 +255,12 @@ def near_duplicates(
         n = links.count()
         if n:
             found = _closed(spark, found, links, tmp)
-            apart = _apart(tabled, found, tmp)
+            hot = _apart(hot.drop("root"), _roots(keys, found), tmp)
         if n * FEW < done["n"]:
             break
 
     # What still shares a bucket and is of different components.
+    apart = _apart(tabled, _roots(keys, found), tmp)
     least = least_matches(2 * tables * rows, percent)
     half = classes.select("key", "sketch", F.concat("u", "v").alias("uv"))
     half = half.mapInArrow(_as_bytes, "key binary, sketch binary, half binary")
