@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash, mixing, nearest, packing, pii, quality, substrings, url_filter, warc
+from . import collocations, embedding_dedup, fim, host_rules, minhash, mixing, nearest, packing, pii, quality, substrings, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixture_packing": packing.op8,
         "op9_embedding_dedup": embedding_dedup.op9,
         "op10_substring_dedup": substrings.op10,
+        "op11_fill_in_middle": fim.op11,
+        "op12_collocations": collocations.op12,
+        "op13_host_rules": host_rules.op13,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_nearest_neighbours": nearest.OP7_SQL,
         "op9_embedding_dedup": embedding_dedup.OP9_SQL,
         "op10_substring_dedup": substrings.OP10_SQL,
+        "op11_fill_in_middle": fim.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_host_rules": host_rules.OP13_SQL,
     }

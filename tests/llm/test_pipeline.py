@@ -151,6 +151,6 @@ def test_release_removes_what_results_read(spark, tmp_path, monkeypatch):
     assert not Path(path.removeprefix("file://")).exists()
 
 
-def test_entry_has_the_eleven_queries():
+def test_entry_has_the_fourteen_queries():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
