@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import _count_elements
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil, log2
 
 import numpy as np
@@ -61,11 +62,17 @@ class Trie:
 
     def __init__(self):
         self.root: dict[int, dict | Burst] = {}
+        self.leaf: dict[int, int] = {}
         self.counts: dict[int, int] = {}
         self.size = 0
 
     def add(self, first: np.ndarray, rest: np.ndarray, words: int) -> None:
         """Phrases of ``words`` words; ``rest`` packs their other words, the second in the highest bits."""
+        if words == 1:  # nothing follows: the root itself is the container
+            was = len(self.leaf)
+            _count_elements(self.leaf, first.tolist())
+            self.size += len(self.leaf) - was
+            return
         rest = rest << (ID_BITS * (4 - words))
         order = np.argsort(first, kind="stable")
         first, rest = first[order], rest[order]
@@ -84,15 +91,19 @@ class Trie:
             self.counts[f] = was + more
             self.size += more
 
-    def pop_largest(self, leave: int) -> Iterator[tuple[int, dict]]:
-        """Take out whole subtrees, the largest first, until ``leave`` counts remain."""
+    def pop_largest(self, leave: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Take out whole subtrees, the largest first, until ``leave`` counts remain: first words, packed other words, counts."""
+        if self.size > leave and self.leaf:
+            held, self.leaf = self.leaf, {}
+            self.size -= len(held)
+            yield np.fromiter(held, np.int64, len(held)), np.zeros(len(held), np.int64), np.fromiter(held.values(), np.int64, len(held))
         for f in sorted(self.counts, key=self.counts.get, reverse=True):
             if self.size <= leave:
                 return
-            node = self.root.pop(f)
-            self.size -= self.counts.pop(f)
-            for held in node.children.values() if type(node) is Burst else (node,):
-                yield f, held
+            node, n = self.root.pop(f), self.counts.pop(f)
+            self.size -= n
+            held = node.children.values() if type(node) is Burst else (node,)
+            yield np.full(n, f), np.fromiter(chain.from_iterable(held), np.int64, n), np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, n)
 
 
 class Burst:
@@ -115,26 +126,6 @@ class Burst:
         return more
 
 
-class Numbers(dict):
-    """Words of one language in this task to numbers; -1 for borders and words that the filter hasn't."""
-
-    def __init__(self, lang: bytes, task: Counts):
-        self.lang, self.task = lang, task
-        self[b"."] = -1
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hashes([self.lang + b"\0" + word])
-        at = -1
-        if self.task.filter is None or self.task.filter.has(h)[0]:
-            at = len(self.task.words)
-            self.task.words.append(word)
-            self.task.langs.append(self.lang)
-            self.task.hashes.append(h[0])
-        self[word] = at
-        self.task.known += 1
-        return at
-
-
 class Counts:
     """A task's trie, its words and its spills."""
 
@@ -144,7 +135,7 @@ class Counts:
 
     def start(self) -> None:
         self.trie, self.numbers, self.known = Trie(), {}, 0
-        self.words, self.langs, self.hashes = [], [], []
+        self.words, self.langs, self.hashes = [], [], np.empty(0, np.uint64)
 
     def add(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
         """Count a text; yields the runs that had to be spilled meanwhile."""
@@ -157,18 +148,29 @@ class Counts:
                 yield from self.spill(0)
                 self.start()
 
+    def _meet(self, lang: bytes, numbers: dict[bytes, int], fresh: list[bytes]) -> None:
+        """Number the words that this task meets for the first time."""
+        if self.filter is not None:
+            h = word_hashes([lang + b"\0" + w for w in fresh])
+            has = self.filter.has(h)
+            numbers.update((w, -1) for w, x in zip(fresh, has.tolist(), strict=True) if not x)
+            fresh = [w for w, x in zip(fresh, has.tolist(), strict=True) if x]
+            self.hashes = np.concatenate([self.hashes, h[has]])
+        numbers.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+        self.words += fresh
+        self.langs += [lang] * len(fresh)
+        self.known = sum(map(len, self.numbers.values()))
+
     def _count(self, lang: bytes, words: list[bytes]) -> None:
         """Phrases that begin in the first STEP words."""
-        at = self.numbers.get(lang)
-        if at is None:
-            at = self.numbers[lang] = Numbers(lang, self)
-        ids = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        numbers = self.numbers.setdefault(lang, {b".": -1})  # -1: borders and words that the filter hasn't
+        self._meet(lang, numbers, [w for w in set(words) if w not in numbers])
+        ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         ok = ids >= 0
         two = ok[:-1] & ok[1:]
         if self.pairs is not None:
-            h = np.array(self.hashes, np.uint64)
             at = np.flatnonzero(two)
-            two[at] = self.pairs.has(pair_hash(h[ids[at]], h[ids[at + 1]]))
+            two[at] = self.pairs.has(pair_hash(self.hashes[ids[at]], self.hashes[ids[at + 1]]))
         for m in self.lengths:
             run = ok.copy() if m == 1 else two[: max(len(two) - m + 2, 0)].copy()
             for k in range(1, m - 1):
@@ -188,16 +190,24 @@ class Counts:
         rank = np.empty(len(names), np.int64)
         rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
         names, tongues = names.cast(pa.string()), pa.array(self.langs, pa.binary()).cast(pa.string())
-        held = [(f, k, n) for f, c in self.trie.pop_largest(leave) for k, n in c.items()]
-        for at in range(0, len(held), 1 << 18):
-            f, k, n = (np.array(x, np.int64) for x in zip(*held[at : at + (1 << 18)], strict=True))
-            ids = [f, *((k >> ID_BITS * s & _MASK) - 1 for s in (2, 1, 0))]
-            order = np.lexsort([*(np.where(x < 0, -1, rank[x]) for x in ids[:0:-1]), rank[f], f])
-            ids = [x[order] for x in ids]
-            # absent words are null, which the join leaves out
-            words = [names.take(pa.array(x, pa.int64(), mask=x < 0)) for x in ids]
-            phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([tongues.take(pa.array(ids[0])), phrase, pa.array(n[order])], schema=_RUN)
+        some, size = [], 0
+        for tree in self.trie.pop_largest(leave):
+            some.append(tree)
+            size += len(tree[0])
+            if size >= 1 << 18:
+                yield self._run(names, tongues, rank, some)
+                some, size = [], 0
+        if some:
+            yield self._run(names, tongues, rank, some)
+
+    def _run(self, names: pa.Array, tongues: pa.Array, rank: np.ndarray, trees: list) -> pa.RecordBatch:
+        f, k, n = (np.concatenate(x) for x in zip(*trees, strict=True))
+        ids = [f, *((k >> ID_BITS * s & _MASK) - 1 for s in (2, 1, 0)[: max(self.lengths) - 1])]  # -1: no word
+        order = np.lexsort([*(np.where(x < 0, -1, rank[x]) for x in ids[:0:-1]), rank[f], f])
+        ids = [x[order] for x in ids]
+        words = [names.take(pa.array(x, pa.int64(), mask=x < 0)) for x in ids]
+        phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip") if len(words) > 1 else words[0]
+        return pa.RecordBatch.from_arrays([tongues.take(pa.array(ids[0])), phrase, pa.array(n[order])], schema=_RUN)
 
 
 def runs(texts: DataFrame, lengths: tuple[int, ...], known=None, pairs=None) -> DataFrame:
