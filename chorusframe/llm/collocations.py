@@ -76,19 +76,21 @@ class Trie:
         rest = rest << (ID_BITS * (4 - words))
         order = np.argsort(first, kind="stable")
         first, rest = first[order], rest[order]
-        cuts = np.flatnonzero(np.diff(first)) + 1
-        for f, keys in zip(first[np.r_[0, cuts]].tolist() if len(first) else [], np.split(rest, cuts), strict=False):
-            node = self.root.setdefault(f, {})
-            was = self.counts.get(f, 0)
+        starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]][: len(first)])
+        keys, root, counts = rest.tolist(), self.root, self.counts
+        for f, i, j in zip(first[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            node = root.get(f)
+            if node is None:
+                node = root[f] = {}
             if type(node) is Burst:
-                more = node.add(keys)
+                more = node.add(rest[i:j])
             else:
                 more = -len(node)
-                _count_elements(node, keys.tolist())
+                _count_elements(node, keys[i:j])
                 more += len(node)
                 if len(node) > BURST:
-                    self.root[f] = Burst(node)
-            self.counts[f] = was + more
+                    root[f] = Burst(node)
+            counts[f] = counts.get(f, 0) + more
             self.size += more
 
     def pop_largest(self, leave: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,8 +230,8 @@ def runs(texts: DataFrame, lengths: tuple[int, ...], known=None, pairs=None) ->
 
 def merged(spilled: DataFrame, least: int) -> DataFrame:
     """Runs of a prefix meet in one partition and are added up there; one shuffle."""
-    prefix = F.substring_index("phrase", " ", 2).alias("prefix")
-    whole = spilled.select("lang", prefix, "phrase", "n").repartition(F.col("lang"), F.col("prefix")).groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
+    prefix = F.substring_index("phrase", " ", 2)
+    whole = spilled.repartition(F.col("lang"), prefix).groupBy("lang", prefix.alias("prefix"), "phrase").agg(F.sum("n").alias("n"))
     return whole.where(F.col("n") >= least).select("lang", "phrase", "n")
 
 
