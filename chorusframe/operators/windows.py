@@ -107,6 +107,28 @@ def pulse_segments(frames: DataFrame, frame_s: float, share: float = 0.05, min_s
     return out.select("recording", "start_s", F.least("end_s", F.col("start_s") + max_s).alias("end_s"))
 
 
+def pulses(frames: DataFrame, share: float = 0.05, min_s: float = 0.15, merge_s: float = 0.10, max_s: float = 1.60) -> DataFrame:
+    """``recording, start_s, end_s`` of the pulses in ``frames(recording, frame, energy, fps)``, such as energy_frames makes.
+
+    Runs of frames above ``share`` of the recording's peak; runs shorter than ``min_s`` go, then a run that begins within ``merge_s`` of the
+    pulse before it continues that pulse.  A pulse of one run is cut to ``max_s``, and it is the cut end that the next run is measured from.
+    Recordings of fewer than 8 frames or without energy have none.
+    """
+    by = Window.partitionBy("recording").orderBy("frame")
+    whole = frames.groupBy("recording").agg(F.max("energy").alias("_peak"), F.count("*").alias("_n")).where("_n >= 8 AND _peak > 0")
+    on = frames.join(whole, "recording").where(F.col("energy") / F.col("_peak") > share).select("recording", "frame", "fps")
+    new = F.coalesce((F.col("frame") - F.lag("frame").over(by) > 1).cast("int"), F.lit(1))
+    runs = on.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by)).groupBy("recording", "_run", "fps").agg(F.min("frame").alias("frame"), F.max("frame").alias("_to"))
+    runs = runs.select("recording", "frame", (F.col("frame") / F.col("fps")).alias("_a"), ((F.col("_to") + 1) / F.col("fps")).alias("_b")).where(F.col("_b") - F.col("_a") >= min_s)
+    a, b = F.lag("_a").over(by), F.lag("_b").over(by)
+    # Beside a run beyond max_s the answer depends on whether that run was itself merged (then its end is not cut).
+    near = F.when(b.isNull() | (F.col("_a") - b >= merge_s), False).when((b <= a + max_s) | (F.col("_a") - (a + max_s) < merge_s), True)
+    runs = runs.withColumn("_near", near).withColumn("_merged", F.last("_near", ignorenulls=True).over(by))
+    runs = runs.withColumn("_pulse", F.sum(F.when(F.col("_merged"), 0).otherwise(1)).over(by))
+    out = runs.groupBy("recording", "_pulse").agg(F.min("_a").alias("start_s"), F.max("_b").alias("_b"), F.count("*").alias("_n"))
+    return out.select("recording", "start_s", F.when(F.col("_n") == 1, F.least("_b", F.col("start_s") + max_s)).otherwise(F.col("_b")).alias("end_s"))
+
+
 def bout_windows(pulses: DataFrame, size_s: float, before_s: float, at_least: int) -> DataFrame:
     """Windows that begin ``before_s`` ahead of a pulse and hold the starts of ``at_least`` pulses."""
     upto = F.expr(f"count(1) OVER (PARTITION BY recording ORDER BY start_s RANGE BETWEEN CURRENT ROW AND CAST({size_s - before_s} AS DOUBLE) FOLLOWING)")

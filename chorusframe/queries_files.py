@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scores
-from .operators import audio, gates, ranking, search, vectors
+from .operators import audio, gates, ranking, search, vectors, windows
 from .plans import manifest
 from .plans.lineage import shared_path
 from .queries import DET, MAN, RECS, SIG, SQL, VEC_SPARK, m, micro, query
@@ -143,12 +143,46 @@ def x5_background_screen(recs):
     return audio.background_screen(s, "loud", 0.7).select("recording", "start_s", "screen")
 
 
+#: Clips from half a second before to half a second after; a sample of the recording's second s becomes its amplitude less one when it is scaled anew.
+CLIPS = f"""c AS (SELECT det_id, greatest(0, start_s - 0.5)::DOUBLE AS clip_start_s, CAST(floor(greatest(0, start_s - 0.5) * {RATE}) AS BIGINT) AS a, CAST(floor(least(duration_s, end_s + 0.5) * {RATE}) AS BIGINT) AS b FROM det JOIN recs USING (recording)),
+v AS (SELECT det_id, clip_start_s, a, b, unnest(range(a // {RATE}, greatest((b - 1) // {RATE}, a // {RATE}) + 1)) AS s FROM c)"""
+
+
 @query(
-    f"SELECT det_id, greatest(0, start_s - 0.5)::DOUBLE AS clip_start_s, 44 + 2 * (CAST(floor(least(duration_s, end_s + 0.5) * {RATE}) AS BIGINT) - CAST(floor(greatest(0, start_s - 0.5) * {RATE}) AS BIGINT)) AS bytes FROM det JOIN recs USING (recording)",
+    f"WITH {CLIPS} SELECT det_id, clip_start_s, 44 + 2 * greatest(b - a, 0) AS bytes, CAST(sum(greatest(least((s + 1) * {RATE}, b) - greatest(s * {RATE}, a), 0) * (499 + 300 * (s * 37 % 100))) AS BIGINT) AS samples FROM v GROUP BY det_id, clip_start_s, a, b",
     recs=RECS, det=DET,
 )
 def x6_cut_clips(recs, det):
-    return audio.cut_clips(det, _recordings(recs)).select("det_id", "clip_start_s", F.length("clip").cast("bigint").alias("bytes"))
+    """Clips' lengths and the sum of their samples."""
+
+    @F.udf("bigint")
+    def total(clip: bytes) -> int:
+        return int(np.frombuffer(clip[44:], "<i2").sum(dtype=np.int64))
+
+    return audio.cut_clips(det, _recordings(recs)).select("det_id", "clip_start_s", F.length("clip").cast("bigint").alias("bytes"), total("clip").alias("samples"))
+
+
+@query(
+    f"SELECT recording, CAST(s AS BIGINT) AS frame, CAST(floor(pow((500 + 300 * (s * 37 % 100)) / 32768.0::DOUBLE, 2) * {RATE} * 1e6 + 0.5) AS BIGINT) AS energy FROM (SELECT recording, unnest(range(0, CAST(duration_s AS BIGINT))) AS s FROM recs)",
+    recs=RECS,
+)
+def w17_frames_from_audio(recs):
+    """Energy of each second of the recordings, read in ranges of fifty seconds."""
+    f = audio.energy_frames(_recordings(recs), hop=RATE, n_fft=None, range_s=50.0)
+    return f.select("recording", "frame", F.floor(F.col("energy") * 1e6 + 0.5).cast("bigint").alias("energy"))
+
+
+@query(
+    f"""WITH f AS (SELECT recording, s, pow((500 + 300 * (s * 37 % 100)) / 32768.0::DOUBLE, 2) AS energy FROM (SELECT recording, unnest(range(0, CAST(duration_s AS BIGINT))) AS s FROM recs)),
+o AS (SELECT recording, s, s - row_number() OVER (PARTITION BY recording ORDER BY s) AS run FROM (SELECT *, max(energy) OVER (PARTITION BY recording) AS peak, count(*) OVER (PARTITION BY recording) AS n FROM f) WHERE energy / peak > 0.2 AND n >= 8),
+r AS (SELECT recording, CAST(min(s) AS DOUBLE) AS a, CAST(max(s) + 1 AS DOUBLE) AS b FROM o GROUP BY recording, run HAVING count(*) >= 2)
+SELECT recording, a AS start_s, least(b, a + 3) AS end_s FROM r""",
+    recs=RECS,
+)
+def w18_pulses_from_audio(recs):
+    """Pulses of at least two seconds, cut to three; runs are at least a second apart, so none are merged."""
+    f = audio.energy_frames(_recordings(recs), hop=RATE, n_fft=None, range_s=50.0)
+    return windows.pulses(f, share=0.2, min_s=2.0, merge_s=0.5, max_s=3.0)
 
 
 @query(vec=VEC_SPARK)

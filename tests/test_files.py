@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chorusframe.operators import audio, gates, matching
+from chorusframe.operators import audio, gates, matching, windows
 from chorusframe.plans import jobs, manifest
 from chorusframe.sources import readers, sinks
 from chorusframe.streaming import events
@@ -64,6 +64,139 @@ def test_clips_hold_the_padded_window(spark, recordings):
     assert len(audio.decode(bytes(got[2]["clip"]))[0]) == 3 * 8000
 
 
+def plain_features(x, rate):
+    """All fourteen features with explicit sums instead of transforms."""
+    n = len(x)
+
+    def power(y):
+        k = np.arange(len(y) // 2 + 1)
+        return np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(len(y))) / len(y)) @ y) ** 2
+
+    hann = lambda m: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / (m - 1))
+    p, hz = power(x * hann(n)) + 1e-20, np.arange(n // 2 + 1) * rate / n
+    frame = int(0.02 * rate)
+    env = np.array([math.sqrt(sum(v * v for v in x[i : i + frame]) / frame) for i in range(0, n // frame * frame, frame)])
+    rms, peak = math.sqrt(sum(v * v for v in x) / n), max(abs(v) for v in x)
+    beat = power(env - env.mean())
+    beat_hz = np.arange(len(env) // 2 + 1) / (0.02 * len(env))
+    slow = [i for i, f in enumerate(beat_hz) if 1 < f < 20]
+    best = max(slow, key=lambda i: beat[i])
+    band = [i for i, f in enumerate(hz) if 400 <= f <= 1200]
+    inside, whole = sum(p[i] for i in band), sum(p)
+    frames = [power(x[i : i + 256] * hann(256)) for i in range(0, n - 255, 128)]
+    rows = [i for i in range(129) if 400 <= i * rate / 256 <= 1200]
+    energy = np.array([f[rows].sum() for f in frames])
+    tops = np.array([rows[int(np.argmax(f[rows]))] * rate / 256 for f, e in zip(frames, energy, strict=True) if e >= np.median(energy)])
+    return {
+        "rms": rms, "peak": peak, "low_freq_ratio": sum(p[i] for i in range(len(p)) if hz[i] <= 1500) / whole, "band_fraction": inside / whole, "centroid_hz": sum(hz * p) / whole,
+        "flatness": math.exp(sum(math.log(v) for v in p) / len(p)) / (whole / len(p)), "crest": peak / rms, "env_cv": np.std(env) / np.mean(env), "onset_rate": sum(b - a > 0.5 * env.mean() for a, b in zip(env, env[1:], strict=False)) / (n / rate),
+        "pulse_share": beat[best] / sum(beat[i] for i in slow), "pulse_hz": beat_hz[best], "band_log_ratio": math.log10((inside + 1e-20) / (whole - inside + 1e-20)), "fm_spread_hz": tops.std(), "low_mod_cv": energy.std() / energy.mean(),
+    }
+
+
+@pytest.fixture(scope="module")
+def sweeps(tmp_path_factory):
+    """A pulsed sweep with some noise, mono of 16 bits and stereo of 32, and two short files."""
+    root, rate = tmp_path_factory.mktemp("sweeps"), 4000
+    t = np.arange(int(9.3 * rate)) / rate
+    x = np.sin(2 * np.pi * (300 + 90 * t) * t) * (0.3 + 0.6 * (np.sin(2 * np.pi * 0.7 * t) > 0.2)) * 0.8 + np.random.default_rng(1).normal(0, 0.01, len(t))
+    for name, y, width in (("mono", x, 2), ("stereo", np.stack([x, x[::-1]], 1), 4), ("short", x[:2500], 2), ("empty", x[:0], 2)):
+        with wave.open(str(root / f"{name}.wav"), "wb") as w:
+            w.setnchannels(y.ndim)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            w.writeframes((np.clip(y, -1, 1) * (2 ** (8 * width - 1) - 1)).astype(f"<i{width}").tobytes())
+    (root / "broken.wav").write_bytes(b"RIFFxx")
+    return root
+
+
+def test_features_over_ranges_equal_a_plain_version(spark, sweeps):
+    files = readers.audio_files(spark, f"file://{sweeps}")
+    got = {(r["recording"], r["win_no"]): r for r in audio.window_features(files, range_s=2.5).collect()}
+    expected = 0
+    for name in ("mono", "stereo", "short"):
+        x, rate = audio.decode((sweeps / f"{name}.wav").read_bytes())
+        for i, s in enumerate(audio.window_starts(len(x) / rate, 2.0, 1.0)):
+            part = x[int(s * rate) : int(s * rate) + 2 * rate].astype(float)
+            want = plain_features(np.pad(part, (0, 2 * rate - len(part))), rate)
+            assert got[name, i]["start_s"] == s and set(want) == set(audio.FEATURES)
+            for c, v in want.items():
+                assert got[name, i][c] == pytest.approx(v, rel=2e-3, abs=1e-6), (name, i, c)
+            expected += 1
+    assert len([k for k in got if k[0] != "empty"]) == expected
+
+
+def test_scores_do_not_depend_on_ranges(spark, sweeps):
+    files = readers.audio_files(spark, f"file://{sweeps}")
+    score = lambda x, rate: np.stack([np.abs(x).max(axis=1), x.sum(axis=1)], axis=1)
+    by = [sorted((r["recording"], r["win_no"], r["start_s"], *r["probs"]) for r in audio.score_windows(files, score, 2, batch=b, range_s=s).collect()) for b, s in ((256, 1e6), (1, 1.0), (2, 3.3))]
+    assert by[0] == by[1] == by[2] and len(by[0]) > 18
+
+
+def plain_pulses(x, rate, hop=64, n_fft=512, low=100, high=1500, share=0.05, least=0.15, gap=0.10, most=1.6):
+    """The envelope of a padded whole recording, and its pulses one run after the other."""
+    y = np.pad(x.astype(float), n_fft // 2)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    hz = np.arange(n_fft // 2 + 1) * rate / n_fft
+    env = np.array([(np.abs(np.fft.rfft(y[i : i + n_fft] * hann)) ** 2)[(hz >= low) & (hz < high)].sum() for i in range(0, len(x) + 1, hop)])
+    loud, fps, found = env / env.max() > share, rate / hop, []
+    edges = np.flatnonzero(np.diff(np.r_[False, loud, False].astype(int)))
+    for a, b in zip(edges[::2] / fps, edges[1::2] / fps, strict=True):
+        if b - a >= least:
+            if found and a - found[-1][1] < gap:
+                found[-1][1] = b
+            else:
+                found.append([a, min(b, a + most)])
+    return env, found
+
+
+def test_frames_and_pulses_of_recordings(spark, tmp_path):
+    rate, rng = 4000, np.random.default_rng(5)
+    for k in range(6):
+        x = rng.normal(0, 0.001, int(rate * (7 + k)))
+        at = 0
+        while at < len(x) - rate // 10:  # tones of many lengths, gaps around the limits
+            n = int(rate * rng.choice([0.08, 0.2, 0.3, 1.0, 2.2]))
+            x[at : at + n] += 0.5 * np.sin(2 * np.pi * 600 * np.arange(len(x[at : at + n])) / rate)
+            at += n + int(rate * rng.choice([0.12, 0.16, 0.2, 0.5]))
+        with wave.open(str(tmp_path / f"r{k}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    frames = audio.energy_frames(readers.audio_files(spark, f"file://{tmp_path}"), hop=64, n_fft=512, range_s=1.7)
+    got, merged = frames.collect(), 0
+    pulses = windows.pulses(frames).collect()
+    for k in range(6):
+        x, _ = audio.decode((tmp_path / f"r{k}.wav").read_bytes())
+        env, found = plain_pulses(x, rate)
+        mine = sorted((r["frame"], r["energy"]) for r in got if r["recording"] == f"r{k}")
+        assert [f for f, _ in mine] == list(range(len(env))) and np.allclose([e for _, e in mine], env, rtol=1e-6, atol=1e-9)
+        assert sorted((r["start_s"], r["end_s"]) for r in pulses if r["recording"] == f"r{k}") == [tuple(p) for p in found]
+        merged += sum(b - a > 1.6 for a, b in found)
+    assert merged and len(pulses) > 20
+
+
+def test_clips_equal_slices_and_contents_are_never_shuffled(spark, sweeps):
+    rows = [(i, ("mono", "stereo", "short", "broken", "gone")[i % 5], 0.37 * i, 0.37 * i + 1.1) for i in range(30)]
+    det = spark.createDataFrame(rows, "det_id bigint, recording string, start_s double, end_s double")
+    files = readers.audio_files(spark, f"file://{sweeps}")
+    clips = audio.cut_clips(det, files)
+    got = {r["det_id"]: r for r in clips.collect()}
+    assert set(got) == {i for i, name, *_ in rows if name in ("mono", "stereo", "short")}
+    for i, name, a, b in rows:
+        if i in got:
+            x, rate = audio.decode((sweeps / f"{name}.wav").read_bytes())
+            a = max(0.0, a - 0.5)
+            want = (np.clip(x[int(a * rate) : int(min(len(x) / rate, b + 0.5) * rate)], -1, 1) * 32767).astype("<i2")
+            with wave.open(__import__("io").BytesIO(bytes(got[i]["clip"]))) as w:
+                assert w.getframerate() == rate and w.readframes(w.getnframes()) == want.tobytes()
+            assert got[i]["clip_start_s"] == a
+    for df in (clips, audio.window_features(files), audio.energy_frames(files)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "content" not in plan and "ReadSchema: struct<path:string>" in plan
+
+
 def test_missing_audio_is_counted_or_refused(spark):
     det = spark.createDataFrame([(1, "a"), (2, "b")], "det_id int, recording string")
     recs = spark.createDataFrame([("a", "/x/a.wav")], "recording string, path string")
