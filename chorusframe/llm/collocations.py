@@ -29,8 +29,8 @@ from .common import Scratch, byte_column, in_slices, mix, parts, word_hashes
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BORDER = re.compile(rb"[.,;:!?\n-\r]+")
-#: Bits of a word's number in a task; a container of more suffixes bursts; counts that a task holds; words counted at once; bits of the largest filter.
-ID_BITS, BURST, CAPACITY, STEP, MAX_BITS = 21, 4096, 1_000_000, 500_000, 1 << 28
+#: Bits of a word's number in a task; a container of more suffixes bursts; counts that a task holds; words counted at once; counts of an Arrow batch of runs; bits of the largest filter.
+ID_BITS, BURST, CAPACITY, STEP, RUN, MAX_BITS = 21, 4096, 1_000_000, 500_000, 1 << 18, 1 << 28
 _MASK = (1 << ID_BITS) - 1
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -94,18 +94,30 @@ class Trie:
             self.size += more
 
     def pop_largest(self, leave: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the largest first, until ``leave`` counts remain: first words, packed other words, counts."""
+        """Take out whole subtrees, the largest first, until ``leave`` counts remain: first words, packed other words and counts of many subtrees at a time."""
         if self.size > leave and self.leaf:
             held, self.leaf = self.leaf, {}
             self.size -= len(held)
             yield np.fromiter(held, np.int64, len(held)), np.zeros(len(held), np.int64), np.fromiter(held.values(), np.int64, len(held))
+        firsts, sizes, held = [], [], []
+
+        def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = sum(sizes)
+            return np.repeat(firsts, sizes), np.fromiter(chain.from_iterable(held), np.int64, n), np.fromiter(chain.from_iterable(map(dict.values, held)), np.int64, n)
+
         for f in sorted(self.counts, key=self.counts.get, reverse=True):
             if self.size <= leave:
-                return
-            node, n = self.root.pop(f), self.counts.pop(f)
-            self.size -= n
-            held = node.children.values() if type(node) is Burst else (node,)
-            yield np.full(n, f), np.fromiter(chain.from_iterable(held), np.int64, n), np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, n)
+                break
+            node = self.root.pop(f)
+            firsts.append(f)
+            sizes.append(self.counts.pop(f))
+            held += node.children.values() if type(node) is Burst else (node,)
+            self.size -= sizes[-1]
+            if sum(sizes[-64:]) >= RUN or len(sizes) % 64 == 0 and sum(sizes) >= RUN:
+                yield taken()
+                firsts, sizes, held = [], [], []
+        if firsts:
+            yield taken()
 
 
 class Burst:
@@ -192,18 +204,10 @@ class Counts:
         rank = np.empty(len(names), np.int64)
         rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
         names, tongues = names.cast(pa.string()), pa.array(self.langs, pa.binary()).cast(pa.string())
-        some, size = [], 0
-        for tree in self.trie.pop_largest(leave):
-            some.append(tree)
-            size += len(tree[0])
-            if size >= 1 << 18:
-                yield self._run(names, tongues, rank, some)
-                some, size = [], 0
-        if some:
-            yield self._run(names, tongues, rank, some)
-
-    def _run(self, names: pa.Array, tongues: pa.Array, rank: np.ndarray, trees: list) -> pa.RecordBatch:
-        f, k, n = (np.concatenate(x) for x in zip(*trees, strict=True))
+        for trees in self.trie.pop_largest(leave):
+            yield self._run(names, tongues, rank, *trees)
+
+    def _run(self, names: pa.Array, tongues: pa.Array, rank: np.ndarray, f: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         ids = [f, *((k >> ID_BITS * s & _MASK) - 1 for s in (2, 1, 0)[: max(self.lengths) - 1])]  # -1: no word
         order = np.lexsort([*(np.where(x < 0, -1, rank[x]) for x in ids[:0:-1]), rank[f], f])
         ids = [x[order] for x in ids]
