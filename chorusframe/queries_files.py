@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,24 +73,18 @@ def _recordings(recs: DataFrame) -> DataFrame:
     """Writes a recording for each row of ``recs`` (a recording of several stations once), and gives the files."""
     root = shared_path(recs.sparkSession, "audio")
 
-    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa_fs.FileSystem.from_uri(root)
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for station, name, seconds in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.repeat(_amplitude(np.arange(int(seconds))), RATE).astype("<i2")
                 out = io.BytesIO()
                 with wave.open(out, "wb") as w:
                     w.setnchannels(1)
                     w.setsampwidth(2)
                     w.setframerate(RATE)
-                    w.writeframes(x.tobytes())
-                fs.create_dir(f"{base}/{station}", recursive=True)
-                with fs.open_output_stream(f"{base}/{station}/{name}.part") as f:
-                    f.write(out.getvalue())
-                fs.move(f"{base}/{station}/{name}.part", f"{base}/{station}/{name}.wav")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    recs.select("station", "recording", "duration_s").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+                    w.writeframes(np.repeat(_amplitude(np.arange(int(seconds))), RATE).astype("<i2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([f"{station}/{name}.wav"]), pa.array([out.getvalue()], pa.binary())], names=["file", "content"])
+
+    sinks.save_named(recs.select("station", "recording", "duration_s").mapInArrow(make, "file string, content binary"), root)
     return readers.audio_files(recs.sparkSession, root, ["/ST03"])
 
 

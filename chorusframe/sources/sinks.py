@@ -2,52 +2,116 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.parse import clip_name
 
 
+STAGED = "_staged"
+
+
+def named_files() -> type[DataSource]:
+    """A sink of files with given names: rows ``(file, content)``, the rows of a file side by side, go to ``<root>/<file>``.
+
+    A task attempt writes below a folder of its own, ``<root>/_staged-<job>/<attempt>``, and reports its files.  Only the driver's commit, which gets
+    one report a partition, moves files to their names and then writes ``_SUCCESS`` with their number; files of other attempts and
+    of failed jobs go with the staging folder.  Readers skip names that begin with an underscore, so nothing is seen before.
+    """
+
+    # Defined in here so that it is sent to the planner and to workers by value.
+    @dataclass
+    class Written(WriterCommitMessage):
+        folder: str
+        files: list
+
+    class Writer(DataSourceArrowWriter):
+        def __init__(self, root: str, header: str | None):
+            self.root, self.header, self.staged = root.rstrip("/"), header, f"{STAGED}-{uuid.uuid4().hex}"
+
+        def _store(self) -> tuple:
+            fs, base = pa_fs.FileSystem.from_uri(self.root)
+            return fs, base, f"{base}/{self.staged}"
+
+        def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+            fs, _, staged = self._store()
+            folder, files, name, out = f"{staged}/{uuid.uuid4().hex}", [], None, None
+            for batch in iterator:
+                for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    if file != name:
+                        if out:
+                            out.close()
+                        name = file
+                        files.append(file)
+                        fs.create_dir(f"{folder}/{file}".rsplit("/", 1)[0], recursive=True)
+                        out = fs.open_output_stream(f"{folder}/{file}")
+                        if self.header is not None:
+                            out.write(f"{self.header}\n".encode())
+                    if content is not None:
+                        out.write(content)
+            if out:
+                out.close()
+            return Written(folder, files)
+
+        def commit(self, messages: list) -> None:
+            fs, base, staged = self._store()
+            fs.create_dir(base, recursive=True)
+            made = set()
+            for message in messages:
+                for file in message.files:
+                    folder = f"{base}/{file}".rsplit("/", 1)[0]
+                    if folder not in made:
+                        fs.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    fs.move(f"{message.folder}/{file}", f"{base}/{file}")
+            self._clear(fs, staged)
+            with fs.open_output_stream(f"{base}/_SUCCESS") as out:
+                out.write(str(sum(len(m.files) for m in messages)).encode())
+
+        def abort(self, messages: list) -> None:
+            fs, _, staged = self._store()
+            self._clear(fs, staged)
+
+        def _clear(self, fs: pa_fs.FileSystem, staged: str) -> None:
+            if fs.get_file_info(staged).type == pa_fs.FileType.Directory:
+                fs.delete_dir(staged)
+
+    class NamedFiles(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "named_files"
+
+        def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
+            return Writer(self.options["root"], self.options.get("header"))
+
+    return NamedFiles
+
+
+def save_named(rows: DataFrame, root: str, header: str | None = None) -> int:
+    """Write ``rows(file, content)``, of which a file's rows lie side by side in one partition, by named_files; gives the number of files."""
+    rows.sparkSession.dataSource.register(named_files())
+    out = rows.select("file", F.col("content").cast("binary").alias("content")).write.format("named_files").mode("append").option("root", root)
+    (out if header is None else out.option("header", header)).save()
+    fs, base = pa_fs.FileSystem.from_uri(root)
+    with fs.open_input_stream(f"{base.rstrip('/')}/_SUCCESS") as done:
+        return int(done.read())
+
+
 def write_files(rows: DataFrame, root: str, file: str, order: Sequence[str], header: Sequence[str]) -> int:
     """CSV files of given names below ``root`` (the column ``file``), each with a header line and the columns ``header`` of its rows in order.
 
-    A row whose columns are all null only makes its file.  A file is written by one task under another name and then
-    moved, so a task that is run again leaves the same file.  Gives the number of files.
+    A row whose columns are all null only makes its file.  All files appear when the job commits, none if it fails.  Gives the number of files.
     """
-    cells = F.when(F.coalesce(*(F.col(c).cast("string") for c in header)).isNotNull(), F.to_csv(F.struct(*header)))
-    lines = rows.select(F.col(file).alias("file"), cells.alias("line"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
-    lines = lines.repartition("file").sortWithinPartitions("file", *(f"_{i}" for i in range(len(order)))).select("file", "line")
-    head = ",".join(header)
-
-    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa_fs.FileSystem.from_uri(root)
-        name = out = None
-        done = 0
-
-        def close() -> None:
-            out.close()
-            fs.move(f"{base}/{name}.part", f"{base}/{name}")
-
-        for batch in it:
-            for file, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                if file != name:
-                    if out:
-                        close()
-                    name, done = file, done + 1
-                    fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(f"{base}/{name}.part")
-                    out.write(f"{head}\n".encode())
-                if line is not None:
-                    out.write(f"{line}\n".encode())
-        if out:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
-
-    return lines.mapInArrow(write, "files bigint").select(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    cells = F.when(F.coalesce(*(F.col(c).cast("string") for c in header)).isNotNull(), F.concat(F.to_csv(F.struct(*header)), F.lit("\n")))
+    lines = rows.select(F.col(file).alias("file"), cells.alias("content"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    return save_named(lines.repartition("file").sortWithinPartitions("file", *(f"_{i}" for i in range(len(order)))), root, ",".join(header))
 
 
 DETECTION_HEADER = ("start_time", "end_time", "species", "confidence")

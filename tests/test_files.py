@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,39 @@ def test_stream_events_match_batch_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["windows"] for r in spark.table("call_events").where("species = 'a'").collect()) == [1, 2, 4]
+
+
+def _batches(rows):
+    yield pa.RecordBatch.from_pylist([{"file": f, "content": c} for f, c in rows], schema=pa.schema([("file", pa.string()), ("content", pa.binary())]))
+
+
+def test_only_committed_attempts_are_seen(tmp_path):
+    root = tmp_path / "out"
+    writer = sinks.named_files()({"root": f"file://{root}", "header": "h"}).writer(None, False)
+    rows = [("a/x.csv", b"1\n"), ("a/x.csv", b"2\n"), ("b/y.csv", None)]
+    first, second = writer.write(_batches(rows)), writer.write(_batches(rows))  # two attempts of one partition
+
+    def broken():
+        yield from _batches([("a/x.csv", b"half")])
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write(broken())
+    seen = lambda: sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and "_staged" not in str(p))
+    assert first.folder != second.folder and seen() == []
+    writer.commit([second])
+    assert seen() == ["_SUCCESS", "a/x.csv", "b/y.csv"] and not list(root.glob("_staged*"))
+    assert (root / "a/x.csv").read_text() == "h\n1\n2\n" and (root / "b/y.csv").read_text() == "h\n" and (root / "_SUCCESS").read_text() == "2"
+    again = sinks.named_files()({"root": f"file://{root}"}).writer(None, False)
+    again.abort([again.write(_batches([("c.csv", b"x")]))])
+    assert "c.csv" not in seen() and not list(root.glob("_staged*"))
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    fail = F.udf(lambda i: b"x" if i < 900 else 1 // 0, "binary")
+    rows = spark.range(1000, numPartitions=4).select(F.concat(F.lit("f"), F.floor(F.col("id") / 10).cast("string")).alias("file"), fail("id").alias("content"))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        sinks.save_named(rows, f"file://{tmp_path}/o")
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+    assert sinks.save_named(rows.where("id < 900"), f"file://{tmp_path}/o") == 90
+    assert len(list((tmp_path / "o").glob("f*"))) == 90
