@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import hour_fraction
+from .prefix import exact_quantiles
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -72,7 +73,7 @@ def distance_flag(percentile: float = 0.95, distance: str = "mahalanobis_d2") ->
     """Flags rows beyond that percentile of their species' own distances."""
 
     def run(d: DataFrame) -> DataFrame:
-        cut = d.groupBy("species").agg(F.percentile(distance, F.lit(percentile)).alias("_cut"))
+        cut = exact_quantiles(d.where("species IS NOT NULL"), distance, [percentile], ["species"]).select("species", F.col("q")[0].alias("_cut"))
         return d.join(cut, "species", "left").withColumn("flag_mahal", F.coalesce(F.col(distance) > F.col("_cut"), F.lit(False))).drop("_cut")
 
     return run

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running
+from .prefix import exact_quantiles, running
 from .sessions import rolled_up
 
 
@@ -132,7 +132,16 @@ def detection_summary(recordings: DataFrame, det: DataFrame) -> DataFrame:
 
 def species_profile(det: DataFrame) -> DataFrame:
     v = F.col("confidence")
-    return det.groupBy("species").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), (F.max(v) - F.min(v)).alias("range"))
+    out = det.groupBy("species").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), (F.max(v) - F.min(v)).alias("range"))
+    return _with_quantiles(out, exact_quantiles(det, v, [0.5], ["species"]), ["species"]).select("species", "n", "mean", F.col("q")[0].alias("median"), "std", "range")
+
+
+def _with_quantiles(out: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``q`` by group, null where a group has no value."""
+    on = F.lit(True)
+    for c in by:
+        on = on & out[c].eqNullSafe(F.col(f"_of_{c}"))
+    return out.join(found.select("q", *(F.col(c).alias(f"_of_{c}") for c in by)), on, "left")
 
 
 def confidence_histogram(det: DataFrame, bins: int = 10) -> DataFrame:
@@ -188,8 +197,9 @@ def audio_seconds(segments: DataFrame) -> DataFrame:
 
 def purity_by_source(scores: DataFrame, threshold: float) -> DataFrame:
     """Share of each source (numbers folded) that scores as a call."""
-    src = F.regexp_replace("source", r"\d+", "#")
-    out = scores.groupBy(src.alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("target_score") >= threshold).alias("flagged"), F.percentile("target_score", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    rows = scores.withColumn("source", F.regexp_replace("source", r"\d+", "#"))
+    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("target_score") >= threshold).alias("flagged"))
+    out = _with_quantiles(out, exact_quantiles(rows, "target_score", [0.5, 0.95], ["source"]), ["source"])
     return out.select("source", "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
@@ -221,8 +231,7 @@ def pulse_stats(pulses: DataFrame) -> DataFrame:
 def feature_groups(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     """Median and quartiles of each feature in each group."""
     long = df.unpivot([group], list(features), "feature", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(group, "feature").agg(F.count("value").alias("n"), q.alias("q"))
+    out = _with_quantiles(long.groupBy(group, "feature").agg(F.count("value").alias("n")), exact_quantiles(long, "value", [0.25, 0.5, 0.75], [group, "feature"]), [group, "feature"])
     return out.select(group, "feature", "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
 
 

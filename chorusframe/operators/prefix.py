@@ -33,3 +33,28 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Map
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return rows.join(part, on).select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+
+
+def exact_quantiles(df: DataFrame, column: str | Column, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``n``, ``q``: the number of values and their linearly interpolated quantiles ``at``, for each group that has a value.
+
+    Counts by value are summed in order over range partitions; the values around each position are then minima over the
+    counts that reach it, which combine before they are shuffled.  So no group's values are gathered in one task.
+    """
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    per = df.select(*by, value.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    upto = running(per, by, [F.col("_v").asc()], {"_upto": F.col("_n")})
+    whole = upto.groupBy(*(F.col(c).alias(f"_of_{c}") for c in by)).agg(F.max("_upto").alias("_all"))  # a row a group
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    both = upto.join(whole, on) if by else upto.join(F.broadcast(whole))  # one row
+    place = [F.lit(float(p)) * (F.col("_all") - 1) for p in at]
+    reach = [F.min(F.when(F.col("_upto") > end(p), F.col("_v"))).alias(f"_{k}{i}") for i, p in enumerate(place) for k, end in (("a", F.floor), ("b", F.ceil))]
+    found = both.groupBy(*by, "_all").agg(*reach) if reach else both.groupBy(*by, "_all").count()
+
+    def between(i: int, p: Column) -> Column:
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        return F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+
+    return found.select(*by, F.col("_all").alias("n"), F.array(*(between(i, p) for i, p in enumerate(place))).alias("q"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .prefix import running
+from .prefix import exact_quantiles, running
 
 MIN_FRACTION, MIN_RATIO, MIN_ROWS = 0.25, 2.0, 10
 INVADED, NORMAL = "invaded", "normal"
@@ -28,9 +28,9 @@ def station_regimes(det: DataFrame, tight: str = "knn_dist", distance: str = "ma
     rows = rows.withColumn("ratio", F.when(F.col("pos") >= lowest, ratio))
     best = rows.groupBy(group).agg(F.max("m").alias("m"), F.max(F.when(F.col("ratio").isNotNull(), F.struct("ratio", (-F.col("pos")).alias("at")))).alias("best"))
     cluster = best.select(group, "m", F.col("best.ratio").alias("gap_ratio"), (-F.col("best.at")).alias("cluster"))
-    sides = rows.join(cluster.select(group, "cluster"), group).groupBy(group).agg(
-        F.median(F.when(F.col("pos") <= F.col("cluster"), F.col("d"))).alias("cluster_distance"), F.median(F.when(F.col("pos") > F.col("cluster"), F.col("d"))).alias("rest_distance")
-    )
+    halves = rows.join(cluster.select(group, "cluster"), group).where("cluster IS NOT NULL").select(group, (F.col("pos") <= F.col("cluster")).alias("near"), "d")
+    medians = exact_quantiles(halves, "d", [0.5], [group, "near"])
+    sides = medians.groupBy(group).agg(F.max(F.when(F.col("near"), F.col("q")[0])).alias("cluster_distance"), F.max(F.when(~F.col("near"), F.col("q")[0])).alias("rest_distance"))
     out = det.groupBy(group).agg(F.count("*").alias("n")).join(cluster, group, "left").join(sides, group, "left")
     verdict = (
         F.when(F.coalesce("m", F.lit(0)) < MIN_ROWS, "too few detections")

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.parse import hour_fraction
 from ..plans.lineage import cut
 from .metrics import auc, is_call, is_false, outcome
-from .prefix import running, spread_by
+from .prefix import exact_quantiles, running, spread_by
 from .ranking import SIGNALS, effort_by_station, rank_score
 from .sampling import draw
 
 
+COUNTS = ("calls_kept", "calls_lost", "fps_removed", "left")
+
+
 def histogram(det: DataFrame, column: str, by: Sequence[str] = ("station",)) -> DataFrame:
     return det.groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count_if(is_call()).alias("calls"), F.count_if(is_false()).alias("fps"), F.count("*").alias("n"))
 
@@ -30,8 +33,7 @@ def quantiles(n: int) -> list[float]:
 
 def quantile_cuts(det: DataFrame, column: str, n: int) -> DataFrame:
     """The distinct values at n evenly spaced quantiles, linearly interpolated."""
-    at = F.percentile(F.col(column).cast("double"), F.array(*(F.lit(q) for q in quantiles(n))))
-    return det.agg(at.alias("q")).select(F.explode("q").alias("cut")).distinct()
+    return exact_quantiles(det, column, quantiles(n)).select(F.explode("q").alias("cut")).distinct()
 
 
 def flagged(value: Column, cut: Column, flag_when: str) -> Column:
@@ -65,8 +67,10 @@ def optimize_thresholds(det: DataFrame, distance: str = "mahalanobis_d2", neighb
     """Distance and neighbour cutoffs searched together, either of them off (null) included, under a floor of calls kept."""
     h = det.groupBy(F.col(distance).alias("d"), F.col(neighbours).alias("k")).agg(F.count_if(is_call()).alias("calls"), F.count_if(is_false()).alias("fps"))
     off = det.sparkSession.createDataFrame([(None,)], "cut double")
-    dc = quantile_cuts(det, distance, steps).union(off).withColumnRenamed("cut", "distance_cut")
-    nc = quantile_cuts(det, neighbours, steps).select(F.floor("cut").cast("double").alias("cut")).distinct().union(off).withColumnRenamed("cut", "neighbour_cut")
+    values = det.select(F.explode(F.array(*(F.struct(F.lit(k).alias("of"), F.col(c).cast("double").alias("v")) for k, c in (("d", distance), ("k", neighbours))))).alias("x"))
+    cuts = cut(exact_quantiles(values.select("x.*"), "v", quantiles(steps), ["of"]).select("of", F.explode("q").alias("cut")).distinct())  # steps rows each
+    dc = cuts.where("of = 'd'").select("cut").union(off).withColumnRenamed("cut", "distance_cut")
+    nc = cuts.where("of = 'k'").select(F.floor("cut").cast("double").alias("cut")).distinct().union(off).withColumnRenamed("cut", "neighbour_cut")
     grid = F.broadcast(dc.crossJoin(nc))  # (steps + 1) ** 2 rows
     gone = flagged(F.col("d"), F.col("distance_cut"), "high") | flagged(F.col("k"), F.col("neighbour_cut"), "low")
     out = tally(h.join(grid), gone, ["distance_cut", "neighbour_cut"])
@@ -116,12 +120,24 @@ def station_cv(det: DataFrame, column: str, flag_when: str = "low", retention: f
 
 
 def two_protocol_cv(det: DataFrame, retention: float = 0.9, cuts: Sequence[int] = tuple(range(-1, 10))) -> DataFrame:
-    """Leave-one-station-out for isolation everywhere and the cluster rule where it found an invasion (``flag_invading_cluster``)."""
+    """Leave-one-station-out for isolation everywhere and the cluster rule where it found an invasion (``flag_invading_cluster``).
+
+    Sums by station and cutoff are made once; what a fold trains on is the sum over all stations less its own.  ``invaded`` says
+    whether the cluster rule flags anything at the station; a pooled row has the held-out stations, another all rows uncleaned.
+    """
     flag = F.coalesce("flag_invading_cluster", F.lit(False))
     h = det.groupBy("station", F.col("n_neighbours").cast("double").alias("value"), flag.alias("inv")).agg(F.count_if(is_call()).alias("calls"), F.count_if(is_false()).alias("fps"))
     c = det.sparkSession.createDataFrame([(float(x),) for x in cuts], "cut double")
-    t = tally(_folds(h).join(F.broadcast(c)), F.col("inv") | flagged(F.col("value"), F.col("cut"), "low"), ["fold", "own", "cut"])
-    return _with_pooled(t.where("own").join(_choose(t.where("NOT own"), retention, "cut"), ["fold", "cut"]), "cut")
+    t = cut(tally(h.join(F.broadcast(c)), F.col("inv") | flagged(F.col("value"), F.col("cut"), "low"), ["station", "cut"]).withColumnRenamed("station", "fold"))  # stations x cutoffs
+    every = t.groupBy("cut").agg(*(F.sum(x).alias(f"_{x}") for x in COUNTS))
+    train = t.join(every, "cut").select("fold", "cut", *((F.col(f"_{x}") - F.col(x)).alias(x) for x in COUNTS)).withColumn("precision", F.try_divide("calls_kept", "left"))
+    others = F.count("*").over(Window.partitionBy("cut")) > 1  # a row a station
+    pick = _choose(train.withColumn("_others", others).where("_others").drop("_others"), retention, "cut")
+    invaded = h.groupBy(F.col("station").alias("fold")).agg(F.max("inv").alias("invaded"))
+    out = _with_pooled(t.join(pick, ["fold", "cut"]).join(invaded, "fold"), "cut", "invaded")
+    none = h.agg(F.sum("calls").alias("calls_kept"), F.lit(0).cast("bigint").alias("calls_lost"), F.lit(0).cast("bigint").alias("fps_removed"), F.sum(F.col("calls") + F.col("fps")).alias("left"))
+    none = none.select(F.lit("UNCLEANED").alias("fold"), "*", F.try_divide("calls_kept", "left").alias("precision"))
+    return out.unionByName(none, allowMissingColumns=True)
 
 
 def gated_recurrence_cv(det: DataFrame, tight: str = "knn_dist", distance: str = "mahalanobis_d2", share: float = 0.25, retention: float = 0.9, steps: int = 25, levels: Sequence[float | None] = (None, 0.5, 0.7, 0.8, 0.9)) -> DataFrame:
@@ -154,7 +170,8 @@ def operating_points(det: DataFrame, signals: dict[str, bool] | None = None, lev
     Rows become a bit mask of the candidates that flag them; masks are counted once and candidates tried on the counts.
     """
     use = {c: up for c, up in (signals or SIGNALS).items() if c in det.columns}
-    at = det.agg(*(F.percentile(F.col(c).cast("double"), F.array(*(F.lit(q) for q in quantiles(steps)))).alias(c) for c in use)).first()
+    values = det.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in use))).alias("x")).select("x.*")
+    at = {c: None for c in use} | {r["of"]: r["q"] for r in exact_quantiles(values, "v", quantiles(steps), ["of"]).collect()}  # a row a signal
     singles = [(c, "low" if up else "high", float(x)) for c, up in use.items() for x in (at[c] or [])]
     marks = F.array(*(flagged(F.col(c).cast("double"), F.lit(x), when) for c, when, x in singles))
     # A signal's cutoffs are ordered, so its marks are one number: how many of them flag the row.

@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..schema import KEYS
+from .prefix import exact_quantiles
 
 EVENT_GAP_S, EPISODE_GAP_S, WINDOW_S = 2.0, 300.0, 2.0
 
@@ -66,10 +68,11 @@ def event_effort(det: DataFrame, gap_s: float = EVENT_GAP_S) -> DataFrame:
 def duration_summary(det: DataFrame, gap_s: float = EVENT_GAP_S) -> DataFrame:
     """Event durations overall and by verdict: median, mean, 90th percentile, longest, and the share of single windows."""
     e = events(det, gap_s).withColumn("verdict", F.coalesce("verdict", F.lit("unreviewed")))
-    return rolled_up(
-        e, "verdict", F.count("*").alias("events"), F.median("duration_s").alias("median_s"), F.avg("duration_s").alias("mean_s"),
-        F.percentile("duration_s", F.lit(0.9)).alias("p90_s"), F.max("duration_s").alias("max_s"), (F.count_if(F.col("windows") == 1) / F.count("*")).alias("single_share"),
-    )
+    e = cut(e.select("verdict", "duration_s", "windows"))
+    each = e.select(F.explode(F.array("verdict", F.lit("ALL"))).alias("verdict"), "duration_s")
+    q = exact_quantiles(each, "duration_s", [0.5, 0.9], ["verdict"]).select("verdict", F.col("q")[0].alias("median_s"), F.col("q")[1].alias("p90_s"))
+    out = rolled_up(e, "verdict", F.count("*").alias("events"), F.avg("duration_s").alias("mean_s"), F.max("duration_s").alias("max_s"), (F.count_if(F.col("windows") == 1) / F.count("*")).alias("single_share"))
+    return out.join(q, "verdict", "left").select("verdict", "events", "median_s", "mean_s", "p90_s", "max_s", "single_share")
 
 
 def episodes(det: DataFrame, gap_s: float = EPISODE_GAP_S) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .prefix import exact_quantiles
+
 
 @dataclass
 class ClassStatistics:
@@ -75,8 +77,8 @@ def with_distance(df: DataFrame, stats: ClassStatistics, vec: str, label: str |
 
 def class_cutoffs(df: DataFrame, label: str, distance: str, percentiles: Sequence[int] = (50, 75, 90, 95, 97, 99)) -> DataFrame:
     """``species, percentile``: a map from each percentile to the distance of the class's own rows."""
-    q = F.percentile(distance, F.array(*(F.lit(p / 100) for p in percentiles)))
-    return df.groupBy(F.col(label).cast("string").alias("species")).agg(F.map_from_arrays(F.array(*(F.lit(p) for p in percentiles)), q).alias("percentile"))
+    found = exact_quantiles(df.select(F.col(label).cast("string").alias("species"), F.col(distance).alias("d")), "d", [p / 100 for p in percentiles], ["species"])
+    return found.select("species", F.map_from_arrays(F.array(*(F.lit(p) for p in percentiles)), "q").alias("percentile"))
 
 
 def write_statistics(spark: SparkSession, stats: ClassStatistics, fingerprint: str, path: str) -> None:

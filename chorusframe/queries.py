@@ -857,12 +857,16 @@ def l5_station_cv(sig):
     return search.station_cv(sig, "confidence").select("fold", *long(*OUT), micro("cut").alias("cut"), "precision")
 
 
-@query(
-    f"WITH f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT CAST(unnest(range(-1, 10)) AS DOUBLE) AS cut), x AS (SELECT sig.*, fold, cut, station = fold AS own FROM sig, f, c), t AS ({tally_sql('flag_invading_cluster OR n_neighbours <= cut', 'x', 'fold, own, cut')})" + LOSO.format(0.9, "cut"),
-    sig=SIG,
+_L6 = (
+    f"WITH f AS (SELECT DISTINCT station AS fold FROM sig), c AS (SELECT CAST(unnest(range(-1, 10)) AS DOUBLE) AS cut), x AS (SELECT sig.*, fold, cut, station = fold AS own FROM sig, f, c), t AS ({tally_sql('flag_invading_cluster OR n_neighbours <= cut', 'x', 'fold, own, cut')})"
+    + LOSO.format(0.9, "cut, (SELECT bool_or(flag_invading_cluster) FROM sig WHERE station = fold) AS invaded")
+    + """ UNION ALL SELECT 'UNCLEANED', count(*) FILTER (verdict = 'call'), 0, 0, count(*) FILTER (verdict IN ('call', 'false_positive')), NULL, NULL, count(*) FILTER (verdict = 'call') / count(*) FILTER (verdict IN ('call', 'false_positive')) FROM sig"""
 )
+
+
+@query(_L6, sig=SIG)
 def l6_two_protocol_cv(sig):
-    return search.two_protocol_cv(sig).select("fold", *long(*OUT), "cut", "precision")
+    return search.two_protocol_cv(sig).select("fold", *long(*OUT), "cut", "invaded", "precision")
 
 
 def ap_sql(order: str, name: str, share: float = 0.5) -> str:

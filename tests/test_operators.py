@@ -322,3 +322,25 @@ def test_nearest_reference_in_blocks_is_exact(spark, block):
 def test_every_labelled_vector_is_a_reference(spark):
     rows = queries.queries()["j13_nearest_reference_all"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r["n"] for r in rows) == 500 * 500 and any(r["nearest"] != r["median"] for r in rows)
+
+
+def test_exact_quantiles_of_many_groups_at_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 501), (None, 40)) for v in rng.integers(0, 1 + n // 3, n)] + [("c", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
+    found = prefix.exact_quantiles(df, "v", at, ["g"])
+    got = {r["g"]: r for r in found.collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        v = [x for k, x in rows if k == g and x is not None]
+        assert r["n"] == len(v) and r["q"] == pytest.approx(np.quantile(v, at))
+    whole = prefix.exact_quantiles(df, "v", at).first()
+    assert whole["q"] == pytest.approx(np.quantile([x for _, x in rows if x is not None], at))
+    assert prefix.exact_quantiles(df.where("v IS NULL"), "v", at).count() == 0
+
+
+def test_no_group_is_gathered_for_its_quantiles(spark):
+    for name in ("a15_durations", "a19_species_profile", "a29_purity_by_source", "a33_feature_groups", "f9_distance_flag", "l1_signal_sweep", "l4_station_holdout", "w11_station_regimes"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().lower()
+        assert "percentile(" not in plan and "median(" not in plan, name
