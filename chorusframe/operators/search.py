@@ -242,12 +242,23 @@ def neighbour_loso(det: DataFrame, min_recall: float = 0.9) -> DataFrame:
     return pooled.unionByName(macro, allowMissingColumns=True)
 
 
-def confidence_sweep(det: DataFrame, cuts: Sequence[float] = tuple(x / 20 for x in range(8, 21))) -> DataFrame:
-    """Recall, false positives kept and cut, and precision at each confidence threshold."""
+def confidence_sweep(det: DataFrame, cuts: Sequence[float] = tuple(x / 20 for x in range(8, 21)), recall: float = 0.9) -> DataFrame:
+    """Recall, false positives kept and cut, and precision at each confidence threshold; the highest that keeps ``recall`` of the calls is ``suggested``."""
     h = histogram(det, "confidence", ())
     c = det.sparkSession.createDataFrame([(float(x),) for x in cuts], "cut double")
     out = tally(h.join(F.broadcast(c)), F.col("value") < F.col("cut"), ["cut"])
-    return out.withColumn("recall", F.try_divide(F.col("calls_kept"), F.col("calls_kept") + F.col("calls_lost"))).withColumn("fps_kept", F.col("left") - F.col("calls_kept"))
+    out = out.withColumn("recall", F.try_divide(F.col("calls_kept"), F.col("calls_kept") + F.col("calls_lost"))).withColumn("fps_kept", F.col("left") - F.col("calls_kept"))
+    out = out.withColumn("fps_cut", F.try_divide("fps_removed", F.col("fps_removed") + F.col("fps_kept")))
+    best = F.max(F.when(F.col("recall") >= recall, F.col("cut"))).over(Window.partitionBy(F.lit(0)))  # a row a threshold
+    return out.withColumn("suggested", F.coalesce(F.col("cut") == best, F.lit(False)))
+
+
+def confidence_spread(det: DataFrame, percentiles: Sequence[int] = (0, 10, 25, 50, 75, 90, 100)) -> DataFrame:
+    """``species, verdict, n, percentile, confidence``: how confidence is spread among the calls and the false positives of each species."""
+    rows = det.where((is_call() | is_false()) & F.col("confidence").isNotNull())
+    q = exact_quantiles(rows, "confidence", [p / 100 for p in percentiles], ["species", "verdict"])
+    each = F.explode(F.arrays_zip(F.array(*(F.lit(p) for p in percentiles)).alias("p"), F.col("q").alias("q"))).alias("x")
+    return q.select("species", "verdict", "n", each).select("species", "verdict", "n", F.col("x.p").alias("percentile"), F.col("x.q").alias("confidence"))
 
 
 def best_balanced(df: DataFrame, score: str, positive: Column) -> DataFrame:

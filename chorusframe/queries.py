@@ -432,6 +432,8 @@ def a26_scan_summary(sig):
     return metrics.scan_summary(sig, "confidence", "tag_score", 0.5)
 
 
+ALL_FOLDS = [f"ST{i:02d}" for i in range(16)] + ["ST99"]
+_FOLDS = ", ".join(f"'{f}'" for f in ALL_FOLDS)
 STATIONS = "CASE WHEN doc_id % 5 = 0 THEN array[station, 'ST99'] WHEN doc_id % 7 = 0 THEN CAST(array[] AS VARCHAR[]) ELSE array[station] END"
 
 
@@ -450,9 +452,9 @@ def a27_manifest_report(man):
     return metrics.manifest_report(_may(man))
 
 
-@query(f"WITH x AS (SELECT *, {STATIONS} AS ps FROM man), f AS (SELECT unnest(['ST00', 'ST01', 'ST99']) AS fold) SELECT fold, label, count(*) AS n FROM x, f WHERE NOT list_contains(ps, fold) GROUP BY 1, 2", man=MAN)
+@query(f"WITH x AS (SELECT *, {STATIONS} AS ps FROM man), f AS (SELECT unnest([{_FOLDS}]) AS fold) SELECT fold, label, count(*) AS n FROM x, f WHERE NOT list_contains(ps, fold) GROUP BY 1, 2", man=MAN)
 def a27_fold_pools(man):
-    return metrics.fold_pools(_may(man), ["ST00", "ST01", "ST99"])
+    return metrics.fold_pools(_may(man), ALL_FOLDS)
 
 
 @query("SELECT sum(end_s - start_s) AS seconds FROM (SELECT DISTINCT recording, start_s, end_s FROM det)", det=DET)
@@ -900,12 +902,13 @@ def l7_gated_recurrence_cv(sig):
     return search.gated_recurrence_cv(sig).select("fold", *long(*OUT), "precision")
 
 
-_L8 = ", ".join(repr(q) for q in search.quantiles(4))
+_L8 = ", ".join(repr(q) for q in search.quantiles(12))
+_I8 = ", ".join(str(i) for i in range(1, 13))
 
 
 @query(
-    f"""WITH s AS (SELECT signal, up, row_number() OVER (PARTITION BY signal ORDER BY i) AS i, cut FROM (SELECT 'confidence' AS signal, 1 AS up, unnest(quantile_cont(CAST(confidence AS DOUBLE), [{_L8}])) AS cut, unnest([1, 2, 3, 4]) AS i FROM sig
- UNION ALL SELECT 'n_neighbours', 1, unnest(quantile_cont(CAST(n_neighbours AS DOUBLE), [{_L8}])), unnest([1, 2, 3, 4]) FROM sig UNION ALL SELECT 'mahalanobis_d2', 0, unnest(quantile_cont(CAST(mahalanobis_d2 AS DOUBLE), [{_L8}])), unnest([1, 2, 3, 4]) FROM sig)),
+    f"""WITH s AS (SELECT signal, up, row_number() OVER (PARTITION BY signal ORDER BY i) AS i, cut FROM (SELECT 'confidence' AS signal, 1 AS up, unnest(quantile_cont(CAST(confidence AS DOUBLE), [{_L8}])) AS cut, unnest([{_I8}]) AS i FROM sig
+ UNION ALL SELECT 'n_neighbours', 1, unnest(quantile_cont(CAST(n_neighbours AS DOUBLE), [{_L8}])), unnest([{_I8}]) FROM sig UNION ALL SELECT 'mahalanobis_d2', 0, unnest(quantile_cont(CAST(mahalanobis_d2 AS DOUBLE), [{_L8}])), unnest([{_I8}]) FROM sig)),
 n AS (SELECT *, concat(signal, CASE WHEN up = 1 THEN ' low ' ELSE ' high ' END, format('{{:.4g}}', cut)) AS name, CASE signal WHEN 'confidence' THEN 1 WHEN 'n_neighbours' THEN 2 ELSE 3 END AS o FROM s),
 v AS (SELECT n.*, sig.det_id, sig.verdict, coalesce(CASE signal WHEN 'confidence' THEN confidence <= cut WHEN 'n_neighbours' THEN n_neighbours <= cut ELSE mahalanobis_d2 >= cut END, false) AS gone FROM sig, n),
 k AS (SELECT name AS configuration, count(*) FILTER (NOT gone AND verdict = 'call') AS calls_kept, count(*) FILTER (NOT gone) AS "left" FROM v GROUP BY o, i, name
@@ -915,7 +918,7 @@ SELECT keep, configuration, calls_kept, "left", calls_kept / "left" AS precision
     sig=SIG,
 )
 def l8_operating_points(sig):
-    return search.operating_points(sig, {"confidence": True, "n_neighbours": True, "mahalanobis_d2": False}, steps=4).select("keep", "configuration", *long("calls_kept", "left"), "precision")
+    return search.operating_points(sig, {"confidence": True, "n_neighbours": True, "mahalanobis_d2": False}).select("keep", "configuration", *long("calls_kept", "left"), "precision")
 
 
 @query(
@@ -946,11 +949,19 @@ SQL["l11_neighbour_loso"] = (
 
 
 @query(
-    f"WITH c AS (SELECT unnest([{', '.join(repr(x / 20) for x in range(8, 21))}])::DOUBLE AS cut), t AS ({tally_sql('confidence < cut', 'det, c', 'cut')}) SELECT *, calls_kept / (calls_kept + calls_lost) AS recall, \"left\" - calls_kept AS fps_kept FROM t",
+    f"WITH c AS (SELECT unnest([{', '.join(repr(x / 20) for x in range(8, 21))}])::DOUBLE AS cut), t AS ({tally_sql('confidence < cut', 'det, c', 'cut')}), r AS (SELECT *, calls_kept / (calls_kept + calls_lost) AS recall, \"left\" - calls_kept AS fps_kept, fps_removed / (fps_removed + \"left\" - calls_kept) AS fps_cut FROM t) SELECT *, coalesce(cut = max(cut) FILTER (recall >= 0.9) OVER (), false) AS suggested FROM r",
     det=DET,
 )
 def l12_confidence_sweep(det):
-    return search.confidence_sweep(det).select("cut", *long(*OUT, "fps_kept"), "precision", "recall")
+    return search.confidence_sweep(det).select("cut", *long(*OUT, "fps_kept"), "precision", "recall", "fps_cut", "suggested")
+
+
+@query(
+    f"SELECT species, verdict, n, CAST(unnest([0, 10, 25, 50, 75, 90, 100]) AS INT) AS percentile, {m('unnest(q)', 'confidence')} FROM (SELECT species, verdict, count(*) AS n, quantile_cont(confidence, [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]) AS q FROM det GROUP BY species, verdict)",
+    det=DET,
+)
+def l12_confidence_spread(det):
+    return search.confidence_spread(det).select("species", "verdict", "n", "percentile", micro("confidence").alias("confidence"))
 
 
 @query(
@@ -966,9 +977,9 @@ def l14_recall_threshold(det):
     return search.recall_threshold(det, "confidence", 0.95, ("station",))
 
 
-@query(f"WITH x AS (SELECT *, {STATIONS} AS ps FROM man), f AS (SELECT unnest(['ST00', 'ST01', 'ST99']) AS fold) SELECT fold, CASE WHEN NOT list_contains(ps, fold) THEN 'train' WHEN len(ps) = 1 THEN 'evaluate' ELSE 'left_out' END AS role, count(*) AS n FROM x, f GROUP BY 1, 2", man=MAN)
+@query(f"WITH x AS (SELECT *, {STATIONS} AS ps FROM man), f AS (SELECT unnest([{_FOLDS}]) AS fold) SELECT fold, CASE WHEN NOT list_contains(ps, fold) THEN 'train' WHEN len(ps) = 1 THEN 'evaluate' ELSE 'left_out' END AS role, count(*) AS n FROM x, f GROUP BY 1, 2", man=MAN)
 def l15_fold_masks(man):
-    return search.fold_masks(_may(man), ["ST00", "ST01", "ST99"]).groupBy("fold", "role").agg(F.count("*").alias("n"))
+    return search.fold_masks(_may(man), ALL_FOLDS).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
 _REST = repr(1 - 0.95)
