@@ -178,28 +178,30 @@ def operating_points(det: DataFrame, signals: dict[str, bool] | None = None, lev
     level = [sum((F.get(marks, F.lit(i)).cast("int") for i, s in enumerate(singles) if s[0] == c), F.lit(0)).alias(f"_{c}") for c in use]
     per = det.groupBy(*level).agg(F.count_if(is_call()).alias("calls"), F.count_if(is_false()).alias("fps"))
 
-    def fires(i: int) -> Column:
+    names = list(use)
+
+    def fires(i: int) -> tuple[int, int]:
+        """The signal's number and the level from which the candidate flags."""
         c, when, _ = singles[i]
         mine = [j for j, s in enumerate(singles) if s[0] == c]
         k = mine.index(i)
-        return F.col(f"_{c}") >= (len(mine) - k if when == "low" else k + 1)
-
-    tries = [((i,), f"{singles[i][0]} {singles[i][1]} {singles[i][2]:.4g}") for i in range(len(singles))]
-    tries += [((i, j), f"{tries[i][1]} OR {tries[j][1]}") for i in range(len(singles)) for j in range(i + 1, len(singles)) if singles[i][0] != singles[j][0]]
-    sums = per.agg(F.sum("calls").alias("all_calls"), *(x for n, (t, _) in enumerate(tries) for x in _pair_sums(n, [fires(i) for i in t])))
-    cells = F.array(*(F.struct(F.lit(name).alias("configuration"), F.col(f"c{n}").alias("calls_kept"), F.col(f"l{n}").alias("left")) for n, (_, name) in enumerate(tries)))
-    rows = sums.select("all_calls", F.explode(cells).alias("x")).select("all_calls", "x.*").withColumn("precision", F.try_divide("calls_kept", "left")).where("precision IS NOT NULL")
+        return names.index(c), len(mine) - k if when == "low" else k + 1
+
+    tries = [(f"{c} {when} {x:.4g}", *fires(i), *fires(i)) for i, (c, when, x) in enumerate(singles)]
+    tries += [(f"{tries[i][0]} OR {tries[j][0]}", *fires(i), *fires(j)) for i in range(len(singles)) for j in range(i + 1, len(singles)) if singles[i][0] != singles[j][0]]
+    table = det.sparkSession.createDataFrame([(n, *t) for n, t in enumerate(tries)], "_id int, configuration string, _a int, _x int, _b int, _y int")
+    mine = F.array(*(F.col(f"_{c}") for c in names))
+    gone = (F.get(mine, F.col("_a")) >= F.col("_x")) | (F.get(mine, F.col("_b")) >= F.col("_y"))
+    kept = lambda c: F.sum(F.when(gone, 0).otherwise(c))
+    # (steps + 1) ** signals counts at most meet a candidate a row
+    sums = per.join(F.broadcast(table)).groupBy("_id", "configuration").agg(F.sum("calls").alias("all_calls"), kept(F.col("calls")).alias("calls_kept"), kept(F.col("calls") + F.col("fps")).alias("left"))
+    rows = sums.withColumn("precision", F.try_divide("calls_kept", "left")).where("precision IS NOT NULL")
     floors = det.sparkSession.createDataFrame([(float(x),) for x in levels], "keep double")
     ok = rows.join(F.broadcast(floors)).where(F.col("calls_kept") >= F.col("keep") * F.col("all_calls"))
     w = Window.partitionBy("keep").orderBy(F.desc("precision"), "configuration")
     return ok.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("keep", "configuration", "calls_kept", "left", "precision")
 
 
-def _pair_sums(n: int, fire: list[Column]) -> list[Column]:
-    gone = fire[0] if len(fire) == 1 else fire[0] | fire[1]
-    return [F.sum(F.when(gone, 0).otherwise(F.col("calls"))).alias(f"c{n}"), F.sum(F.when(gone, 0).otherwise(F.col("calls") + F.col("fps"))).alias(f"l{n}")]
-
-
 def time_gate_grid(det: DataFrame, min_recall: float = 0.95, starts: Sequence[int] = tuple(range(13)), ends: Sequence[int] = tuple(range(13, 25))) -> DataFrame:
     """Every half-open window of hours that keeps ``min_recall`` of the calls, by precision; counts are by hour first."""
     h = det.where(is_call() | is_false()).groupBy(F.floor(hour_fraction(F.col("detected_at"))).alias("hour")).agg(F.count_if(is_call()).alias("calls"), F.count_if(is_false()).alias("fps"))
