@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import hour_fraction
 from ..plans.lineage import cut
-from .metrics import auc, is_call, is_false, outcome
+from .metrics import is_call, is_false, outcome
 from .prefix import exact_quantiles, running, spread_by
 from .ranking import SIGNALS, effort_by_station, rank_score
 from .sampling import draw
@@ -350,32 +350,6 @@ def added_to_baseline(det: DataFrame, baseline: dict[str, bool], extra: dict[str
     return a.join(b, "station").withColumn("delta", F.col("extended") - F.col("baseline"))
 
 
-def holdout_selection(det: DataFrame, baseline: dict[str, bool], candidates: dict[str, bool], most: int = 2) -> dict[str, list[str]]:
-    """Greedy forward selection for each left-out station: the signals whose addition raises the mean over the other stations.
-
-    Ranks are within stations, so each set of signals is scored once for all folds; the driver gets a row a station.
-    """
-    cache: dict[tuple[str, ...], dict[str, float]] = {}
-
-    def ap(names: tuple[str, ...]) -> dict[str, float]:
-        if names not in cache:
-            rows = station_precision(det, baseline | {n: candidates[n] for n in names}).collect()
-            cache[names] = {r["station"]: r["average_precision"] for r in rows if r["average_precision"] is not None}
-        return cache[names]
-
-    out = {}
-    for fold in sorted(ap(())):
-        mean = lambda names: (v := [x for s, x in ap(tuple(sorted(names))).items() if s != fold]) and sum(v) / len(v) or 0.0  # noqa: B023, E731
-        chosen: list[str] = []
-        while len(chosen) < most:
-            best = max(((mean([*chosen, n]), n) for n in sorted(candidates) if n not in chosen), default=(0.0, ""))
-            if best[0] <= mean(chosen) or not best[1]:
-                break
-            chosen.append(best[1])
-        out[fold] = chosen
-    return out
-
-
 def delta_interval(deltas: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """Bootstrap over stations of the mean ``delta``: its 2.5 and 97.5 percentiles, t, and the mean without the two largest.
 
@@ -401,24 +375,6 @@ def gate_table(df: DataFrame, column: str, positive: Column, cuts: Sequence[floa
     return out.na.fill(0.0)
 
 
-def probe_loso(df: DataFrame, features: Sequence[str], positive: str = "positive") -> DataFrame:
-    """AUC of a logistic regression on standardised features, by left-out station (a fit a station) ."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(withMean=True, inputCol="_x", outputCol="_z"), LogisticRegression(featuresCol="_z", labelCol="_y", maxIter=50)]
-    rows = df.withColumn("_y", F.col(positive).cast("double"))
-    out = None
-    for s in sorted(r["station"] for r in rows.select("station").distinct().collect()):
-        model = Pipeline(stages=stages).fit(rows.where(F.col("station") != s))
-        p = model.transform(rows.where(F.col("station") == s)).withColumn("_p", vector_to_array("probability")[1])
-        e = auc(p, "_p", F.col(positive)).select(F.lit(s).alias("station"), "auc")
-        out = e if out is None else out.unionByName(e)
-    return out
-
-
 def confidence_baseline(det: DataFrame, removed: Column) -> DataFrame:
     """A rule against dropping as many of the least confident rows (by det_id where tied): the two precisions and the difference."""
     gone = F.coalesce(removed, F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import intervals, parse, scores
-from .operators import gates, matching, metrics, neighbours, quality, ranking, regime, sampling, search, sessions, slots, vectors, windows
+from .operators import gates, matching, metrics, neighbours, probe, quality, ranking, regime, sampling, search, sessions, slots, vectors, windows
 from .views import DET, DET2, MAN, PLACES, RECS, SIG, plain, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1043,7 +1043,7 @@ def l22_slot_width_sweep(det, places):
 @query(sig=SIG)
 def l23_probe_loso(sig):
     rows = sig.where("mahalanobis_d2 IS NOT NULL").withColumn("positive", F.col("verdict") == "call")
-    return search.probe_loso(rows, ["confidence", "mahalanobis_d2"])
+    return probe.probe_loso(rows, ["confidence", "mahalanobis_d2"]).withColumn("auc", micro("auc"))
 
 
 @query(

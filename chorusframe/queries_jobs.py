@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import parse
-from .operators import matching, neighbours, quality, ranking, sampling, search, slots, windows
+from .operators import matching, neighbours, quality, ranking, sampling, search, selection, slots, windows
 from .plans import jobs, manifest
 from .queries import _pulses as pulses_of
 from .queries import DET, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SCORED, SIG, SQL, VEC_SPARK, _ORDERS, ap_sql, draw_sql, long, m, micro, plain, query
@@ -214,15 +214,33 @@ def x9_evaluate_cleanup(sig):
     return reports["evaluation"].select("species", *long("matched", "unmatched", "calls", "fps"))
 
 
+#: The candidates in the order of trial; capitals are the smaller values.
+_TRIED = {"n": ("n_neighbours", True), "N": ("n_neighbours", False), "d": ("mahalanobis_d2", True), "D": ("mahalanobis_d2", False), "k": ("knn_dist", True), "K": ("knn_dist", False)}
+
+
+def _twice_rank(column: str, up: bool) -> str:
+    return f"2 * rank() OVER (PARTITION BY station ORDER BY {column} {'ASC' if up else 'DESC'} NULLS LAST) + count(*) OVER (PARTITION BY station, {column}) - 1"
+
+
+_RANKED = ", ".join(f"{_twice_rank(*of)} AS r{i}" for i, of in enumerate([("confidence", True), *_TRIED.values()]))
+_SETS = ["", *_TRIED, *(a + b for a in _TRIED for b in _TRIED if a.lower() < b.lower())]
+_SET_AP = " UNION ALL ".join(ap_sql(" + ".join(["r0", *(f"r{[*_TRIED].index(x) + 1}" for x in s)]) + " DESC, det_id", s) for s in _SETS)
+_WAYS = [(c, o, c + t, "".join(sorted(c + t, key=str.lower))) for c in ("", *_TRIED) for o, t in enumerate(["", *(t for t in _TRIED if t.lower() != c.lower())])]
+_SPELT = {k: f"{n}({'hi' if up else 'lo'})" for k, (n, up) in _TRIED.items()}
+_WAY_ROWS = ", ".join(f"('{c}', {o}, '{n}', '{s}', '{', '.join(_SPELT[x] for x in n)}')" for c, o, n, s in _WAYS)
+
+
 @query(
-    f"""{SCORED}, b AS ({ap_sql(_ORDERS['confidence'], 'base')}), n AS ({ap_sql('"both" DESC, det_id', 'n_neighbours')}), d AS ({ap_sql('far DESC, det_id', 'mahalanobis_d2')}), f AS (SELECT station AS fold FROM b WHERE ap IS NOT NULL),
-x AS (SELECT fold, (SELECT avg(ap) FROM b WHERE station <> fold) AS base, (SELECT avg(ap) FROM n WHERE station <> fold) AS near, (SELECT avg(ap) FROM d WHERE station <> fold) AS far FROM f)
-SELECT fold, CASE WHEN greatest(near, far) <= base THEN '' WHEN near >= far THEN 'n_neighbours' ELSE 'mahalanobis_d2' END AS chosen FROM x""",
+    f"""WITH scored AS (SELECT *, {_RANKED} FROM sig), a AS ({_SET_AP}), f AS (SELECT DISTINCT station AS fold FROM sig), w(base, place, next, name, label) AS (VALUES {_WAY_ROWS}),
+means AS (SELECT fold, name, round(avg(ap), 12) AS mean FROM f JOIN a ON station <> fold GROUP BY ALL),
+one AS (SELECT fold, next FROM means JOIN w USING (name) WHERE base = '' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC NULLS LAST, place) = 1),
+two AS (SELECT fold, name, label FROM one JOIN w ON base = one.next JOIN means USING (fold, name) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC NULLS LAST, place) = 1)
+SELECT fold AS station, label AS added, {m('b.ap', 'ap_baseline')}, {m('c.ap', 'ap_with_added')} FROM two JOIN a b ON b.station = fold AND b.name = '' JOIN a c ON c.station = fold AND c.name = two.name""",
     sig=SIG,
 )
 def l18_holdout_selection(sig):
-    chosen = search.holdout_selection(sig, {"confidence": True}, {"n_neighbours": True, "mahalanobis_d2": False}, 1)
-    return sig.sparkSession.createDataFrame([(k, ",".join(v)) for k, v in chosen.items()], "fold string, chosen string")
+    chosen = selection.holdout_selection(sig, {"confidence": True}, ["n_neighbours", "mahalanobis_d2", "knn_dist"])
+    return chosen.select("station", "added", micro("ap_baseline").alias("ap_baseline"), micro("ap_with_added").alias("ap_with_added"))
 
 
 @query(
