@@ -8,7 +8,6 @@ its end.  So a task holds one range at a time, however long the recording, and n
 from __future__ import annotations
 
 import io
-import re
 import wave
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,10 +16,10 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import open_path
 from .windows import SIZE_S, STRIDE_S
 
 FEATURES = ("rms", "peak", "low_freq_ratio", "band_fraction", "centroid_hz", "flatness", "crest", "env_cv", "onset_rate", "pulse_share", "pulse_hz", "band_log_ratio", "fm_spread_hz", "low_mod_cv")
@@ -57,9 +56,7 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
 @contextmanager
 def _opened(path: str) -> Iterator[wave.Wave_read]:
     """A recording's header, read from its store; samples follow by seeking."""
-    scheme, authority, inside = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*):(?://([^/]*))?)?(/.*)", path).groups()
-    fs = pa_fs.LocalFileSystem() if scheme in (None, "file") else pa_fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")[0]
-    with fs.open_input_file(inside if scheme in (None, "file", "hdfs", "viewfs") else f"{authority}{inside}") as f, wave.open(f) as w:
+    with open_path(path) as f, wave.open(f) as w:
         yield w
 
 

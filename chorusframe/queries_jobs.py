@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import parse
-from .operators import matching, neighbours, quality, ranking, sampling, search, selection, slots, windows
+from .operators import matching, neighbours, quality, ranking, sampling, selection, slots, windows
 from .plans import jobs, manifest
 from .queries import _pulses as pulses_of
-from .queries import DET, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SCORED, SIG, SQL, VEC_SPARK, _ORDERS, ap_sql, draw_sql, long, m, micro, plain, query
+from .queries import DET, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SIG, SQL, VEC_SPARK, ap_sql, draw_sql, long, m, micro, plain, query
 from .sources import readers, sinks
 
 COORD = f"SELECT station, lat, lon, concat('S20210224T0', CAST(floor(lat * 10) AS STRING), '0000_+', CAST(CAST(lat AS DECIMAL(6, 2)) AS STRING), '+', CAST(CAST(lon AS DECIMAL(6, 2)) AS STRING), '.wav') AS name FROM ({PLACES}) p"

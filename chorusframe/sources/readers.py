@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators.ranking import keep_first
+from ..plans.lineage import cut
+from .paths import open_path
 
 DETECTION_CSV = "start_time double, end_time double, species string, confidence double, low_freq_ratio double, ood_distance double"
 CLEANUP_CSV = (
@@ -18,6 +23,8 @@ CLEANUP_CSV = (
     "station_regime string, flag_invading_cluster boolean, n_flags int, flag_reason string"
 )
 REVIEW_CSV = "indir string, infile string, manualid string"
+HEADER_PIECE, LONGEST_HEADER = 1 << 14, 1 << 20  # bytes
+MOST_SENT = 100_000  # files whose layouts are broadcast, some hundred bytes each
 GENERATED = r"(summary|cleanup_vs_review|report)[^/]*\.csv$"
 
 
@@ -25,25 +32,68 @@ def _plain(name: str) -> str:
     return name.strip().strip('"').replace("*", "").replace(" ", "").lower()
 
 
+def _first_line(path: str) -> str:
+    """The first line with anything in it, from no more of the file than that takes; "" if there is none."""
+    raw = b""
+    with open_path(path) as f:
+        while len(raw) < LONGEST_HEADER:
+            more = f.read(HEADER_PIECE)
+            raw += more
+            whole = raw.lstrip() if not more else re.match(rb"(?s)\s*([^\r\n]+)[\r\n]", raw)
+            if not more:
+                return whole.splitlines()[0].decode("utf-8", "replace") if whole else ""
+            if whole:
+                return whole[1].decode("utf-8", "replace")
+    raise ValueError(f"{path} has no header line in its first {LONGEST_HEADER} bytes")
+
+
+def header_layouts(files: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``_path, at, width`` of CSV files ``path, _path``: where each of ``columns`` stands in the header (-1: nowhere; the last of equal
+    names), and the number of names.  Only first lines are read, inside tasks; files without any line are left out.
+    """
+    want = [_plain(c) for c in columns]
+
+    def layouts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
+                found = [(p, line) for p, q in zip(some.column("_path").to_pylist(), some.column("path").to_pylist(), strict=True) if (line := _first_line(q).lstrip("\ufeff"))]
+                names = [[_plain(n) for n in next(csv.reader([line]))] for _, line in found]
+                at = [{n: k for k, n in enumerate(row)} for row in names]
+                parts = [pa.array([p for p, _ in found], pa.string()), pa.array([[a.get(w, -1) for w in want] for a in at], pa.list_(pa.int32())), pa.array([len(n) for n in names], pa.int32())]
+                yield pa.RecordBatch.from_arrays(parts, names=["_path", "at", "width"])
+
+    return files.select("path", "_path").mapInArrow(layouts, "_path string, at array<int>, width int")
+
+
 def read_layouts(spark: SparkSession, paths: Sequence[str], glob: str, schema: str, skip: str = "") -> DataFrame:
     """CSV files whose headers vary in order, case and optional columns: the columns of ``schema`` by name, null where a file lacks
-    one, and ``_path``.  Files are grouped by their header line and each layout is read at once; only header lines reach the driver.
+    one, and ``_path``.
+
+    Files are listed without contents, and their first lines read inside tasks.  All contents are then one scan of as many text columns as
+    the widest header has; where layouts differ, a file's own is joined to its rows by path, broadcast up to ``MOST_SENT`` files.
+    The driver gets the number of files and whether they agree.
     """
     want = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(list(paths))
-    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
-    if skip:
-        lines = lines.where(~F.lower("path").rlike(skip))
-    heads = lines.groupBy("path").agg(F.first("value").alias("head"))
-    out = None
-    for row in heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect():  # a row a header layout
-        names = [_plain(c) for c in row["head"].lstrip("\ufeff").split(",")]
-        at = {n: i for i, n in enumerate(names)}
-        csv = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).option("header", True).csv(row["paths"])
-        cols = [(F.col(f"c{at[_plain(n)]}") if _plain(n) in at else F.lit(None)).cast(t).alias(n) for n, t in want]
-        df = csv.select(*cols, F.col("_metadata.file_path").alias("_path"))
-        out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], f"{schema}, _path string")
+
+    def found(reader: DataFrameReader, form: str) -> DataFrame:
+        df = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format(form).load(list(paths)).withColumn("_path", F.col("_metadata.file_path"))
+        return df.where(~F.lower("_path").rlike(skip)) if skip else df
+
+    listed = found(spark.read, "binaryFile").where("length > 0").select("path", "_path")
+    heads = cut(header_layouts(listed, [n for n, _ in want]))
+    all_ = heads.agg(F.count("*").alias("files"), F.max("width").alias("width"), F.min("at").alias("least"), F.max("at").alias("most")).first()
+    if not all_["files"]:
+        return spark.createDataFrame([], f"{schema}, _path string")
+    names = [f"c{i}" for i in range(all_["width"])]
+    rows = found(spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True), "csv")
+    if all_["least"] == all_["most"]:
+        values = [F.col(names[i]) if i >= 0 else F.lit(None) for i in all_["least"]]
+    else:
+        at = heads.select("_path", "at")
+        rows = rows.join(F.broadcast(at) if all_["files"] <= MOST_SENT else at, "_path")
+        values = [F.get(F.array(*(F.col(c) for c in names)), F.col("at")[k]) for k in range(len(want))]
+    return rows.select(*(v.cast(t).alias(n) for v, (n, t) in zip(values, want, strict=True)), "_path")
 
 
 def read_detections(spark: SparkSession, root: str, suffix: str = "_detections.csv") -> DataFrame:

@@ -310,3 +310,40 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
     assert sinks.save_named(rows.where("id < 900"), f"file://{tmp_path}/o") == 90
     assert len(list((tmp_path / "o").glob("f*"))) == 90
+
+
+def test_headers_are_read_without_contents_and_layouts_meet_rows_by_path(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "one.csv").write_bytes(b"\xef\xbb\xbfX,\"the, other\",Y\r\n1,z,2\r\n3,z\r\n")
+    (tmp_path / "two.csv").write_text("\n\n y ,x*\n5,6\n" + "7,8\n" * 20_000)
+    (tmp_path / "three%20.csv").write_text("x")
+    (tmp_path / "four.csv").write_text("other\n9\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    (tmp_path / "long.csv").write_text(",".join(f"n{i}" for i in range(9000)) + ",x\n" + "," * 9000 + "11\n")
+    got = readers.read_layouts(spark, [str(tmp_path)], "*.csv", "x int, y int", "long").groupBy("x", "y").count().collect()
+    assert sorted((tuple(r) for r in got), key=str) == [(1, 2, 1), (3, None, 1), (6, 5, 1), (8, 7, 20_000), (None, None, 1)]
+    assert [tuple(r)[:2] for r in readers.read_layouts(spark, [str(tmp_path / "long.csv")], "*.csv", "x int, y int").collect()] == [(11, None)]
+    assert readers.read_layouts(spark, [str(tmp_path)], "*.tsv", "x int").collect() == []
+
+    def plan(df):
+        return df._jdf.queryExecution().toString()
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(str(tmp_path)).select("path", F.col("_metadata.file_path").alias("_path"))
+    assert "content" not in plan(readers.header_layouts(listed, ["x"])).split("Physical Plan")[1]
+    one = readers.read_layouts(spark, [str(tmp_path / "two.csv")], "*.csv", "x int")
+    assert "Join" not in plan(one) and "BroadcastHashJoin" in plan(readers.read_layouts(spark, [str(tmp_path)], "*.csv", "x int", "long"))
+
+
+def test_layouts_of_many_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    monkeypatch.setattr(readers, "MOST_SENT", 1)
+    got = readers.read_layouts(spark, [str(tmp_path)], "*.csv", "x int, y int")
+    assert {(r["x"], r["y"]) for r in got.collect()} == {(1, 2), (2, 1)}
+
+
+def test_a_file_without_line_ends_is_no_csv(tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x" * (readers.LONGEST_HEADER + readers.HEADER_PIECE))
+    with pytest.raises(ValueError, match="no header line"):
+        readers._first_line(f"file:{tmp_path}/a.csv")
