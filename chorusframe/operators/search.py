@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import hour_fraction
 from ..plans.lineage import cut
-from .metrics import is_call, is_false, outcome
+from .metrics import auc, is_call, is_false, outcome
 from .prefix import exact_quantiles, running, spread_by
 from .ranking import SIGNALS, effort_by_station, rank_score
 from .sampling import draw
@@ -321,6 +321,27 @@ def score_folds(scores: DataFrame, deployed: float = 0.5, recall: float = 0.95)
     return rows.groupBy("station").agg(F.count("*").alias("detections"), F.count_if(is_call()).alias("calls"), *out)
 
 
+def gated_folds(scores: DataFrame, hour: Column, gate: tuple[float, float], recall: float = 0.95) -> DataFrame:
+    """score_folds() of what lies inside a time gate, which its thresholds come from too: by station the precision there without any threshold, and
+    for its own threshold of matched recall and that of the other stations the calls retained, false positives removed and precision.
+
+    A station with nothing inside has 0 detections and nulls.  Rows without an hour lie outside.
+    """
+    inside = scores.where((hour >= gate[0]) & (hour < gate[1]) & (is_call() | is_false()))
+    own = recall_threshold(inside, "score", recall, ("station",)).withColumnRenamed("threshold", "matched")
+    rows = inside.join(own, "station", "left").join(_threshold_elsewhere(inside, recall), "station", "left")
+    out = [F.count("*").alias("gated_detections"), F.try_divide(F.count_if(is_call()), F.count("*")).alias("gated_precision")]
+    for name in ("matched", "loso"):
+        above = F.col("score") >= F.col(name)
+        calls, false = F.count_if(is_call() & above), F.count_if(is_false() & above)
+        known = lambda c: F.when(F.max(name).isNotNull(), c)  # noqa: B023, E731
+        out += [
+            F.max(name).alias(f"{name}_threshold"), known(F.try_divide(calls, F.count_if(is_call()))).alias(f"{name}_calls_retained"),
+            known(1 - F.try_divide(false, F.count_if(is_false()))).alias(f"{name}_fps_removed"), F.try_divide(calls, calls + false).alias(f"{name}_precision"),
+        ]
+    return scores.select("station").distinct().join(rows.groupBy("station").agg(*out), "station", "left").na.fill(0, ["gated_detections"])
+
+
 def available_candidates(det: DataFrame, names: Sequence[str]) -> list[str]:
     """The named columns that are numeric, present and not constant."""
     types = dict(det.dtypes)
@@ -375,6 +396,30 @@ def gate_table(df: DataFrame, column: str, positive: Column, cuts: Sequence[floa
     return out.na.fill(0.0)
 
 
+def gate_grid(df: DataFrame, first: str, seconds: Sequence[str], positive: Column, cuts: Sequence[float], shares: Sequence[float]) -> DataFrame:
+    """``cut, share, criterion, low, limit, positives_kept, negatives_kept``: a cutoff on ``first`` together with a second criterion.
+
+    The criterion is the column of ``seconds`` with the largest AUC (of equal ones the first); if even that is below one half, small
+    values are the good ones (``low``).  Its limits give up each share of the positives by themselves.  A missing value passes nothing;
+    without positives, or values to compare, there are no rows.  Rows are counted by how many cutoffs and limits they pass, so the shuffle has
+    a row for each such pair.
+    """
+    known = {c: a for c in seconds if (a := auc(df, c, positive).first()["auc"]) is not None}  # a number a criterion
+    best = max(known, key=known.get, default=seconds[0])
+    low, cuts, shares = known.get(best, 0.0) < 0.5, sorted(map(float, cuts)), sorted(map(float, shares))
+    limits = exact_quantiles(df.where(positive), best, [1 - x if low else x for x in shares]).select("q")  # one row, from loose to strict
+    passed = lambda tests: sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0))
+    a = passed(F.col(first) >= x for x in cuts)
+    b = passed((F.col(best) <= F.col("q")[j]) if low else (F.col(best) >= F.col("q")[j]) for j in range(len(shares)))
+    counts = df.crossJoin(F.broadcast(limits)).groupBy(a.alias("a"), b.alias("b"), "q").agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    of = lambda values: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(values))))
+    grid = counts.withColumn("c", of(cuts)).withColumn("s", of(shares))
+    on = (F.col("a") > F.col("c.i")) & (F.col("b") > F.col("s.i"))
+    kept = lambda n: F.try_divide(F.sum(F.when(on, F.col(n)).otherwise(0)), F.sum(n)).alias
+    out = grid.groupBy(F.col("c.x").alias("cut"), F.col("s.x").alias("share"), F.get("q", F.col("s.i")).alias("limit")).agg(kept("p")("positives_kept"), kept("n")("negatives_kept"))
+    return out.select("cut", "share", F.lit(best).alias("criterion"), F.lit(low).alias("low"), "limit", "positives_kept", "negatives_kept")
+
+
 def confidence_baseline(det: DataFrame, removed: Column) -> DataFrame:
     """A rule against dropping as many of the least confident rows (by det_id where tied): the two precisions and the difference."""
     gone = F.coalesce(removed, F.lit(False))

@@ -996,6 +996,26 @@ def l16_score_folds(det):
     return search.score_folds(det.withColumn("score", F.col("confidence")))
 
 
+_GATED = ", ".join(
+    f"any_value({n}) AS {n}_threshold, CASE WHEN any_value({n}) IS NOT NULL AND count(*) FILTER (verdict = 'call') > 0 THEN count(*) FILTER (verdict = 'call' AND score >= {n}) / count(*) FILTER (verdict = 'call') END AS {n}_calls_retained, "
+    f"CASE WHEN any_value({n}) IS NOT NULL AND count(*) FILTER (verdict <> 'call') > 0 THEN 1 - count(*) FILTER (verdict <> 'call' AND score >= {n}) / count(*) FILTER (verdict <> 'call') END AS {n}_fps_removed, "
+    f"CASE WHEN count(*) FILTER (score >= {n}) > 0 THEN count(*) FILTER (verdict = 'call' AND score >= {n}) / count(*) FILTER (score >= {n}) END AS {n}_precision"
+    for n in ("matched", "loso")
+)
+
+
+@query(
+    f"""WITH x AS (SELECT *, confidence AS score FROM det WHERE extract(hour FROM detected_at) >= 5 AND extract(hour FROM detected_at) < 19), s AS (SELECT DISTINCT station FROM x),
+o AS (SELECT station, list(score ORDER BY score) AS v FROM x WHERE verdict = 'call' GROUP BY station), e AS (SELECT s.station, list(score ORDER BY score) AS v FROM s JOIN x ON x.station <> s.station WHERE verdict = 'call' GROUP BY s.station),
+t AS (SELECT s.station, o.v[CAST(floor({_REST} * len(o.v)) AS BIGINT) + 1] AS matched, e.v[CAST(floor({_REST} * len(e.v)) AS BIGINT) + 1] AS loso FROM s LEFT JOIN o USING (station) LEFT JOIN e USING (station)),
+g AS (SELECT station, count(*) AS k, count(*) FILTER (verdict = 'call') / count(*) AS gated_precision, {_GATED} FROM x JOIN t USING (station) GROUP BY station)
+SELECT station, coalesce(k, 0) AS gated_detections, g.* EXCLUDE (station, k) FROM (SELECT DISTINCT station FROM det) LEFT JOIN g USING (station)""",
+    det=DET,
+)
+def l16_gated_folds(det):
+    return search.gated_folds(det.withColumn("score", F.col("confidence")), parse.hour_fraction(F.col("detected_at")), (5, 19))
+
+
 _TURNED = {n: o.replace("DESC", "X").replace("ASC", "DESC").replace("X", "ASC") for n, o in _ORDERS.items()}
 _TRIES = [(n, up, (_ORDERS if up == (n != "mahalanobis_d2") else _TURNED)[n]) for n in _ORDERS for up in (True, False)]
 
@@ -1029,6 +1049,21 @@ def l21_gate_table(det):
     return search.gate_table(det, "confidence", F.col("verdict") == "call", (0.2, 0.4, 0.6))
 
 
+@query(
+    f"""WITH c AS (SELECT 'mahalanobis_d2' AS criterion, 0 AS place, mahalanobis_d2 AS x, confidence, verdict = 'call' AS y FROM sig UNION ALL SELECT 'knn_dist', 1, knn_dist, confidence, verdict = 'call' FROM sig),
+v AS (SELECT criterion, place, x, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM c WHERE x IS NOT NULL GROUP BY ALL), w AS (SELECT *, sum(q) OVER (PARTITION BY criterion ORDER BY x) - q AS below FROM v),
+u AS (SELECT criterion, sum(p * (below + q / 2)) / (sum(p) * sum(q)) < 0.5 AS low FROM w GROUP BY criterion, place ORDER BY sum(p * (below + q / 2)) / (sum(p) * sum(q)) DESC, place LIMIT 1),
+l AS (SELECT criterion, low, quantile_cont(x, [0.1, 0.2, 0.3]) AS up, quantile_cont(x, [0.9, 0.8, 0.7]) AS down FROM c JOIN u USING (criterion) WHERE y GROUP BY criterion, low),
+g AS (SELECT criterion, low, cut, k / 10 AS share, CASE WHEN low THEN down[k] ELSE up[k] END AS lim FROM l, (SELECT unnest([0.3, 0.4, 0.5, 0.6])::DOUBLE AS cut), (SELECT unnest([1, 2, 3]) AS k)),
+r AS (SELECT g.*, y, coalesce(confidence >= cut AND CASE WHEN low THEN x <= lim ELSE x >= lim END, false) AS pass FROM c JOIN g USING (criterion))
+SELECT cut, share, criterion, low, {m('lim', '"limit"')}, count(*) FILTER (y AND pass) / count(*) FILTER (y) AS positives_kept, count(*) FILTER (NOT y AND pass) / count(*) FILTER (NOT y) AS negatives_kept FROM r GROUP BY cut, share, criterion, low, lim""",
+    sig=SIG,
+)
+def l21_gate_grid(sig):
+    out = search.gate_grid(sig, "confidence", ["mahalanobis_d2", "knn_dist"], F.col("verdict") == "call", (0.3, 0.4, 0.5, 0.6), (0.1, 0.2, 0.3))
+    return out.withColumn("limit", micro("limit"))
+
+
 _WIDTHS = (5, 10, 15, 30, 60, 120)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorusframe import queries
-from chorusframe.operators import probe, selection
+from chorusframe.operators import probe, search, selection
 from chorusframe.views import SIG, view
 
 SCHEMA = "det_id bigint, station string, verdict string, base double, a double, b double, c double"
@@ -143,3 +143,21 @@ def test_registered_probe_equals_a_plain_fit(spark):
         p, own = plain_probe(x, y, station, s), y[station == s]
         won = np.mean((p[own][:, None] > p[~own][None, :]) + (p[own][:, None] == p[~own][None, :]) / 2)
         assert got[s] == pytest.approx(won * 1e6, abs=2)
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_gate_grid_follows_the_better_criterion_in_its_direction(spark, sign):
+    rows = [(i % 10 / 10, sign * float(i), 1.0, i >= 50) for i in range(100)] + [(None, sign * 99.0, None, True), (0.9, None, 1.0, False)]
+    df = spark.createDataFrame(rows, "first double, second double, flat double, y boolean")
+    got = search.gate_grid(df, "first", ["second"], F.col("y"), (0.5, 0.3), (0.2,)).orderBy("cut").collect()
+    ranked = sorted(sign * r[1] for r in rows if r[3])  # the good end last
+    limit = float(np.quantile(ranked, 0.2)) * sign
+    for r in got:
+        keep = [x[0] is not None and x[0] >= r["cut"] and x[1] is not None and sign * x[1] >= sign * limit for x in rows]
+        assert r["limit"] == pytest.approx(limit) and r["low"] == (sign < 0)
+        assert r["positives_kept"] == pytest.approx(sum(k for k, x in zip(keep, rows, strict=True) if x[3]) / 51)
+        assert r["negatives_kept"] == pytest.approx(sum(k for k, x in zip(keep, rows, strict=True) if not x[3]) / 51)
+    assert {r["cut"] for r in got} == {0.3, 0.5}
+    picked = search.gate_grid(df, "first", ["flat", "second"], F.col("y"), (0.5,), (0.2,)).first()["criterion"]
+    assert picked == ("second" if sign > 0 else "flat")
+    assert search.gate_grid(df.where("NOT y"), "first", ["second"], F.col("y"), (0.5,), (0.2,)).count() == 0
