@@ -1,5 +1,7 @@
 """Left-out stations: forward selection and logistic probes against plain versions."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +83,7 @@ def test_selection_of_equal_signals_takes_the_first_and_empty_tables_give_nothin
 
 
 def jobs(spark, run):
-    group = f"jobs-{id(run)}"
+    group = f"jobs-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(group, "")
     run()
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
@@ -161,3 +163,14 @@ def test_gate_grid_follows_the_better_criterion_in_its_direction(spark, sign):
     picked = search.gate_grid(df, "first", ["flat", "second"], F.col("y"), (0.5,), (0.2,)).first()["criterion"]
     assert picked == ("second" if sign > 0 else "flat")
     assert search.gate_grid(df.where("NOT y"), "first", ["second"], F.col("y"), (0.5,), (0.2,)).count() == 0
+
+
+def test_a_step_of_the_selection_takes_as_many_jobs_for_any_number_of_sets(spark):
+    names = ["base", "a", "b", "c"]
+    matrix = selection.rank_matrix(spark.createDataFrame(signals(3, 30), SCHEMA), names).cache()
+    matrix.count()
+    sets = [frozenset({("base", True), (n, up)}) for n in "abc" for up in (True, False)]
+    at = {n: k for k, n in enumerate(names)}
+    one, six = (jobs(spark, lambda s=s: selection._precisions(matrix, s, at).collect()) for s in (sets[:1], sets))
+    matrix.unpersist()
+    assert one == six
