@@ -32,6 +32,8 @@ from .meetings import Undecided, block_pairs, decided, forest, meetings
 ROWS, TABLES = 3, 12
 #: Documents in a block; shingles that a task gets; rounds with leaders, which end when fewer than one comparison in FEW links.
 BLOCK, TASK_SHINGLES, ROUNDS, FEW = 1024, 1_000_000, 6, 5
+#: Operations of a matrix product that cost as much as looking up one shingle.
+DENSE = 1000
 #: Standard deviations below the threshold at which a sketch clears a pair.
 SPREAD = 6.0
 #: Keys of nominated texts that are broadcast to pick the texts (16 bytes each); more are joined by a shuffle.
@@ -82,27 +84,47 @@ def _signed(seq: Iterator[pa.RecordBatch], k: int, rows: int, tables: int) -> It
         )
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], pct: int) -> np.ndarray:
-    """Which pairs of a left and a right set have 100 * intersection >= pct * union."""
-    flat = np.concatenate([*left, *right])
-    sizes = np.array([len(s) for s in left + right])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1  # a shingle of one set alone adds to no intersection
-    column = np.cumsum(shared) - 1
-    keep = shared[code]
-    cols, who = column[code[keep]], owner[keep]
-    order = np.argsort(cols, kind="stable")
-    cols, who = cols[order], who[order]
-    width, n = int(shared.sum()), len(left)
-    inter = np.zeros((n, len(right)), np.float32)
-    for at in range(0, width, 8192):
-        here = slice(*np.searchsorted(cols, [at, at + 8192]))
-        m = np.zeros((len(sizes), min(8192, width - at)), np.float32)
-        m[who[here], cols[here] - at] = 1
-        inter += m[:n] @ m[n:].T
-    inter = inter.astype(np.float64)
-    return 100 * inter >= pct * (sizes[:n, None] + sizes[None, n:] - inter)
+def _intersections(sets: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the pairs (a, b), sorted by a, of sets that are not empty.
+
+    Each set is looked up in its partners'; where so many pairs are asked for that a product of the sets' 0-1 rows over the
+    shingles that two of them share costs less, that decides.
+    """
+    work = int(sizes[b].sum())
+    if work > 4 * sizes.sum():
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        width, n = int(shared.sum()), len(sets)
+        if n * n * width < DENSE * work:
+            keep = shared[code]
+            cols, who = (np.cumsum(shared) - 1)[code[keep]], owner[keep]
+            order = np.argsort(cols, kind="stable")
+            cols, who = cols[order], who[order]
+            inter = np.zeros((n, n))
+            for at in range(0, width, 8192):
+                here = slice(*np.searchsorted(cols, [at, at + 8192]))
+                m = np.zeros((n, min(8192, width - at)), np.float32)
+                m[who[here], cols[here] - at] = 1
+                inter += m @ m.T
+            return inter[a, b]
+    out = np.empty(len(a))
+    cuts = (np.flatnonzero(np.diff(a)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(a)], strict=True):
+        one, others = sets[a[lo]], b[lo:hi]
+        flat = np.concatenate([sets[j] for j in others])
+        hit = one[np.searchsorted(one, flat) % len(one)] == flat
+        out[lo:hi] = np.add.reduceat(hit, np.cumsum([0, *sizes[others][:-1]]), dtype=np.int64)
+    return out
+
+
+def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
+    """Which of the pairs (a, b), sorted by a, have 100 * intersection >= pct * union."""
+    if not len(a):
+        return np.zeros(0, bool)
+    sizes = np.array([len(x) for x in sets])
+    inter = _intersections(sets, sizes, a, b)
+    return 100 * inter >= pct * (sizes[a] + sizes[b] - inter)
 
 
 def _starred(t: pa.Table, k: int, pct: int) -> pa.Table:
@@ -113,7 +135,8 @@ def _starred(t: pa.Table, k: int, pct: int) -> pa.Table:
     for lo, hi in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
         part = t.slice(lo, hi - lo)
         sets, root = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())], part["root"].to_pylist()
-        for i in np.flatnonzero(_links(sets[:1], sets[1:], pct)[0]):
+        others = np.arange(1, len(sets))
+        for i in np.flatnonzero(_linked(sets, np.zeros(len(others), np.int64), others, pct)):
             a.append(root[0])
             b.append(root[i + 1])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -125,14 +148,17 @@ def least_matches(rows: int, pct: int) -> int:
     return int(rows * s - SPREAD * (rows * s * (1 - s)) ** 0.5)
 
 
-def _undecided(t: pa.Table, tables: int, least: int) -> pa.Table:
-    """Within each bucket's block pair: the rows of the pairs of different components that sketches do not clear and no earlier table has."""
+def _undecided(t: pa.Table, tables: int, least: int, most: int) -> pa.Table:
+    """Within each bucket's block pair: the rows of the pairs of different components that sketches do not clear and no earlier table has.
+
+    Pairs of rows with many shingles are cut into several meetings, each of about ``most`` shingles.
+    """
     t = t.sort_by([("bucket", "ascending"), ("x", "ascending"), ("y", "ascending")])
     out = Undecided(t["task"][0].as_py())
     sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
     half = np.frombuffer(b"".join(t["half"].to_pylist()), "<i8").reshape(t.num_rows, 2, tables)
     _, root = np.unique(np.frombuffer(b"".join(t["root"].to_pylist()), "V16"), return_inverse=True)
-    side, x, y, one, two = (t[c].to_numpy() for c in ("side", "x", "y", "i", "j"))
+    side, x, y, one, two, size = (t[c].to_numpy() for c in ("side", "x", "y", "i", "j", "size"))
     for at in meetings(t, "bucket"):
         maybe = root[at, None] != root[None, at]
         if x[at.start] != y[at.start]:
@@ -144,8 +170,10 @@ def _undecided(t: pa.Table, tables: int, least: int) -> pa.Table:
             same = half[i] == half[j]
             maybe[i - at.start, j - at.start] = good & (same[:, 0].argmax(axis=1) == one[at.start]) & (same[:, 1].argmax(axis=1) == two[at.start])
         a, b = np.nonzero(np.triu(maybe, 1))
-        if len(a):
-            out.add(t["key"].slice(at.start, at.stop - at.start), a, b)
+        tile = np.cumsum(size[at]) * 2 // most
+        pair = tile[a] * (tile[-1] + 1) + tile[b]
+        for p in np.unique(pair):
+            out.add(t["key"].slice(at.start, at.stop - at.start), a[pair == p], b[pair == p])
     return out.table()
 
 
@@ -154,7 +182,7 @@ def _verified(t: pa.Table, k: int, pct: int) -> pa.Table:
     a, b = [], []
     for part, i, j in decided(t):
         sets, root = [shingles(x, k) for x in byte_column(part["text"].combine_chunks())], part["root"].to_pylist()
-        good = _links(sets, sets, pct)[i, j]
+        good = _linked(sets, i, j, pct)
         for x, y in forest(np.stack([i[good], j[good]], axis=1), len(sets)):
             a.append(root[x])
             b.append(root[y])
@@ -261,14 +289,16 @@ def near_duplicates(
 
     # What still shares a bucket and is of different components.
     apart = _apart(tabled, _roots(keys, found), tmp)
-    least = least_matches(2 * tables * rows, percent)
+    least, most = least_matches(2 * tables * rows, percent), TASK_SHINGLES
     half = classes.select("key", "sketch", F.concat("u", "v").alias("uv"))
     half = half.mapInArrow(_as_bytes, "key binary, sketch binary, half binary")
-    met = block_pairs(tmp.write(apart.join(half, "key")), "bucket", BLOCK, tmp)
-    undecided = tmp.write(met.groupBy("task").applyInArrow(lambda t: _undecided(t, tables, least), Undecided.SCHEMA))
-    roots = apart.select("key", "root").distinct()
-    met = undecided.join(roots, "key").join(texts, "key").groupBy("task")
-    links = tmp.write(met.applyInArrow(lambda t: _verified(t, shingle, percent), "a binary, b binary"))
+    met = block_pairs(tmp.write(apart.join(sizes, "key").join(half, "key")), "bucket", BLOCK, tmp)
+    undecided = tmp.write(met.groupBy("task").applyInArrow(lambda t: _undecided(t, tables, least, most), Undecided.SCHEMA))
+    # Meetings are dealt anew to tasks of about TASK_SHINGLES.
+    met = tmp.write(undecided.join(tmp.write(apart.select("key", "root").distinct().join(sizes, "key")), "key"))
+    tasks = ceil((met.agg(F.sum("size")).first()[0] or 0) / TASK_SHINGLES) + 1
+    met = met.withColumn("meeting", F.xxhash64("task", "meeting")).withColumn("task", F.pmod("meeting", F.lit(tasks))).join(texts, "key")
+    links = tmp.write(met.groupBy("task").applyInArrow(lambda t: _verified(t, shingle, percent), "a binary, b binary"))
     found = _closed(spark, found, links, tmp)
 
     linked = narrow.groupBy("key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")

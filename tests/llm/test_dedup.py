@@ -70,12 +70,29 @@ def family():
 @pytest.mark.parametrize(("k", "pct"), [(3, 85), (5, 80)])
 def test_components_match_brute_force(spark, family, k, pct, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)  # so that the family spans blocks
+    monkeypatch.setattr(minhash, "TASK_SHINGLES", 600)  # and its meetings several tasks
     got = minhash.near_duplicates(docs(spark, family).repartition(3), k, pct)
     rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect())
     assert rows == brute_components(family, k, pct)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_pairs_are_decided_on_full_sets(dense, monkeypatch):
+    monkeypatch.setattr(minhash, "DENSE", dense)  # by looking up, or by products
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    own = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 20_000), replace=False), rng.integers(0, 2**63, 9, dtype=np.uint64)])) for _ in range(20)]
+    own.append(own[3])
+    pairs = [(i, j) for i in range(21) for j in range(i + 1, 21) if (i, j) != (2, 5)]
+    a, b = np.array(pairs).T
+    sizes = np.array([len(x) for x in own])
+    both = [len(np.intersect1d(own[i], own[j])) for i, j in pairs]
+    assert minhash._intersections(own, sizes, a, b).tolist() == both
+    want = [100 * n >= 60 * (sizes[i] + sizes[j] - n) for n, (i, j) in zip(both, pairs, strict=True)]
+    assert minhash._linked(own, a, b, 60).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_dedup_keeps_one_of_each_and_repeated_rows(spark, family):
     rows = docs(spark, [*family, (None, "n1 n2 n3 n4 n5 n6"), (100, family[0][1])])
     kept = minhash.deduplicate(rows)
