@@ -31,6 +31,23 @@ MAX_SOURCES = 100_000
 _tokenizers: dict[str, "ByteTokenizer"] = {}
 
 
+def plain(spec: dict) -> bool:
+    """Whether a file of ``tokenizers`` is byte-level BPE with the common split pattern and merges in the vocabulary's order, and nothing else."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or spec.get("truncation") or spec.get("padding"):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(x.get(k) for x in spec.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        return False
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    special = {x["content"] for x in spec.get("added_tokens") or []}
+    made = sum(1 for k in model["vocab"] if len(k) > 1 and k not in special)
+    return merged == sorted(merged) and len(set(merged)) == len(merged) == made and (not merged or merged[0] >= 0)
+
+
 class ByteTokenizer:
     """Ids of a byte-level BPE file of the ``tokenizers`` library, as its ``encode(text, add_special_tokens=False)`` gives them.
 
@@ -38,6 +55,9 @@ class ByteTokenizer:
     several times faster.  Text with a special token's string, or with a run of white space so long that
     ``tiktoken`` would run out of stack, goes through ``tokenizers``.  Long texts are encoded in parts of about
     PART characters, cut before a space between two letters: no token crosses such a place.
+
+    That holds for files that split and merge as ``plain`` asks.  Any other file of ``tokenizers`` (normalisers, word ends,
+    other patterns, merges out of the vocabulary's order) encodes every text whole with ``tokenizers`` itself.
     """
 
     PART, RUN = 1 << 18, 100_000
@@ -53,13 +73,15 @@ class ByteTokenizer:
         self.slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.special = [x["content"] for x in spec.get("added_tokens") or []]
+        self.fast, self.most = None, max(self.slow.get_vocab(with_added_tokens=True).values(), default=0)
+        if not plain(spec):
+            return
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items()}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])])
 
     def parts(self, text: str) -> Iterator[str]:
         at = 0
@@ -72,6 +94,8 @@ class ByteTokenizer:
         yield text[at:]
 
     def encode(self, text: str) -> list[int]:
+        if self.fast is None:
+            return self.slow.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for part in self.parts(text):
             if any(s in part for s in self.special) or len(part) >= self.RUN and self._RUN.search(part):

@@ -608,3 +608,18 @@ def test_registered_query_matches_dense_propagation(spark):
         assert (r["trust"], r["distrust"]) == (pytest.approx(trust, abs=2e-3), pytest.approx(distrust, abs=2e-3))
         if rule or min(abs(distrust - bar), abs(distrust - trust)) > 4e-3:
             assert r["verdict"] == verdict
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_file_gives_the_ids_of_its_own_library(name):
+    t, rng = packing.tokenizer(name), random.Random(6)
+    assert (t.fast is None) == name.startswith("word")
+    for _ in range(300):
+        text = "".join(rng.choice("abcXYZ 09'é\n\t<|>.漢́") for _ in range(rng.randrange(80)))
+        assert t.encode(text) == t.slow.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": {"vocab": {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4}, "merges": ["a b", "b c"]}}])
+def test_only_plain_files_take_the_fast_path(change):
+    own = {"model": {"vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4}, "merges": [["a", "b"], "b c"]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "added_tokens": []}
+    assert packing.plain(own) and not packing.plain(own | change)
