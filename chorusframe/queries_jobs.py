@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .functions import parse
 from .operators import matching, neighbours, quality, ranking, sampling, selection, slots, windows
 from .plans import jobs, manifest
 from .queries import _pulses as pulses_of
-from .queries import DET, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SIG, SQL, VEC_SPARK, ap_sql, draw_sql, long, m, micro, plain, query
+from .queries import DET, FLAGS, FRAMES, PULSE, DET2, MAN, PLACES, QUEUE, RECS, SIG, SQL, VEC_SPARK, ap_sql, draw_sql, long, m, micro, plain, query
 from .sources import readers, sinks
 
 COORD = f"SELECT station, lat, lon, concat('S20210224T0', CAST(floor(lat * 10) AS STRING), '0000_+', CAST(CAST(lat AS DECIMAL(6, 2)) AS STRING), '+', CAST(CAST(lon AS DECIMAL(6, 2)) AS STRING), '.wav') AS name FROM ({PLACES}) p"
@@ -206,12 +208,32 @@ x AS (SELECT sig.station, CAST(coalesce(mahalanobis_d2 > q.q, false) AS INT) + C
 SELECT station, n_flags, count(*) AS n FROM x GROUP BY 1, 2"""
 
 
-@query(sig=SIG)
+_X9 = {
+    "evaluation": "SELECT coalesce(species, 'ALL') AS key, count(*) FILTER (ok) AS matched, count(*) FILTER (NOT ok) AS unmatched, count(*) FILTER (ok AND c) AS calls, count(*) FILTER (ok AND f) AS fps, count(*) FILTER (f AND s) / count(*) FILTER (ok AND f) AS fp_removed_share, count(*) FILTER (ok AND c AND NOT s) / count(*) FILTER (ok AND c) AS calls_kept_share FROM x GROUP BY ROLLUP (species)",
+    "confusion": "SELECT verdict AS key, count(*) FILTER (cleanup = 'clean') AS clean, count(*) FILTER (cleanup = 'suspicious') AS suspicious FROM x WHERE ok GROUP BY verdict",
+    "votes": "SELECT CAST(k AS VARCHAR) AS key, count(*) FILTER (c AND NOT (k > 0 AND n >= k)) AS calls_kept, count(*) FILTER (f AND k > 0 AND n >= k) AS fps_removed, count(*) FILTER ((c OR f) AND NOT (k > 0 AND n >= k)) AS \"left\" FROM x, (SELECT unnest(range(0, 4)) AS k) WHERE ok GROUP BY k",
+    "tag_classes": "SELECT tag_top AS key, count(*) AS n, count(*) FILTER (c) AS calls, count(*) FILTER (f) AS fps FROM x WHERE ok AND (c OR f) GROUP BY tag_top HAVING count(*) >= 5",
+    "sweep_n_neighbours": "SELECT CAST(round(q, 6) AS VARCHAR) AS key, count(*) FILTER (c AND NOT coalesce(n_neighbours <= q, false)) AS calls_kept, count(*) FILTER (f AND coalesce(n_neighbours <= q, false)) AS fps_removed FROM x, (SELECT DISTINCT unnest(quantile_cont(CAST(n_neighbours AS DOUBLE), [" + ", ".join(f"{i}.0 / 16" for i in range(1, 16)) + "])) AS q FROM x WHERE ok) WHERE ok GROUP BY q",
+}
+_X9_KEYS = {"evaluation": "species", "confusion": "verdict", "votes": "at_least", "tag_classes": "tag_top", "sweep_n_neighbours": "cut"}
+_X9_VALUES = {"evaluation": "matched unmatched calls fps fp_removed_share calls_kept_share", "confusion": "clean suspicious", "votes": "calls_kept fps_removed left", "tag_classes": "n calls fps", "sweep_n_neighbours": "calls_kept fps_removed"}
+
+
+@query(
+    f"""WITH o AS (SELECT * FROM (VALUES (0, 0), (1, -1), (2, 1)) t(p, o)), r AS (SELECT * FROM sig WHERE station IS DISTINCT FROM 'ST03'),
+m AS (SELECT r.det_id AS review_id, f.det_id, f.cleanup, f.tag_top, f.n_neighbours, {" + ".join(f"CAST(coalesce(f.{x}, false) AS INT)" for x in FLAGS)} AS n FROM r JOIN sig f ON r.species = f.species AND r.recording = f.recording JOIN o ON CAST(round_even(f.start_s, 0) AS BIGINT) = CAST(round_even(r.start_s, 0) AS BIGINT) + o
+ QUALIFY row_number() OVER (PARTITION BY r.det_id ORDER BY p, f.det_id) = 1),
+x AS (SELECT r.species, r.verdict, m.* EXCLUDE (review_id), m.cleanup IS NOT NULL AS ok, coalesce(r.verdict = 'call', false) AS c, coalesce(r.verdict = 'false_positive', false) AS f, coalesce(m.cleanup = 'suspicious', false) AS s FROM r LEFT JOIN m ON m.review_id = r.det_id)
+"""
+    + " UNION ALL ".join(f"SELECT '{n}' AS report, key, unnest([{', '.join(repr(v) for v in _X9_VALUES[n].split())}]) AS name, unnest([{', '.join(f'CAST({chr(34)}{v}{chr(34)} AS DOUBLE)' for v in _X9_VALUES[n].split())}]) AS value FROM ({q})" for n, q in _X9.items()),
+    sig=SIG,
+)
 def x9_evaluate_cleanup(sig):
     review = sig.select(F.col("det_id").alias("review_id"), "station", "recording", "species", "start_s", "confidence", "verdict")
-    cleaned = sig.drop("verdict", "confidence", "station").where("det_id % 3 <> 0")
-    reports = jobs.evaluate_cleanup(review, cleaned, ("flag_mahal", "flag_tag", "flag_isolated"), exclude=["ST03"])
-    return reports["evaluation"].select("species", *long("matched", "unmatched", "calls", "fps"))
+    reports = jobs.evaluate_cleanup(review, sig.drop("verdict", "confidence", "station"), FLAGS, exclude=["ST03"], only=list(_X9))
+    reports["sweep_n_neighbours"] = reports["sweep_n_neighbours"].withColumn("cut", F.round("cut", 6))
+    long_form = [reports[n].select(F.lit(n).alias("report"), F.col(k).cast("string").alias("key"), *(F.col(c).cast("double").alias(c) for c in _X9_VALUES[n].split())).unpivot(["report", "key"], _X9_VALUES[n].split(), "name", "value") for n, k in _X9_KEYS.items()]
+    return reduce(DataFrame.unionAll, long_form)
 
 
 #: The candidates in the order of trial; capitals are the smaller values.

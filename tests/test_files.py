@@ -259,7 +259,35 @@ def test_excluding_a_station_changes_every_report(spark, det):
     part = jobs.evaluate_cleanup(review, cleaned, ("flag_isolated",), exclude=["s1"])
     assert whole["evaluation"].where("species = 'ALL'").first()["matched"] == 40
     assert part["evaluation"].where("species = 'ALL'").first()["matched"] == 20
-    assert all(df.count() > 0 for df in part.values())
+    # Confidence is the same in all rows, so every cutoff removes all calls and none is allowed.
+    assert {name for name, df in part.items() if df.count() == 0} == {"operating_points", "held_out_confidence"}
+    # n_flags is worked out from the flags
+    votes = {r["at_least"]: r["left"] for r in whole["votes"].collect()}
+    assert votes == {0: 40, 1: 40 - whole["disagreements"].where("flag_isolated").count()} and votes[1] < 40
+    some = jobs.evaluate_cleanup(review, cleaned, ("flag_isolated",), only=["votes", "sweep_confidence"])
+    assert set(some) == {"votes", "sweep_confidence"}
+
+
+def test_every_report_of_a_whole_table(spark):
+    names = "det_id bigint, station string, recording string, species string, start_s double, confidence double, verdict string, n_neighbours bigint, mahalanobis_d2 double, softmax_margin double, knn_dist double, tag_top string, tag_score double, flag_tag boolean, flag_isolated boolean, flag_invading_cluster boolean, cleanup string"
+    rng = random.Random(1)
+    rows = [(i, f"s{i % 3}", f"r{i % 6}", "a", 20.0 * (i // 6), rng.random(), rng.choice(["call", "false_positive"]), rng.randrange(4), rng.random() * 9, rng.random(), rng.random(), rng.choice("xy"), rng.random(), rng.random() < 0.4, rng.random() < 0.4, i % 3 == 1, rng.choice(["clean", "suspicious"])) for i in range(90)]
+    table = spark.createDataFrame(rows, names)
+    review = table.select(F.col("det_id").alias("review_id"), "station", "recording", "species", "start_s", "confidence", "verdict")
+    got = jobs.evaluate_cleanup(review, table.drop("station", "confidence", "verdict"), ("flag_tag", "flag_isolated"))
+    want = {"stations", "disagreements", "effort_curve", "effort_by_station", "ranking_signals", "operating_points", "against_confidence", "triage", "two_protocol_cv", "gated_recurrence_cv", "tag_classes", "tag_scores", "thresholds", "votes"}
+    assert want | {f"sweep_{c}" for c in jobs.SWEPT} | {f"held_out_{c}" for c in jobs.HELD_OUT} <= set(got)
+    for df in got.values():
+        df.collect()
+    kinds = {r["disagreement"]: r["n"] for r in got["disagreements"].groupBy("disagreement").agg(F.count("*").alias("n")).collect()}
+    assert sum(kinds.values()) == 90
+    found = {r["tag_top"]: (r["n"], r["calls"]) for r in got["tag_classes"].collect()}
+    assert found == {t: (sum(r[11] == t for r in rows), sum(r[11] == t and r[6] == "call" for r in rows)) for t in "xy"}
+    base = got["against_confidence"].first()
+    assert base["removed"] == sum(r[16] == "suspicious" for r in rows)
+    at = {round(r["cut"], 2): (r["calls_kept"], r["fps_removed"]) for r in got["tag_scores"].collect()}
+    gone = [r[14] or (r[13] and r[12] >= 0.5) for r in rows]
+    assert at[0.5] == (sum(r[6] == "call" and not g for r, g in zip(rows, gone, strict=True)), sum(r[6] != "call" and g for r, g in zip(rows, gone, strict=True)))
 
 
 def test_stream_events_match_batch_sessions(spark, tmp_path):
