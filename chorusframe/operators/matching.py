@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def preferred_offsets(tolerance: int) -> list[int]:
     return [0, *(s * k for k in range(1, tolerance + 1) for s in (-1, 1))]
 
 
+def _on(keys: Sequence[str], *more: tuple[Column, str]) -> Column:
+    """The rows of a table meet those of another whose keys are called ``_of_`` and their name."""
+    on = F.lit(True)
+    for left, right in [*((F.col(k), f"_of_{k}") for k in keys), *more]:
+        on = on & (left == F.col(right))
+    return on
+
+
 def match_review(review: DataFrame, found: DataFrame, tolerance: int = 1, keys: tuple[str, ...] = ("species", "recording"), keep: tuple[str, ...] = ("cleanup",), review_id: str = "review_id") -> DataFrame:
     """Each review row with the detection of the same keys whose second is nearest by preference, within ``tolerance``.
 
@@ -29,6 +39,28 @@ def match_review(review: DataFrame, found: DataFrame, tolerance: int = 1, keys:
     return review.join(hit, review_id, "left").select(review["*"], "_m.det_id", *(f"_m.{c}" for c in keep))
 
 
+def _nearest_places(new: DataFrame, reviewed: DataFrame, span_s: float, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``_of_`` keys and start of each place of ``new`` that has a reviewed window within ``span_s``, its rows ``n``, and ``_m``: gap_s and the window ``r`` (start_s, keep).
+
+    Places, not rows, are put in order within buckets of ``span_s``. The nearest window on either side lies in the place's own bucket or
+    is the last of the bucket before or the first of that behind, so a bucket gets its own windows and one of each neighbour.
+    """
+    real = F.col("start_s").isNotNull() & ~F.isnan("start_s")
+    own = reviewed.where(real).select(*keys, "start_s", *keep).distinct().groupBy(*keys, "start_s").agg(F.min(F.struct("start_s", *keep)).alias("r"))
+    own = own.withColumn("b", F.floor(F.col("start_s") / span_s))
+    ends = own.groupBy(*keys, "b").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    ends = ends.select(*keys, F.explode(F.array(F.struct((F.col("b") - 1).alias("b"), F.col("first").alias("r")), F.struct((F.col("b") + 1).alias("b"), F.col("last").alias("r")))).alias("x"))
+    at = new.where(real).groupBy(*keys, "start_s").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("start_s") / span_s))
+    windows = own.select(*keys, "b", "start_s", "r").unionByName(ends.select(*keys, "x.b", "x.r.start_s", "x.r")).withColumn("n", F.lit(None).cast("bigint"))
+    rows = windows.unionByName(at.withColumn("r", F.lit(None).cast(windows.schema["r"].dataType)))
+    group = Window.partitionBy(*keys, "b")
+    before, after = (F.last("r", True).over(group.orderBy(o, F.col("n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.col("start_s").asc(), F.col("start_s").desc()))
+    rows = rows.select("*", before.alias("before"), after.alias("after")).where("n IS NOT NULL")
+    far = lambda c: F.abs(F.col("start_s") - F.col(f"{c}.start_s"))
+    near = F.array_min(F.array(*(F.when(far(c) <= span_s, F.struct(far(c).alias("gap_s"), F.col(c).alias("r"))) for c in ("before", "after"))))
+    return rows.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("start_s").alias("_of_start"), "n", near.alias("_m")).where("_m IS NOT NULL")
+
+
 def match_nearest(new: DataFrame, reviewed: DataFrame, span_s: float = WINDOW_S + 1, keys: tuple[str, ...] = ("recording",), keep: tuple[str, ...] = ("verdict",)) -> DataFrame:
     """Each new detection with the nearest reviewed window of its recording within ``span_s``; on a tie the earlier.
 
@@ -45,12 +77,13 @@ def match_nearest(new: DataFrame, reviewed: DataFrame, span_s: float = WINDOW_S
 
 def detection_changes(new: DataFrame, reviewed: DataFrame, span_s: float = WINDOW_S + 1) -> DataFrame:
     """One row: reviewed calls and false positives that the new run still covers, has lost, and detections on new ground."""
-    near = match_nearest(new, reviewed, span_s)
-    covered = near.where("near_start_s IS NOT NULL").select("recording", F.col("near_start_s").alias("start_s")).distinct()
-    kept = reviewed.join(covered, ["recording", "start_s"], "left_semi").agg(F.count_if(F.col("verdict") == "call").alias("calls_kept"), F.count_if(F.col("verdict") == "false_positive").alias("fps_kept"))
-    lost = reviewed.join(covered, ["recording", "start_s"], "left_anti").agg(F.count_if(F.col("verdict") == "call").alias("calls_lost"), F.count_if(F.col("verdict") == "false_positive").alias("fps_lost"))
-    fresh = near.agg(F.count_if(F.col("near_start_s").isNull()).alias("new_ground"))
-    return kept.crossJoin(lost).crossJoin(fresh)  # one row each
+    near = _nearest_places(new, reviewed, span_s, ("recording",), ())
+    covered = near.groupBy("_of_recording", F.col("_m.r.start_s").alias("_of_start")).agg(F.sum("n").alias("n"))
+    per = reviewed.groupBy("recording", "start_s").agg(F.count_if(F.col("verdict") == "call").alias("calls"), F.count_if(F.col("verdict") == "false_positive").alias("fps"))
+    total = lambda c, on: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0))
+    hit = F.col("n").isNotNull()
+    out = per.join(covered, _on(("recording",), (F.col("start_s"), "_of_start")), "left").agg(*(total(c, on).alias(f"{c}_{name}") for name, on in (("kept", hit), ("lost", ~hit)) for c in ("calls", "fps")), total("n", hit).alias("near"))
+    return out.crossJoin(new.agg(F.count("*").alias("all"))).select("calls_kept", "fps_kept", "calls_lost", "fps_lost", (F.col("all") - F.col("near")).alias("new_ground"))  # one row each
 
 
 def _buckets(df: DataFrame, low: Column, high: Column, width: float) -> DataFrame:

@@ -303,6 +303,46 @@ def test_neighbour_cuts_have_no_cap(spark):
         assert (row["cut"], row["calls_kept"], row["left"]) == (best[1], sum(own), len(own)) and best[1] > 40
 
 
+def _joined(df):
+    """Rows that joins and explosions of the executed plan made, at most in one of them."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            p = p.executedPlan()
+        if p.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            p = p.plan()
+        if ("Join" in p.nodeName() or p.nodeName() == "Generate") and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_crowded_seconds_meet_once(spark, det):
+    crowd = det([(x / 4, "call" if x % 3 else "false_positive") for x in range(40)] * 50)
+    assert _joined(matching.detection_changes(crowd, crowd)) <= 2000
+
+
+def test_nearest_places_equal_all_pairs(spark, det):
+    rng = np.random.default_rng(5)
+    where = lambda n: np.concatenate([rng.uniform(-40, 300, n), rng.integers(-40, 300, n), rng.integers(0, 9, n) * 3.0]).tolist()
+    said = lambda n: [[None, "call", "false_positive"][i] for i in rng.integers(0, 3, n)]
+    a, b = where(60), where(25)
+    new, old = det([*a, float("nan")]), det([*zip(b, said(75)), *zip(b[:30], said(30)), (float("nan"), "call")])
+    new = new.unionByName(new.where("det_id = 0").withColumns({"det_id": F.lit(999).cast("bigint"), "start_s": F.lit(None).cast("double")}))
+    got = matching.match_nearest(new, old).orderBy("det_id").select("gap_s", "near_start_s", "verdict").collect()
+    seen = [(r["start_s"], r["verdict"]) for r in old.collect()]
+    for x, g in zip([*a, float("nan"), None], got, strict=True):
+        near = [(abs(x - s), s, v or "") for s, v in seen if abs(x - s) <= 3] if x is not None else []
+        want = min(near, default=(None, None, ""))
+        assert tuple(g) == (*want[:2], want[2] or None)
+    row = matching.detection_changes(new, old).first()
+    assert row["new_ground"] == sum(g["gap_s"] is None for g in got)
+    at = {g["near_start_s"] for g in got}
+    assert (row["calls_kept"], row["fps_lost"]) == (sum(v == "call" and s in at for s, v in seen), sum(v == "false_positive" and s not in at for s, v in seen))
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_nearest_reference_in_blocks_is_exact(spark, block):
     rng = np.random.default_rng(6)
