@@ -66,13 +66,9 @@ def match_nearest(new: DataFrame, reviewed: DataFrame, span_s: float = WINDOW_S
 
     Adds ``gap_s``, ``near_start_s`` and ``keep``; several detections may share one window.
     """
-    bucket = lambda c: F.floor(c / span_s)
-    a = new.select("det_id", *keys, "start_s").withColumn("_b", F.explode(F.sequence(bucket(F.col("start_s")) - 1, bucket(F.col("start_s")) + 1)))
-    b = reviewed.select(*keys, F.col("start_s").alias("near_start_s"), *keep).withColumn("_b", bucket(F.col("near_start_s")))
-    gap = F.abs(F.col("start_s") - F.col("near_start_s"))
-    best = a.join(b, [*keys, "_b"]).withColumn("gap_s", gap).where(F.col("gap_s") <= span_s)
-    best = best.groupBy("det_id").agg(F.min(F.struct("gap_s", "near_start_s", *keep)).alias("_m"))
-    return new.drop(*keep).join(best, "det_id", "left").select(*(new[c] for c in new.columns if c not in keep), "_m.gap_s", "_m.near_start_s", *(f"_m.{c}" for c in keep))
+    near = _nearest_places(new, reviewed, span_s, keys, keep).drop("n")
+    rows = new.drop(*keep).join(near, _on(keys, (F.col("start_s"), "_of_start")), "left")
+    return rows.select(*(F.col(f"`{c}`") for c in new.columns if c not in keep), "_m.gap_s", F.col("_m.r.start_s").alias("near_start_s"), *(f"_m.r.{c}" for c in keep))
 
 
 def detection_changes(new: DataFrame, reviewed: DataFrame, span_s: float = WINDOW_S + 1) -> DataFrame:
