@@ -31,12 +31,15 @@ def match_review(review: DataFrame, found: DataFrame, tolerance: int = 1, keys:
     """Each review row with the detection of the same keys whose second is nearest by preference, within ``tolerance``.
 
     ``review`` has keys, start_s and a unique ``review_id``; unmatched rows stay, with nulls in ``keep`` and ``det_id``.
+    A second of the keys has one first detection, and seconds meet, not rows.
     """
     offsets = F.array(*(F.struct(F.lit(i).alias("p"), F.lit(o).alias("o")) for i, o in enumerate(preferred_offsets(tolerance))))
-    tries = review.select(*keys, review_id, "start_s", F.explode(offsets).alias("t")).withColumn("_sec", second(F.col("start_s")) + F.col("t.o"))
-    got = found.select(*keys, second(F.col("start_s")).alias("_sec"), "det_id", *keep)
-    hit = tries.join(got, [*keys, "_sec"]).groupBy(review_id).agg(F.min_by(F.struct("det_id", *keep), F.struct("t.p", "det_id")).alias("_m"))
-    return review.join(hit, review_id, "left").select(review["*"], "_m.det_id", *(f"_m.{c}" for c in keep))
+    asked = review.select(*(F.col(k).alias(f"_of_{k}") for k in keys), second(F.col("start_s")).alias("_of_sec")).distinct()
+    tries = asked.select("*", F.explode(offsets).alias("t")).withColumn("_sec", F.col("_of_sec") + F.col("t.o"))
+    got = found.groupBy(*keys, second(F.col("start_s")).alias("_sec")).agg(F.min_by(F.struct("det_id", *keep), F.struct("det_id")).alias("_f"))
+    hit = tries.join(got.withColumnRenamed("_sec", "_got"), _on(keys, (F.col("_sec"), "_got")))
+    hit = hit.groupBy(*(f"_of_{k}" for k in keys), "_of_sec").agg(F.min_by("_f", "t.p").alias("_m"))
+    return review.join(hit, _on(keys, (second(F.col("start_s")), "_of_sec")), "left").select(*(F.col(f"`{c}`") for c in review.columns), "_m.det_id", *(f"_m.{c}" for c in keep))
 
 
 def _nearest_places(new: DataFrame, reviewed: DataFrame, span_s: float, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -323,6 +323,8 @@ def test_crowded_seconds_meet_once(spark, det):
     crowd = det([(x / 4, "call" if x % 3 else "false_positive") for x in range(40)] * 50)
     assert _joined(matching.match_nearest(crowd, crowd)) <= 2000
     assert _joined(matching.detection_changes(crowd, crowd)) <= 2000
+    review = crowd.withColumnRenamed("det_id", "review_id")
+    assert _joined(matching.match_review(review, crowd, keep=())) <= 2000
 
 
 def test_nearest_places_equal_all_pairs(spark, det):
