@@ -346,6 +346,20 @@ def test_nearest_places_equal_all_pairs(spark, det):
     assert (row["calls_kept"], row["fps_lost"]) == (sum(v == "call" and s in at for s, v in seen), sum(v == "false_positive" and s not in at for s, v in seen))
 
 
+def test_candidates_are_ordered_by_their_values_in_one_job(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    value = lambda x: None if x == 4 else float("nan") if x == 3 else float(x)
+    rows = [(f"s{i % 3}", i, ["call", "false_positive", None][i % 7 % 3], value(x), 1.0) for i, x in enumerate(rng.integers(-3, 5, 120))]
+    df = spark.createDataFrame(rows, "station string, det_id bigint, verdict string, a double, flat double")
+    calls = []
+    monkeypatch.setattr(search, "running", lambda *x: calls.append(x) or prefix.running(*x))
+    got = {(r["signal"], r["larger_is_genuine"]): r["mean_ap"] for r in search.candidates_alone(df, ("a", "flat", "missing")).collect()}
+    assert set(got) == {("a", True), ("a", False)} and len(calls) == 1
+    for up in (True, False):
+        want = ranking.effort_by_station(df.transform(ranking.rank_score({"a": up}))).agg(F.avg("average_precision")).first()[0]
+        assert got["a", up] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_nearest_reference_in_blocks_is_exact(spark, block):
     rng = np.random.default_rng(6)
